@@ -10,6 +10,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import cut
+    from .quality_rules import judge, rule_stats
+
+    stats = cut(rule_stats(table(spark, sf_dir, "documents")), "stats")
+    return judge(stats, table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import prefix_counts
+
+    return prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -22,5 +42,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1))
 
 
-QUERIES = {f.__name__: f for f in (op9_best_fit_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard, op6_quality_rules, op7_prefix_token_counts, op9_best_fit_packing, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
