@@ -20,7 +20,7 @@ SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 #: Rows of the forest's sample, trees, rows per tree, share of labelled good texts that a threshold has to keep.
 SAMPLE_ROWS, TREES, TREE_ROWS, KEEP_GOOD = 20_000, 100, 256, 0.99
 _BINS = 1000
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_chars")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def text_stats(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -66,7 +66,7 @@ def text_stats(texts: pa.Array) -> dict[str, np.ndarray]:
             covered[at[twice] + i] = True
     repeat = np.bincount(text[covered[: len(text)]], minlength=n)
     counts = w.counts()
-    return dict(zip(STATS, (counts, word_chars[w.first[1:]] - word_chars[w.first[:-1]], by_text(SYMBOLS[w.data]), dup, repeat, by_text((w.data >= 0x41) & (w.data <= 0x5A)), code[w.text_at[1:]] - code[w.text_at[:-1]]), strict=True))
+    return dict(zip(STATS, (counts, word_chars[w.first[1:]] - word_chars[w.first[:-1]], by_text(SYMBOLS[w.data]), dup, repeat), strict=True))
 
 
 def rule_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,10 +83,14 @@ def rule_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def features(s: dict[str, np.ndarray]) -> np.ndarray:
-    """What the forest splits: shares of the statistics, and mean word length. A text's length itself isn't a fault."""
+    """What the forest splits, each from 0 to 1: shares of symbols, repeated lines and repeated words.
+
+    A text's length isn't a fault, and neither are a few repeats: their shares are squared, so that cuts drawn evenly over a
+    range seldom part small values from none; a root spreads the symbols of tables and of junk from plain text.
+    """
     f = {k: np.asarray(v, np.float64) for k, v in s.items()}
     words = np.maximum(f["n_words"], 1)
-    return np.stack([f["n_symbols"] / np.maximum(f["word_chars"], 1), f["n_dup_lines"] / words, f["n_repeat_words"] / words, f["n_upper"] / np.maximum(f["word_chars"], 1), f["word_chars"] / words], 1)
+    return np.stack([np.sqrt(np.minimum(1, f["n_symbols"] / words)), np.minimum(1, 10 * f["n_dup_lines"] / words) ** 2, (f["n_repeat_words"] / words) ** 2], 1)
 
 
 @dataclass
@@ -115,7 +119,11 @@ def _c(n: int) -> float:
 
 
 def fit_forest(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: int = 0) -> Forest:
-    """An isolation forest over the rows of x; no rows: every score is that of a lone row."""
+    """An isolation forest over the rows of x, of values from 0 to 1; no rows: every score is that of a lone row.
+
+    Cuts are drawn over the whole range, not over what a node's rows span: a value that no fitted row comes near falls to
+    an empty side after few splits, even where all fitted rows are alike.
+    """
     rng = np.random.default_rng(seed)
     out = Forest([], [], [], [], max(_c(min(rows, len(x))), 1e-9) if len(x) > 1 else 1.0)
     for _ in range(trees if len(x) else 0):
@@ -124,21 +132,15 @@ def fit_forest(x: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, seed: i
         feature, cut, left, depth, todo = [-1], [0.0], [0], [0.0], [(0, own, 0)]
         while todo:
             k, part, d = todo.pop()
-            low, high = part.min(0), part.max(0)
-            free = np.flatnonzero(high > low)
-            if d >= top or len(part) < 2 or not len(free):
+            if d >= top or len(part) < 2:
                 depth[k] = d + _c(len(part))
                 continue
-            f = int(rng.choice(free))
-            at = rng.uniform(low[f], high[f])
+            f = int(rng.integers(x.shape[1]))
+            at = rng.uniform()
             feature[k], cut[k], left[k] = f, at, len(feature)
             for side in (part[part[:, f] < at], part[part[:, f] >= at]):
                 todo.append((len(feature), side, d + 1))
                 feature.append(-1), cut.append(0.0), left.append(0), depth.append(0.0)
-            for k, side, d in todo[-2:]:
-                if not len(side):
-                    depth[k] = d
-            todo = [t for t in todo if len(t[1])]
         out.feature.append(np.array(feature)), out.cut.append(np.array(cut)), out.left.append(np.array(left)), out.depth.append(np.array(depth))
     return out
 
@@ -163,13 +165,14 @@ def pick_threshold(bins: list[tuple[int, int, int]], keep_good: float = KEEP_GOO
 def judge(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, seed: int = 0) -> DataFrame:
     """stats (a written table with STATS) with anomaly (the forest's score), base_failed and kept.
 
-    labels: doc_id and quality (1 good, 0 bad, else unlabelled). The forest is fitted on at most sample_rows rows that pass
-    the base rules, those of the least hashes; every row is scored, and the threshold is set over all labelled rows that
-    pass. No labels or an empty table: only the base rules decide.
+    labels: doc_id and quality (1 good, 0 bad, else unlabelled). The forest is fitted on at most sample_rows labelled good
+    rows that pass the base rules, those of the least hashes; every row is scored, and the threshold is set over all
+    labelled rows that pass. No labels or an empty table: only the base rules decide.
     """
     spark = stats.sparkSession
     stats = stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    drawn = stats.where("not base_failed").orderBy(F.xxhash64("doc_id", *STATS)).limit(sample_rows).select(*STATS).toPandas()
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).where("_q in (0, 1)").distinct()
+    drawn = stats.where("not base_failed").join(known.where("_q = 1"), F.col("doc_id") == F.col("_id")).orderBy(F.xxhash64("doc_id", *STATS)).limit(sample_rows).select(*STATS).toPandas()
     forest = spark.sparkContext.broadcast(fit_forest(features({n: drawn[n].to_numpy() for n in STATS}), trees, seed=seed))
     names = stats.columns
 
@@ -179,7 +182,6 @@ def judge(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, t
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*names, "anomaly"])
 
     scored = stats.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema.fields) + ", anomaly double")
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).where("_q in (0, 1)").distinct()
     bins = scored.where("not base_failed").select("doc_id", "anomaly").join(known, F.col("doc_id") == F.col("_id")).groupBy(F.ceil(F.col("anomaly") * _BINS).cast("int").alias("b")).agg(F.sum("_q").alias("g"), F.sum(1 - F.col("_q")).alias("x"))
     threshold = pick_threshold([(r.b, r.g, r.x) for r in bins.collect()])  # at most _BINS + 1 rows
     return scored.withColumn("kept", ~F.col("base_failed") & (F.ceil(F.col("anomaly") * _BINS) / _BINS < F.lit(threshold)))
