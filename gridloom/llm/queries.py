@@ -16,6 +16,12 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), 4, 85).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import cut
     from .quality_rules import judge, rule_stats
@@ -42,5 +48,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard, op6_quality_rules, op7_prefix_token_counts, op9_best_fit_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard, op5_winnowing, op6_quality_rules, op7_prefix_token_counts, op9_best_fit_packing, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {}
