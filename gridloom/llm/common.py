@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -39,7 +40,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches to Python small: whole texts vary from none to many thousand words."""
+    """Keeps Arrow batches to Python small, as texts vary from none to many thousand words, and lets workers find this package.
+
+    The package's folder joins the workers' path, for a driver that was started elsewhere; on a cluster without a shared
+    installation the package is shipped in the usual ways (--py-files).
+    """
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), root]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -5,11 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import chat
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_components
 
@@ -36,6 +50,12 @@ def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -48,5 +68,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard, op5_winnowing, op6_quality_rules, op7_prefix_token_counts, op9_best_fit_packing, op10_token_files)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity_kneser_ney, op3_chat_snapshots, op4_ngram_jaccard, op5_winnowing, op6_quality_rules, op7_prefix_token_counts, op8_pu_quality, op9_best_fit_packing, op10_token_files)}
+ORACLE_SQL: dict[str, str] = {"op3_chat_snapshots": chat.SQL}
