@@ -39,8 +39,8 @@ def text_stats(texts: pa.Array) -> dict[str, np.ndarray]:
 
     # lines: what \n or a text's end closes
     cut = np.unique(np.concatenate([np.flatnonzero(w.data == 0x0A) + 1, w.text_at[1:]]))
-    begin = np.concatenate([[0], cut[:-1]]) if len(cut) else cut
-    close = cut - ((cut > begin) & (w.data[np.maximum(cut - 1, 0)] == 0x0A)) if len(cut) else cut
+    begin = np.concatenate([[0], cut[:-1]])
+    close = cut - (np.append(w.data, 0)[np.maximum(cut - 1, 0)] == 0x0A) * (cut > begin)
     held = np.searchsorted(w.start, close) > np.searchsorted(w.start, begin)
     begin, close = begin[held], close[held]
     owner = np.searchsorted(w.text_at, begin, "right") - 1
