@@ -18,6 +18,16 @@ def op1_toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each repeated passage for the row that comes later, and, with first, once more for the one that it repeats."""
+    from .common import cut
+    from .passages import repeated_passages
+
+    got = cut(repeated_passages(table(spark, sf_dir, "documents")).drop("k"), "passages")
+    later = got.select("doc_id", "start", "end", F.col("source_id").alias("other_id"), F.col("source_start").alias("other_start"), F.col("source_end").alias("other_end"), F.lit(False).alias("first"))
+    return later.union(got.select("source_id", "source_start", "source_end", "doc_id", "start", "end", F.lit(True)))
+
+
 def op3_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chats
 
@@ -68,5 +78,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_kneser_ney, op3_chat_snapshots, op4_ngram_jaccard, op5_winnowing, op6_quality_rules, op7_prefix_token_counts, op8_pu_quality, op9_best_fit_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_kneser_ney, op2_compact_windows, op3_chat_snapshots, op4_ngram_jaccard, op5_winnowing, op6_quality_rules, op7_prefix_token_counts, op8_pu_quality, op9_best_fit_packing, op10_token_files)}
 ORACLE_SQL: dict[str, str] = {"op3_chat_snapshots": chat.SQL}
