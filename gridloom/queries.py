@@ -1,6 +1,819 @@
-"""Registered queries of the pixel and table operators, and their SQL."""
+"""Registered queries of the pixel and table operators, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .fixtures import BANDS, COLUMNS, EMBED_SQL, GRID_SQL, WAVELENGTHS, embed, grid, table
+from .operators import neighborhood as nb, preprocess as pp, raster as ra, spectral as sp, table as tb, vector as ve
+from .plans import catalog as cat
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+G, E = f"WITH {GRID_SQL} ", f"WITH {EMBED_SQL} "
+
+
+def query(sql: str | None = None):
+    """Registers a function, and the SQL for its rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, places) for c in columns})
+
+
+def doubles(df: DataFrame, places: int = 6) -> DataFrame:
+    """Every double rounded, so that the order of summation doesn't show."""
+    return rounded(df, *(c for c, t in df.dtypes if t == "double"), places=places)
+
+
+# ---- scans, projections, filters
+
+
+@query("SELECT event_id, value, event_type FROM events")
+def scan_table(spark, sf):
+    return table(spark, sf, "events").select("event_id", "value", "event_type")
+
+
+@query(G + "SELECT r, c, vh * 2 + 1 AS v FROM px")
+def scan_raster(spark, sf):
+    return grid(spark, sf, holes=True).select("r", "c", pp.restored(F.col("v"), 2, 1).alias("v"))
+
+
+@query(G + "SELECT r, c, v FROM px WHERE r BETWEEN 2 AND 6 AND c BETWEEN 10 AND 30")
+def window_read(spark, sf):
+    return ra.clip_extent(grid(spark, sf), 10, 2, 30, 6).select("r", "c", "v")
+
+
+@query(G + "SELECT 'v' AS band, min(r) AS top, max(r) AS bottom, min(c) AS \"left\", max(c) AS \"right\", count(*) AS pixels, count(vh) AS valid FROM px")
+def raster_info(spark, sf):
+    return ra.raster_info(grid(spark, sf, holes=True).select("r", "c", "v"))
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS price FROM orders")
+def project(spark, sf):
+    return tb.project(table(spark, sf, "orders"), ["o_orderkey", "unknown", "o_totalprice"], ["id", "none", "price"])
+
+
+@query("SELECT c_custkey, c_acctbal AS balance FROM customer")
+def rename(spark, sf):
+    return tb.rename(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "balance")
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, CAST(p_partkey AS VARCHAR) AS text FROM part")
+def cast_cols(spark, sf):
+    df = table(spark, sf, "part").select("p_partkey", "p_size", F.col("p_partkey").alias("text"))
+    return tb.define_fields(df, {"p_size": "double", "text": "string"})
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 6) AS net FROM lineitem")
+def calculate(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
+    return rounded(tb.calculate(df, '"l_extendedprice" * (1 - "l_discount")', "net").drop("l_extendedprice", "l_discount"), "net")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity * 2, 6) AS a, round(ln(l_extendedprice), 6) AS b, CAST(-999 AS DOUBLE) AS bad FROM lineitem")
+def calculate_multi(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    out = tb.calculate_multi(df, ['"l_quantity" * 2', 'log("l_extendedprice")', '"missing" + 1'], ["a", "b", "bad"], -999, "double")
+    return doubles(out.select("l_orderkey", "l_linenumber", "a", "b", "bad"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderkey % 3 = 0")
+def filter_values(spark, sf):
+    return tb.filter_values(table(spark, sf, "orders"), "o_orderkey", '("o_totalprice" > 100000) & ("o_orderkey" % 3 == 0)')
+
+
+@query("SELECT CASE n_name_key WHEN 3 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS place, n_name_key AS n_nationkey, n_name FROM (SELECT n_nationkey AS n_name_key, n_name FROM nation WHERE n_nationkey IN (3, 1, 7))")
+def in_list(spark, sf):
+    return tb.in_list(table(spark, sf, "nation"), "n_nationkey", [3, 1, 7], "n_name")
+
+
+@query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1995-03-15' OR (CAST(o_orderdate AS DATE) >= DATE '1996-01-01' AND CAST(o_orderdate AS DATE) < DATE '1996-02-01')")
+def date_ranges(spark, sf):
+    return tb.date_ranges(table(spark, sf, "orders"), "o_orderdate", ["1995-03-15", ">=1996-01-01 & <1996-02-01"]).select("o_orderkey")
+
+
+# ---- joins
+
+_JOIN = "SELECT coalesce(o_orderkey, -9999) AS o_orderkey, coalesce(o_custkey, -9999) AS o_custkey, coalesce(c_custkey, -9999) AS c_custkey, coalesce(c_acctbal, -9999) AS c_acctbal FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 0) {} JOIN (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 5 <> 0) ON o_custkey = c_custkey"
+
+
+def _join(spark, sf, how):
+    left = table(spark, sf, "orders").where("o_orderkey % 7 <> 0").select("o_orderkey", "o_custkey")
+    right = table(spark, sf, "customer").where("c_custkey % 5 <> 0").select("c_custkey", "c_acctbal")
+    return tb.join_tables(left, right, "o_custkey", "c_custkey", how)
+
+
+@query(_JOIN.format("LEFT"))
+def join_left(spark, sf):
+    return _join(spark, sf, "left")
+
+
+@query(_JOIN.format("INNER"))
+def join_inner(spark, sf):
+    return _join(spark, sf, "inner")
+
+
+@query(_JOIN.format("RIGHT"))
+def join_right(spark, sf):
+    return _join(spark, sf, "right")
+
+
+@query(_JOIN.format("FULL"))
+def join_outer(spark, sf):
+    return _join(spark, sf, "outer")
+
+
+@query("WITH f AS (SELECT l_orderkey, min(struct_pack(a := l_linenumber, b := l_partkey, c := l_suppkey, d := l_extendedprice)) AS s FROM lineitem GROUP BY 1) SELECT o_orderkey, coalesce(s.b, -9999) AS l_partkey, coalesce(s.d, -9999) AS l_extendedprice FROM orders LEFT JOIN f ON o_orderkey = l_orderkey")
+def join_first_match(spark, sf):
+    right = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    out = tb.join_first_match(table(spark, sf, "orders").select("o_orderkey"), right, "o_orderkey", "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+    return out.select("o_orderkey", "l_partkey", "l_extendedprice")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, r_name FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey < 5) JOIN (SELECT r_regionkey AS n_nationkey, r_name FROM region) USING (n_nationkey)")
+def join_unique(spark, sf):
+    left = table(spark, sf, "nation").where("n_nationkey < 5").select("n_nationkey", "n_name", "n_regionkey")
+    return tb.join_unique(left, table(spark, sf, "region").select(F.col("r_regionkey").alias("n_nationkey"), "r_name"), "n_nationkey", "inner")
+
+
+@query("WITH p AS (SELECT p_partkey, p_retailprice, s.n_nationkey, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(s.n_nationkey * 50 + 900 - p_retailprice), s.n_nationkey) AS rn, abs(s.n_nationkey * 50 + 900 - p_retailprice) AS d FROM part, nation s) SELECT p_partkey, CASE WHEN d < 20 THEN n_nationkey END AS n_nationkey FROM p WHERE rn = 1")
+def nearest_value(spark, sf):
+    bands = table(spark, sf, "nation").selectExpr("n_nationkey", "n_nationkey * 50 + 900 AS w")
+    return tb.nearest_value(bands, "w", table(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 20, "n_nationkey").select("p_partkey", "n_nationkey")
+
+
+def _bandset(spark, sf) -> cat.BandSet:
+    return cat.BandSet.create(embed(spark, sf).drop("cls"), WAVELENGTHS)
+
+
+_BANDS_SQL = "(VALUES " + ", ".join(f"({i}, {w})" for i, w in enumerate(WAVELENGTHS, 1)) + ") t(band_number, wavelength)"
+
+
+@query(f"SELECT band_number, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL} WHERE abs(wavelength - 0.85) < 0.1 ORDER BY abs(wavelength - 0.85), band_number LIMIT 1")
+def nearest_wavelength(spark, sf):
+    return cat.nearest_band(_bandset(spark, sf).bands, 0.85, 0.1).select("band_number", "wavelength")
+
+
+@query(f"WITH s AS (SELECT * FROM (VALUES ('BLUE', 0.475, 0.2), ('GREEN', 0.56, 0.03), ('RED', 0.65, 0.04), ('NIR', 0.85, 0.15), ('SWIR1', 1.61, 0.2), ('SWIR2', 2.2, 0.2)) v(\"range\", m, d)) SELECT \"range\", (SELECT band_number FROM {_BANDS_SQL} WHERE abs(wavelength - m) < d ORDER BY abs(wavelength - m), band_number LIMIT 1) AS band_number FROM s")
+def spectral_bands(spark, sf):
+    return cat.spectral_bands(_bandset(spark, sf).bands)
+
+
+@query(G + "SELECT r, c, a.v AS b1, b.v AS b2 FROM (SELECT r, c, v FROM px WHERE c < 60) a JOIN (SELECT r, c, v FROM px WHERE c >= 40) b USING (r, c)")
+def stack_bands(spark, sf):
+    px = grid(spark, sf).select("r", "c", "v")
+    return ra.stack([px.where("c < 60"), px.where("c >= 40")])
+
+
+# ---- aggregations
+
+
+@query("SELECT l_returnflag, round(sum(l_quantity), 6) AS l_quantity_sum, round(avg(l_extendedprice), 6) AS l_extendedprice_mean FROM lineitem GROUP BY 1")
+def pivot_group(spark, sf):
+    return doubles(tb.pivot(table(spark, sf, "lineitem"), "l_returnflag", [("l_quantity", "sum"), ("l_extendedprice", "mean")]))
+
+
+def _cells(columns: list[tuple[str, str]]) -> str:
+    return ", ".join(f"round(coalesce({sql}, 0), 6) AS \"{name}\"" for sql, name in columns)
+
+
+@query("SELECT l_returnflag, " + _cells([(f"sum(l_quantity) FILTER (l_linestatus = '{s}')", f"l_quantity_sum_l_linestatus{s}") for s in "FO"]) + " FROM lineitem GROUP BY 1")
+def pivot_cross(spark, sf):
+    return doubles(tb.pivot(table(spark, sf, "lineitem"), "l_returnflag", [("l_quantity", "sum")], ["l_linestatus"], values=[("F",), ("O",)]))
+
+
+@query("SELECT l_linenumber, " + _cells([(f"avg(l_discount) FILTER (l_returnflag = '{a}' AND l_linestatus = '{b}')", f"l_discount_mean_l_returnflag{a}_l_linestatus{b}") for a in "ANR" for b in "FO"]) + " FROM lineitem GROUP BY 1")
+def pivot_two(spark, sf):
+    return doubles(tb.pivot(table(spark, sf, "lineitem"), "l_linenumber", [("l_discount", "mean")], ["l_returnflag", "l_linestatus"], values=[(a, b) for a in "ANR" for b in "FO"]))
+
+
+@query("SELECT l_returnflag, " + _cells([(f"max(l_tax) FILTER (l_linestatus = '{s}')", s) for s in "FO"]) + " FROM lineitem WHERE l_quantity > 25 GROUP BY 1")
+def pivot_filtered(spark, sf):
+    return doubles(tb.pivot(table(spark, sf, "lineitem"), "l_returnflag", [("l_tax", "max")], ["l_linestatus"], condition='"l_quantity" > 25', cross_matrix=True, values=[("F",), ("O",)]))
+
+
+@query("SELECT 'l_tax_sum_l_returnflag' || a.f || '_l_linestatus' || b.s AS name FROM (SELECT DISTINCT l_returnflag AS f FROM lineitem) a, (SELECT DISTINCT l_linestatus AS s FROM lineitem) b")
+def pivot_fields(spark, sf):
+    return tb.pivot_fields(table(spark, sf, "lineitem"), [("l_tax", "sum")], ["l_returnflag", "l_linestatus"])
+
+
+@query("SELECT l_returnflag, round(sum(x), 6) AS x_sum, min(x) AS x_min, max(x) AS x_max, round(avg(x), 6) AS x_mean, round(median(x), 6) AS x_median, round(stddev_samp(x), 6) AS x_std, round(stddev_pop(x), 6) AS x_std_pop, round(quantile_cont(x, 0.9), 6) AS x_percentile_90, arg_min(x, k) AS x_first, arg_max(x, k) AS x_last FROM (SELECT l_returnflag, l_extendedprice AS x, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_extendedprice) AS k FROM lineitem) GROUP BY 1")
+def agg_functions(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("_row"))
+    names = ["sum", "min", "max", "mean", "median", "std", "std_pop", "percentile_90", "first", "last"]
+    return doubles(df.groupBy("l_returnflag").agg(*(tb.aggregate(n, "x", "_row").alias(f"x_{n}") for n in names)))
+
+
+@query(G + "SELECT k AS value, count(*) AS pixels FROM px GROUP BY 1")
+def unique_count(spark, sf):
+    return ra.report(grid(spark, sf), "k").select("value", "pixels")
+
+
+@query(G + "SELECT DISTINCT k, m FROM px WHERE vh IS NOT NULL")
+def distinct_combos(spark, sf):
+    return grid(spark, sf, holes=True).dropna(subset=["v", "k", "m"]).select("k", "m").distinct()
+
+
+@query(G + "SELECT count(vh) AS n, round(sum(vh), 6) AS total, round(var_pop(vh), 6) AS variance FROM px")
+def band_stats(spark, sf):
+    return doubles(grid(spark, sf, holes=True).agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.var_pop("v").alias("variance")))
+
+
+_PAIRS = [(a, b) for i, a in enumerate(BANDS[:3]) for b in BANDS[i:3]]
+
+
+@query(E + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 8) AS covariance, round(corr({a}, {b}), 8) AS correlation FROM pe" for a, b in _PAIRS))
+def covariance(spark, sf):
+    return doubles(sp.covariance(embed(spark, sf), BANDS[:3]), 8)
+
+
+@query(E + "SELECT min(b1) AS low, max(b1) AS high FROM pe")
+def band_minmax(spark, sf):
+    return embed(spark, sf).agg(F.min("b1").alias("low"), F.max("b1").alias("high"))
+
+
+@query(E + "SELECT cls, count(*) AS pixels, round(avg(b1), 6) AS mean_b1, round(avg(b2), 6) AS mean_b2 FROM pe GROUP BY 1")
+def class_means(spark, sf):
+    return doubles(sp.signatures(embed(spark, sf), "cls", BANDS[:2]).select("cls", "pixels", "mean_b1", "mean_b2"))
+
+
+@query(E + "SELECT cls, round(covar_samp(b1, b1), 8) AS cov_1_1, round(covar_samp(b1, b2), 8) AS cov_1_2, round(covar_samp(b2, b2), 8) AS cov_2_2 FROM pe GROUP BY 1")
+def class_covariance(spark, sf):
+    return doubles(sp.class_covariances(embed(spark, sf), "cls", BANDS[:2]), 8)
+
+
+@query(E + "SELECT r, c, b1, b2, cls FROM pe WHERE r < 5")
+def train_matrix(spark, sf):
+    return embed(spark, sf).where("r < 5").select("r", "c", "b1", "b2", "cls")
+
+
+@query(E + ", lo AS (SELECT min(b1) AS x, min(b2) AS y FROM pe) SELECT CAST(floor((b1 - (x - 0.1)) / 0.1) AS BIGINT) AS bin_x, CAST(floor((b2 - (y - 0.1)) / 0.1) AS BIGINT) AS bin_y, count(*) AS pixels FROM pe, lo GROUP BY 1, 2")
+def histogram2d(spark, sf):
+    return ra.histogram2d(embed(spark, sf), "b1", "b2", 1)
+
+
+@query(G + ", n AS (SELECT k, count(*) AS n FROM px GROUP BY 1), q AS (SELECT k, sum(n) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER () AS t FROM n) SELECT min(k) AS dark_object FROM q WHERE run >= t * 0.0001")
+def dark_object(spark, sf):
+    return ra.dark_object(grid(spark, sf), "k")
+
+
+@query(E + "SELECT cls, count(*) AS pixels, round(avg(b1), 6) AS mean_b1, round(stddev_pop(b1), 6) AS std_b1 FROM pe WHERE r < 5 GROUP BY 1")
+def roi_signature(spark, sf):
+    return doubles(sp.signatures(embed(spark, sf).where("r < 5"), "cls", ["b1"]))
+
+
+@query(E + ", s AS (SELECT cls, avg(b1) AS v, stddev_pop(b1) AS d FROM pe WHERE cls IN (1, 2) GROUP BY 1) SELECT CAST(0.49 AS DOUBLE) AS wavelength, round(avg(v), 6) AS value, round(sqrt(avg(d * d)), 6) AS standard_deviation FROM s")
+def sig_merge(spark, sf):
+    s = sp.signatures(embed(spark, sf).where("cls IN (1, 2)"), "cls", ["b1"])
+    return doubles(sp.merge_signatures(s.select(F.lit(0.49).cast("double").alias("wavelength"), F.col("mean_b1").alias("value"), F.col("std_b1").alias("standard_deviation"))))
+
+
+# ---- sorts and sets
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey")
+def sort(spark, sf):
+    return tb.sort_by(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, NULL::INT AS region FROM nation UNION ALL SELECT r_regionkey, r_name, r_regionkey FROM region")
+def union_all(spark, sf):
+    a = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return tb.append_tables(a, table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.col("r_regionkey").alias("region")))
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99::INT, 'new'")
+def append_row(spark, sf):
+    return tb.append_row(table(spark, sf, "region"), (99, "new"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 5 UNION ALL SELECT r_regionkey, r_name FROM region")
+def upsert(spark, sf):
+    return tb.upsert(table(spark, sf, "nation").select("n_nationkey", "n_name"), table(spark, sf, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name")), "n_nationkey")
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY wavelength DESC) AS INT) AS band_number, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL}")
+def band_sort(spark, sf):
+    return cat.renumber(_bandset(spark, sf).bands.withColumn("_w", -F.col("wavelength")), "_w").select("band_number", "wavelength")
+
+
+@query("SELECT d AS \"date\", CAST(row_number() OVER (ORDER BY d) AS INT) AS number FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey < 40)")
+def bandset_sort(spark, sf):
+    days = table(spark, sf, "orders").where("o_orderkey < 40").select(F.to_date("o_orderdate").alias("date")).distinct()
+    return cat.renumber(days, "date").withColumnRenamed("band_number", "number")
+
+
+@query(f"SELECT CAST(CASE WHEN band_number >= 3 THEN band_number + 1 ELSE band_number END AS INT) AS band_number, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL} UNION ALL SELECT 3::INT, CAST(9.5 AS DOUBLE)")
+def band_insert(spark, sf):
+    bands = _bandset(spark, sf).bands.select("band_number", "wavelength")
+    return cat.insert_band(bands, bands.limit(1).select(F.lit(9.5).cast("double").alias("wavelength")), 3).select("band_number", "wavelength")
+
+
+@query(f"SELECT CAST(CASE WHEN band_number > 2 THEN band_number - 1 ELSE band_number END AS INT) AS band_number, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL} WHERE band_number <> 2")
+def band_remove(spark, sf):
+    return cat.remove_band(_bandset(spark, sf).bands.select("band_number", "wavelength"), 2)
+
+
+@query(f"SELECT band_number, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL} WHERE wavelength = 0.665")
+def band_by_attr(spark, sf):
+    return _bandset(spark, sf).bands.where("wavelength = 0.665").select("band_number", "wavelength")
+
+
+@query(G + "SELECT k AS old_value, CAST(row_number() OVER (ORDER BY k) AS INT) AS new_value FROM (SELECT DISTINCT k FROM px)")
+def unique_table(spark, sf):
+    return ra.unique_table(grid(spark, sf), "k")
+
+
+# ---- band expressions
+
+
+def _calc(spark, sf, program: str, union: bool = False, mask: str = "all"):
+    """A program over two sets: the bands of the left and of the right part of the embedding grid."""
+    px = embed(spark, sf).drop("cls")
+    names = [f"left_{b}" for b in BANDS], [f"right_{b}" for b in BANDS]
+    sets = [px.where(w).select("r", "c", *(F.col(b).alias(n) for b, n in zip(BANDS, own, strict=True))) for own, w in zip(names, ("c < 20", "c >= 5"), strict=True)]
+    catalog = cat.Catalog([cat.BandSet.create(x, WAVELENGTHS, date=d) for x, d in zip(sets, ("2021-01-01", "2021-02-01"), strict=True)])
+    return doubles(cat.run_program(program, catalog, union, mask))
+
+
+_BOTH = E + ", q AS (SELECT *, b4 AS n, b3 AS d FROM pe WHERE c >= 5 AND c < 20) "
+
+
+@query(_BOTH + "SELECT r, c, round(b1 + b2 * 2, 6) AS total FROM q")
+def calc_sum(spark, sf):
+    return _calc(spark, sf, '"bandset1b1" + "bandset#b2" * 2 @total')
+
+
+@query(_BOTH + "SELECT r, c, round((b4 - b3) / nullif(b4 + b3, 0), 6) AS ndvi FROM q")
+def calc_ndvi(spark, sf):
+    return _calc(spark, sf, '"#NDVI#" @ndvi')
+
+
+@query(_BOTH + "SELECT r, c, round(2.5 * (b4 - b3) / nullif(b4 + 6 * b3 - 7.5 * b1 + 1, 0), 6) AS evi FROM q")
+def calc_evi(spark, sf):
+    return _calc(spark, sf, '"#EVI#" @evi')
+
+
+@query(_BOTH + "SELECT r, c, CAST(b1 > b2 AND NOT b3 < 0 AS INT) AS flag FROM q")
+def calc_bool(spark, sf):
+    return _calc(spark, sf, '("b1" > "b2") & ~("b3" < 0) @flag')
+
+
+@query(_BOTH + "SELECT r, c, round(b1 * b2, 6) AS p, round(b1 * b2 + 1, 6) AS q FROM q")
+def calc_chain(spark, sf):
+    return _calc(spark, sf, '# product first\n"b1" * "b2" @p\n"p" + 1 @q')
+
+
+@query(_BOTH + "SELECT r, c, round(b1 - b2, 6) AS output1, round(b2 - b1, 6) AS other FROM q")
+def calc_multi(spark, sf):
+    return _calc(spark, sf, '"b1" - "b2"\n"b2" - "b1" @other')
+
+
+@query(_BOTH + "SELECT r, c, round((b1 + b2 + b3 + b4 + b5 + b6) / 6, 6) AS mean FROM q")
+def calc_mean_bands(spark, sf):
+    return _calc(spark, sf, 'mean("bandset#b*") @mean')
+
+
+@query(_BOTH + "SELECT r, c, round(list_sort([b1, b2, b3, b4, b5, b6])[CAST(round_even(5 * 30 / 100.0, 0) AS INT) + 1], 6) AS p FROM q")
+def calc_percentile(spark, sf):
+    return _calc(spark, sf, 'percentile("bandset#b*", 30) @p')
+
+
+@query(_BOTH + "SELECT r, c, round(b1 + b1, 6) AS s, round(b2, 6) AS low FROM q")
+def calc_across_sets(spark, sf):
+    return _calc(spark, sf, 'sum("bandset*b1") @s\nmin("bandset{1:2}b2") @low')
+
+
+@query(_BOTH + "SELECT r, c, round(sin(b1) + cos(b2) + exp(b3) - sqrt(abs(b4)) + atan(b5), 6) AS f, round(CASE WHEN b1 > 0 THEN ln(b1) END, 6) AS g, round(CASE WHEN b1 > b2 THEN b3 ELSE b4 END, 6) AS h, round(least(greatest(b1, -0.1), 0.1), 6) AS k FROM q")
+def calc_funcs(spark, sf):
+    return _calc(spark, sf, 'sin("b1") + np.cos("b2") + exp("b3") - sqrt(abs("b4")) + arctan("b5") @f\nlog("b1") @g\nwhere("b1" > "b2", "b3", "b4") @h\nnp.clip("b1", -0.1, 0.1) @k')
+
+
+@query(G + "SELECT r, c, round(vh - -9999.0, 6) AS v FROM px")
+def calc_nodata(spark, sf):
+    return doubles(ra.band_calc(grid(spark, sf, holes=True).select("r", "c", "v"), [('"v" - nodata("v")', "v")], nodata={"v": -9999.0}))
+
+
+@query(_BOTH + "SELECT r, c, round(b1 * 2, 6) AS twice_1, round(b1 * 2, 6) AS twice_2 FROM q")
+def calc_loop(spark, sf):
+    return _calc(spark, sf, 'forbandsets[1:2]\n"bandset#b1" * 2 @twice')
+
+
+@query(E + "SELECT r, c, round(CASE WHEN c < 20 THEN b1 END, 6) AS a, round(CASE WHEN c >= 5 THEN b1 END, 6) AS b FROM pe")
+def calc_union_extent(spark, sf):
+    return _calc(spark, sf, '"bandset1b1" @a\n"bandset2b1" @b', union=True)
+
+
+@query(E + "SELECT round(b1 + b2, 6) AS v FROM pe WHERE r = 3 AND c = 7")
+def calc_point(spark, sf):
+    point = spark.createDataFrame([(1, 7.2, -2.9)], "id int, x double, y double")
+    values = ra.band_calc(embed(spark, sf).select("r", "c", "b1", "b2"), [('"b1" + "b2"', "v")])
+    return doubles(ra.point_values(values, point).select("v"))
+
+
+@query(E + "SELECT r, c, round(list_max([b1, b2, b3, b4, b5, b6]) - b1, 6) AS v FROM pe")
+def calc_direct(spark, sf):
+    return doubles(ra.band_calc(embed(spark, sf).drop("cls"), [('max("b*") - "b1"', "v")]))
+
+
+@query(_BOTH + "SELECT r, c, round(b1 + b2 + b3 + b4 + b5 + b6, 6) AS v FROM q")
+def calc_alias(spark, sf):
+    return _calc(spark, sf, '"#BLUE#" + "#GREEN#" + "#RED#" + "#NIR#" + "#SWIR1#" + "#SWIR2#" @v')
+
+
+@query(E + ", a AS (SELECT avg(b1) AS m, stddev_pop(b1) AS s FROM pe) SELECT r, c, round((b1 - m) / s, 6) AS z FROM pe, a")
+def calc_whole_table(spark, sf):
+    return doubles(ra.band_calc(embed(spark, sf).select("r", "c", "b1"), [('("b1" - mean("b1")) / std("b1")', "z")]))
+
+
+# ---- rasters, pixel by pixel
+
+
+@query(G + "SELECT r, c, CASE WHEN k IN (1, 3) THEN NULL ELSE v END AS v FROM px")
+def mask_values(spark, sf):
+    return ra.mask_values(grid(spark, sf), "k", [1, 3], ["v"]).select("r", "c", "v")
+
+
+@query(G + "SELECT r, c, CASE WHEN vh IS NOT NULL THEN 1 END AS any_valid FROM px")
+def mask_nodata(spark, sf):
+    px = grid(spark, sf, holes=True)
+    return px.select("r", "c", F.when(~ra.masked(px, ["v", "k"], "any"), F.lit(1)).alias("any_valid"))
+
+
+@query(G + "SELECT r, c, v FROM px WHERE c BETWEEN 20 AND 40 AND r BETWEEN 1 AND 8")
+def clip_extent(spark, sf):
+    return ra.clip_extent(grid(spark, sf).select("r", "c", "v"), 20, 1, 40, 8)
+
+
+@query(G + "SELECT r, c, CAST(CASE WHEN k = 2 THEN NULL WHEN k = 1 THEN 10 WHEN k = 0 THEN 7 ELSE k END AS DOUBLE) AS value FROM px")
+def reclass(spark, sf):
+    return ra.reclassify(grid(spark, sf), "k", [("0", "7"), ("1", "10"), ("2", "Null")]).select("r", "c", "value")
+
+
+@query(G + "SELECT r, c, CAST(CASE WHEN vh IS NULL THEN -1 WHEN vh > 100 AND vh < 200 THEN 2 WHEN vh > 50 THEN 1 ELSE vh END AS DOUBLE) AS value FROM px")
+def reclass_cond(spark, sf):
+    rules = [("raster > 50", "1"), ("(raster > 100) & (raster < 200)", "2"), ("nan", "-1")]
+    return ra.reclassify(grid(spark, sf, holes=True), "v", rules).select("r", "c", "value")
+
+
+@query(G + "SELECT r, c, CASE WHEN c >= 40 THEN coalesce(vh, CASE WHEN c < 60 THEN v END) ELSE v END AS v FROM px")
+def mosaic(spark, sf):
+    return ra.mosaic([grid(spark, sf).where("c < 60").select("r", "c", "v"), grid(spark, sf, holes=True).where("c >= 40").select("r", "c", "v")])
+
+
+@query(E + "SELECT r, c, 'band1' AS band, b1 AS value FROM pe UNION ALL SELECT r, c, 'band2', b2 FROM pe")
+def split_bands(spark, sf):
+    return ra.split(embed(spark, sf).select("r", "c", "b1", "b2"))
+
+
+def _resample(method: str, sql: str, column: str = "v"):
+    def run(spark, sf):
+        return doubles(ra.resample(grid(spark, sf).select("r", "c", column), 4, method, column))
+
+    short = {"average": "avg", "maximum": "max", "minimum": "min", "first_quartile": "q1", "third_quartile": "q3", "nearest_neighbour": "nearest"}.get(method, method)
+    run.__name__ = f"resample_{short}"
+    query(G + sql)(run)
+
+
+_BLOCK = "SELECT CAST(r // 4 AS INT) AS r, CAST(c // 4 AS INT) AS c, round({}, 6) AS v FROM px GROUP BY 1, 2"
+for _m, _s in {"average": "avg(v)", "sum": "sum(v)", "maximum": "max(v)", "minimum": "min(v)", "median": "quantile_disc(v, 0.5)", "first_quartile": "quantile_disc(v, 0.25)", "third_quartile": "quantile_disc(v, 0.75)"}.items():
+    _resample(_m, _BLOCK.format(_s))
+_resample("mode", "SELECT r, c, k FROM (SELECT CAST(r // 4 AS INT) AS r, CAST(c // 4 AS INT) AS c, k, row_number() OVER (PARTITION BY r // 4, c // 4 ORDER BY count(*) DESC, k) AS i FROM px GROUP BY r // 4, c // 4, k) WHERE i = 1", "k")
+_resample("nearest_neighbour", "SELECT CAST(r // 4 AS INT) AS r, CAST(c // 4 AS INT) AS c, round(v, 6) AS v FROM px WHERE r % 4 = 2 AND c % 4 = 2")
+
+
+@query(G + "SELECT r, c, round(CASE WHEN r BETWEEN 2 AND 4 THEN v * 2 ELSE v END, 6) AS v, round(v, 6) AS v_old FROM px")
+def raster_edit(spark, sf):
+    return doubles(ra.edit(grid(spark, sf).select("r", "c", "v"), "v", F.col("r").between(2, 4), '"raster" * 2'))
+
+
+@query("SELECT CAST(i // 30 AS INT) AS r, CAST(i % 30 AS INT) AS c, CAST(7 AS DOUBLE) AS value FROM range(600) t(i)")
+def constant_grid(spark, sf):
+    return ra.constant_grid(spark, 20, 30, 7)
+
+
+@query(G + "SELECT CAST(1 AS INT) AS id, v FROM px WHERE r = 3 AND c = 12 UNION ALL SELECT 2, v FROM px WHERE r = 5 AND c = 40")
+def point_value(spark, sf):
+    points = spark.createDataFrame([(1, 12.4, -3.3), (2, 39.7, -5.1)], "id int, x double, y double")
+    return ra.point_values(grid(spark, sf).select("r", "c", "v"), points)
+
+
+# ---- rasters, aggregated
+
+
+@query(G + "SELECT k AS value, count(*) AS pixels, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent, count(*) * 100.0::DOUBLE AS area FROM px GROUP BY 1")
+def raster_report(spark, sf):
+    return doubles(ra.report(grid(spark, sf), "k", 100.0))
+
+
+@query(G + "SELECT CAST(dense_rank() OVER (ORDER BY k, m) AS INT) AS combination, k, m, count(*) AS pixels, count(*) * 100.0::DOUBLE AS area FROM px GROUP BY k, m")
+def combination(spark, sf):
+    return ra.combination(grid(spark, sf), ["k", "m"], 100.0)
+
+
+@query(G + "SELECT r, c, CAST(dense_rank() OVER (ORDER BY k, m) AS INT) AS combination FROM px")
+def combination_ids(spark, sf):
+    return ra.combination_raster(grid(spark, sf), ["k", "m"])
+
+
+@query(G + "SELECT k AS row_class, m AS column_class, count(*) AS pixels, CAST(sum(count(*)) OVER (PARTITION BY k) AS BIGINT) AS row_total, CAST(sum(count(*)) OVER (PARTITION BY m) AS BIGINT) AS column_total FROM px GROUP BY k, m")
+def cross_class(spark, sf):
+    return ra.cross_matrix(grid(spark, sf), "k", "m")
+
+
+@query(G + "SELECT k, " + ", ".join(f"CAST(count(*) FILTER (m = {i}) AS BIGINT) AS \"{i}\"" for i in range(5)) + " FROM px GROUP BY k")
+def cross_matrix(spark, sf):
+    return tb.pivot(grid(spark, sf), "k", [("v", "count")], ["m"], cross_matrix=True, values=[(i,) for i in range(5)])
+
+
+_CLASSES = E + ", x AS (SELECT cls AS ref, CAST((cls + CASE WHEN b1 > 0.1 THEN 1 ELSE 0 END) % 10 AS INT) AS got FROM pe), n AS (SELECT got, ref, count(*) AS n FROM x GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY got) AS nr, sum(n) OVER (PARTITION BY ref) AS nc, sum(n) OVER () AS nn FROM n), e AS (SELECT *, nr / nn * n / nr AS p, nr / nn AS w FROM t) "
+
+
+def _classified(spark, sf):
+    return embed(spark, sf).selectExpr("cls AS ref", "CAST((cls + CASE WHEN b1 > 0.1 THEN 1 ELSE 0 END) % 10 AS INT) AS got")
+
+
+@query(_CLASSES + "SELECT got AS row_class, ref AS column_class, n AS pixels, CAST(nr AS BIGINT) AS row_total, CAST(nc AS BIGINT) AS column_total, round(p, 8) AS p FROM e")
+def error_matrix(spark, sf):
+    return doubles(ra.error_matrix(_classified(spark, sf), "got", "ref"), 8)
+
+
+@query(_CLASSES + ", a AS (SELECT got AS cls, sum(p) AS pr, coalesce(sum(p) FILTER (got = ref), 0) AS ps FROM e GROUP BY 1), b AS (SELECT ref AS cls, sum(p) AS pc, sqrt(sum(CASE WHEN nr > 1 THEN (w * p - p * p) / (nr - 1) END)) AS se FROM e GROUP BY 1), s AS (SELECT max(nn) AS nn, coalesce(sum(p) FILTER (got = ref), 0) AS o FROM e), u AS (SELECT cls, coalesce(pr, 0) AS pr, coalesce(ps, 0) AS ps, coalesce(pc, 0) AS pc, coalesce(se, 0) AS se, nn, o FROM a FULL JOIN b USING (cls), s) SELECT cls AS class, round(pc * nn * 100, 6) AS area, round(se * nn * 100, 6) AS standard_error, round(1.96 * se * nn * 100, 6) AS \"interval\", round(ps / nullif(pc, 0), 6) AS producer, round(ps / nullif(pr, 0), 6) AS \"user\", round((ps - pr * pc) / nullif(pr - pr * pc, 0), 6) AS kappa, round(o, 6) AS overall, round((o - sum(pr * pc) OVER ()) / (1 - sum(pr * pc) OVER ()), 6) AS kappa_overall FROM u")
+def accuracy(spark, sf):
+    return doubles(ra.accuracy(_classified(spark, sf), "got", "ref", 100.0))
+
+
+@query(G + ", s AS (SELECT regr_slope(k, m) AS b, regr_intercept(k, m) AS a, regr_r2(k, m) AS r, count(*) AS n, regr_syy(k, m) AS yy, regr_sxy(k, m) AS xy FROM px) SELECT round(b, 6) AS slope, round(a, 6) AS intercept, round(r, 6) AS r2, n, round((yy - b * xy) / (n - 2), 6) AS variance, round(2 * sqrt((yy - b * xy) / (n - 2)), 6) AS \"interval\" FROM s")
+def regression(spark, sf):
+    return doubles(ra.regression(grid(spark, sf), "m", "k"))
+
+
+@query(G + "SELECT z, count(vh) AS count, max(vh) AS max, round(avg(vh), 6) AS mean, round(median(vh), 6) AS median, min(vh) AS min, round(stddev_pop(vh), 6) AS std, round(sum(vh), 6) AS sum FROM px GROUP BY z")
+def zonal_stats(spark, sf):
+    return rounded(ra.zonal_stats(grid(spark, sf, holes=True), "z", "v"), "mean", "median", "std", "sum")
+
+
+@query(G + "SELECT z, round(quantile_cont(vh, 0.1), 6) AS p10, round(quantile_cont(vh, 0.75), 6) AS p75 FROM px GROUP BY z")
+def zonal_percentile(spark, sf):
+    return doubles(ra.zonal_stats(grid(spark, sf, holes=True), "z", "v", [10, 75]).select("z", "p10", "p75"))
+
+
+_BOXES = [(1, 2.0, -1.0, 12.0, -6.0, 5), (2, 10.0, -3.0, 30.0, -9.0, 8)]
+_IN_BOX = " UNION ALL ".join(f"SELECT {f} AS fid, r, c, v, {v} AS value FROM px WHERE c + 0.5 > {a} AND c + 0.5 < {b} AND -(r + 0.5) < {t} AND -(r + 0.5) > {d}" for f, a, t, b, d, v in _BOXES)
+
+
+@query(G + f"SELECT CAST(fid AS INT) AS fid, count(*) AS pixels, round(avg(v), 6) AS mean FROM ({_IN_BOX}) GROUP BY 1")
+def zonal_box(spark, sf):
+    return doubles(ve.pixels_in_polygons(grid(spark, sf).select("r", "c", "v"), ve.rectangles(spark, _BOXES)).groupBy("fid").agg(F.count("*").alias("pixels"), F.avg("v").alias("mean")))
+
+
+@query(G + f"SELECT px.r, px.c, CAST(b.value AS INT) AS value FROM px LEFT JOIN (SELECT r, c, arg_max(value, fid) AS value FROM ({_IN_BOX}) GROUP BY 1, 2) b USING (r, c)")
+def rasterize_box(spark, sf):
+    return ve.rasterize(grid(spark, sf), ve.rectangles(spark, _BOXES), "value")
+
+
+@query("SELECT CAST(2 AS DOUBLE) AS \"left\", CAST(-1 AS DOUBLE) AS top, CAST(30 AS DOUBLE) AS \"right\", CAST(-9 AS DOUBLE) AS bottom")
+def layer_extent(spark, sf):
+    return ve.layer_extent(ve.rectangles(spark, _BOXES))
+
+
+@query("SELECT * FROM (VALUES (5::INT), (8::INT)) t(value)")
+def vector_values(spark, sf):
+    return ve.distinct_values(ve.rectangles(spark, _BOXES), "value")
+
+
+# ---- neighborhoods
+
+_NEAR = G + "SELECT a.r, a.c, {} AS value FROM px a JOIN px b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY a.r, a.c, a.vh"
+
+
+def _near(stat: str, sql: str):
+    def run(spark, sf):
+        return doubles(nb.neighbor_stat(grid(spark, sf, holes=True), "v", stat, 1))
+
+    run.__name__ = f"neighbor_{stat}" if stat != "stddev" else "neighbor_std"
+    query(_NEAR.format(f"CASE WHEN a.vh IS NOT NULL THEN round({sql}, 6) END"))(run)
+
+
+for _m, _s in {"sum": "sum(b.vh)", "mean": "avg(b.vh)", "max": "max(b.vh)", "min": "min(b.vh)", "count": "CAST(count(b.vh) AS DOUBLE)", "median": "median(b.vh)", "stddev": "stddev_pop(b.vh)", "percentile": "quantile_cont(b.vh, 0.5)"}.items():
+    _near(_m, _s)
+
+
+@query(G + "SELECT a.r, a.c, CASE WHEN a.k IN (3, 4) THEN a.k ELSE coalesce(max(b.k) FILTER (b.k IN (3, 4)), a.k) END AS value FROM px a JOIN px b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY a.r, a.c, a.k")
+def dilation(spark, sf):
+    return nb.dilation(grid(spark, sf), "k", [3, 4], 1)
+
+
+@query(G + ", n AS (SELECT a.r, a.c, a.k, b.k AS nk, count(*) AS n FROM px a JOIN px b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY 1, 2, 3, 4), s AS (SELECT r, c, k, count(*) AS kinds, first(nk ORDER BY n DESC, nk) FILTER (nk NOT IN (0, 1)) AS best FROM n GROUP BY 1, 2, 3) SELECT r, c, CASE WHEN k IN (0, 1) AND kinds > 1 THEN best ELSE k END AS value FROM s")
+def erosion(spark, sf):
+    return nb.erosion(grid(spark, sf), "k", [0, 1], 1)
+
+
+_PATCH = "WITH RECURSIVE " + GRID_SQL + ", f AS (SELECT r, c, r * 100 + c AS id FROM px WHERE k >= 2), w(id, to_id) AS (SELECT id, id FROM f UNION SELECT w.id, n.id FROM w JOIN f p ON p.id = w.to_id JOIN f n ON abs(n.r - p.r) + abs(n.c - p.c) = 1) "
+
+
+@query(_PATCH + "SELECT CAST(f.r AS INT) AS r, CAST(f.c AS INT) AS c, count(*) AS value FROM w JOIN f USING (id) GROUP BY 1, 2")
+def label(spark, sf):
+    return nb.label(grid(spark, sf).selectExpr("r", "c", "CAST(k >= 2 AS INT) AS f"), "f", COLUMNS)
+
+
+@query(_PATCH + ", m AS (SELECT id, min(to_id) AS patch FROM w GROUP BY 1) SELECT CAST(patch AS BIGINT) AS region, CAST(1 AS INT) AS value, count(*) AS pixels, CAST(min(r) AS INT) AS top, CAST(max(r) AS INT) AS bottom, CAST(min(c) AS INT) AS \"left\", CAST(max(c) AS INT) AS \"right\" FROM m JOIN f USING (id) GROUP BY patch")
+def region_stats(spark, sf):
+    return nb.region_stats(grid(spark, sf).where("k >= 2").selectExpr("r", "c", "1 AS f"), "f", COLUMNS)
+
+
+@query()
+def sieve(spark, sf):
+    return nb.sieve(grid(spark, sf), "k", 3, COLUMNS)
+
+
+@query()
+def region_threshold(spark, sf):
+    return nb.region_growing(grid(spark, sf), "v", (4, 50), 60.0, 20, COLUMNS)
+
+
+@query()
+def raster_to_vector(spark, sf):
+    return nb.region_edges(grid(spark, sf).selectExpr("r", "c", "CAST(k >= 2 AS INT) AS f"), "f", COLUMNS)
+
+
+# ---- distances and classifiers
+
+
+def _dist(k: str) -> str:
+    return "sqrt(" + " + ".join(f"(p.{b} - s.{b}) * (p.{b} - s.{b})" for b in BANDS) + ")" if k == "md" else "degrees(acos(greatest(-1, least(1, (" + " + ".join(f"p.{b} * s.{b}" for b in BANDS) + ") / nullif(sqrt((" + " + ".join(f"p.{b} * p.{b}" for b in BANDS) + ") * (" + " + ".join(f"s.{b} * s.{b}" for b in BANDS) + ")), 0)))))"
+
+
+_SIGS = E + ", s AS (SELECT cls, " + ", ".join(f"avg({b}) AS {b}" for b in BANDS) + " FROM pe GROUP BY 1) "
+
+
+def _signatures(spark, sf):
+    s = sp.signatures(embed(spark, sf), "cls", BANDS)
+    return s.select("cls", *(F.col(f"mean_{b}").alias(b) for b in BANDS))
+
+
+@query(E + "SELECT r, c, round(sqrt((b1 - b4) * (b1 - b4) + (b2 - b5) * (b2 - b5) + (b3 - b6) * (b3 - b6)), 6) AS distance FROM pe")
+def spectral_dist(spark, sf):
+    return doubles(sp.spectral_distance(embed(spark, sf), BANDS[:3], BANDS[3:]))
+
+
+@query(E + "SELECT r, c, round(degrees(acos(greatest(-1, least(1, (b1 * b4 + b2 * b5 + b3 * b6) / nullif(sqrt((b1 * b1 + b2 * b2 + b3 * b3) * (b4 * b4 + b5 * b5 + b6 * b6)), 0))))), 4) AS distance FROM pe")
+def spectral_angle(spark, sf):
+    return doubles(sp.spectral_distance(embed(spark, sf), BANDS[:3], BANDS[3:], "sam"), 4)
+
+
+@query(E + "SELECT r, c, CAST(sqrt((b1 - b4) * (b1 - b4) + (b2 - b5) * (b2 - b5) + (b3 - b6) * (b3 - b6)) > 0.3 AS INT) AS distance FROM pe")
+def dist_threshold(spark, sf):
+    return sp.spectral_distance(embed(spark, sf), BANDS[:3], BANDS[3:], threshold=0.3)
+
+
+def _sig(column: str, sql: str):
+    def run(spark, sf):
+        return doubles(sp.signature_pairs(_signatures(spark, sf), "cls", BANDS).select("a", "b", column), 4)
+
+    run.__name__ = {"euclidean": "sig_euclid", "angle": "sig_angle", "bray_curtis": "sig_braycurtis"}[column]
+    query(_SIGS + f"SELECT p.cls AS a, s.cls AS b, round({sql}, 4) AS {column} FROM s p JOIN s ON p.cls < s.cls")(run)
+
+
+_sig("euclidean", _dist("md"))
+_sig("angle", _dist("sam"))
+_sig("bray_curtis", "100 - 100 * (" + " + ".join(f"abs(p.{b} - s.{b})" for b in BANDS) + ") / nullif(" + " + ".join(f"p.{b} + s.{b}" for b in BANDS) + ", 0)")
+
+
+def _classify(name: str, algorithm: str, threshold: float | None = None):
+    def run(spark, sf):
+        return doubles(sp.classify(embed(spark, sf), _signatures(spark, sf), "cls", BANDS, algorithm, threshold), 4)
+
+    run.__name__ = name
+    limit = "" if threshold is None else f" AND d <= {threshold}"
+    query(_SIGS + f", q AS (SELECT p.r, p.c, s.cls, {_dist(algorithm)} AS d FROM pe p, s), o AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY d, cls) AS i FROM q) SELECT r, c, CASE WHEN true{limit} THEN cls END AS class, CASE WHEN true{limit} THEN round(d, 4) END AS distance FROM o WHERE i = 1")(run)
+
+
+_classify("classify_md", "md")
+_classify("classify_sam", "sam")
+_classify("classify_threshold", "md", 0.28)
+
+
+@query()
+def classify_ml(spark, sf):
+    px = embed(spark, sf)
+    return doubles(sp.classify_likelihood(px, px, "cls", BANDS[:3]))
+
+
+@query()
+def classify_random_forest(spark, sf):
+    px = embed(spark, sf)
+    return sp.predict(sp.learner("random_forest", BANDS, "cls", trees=10).fit(px.where("r < 10")), px)
+
+
+@query()
+def classify_svm(spark, sf):
+    px = embed(spark, sf)
+    return sp.predict(sp.learner("svm", BANDS, "cls").fit(px.where("r < 10")), px)
+
+
+@query()
+def classify_mlp(spark, sf):
+    px = embed(spark, sf)
+    return sp.predict(sp.learner("mlp", BANDS, "cls", hidden=[16], classes=10, max_iter=30).fit(px.where("r < 10")), px)
+
+
+@query(E + ", a AS (SELECT avg(b1) AS m, stddev_pop(b1) AS s FROM pe) SELECT r, c, round((b1 - m) / (s + 1e-6), 6) AS b1 FROM pe, a")
+def norm_zscore(spark, sf):
+    return doubles(sp.normalize(embed(spark, sf).select("r", "c", "b1"), ["b1"]))
+
+
+@query(E + ", a AS (SELECT min(b1) AS lo, max(b1) AS hi FROM pe) SELECT r, c, round((b1 - lo) / (hi - lo), 6) AS b1 FROM pe, a")
+def norm_linear(spark, sf):
+    return doubles(sp.normalize(embed(spark, sf).select("r", "c", "b1"), ["b1"], "linear"))
+
+
+@query(E + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 8) AS covariance FROM pe" for i, a in enumerate(BANDS) for b in BANDS[i:]))
+def pca_cov(spark, sf):
+    return doubles(sp.covariance(embed(spark, sf), BANDS).drop("correlation"), 8)
+
+
+@query()
+def pca_scores(spark, sf):
+    return doubles(sp.principal_components(embed(spark, sf), BANDS, 2)[0])
+
+
+_SEEDS = E + ", m AS (SELECT min(b1) AS l1, max(b1) AS h1, min(b2) AS l2, max(b2) AS h2 FROM pe), s AS (SELECT CAST(i + 1 AS INT) AS k, l1 + (i + 0.5) * (h1 - l1) / 3 AS x, l2 + (i + 0.5) * (h2 - l2) / 3 AS y FROM m, range(3) t(i)), q AS (SELECT r, c, b1, b2, k, sqrt((b1 - x) * (b1 - x) + (b2 - y) * (b2 - y)) AS d FROM pe, s), o AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY d, k) AS i FROM q) "
+
+
+@query(_SEEDS + "SELECT r, c, k AS cluster, round(d, 6) AS distance FROM o WHERE i = 1")
+def cluster_assign(spark, sf):
+    px = embed(spark, sf)
+    return doubles(sp.assign_clusters(px, sp.range_seeds(px, ["b1", "b2"], 3), ["b1", "b2"]))
+
+
+@query(_SEEDS + "SELECT k AS cluster, count(*) AS pixels, round(avg(b1), 6) AS b1, round(avg(b2), 6) AS b2 FROM o WHERE i = 1 GROUP BY k")
+def cluster_update(spark, sf):
+    px = embed(spark, sf)
+    return doubles(sp.update_clusters(px, sp.range_seeds(px, ["b1", "b2"], 3), ["b1", "b2"]))
+
+
+@query()
+def cluster_kmeans(spark, sf):
+    return sp.cluster(embed(spark, sf), ["b1", "b2"], 3)[0].select("r", "c", "cluster")
+
+
+# ---- preprocessing
+
+
+def _pre(name: str, f: Callable, sql: str):
+    def run(spark, sf):
+        return doubles(grid(spark, sf, holes=True).select("r", "c", f(F.col("v")).alias("v")))
+
+    run.__name__ = name
+    query(G + f"SELECT r, c, round(CASE WHEN vh IS NOT NULL THEN {sql} END, 6) AS v FROM px")(run)
+
+
+_pre("toa_s2", lambda v: pp.linear(v, 1 / 200, -0.1), "greatest(0, least(1, vh / 200 - 0.1))")
+_pre("toa_reflectance", lambda v: pp.top_of_atmosphere(v, 0.002, -0.1, 40.0), f"greatest(0, least(1, (vh * 0.002 - 0.1) / {math.sin(math.radians(40.0))!r}))")
+_pre("sr_l2", lambda v: pp.linear(v, 0.00275, -0.2), "greatest(0, least(1, vh * 0.00275 - 0.2))")
+_pre("brightness_temp", lambda v: pp.brightness_temperature(v, 0.0003342, 0.1, 774.8853, 1321.0789), "1321.0789 / ln(1 + 774.8853 / (vh * 0.0003342 + 0.1))")
+_pre("hls_non_negative", lambda v: pp.non_negative(v - 50), "greatest(vh - 50, 0)")
+
+
+@query(G + ", n AS (SELECT vh, count(*) AS n FROM px WHERE vh IS NOT NULL GROUP BY 1), q AS (SELECT vh, sum(n) OVER (ORDER BY vh ROWS UNBOUNDED PRECEDING) AS run, sum(n) OVER () AS t FROM n), d AS (SELECT min(vh) AS d FROM q WHERE run >= t * 0.0001) SELECT r, c, round(CASE WHEN vh IS NOT NULL THEN greatest(0, least(1, vh * 0.002 - (0.002 * d - 0.01))) END, 6) AS v FROM px, d")
+def dos1(spark, sf):
+    px = grid(spark, sf, holes=True)
+    dark = ra.dark_object(px, "v").first()[0]
+    return doubles(px.select("r", "c", pp.dark_object_subtraction(F.col("v"), 0.002, dark).alias("v")))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS \"date\" FROM orders")
+def date_from_path(spark, sf):
+    path = F.concat(F.lit("/data/S2_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("/B02.tif"))
+    return table(spark, sf, "orders").select("o_orderkey", pp.date_from_path(path).alias("date"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS product_id, CAST(o_orderdate AS DATE) AS acquisition_date FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' AND o_custkey % 100 <= 30 AND contains(CAST(o_orderkey AS VARCHAR), '1') ORDER BY 2, 1 LIMIT 50")
+def product_search(spark, sf):
+    products = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("product_id"), F.to_date("o_orderdate").alias("acquisition_date"), (F.col("o_custkey") % 100).alias("cloud_cover"))
+    return pp.search_products(products, "1995-01-01", "1995-12-31", 30, name="1", limit=50).select("product_id", "acquisition_date")
+
+
+@query("SELECT 'https://example.org/' || o_orderstatus || '/' || o_orderkey || '/B02.tif' AS url FROM orders")
+def product_urls(spark, sf):
+    return table(spark, sf, "orders").select(F.concat(F.lit("https://example.org/"), "o_orderstatus", F.lit("/"), F.col("o_orderkey").cast("string"), F.lit("/B02.tif")).alias("url"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands to an index by the expression compiler, reclassified into five classes, and reported."""
+    ndvi = ra.band_calc(_bandset(spark, sf_dir).pixels, [('("b4" - "b3") / ("b4" + "b3")', "ndvi")])
+    rules = [("raster < -0.5", "-2"), ("(raster >= -0.5) & (raster < -0.1)", "-3"), ("(raster >= -0.1) & (raster < 0.1)", "-4"), ("(raster >= 0.1) & (raster < 0.5)", "-5"), ("raster >= 0.5", "-6")]
+    return ra.report(ra.reclassify(ndvi, "ndvi", rules).select("r", "c", "value"), "value", 100.0)
