@@ -191,10 +191,9 @@ class Compiler:
         raise ValueError(f"not part of the language: {ast.dump(node)[:80]}")
 
     def binary(self, a: ast.AST, op: ast.operator, b: ast.AST) -> Column:
-        if isinstance(op, ast.BitAnd):
-            return self.flag(a) & self.flag(b)
-        if isinstance(op, ast.BitOr):
-            return self.flag(a) | self.flag(b)
+        if isinstance(op, ast.BitAnd | ast.BitOr):
+            x, y = self.flag(a), self.flag(b)
+            return _within(x.isNotNull() & y.isNotNull(), x & y if isinstance(op, ast.BitAnd) else x | y)
         x, y = self.plain(a), self.plain(b)
         match op:
             case ast.Add():
