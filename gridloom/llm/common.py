@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: A side of a join is broadcast only if it has at most this many rows of a few fixed-width columns (about 32 MB).
 BROADCAST_ROWS = 1_000_000
 #: Texts are handled in chunks of about so many bytes, whatever Spark's batch size; a longer text is a chunk alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,6 +72,14 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES):
         at = to
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no such column (Spark's names have no case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(id_col: str, text_col: str):
     """A 64-bit key of a row's id and text: equal for repeated rows, not null for null ones."""
     return F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col))

@@ -35,7 +35,7 @@ _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.u
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 19)
         for i, base in enumerate((_P, _P_INV)):
             x = np.full(n, base, np.uint64)
             x[0] = 1
