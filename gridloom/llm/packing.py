@@ -32,10 +32,12 @@ class Plan:
     sequences: int
 
 
-def _exact(gap: int, left: np.ndarray) -> list[int] | None:
-    """Lengths, longest first, that fill the gap exactly: one, two or three that are available."""
+def _exact(gap: int, left: np.ndarray, most: int) -> list[int] | None:
+    """Lengths, longest first, that fill the gap exactly: one, two or three that are available, at most `most`."""
     if left[gap]:
         return [gap]
+    if most < 2:
+        return None
     have = np.flatnonzero(left[:gap])
     for a in have[::-1]:
         b = gap - a
@@ -43,7 +45,7 @@ def _exact(gap: int, left: np.ndarray) -> list[int] | None:
             break
         if left[b] - (a == b) > 0:
             return [int(a), int(b)]
-    if len(have):
+    if len(have) and most > 2:
         one = (left[:gap] > 0).astype(np.float64)
         pairs = np.rint(np.convolve(one, one))[:gap] > 0
         for a in have[::-1]:
@@ -63,7 +65,11 @@ def _exact(gap: int, left: np.ndarray) -> list[int] | None:
 
 
 def make_plan(counts: np.ndarray, max_len: int) -> Plan:
-    """counts[n]: pieces of n tokens, n up to max_len."""
+    """counts[n]: pieces of n tokens, n up to max_len. Of plans with sums of up to three, two and one the shortest."""
+    return min((_plan(counts, max_len, most) for most in (3, 2, 1)), key=lambda p: p.sequences)
+
+
+def _plan(counts: np.ndarray, max_len: int, most: int) -> Plan:
     left = np.zeros(max_len + 1, np.int64)
     left[: len(counts)] = counts
     runs: list[tuple[list[int], int]] = []
@@ -72,7 +78,7 @@ def make_plan(counts: np.ndarray, max_len: int) -> Plan:
             first, gap = [top], max_len - top
             left[top] -= 1
             while gap:
-                if found := _exact(gap, left):
+                if found := _exact(gap, left, most):
                     first += found
                     left[found[0]] -= 1
                     for x in found[1:]:
