@@ -21,7 +21,7 @@ def make_spark(app: str = "gridloom", cores: str = "*", shuffle_partitions: int
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_gridloom_shared", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_gridloom_shared", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark._gridloom_shared = found
