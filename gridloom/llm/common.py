@@ -1,42 +1,20 @@
-"""Helpers that the text operators share: the cluster's shared folder, lineage cuts, links to components."""
+"""Helpers that the text operators share; lineage cuts, checked broadcasts and components are the library's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: A side of a join is broadcast only if it has at most this many rows of a few fixed-width columns (about 32 MB).
-BROADCAST_ROWS = 1_000_000
-#: Texts are handled in chunks of about so many bytes, whatever Spark's batch size; a longer text is a chunk alone.
-CHUNK_BYTES = 1 << 19
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_gridloom_shared", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark._gridloom_shared = found
-    return found if "://" in found or found.startswith("file:") else "file://" + found
+from ..operators.components import components
+from ..session import cut, few, shared_path
 
+__all__ = ["arrow_rows", "chunks", "components", "cut", "few", "free_name", "row_key", "shared_path"]
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder's path under the shared folder; it goes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lost executors don't lose it."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Texts are handled in chunks of about so many bytes, whatever Spark's batch size; a longer text is a chunk alone.
+CHUNK_BYTES = 1 << 19
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
@@ -51,19 +29,12 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `limit` rows (counted), else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES):
     """Slices of a batch whose `column` has about `size` bytes each."""
     col = batch.column(column)
     wide = 8 if pa.types.is_large_binary(col.type) or pa.types.is_large_string(col.type) else 4
     if not len(col):
         return
-    import numpy as np
-
     ends = np.frombuffer(col.buffers()[1], f"<i{wide}", len(col) + 1, col.offset * wide).astype(np.int64)
     at = 0
     while at < len(col):
@@ -83,26 +54,3 @@ def free_name(df: DataFrame, name: str) -> str:
 def row_key(id_col: str, text_col: str):
     """A 64-bit key of a row's id and text: equal for repeated rows, not null for null ones."""
     return F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, root) of every node that `edges` (two long columns) names; root is the least node that links reach.
-
-    Alternates large-star and small-star steps, each a min per node and a join back, until nothing changes: the number
-    of steps grows with the logarithm of the size. Every step is written to the shared folder. No edges: no rows.
-    """
-    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    for _ in range(rounds):
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = cut(small, "edges")
-        got = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if state == tuple(got):
-            break
-        state = tuple(got)
-    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
