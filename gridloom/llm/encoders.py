@@ -10,35 +10,34 @@ import re
 
 import numpy as np
 
-#: Units remembered by a Python worker; when full, the memo starts again.
-MEMO_UNITS = 400_000
+#: Units that a Python worker's memo holds, twice.
+MEMO_UNITS = 250_000
+#: Longer units are not remembered.
+LONG_UNIT = 256
 _TAIL = re.compile(rb"(.*[A-Za-z])([!-/:-@\[-`{-~]+)", re.S)
 #: White space other than ASCII's.
 _ODD_SPACE = re.compile("[\x85\xa0  -     　]")
 _SPACED = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 
 
-class _Memo(dict):
-    """Bytes of a unit -> its ids as bytes of little-endian unsigned 32-bit integers, or None: only whole texts will do."""
+class Memo(dict):
+    """A bounded memo: when full it becomes the old one, whose entries come back as they are asked for again.
 
-    def __init__(self, tokenizer, odd: bool, limit: int):
-        self.tokenizer, self.odd, self.limit = tokenizer, odd, limit
+    So the units that come up often are never worked out twice. `make(unit)` gives a new unit's value.
+    """
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.old = make, limit, {}
 
-    def __missing__(self, unit: bytes):
+    def __missing__(self, unit):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        if m := _TAIL.fullmatch(unit):
-            a, b = self[m[1]], self[m[2]]
-            v = None if a is None else a + b
-        else:
-            text = unit.decode()
-            v = None if self.odd and _ODD_SPACE.search(text) else self.of(text)
-        self[unit] = v
+        v = self.old[unit] if unit in self.old else self.make(unit)
+        if len(unit) <= LONG_UNIT:
+            self[unit] = v
         return v
 
-    def of(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
 
 class Encoder:
     """ids(text as UTF-8 bytes) -> bytes of little-endian unsigned 32-bit ids, as the tokenizers library gives them.
@@ -62,9 +61,20 @@ class Encoder:
         elif steps == ["NFC", "Replace", "Lowercase"] and pre.get("type") == "Sequence" and [x["type"] for x in pre["pretokenizers"]] == ["Split", "ByteLevel"] and pre["pretokenizers"][0]["behavior"] == "Removed" and "\\s" in pre["pretokenizers"][0]["pattern"].get("Regex", ""):
             self.kind = "folded"
         self.marks = [x["content"].encode() for x in spec["added_tokens"]]
-        self.memo = _Memo(self.tokenizer, self.kind == "spaced", limit)
+        self.memo = Memo(self.unit, limit)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def of(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def unit(self, unit: bytes) -> bytes | None:
+        """A unit's ids, or None: only whole texts will do. Marks at its end are a unit of their own."""
+        if m := _TAIL.fullmatch(unit):
+            a, b = self.memo[m[1]], self.memo[m[2]]
+            return None if a is None else a + b
+        text = unit.decode()
+        return None if self.kind == "spaced" and _ODD_SPACE.search(text) else self.of(text)
+
     def ids(self, text: bytes) -> bytes:
         held = text.lower() if self.kind == "folded" else text
         if self.kind and not any(m in held for m in self.marks):
@@ -73,7 +83,7 @@ class Encoder:
                 return b"".join(map(self.memo.__getitem__, units))
             except TypeError:  # a unit that only whole texts settle
                 pass
-        return self.memo.of(text.decode())
+        return self.of(text.decode())
 
 
 _encoders: dict[str, Encoder] = {}

@@ -5,8 +5,9 @@ pair's text. So the last piece at every place follows from the last pieces at ea
 there, it is the one that goes with the last piece where it begins. One pass over a text gives the count at each prefix;
 later questions (how many tokens in the first n characters, how many characters within a budget) read the stored counts.
 
-Runs of white space marks begin units that never share a piece with what stands before, so a unit's counts are computed
-once and remembered; a text's counts are its units' counts one after another.
+No piece holds certain neighbouring characters (a white space mark after anything else, mostly a letter before punctuation),
+so texts fall apart there into units whose counts are computed once and remembered; a text's counts are its units' counts
+one after another.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import arrow_rows, chunks
+from .encoders import Memo
 
-MEMO_UNITS = 250_000
+#: Units, and as many pairs of pieces, that a Python worker's memos hold, twice.
+MEMO_UNITS = 150_000
 SPACE = "▁"
 
 
@@ -38,10 +41,15 @@ class PrefixCounter:
         pieces = range(m.get_piece_size())
         self.score = {m.id_to_piece(i): m.get_score(i) for i in pieces if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))}
         self.longest = max(map(len, self.score))
-        self.limit = limit
-        self.units: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.units = Memo(self.parts, limit)
+        self.pairs = Memo(lambda p: self.merge(p[0] + p[1]) == [*p], limit)
         self.whole: dict[str, bool] = {}
+        self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        lengths: dict[str, set[int]] = {}
+        for p in self.score:
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], set()).add(len(p))
+        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}  #: of pieces by their last three characters
         # what the cutting into units rests on
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.score)
         self.lines_apart = not any("\n" in p for p in self.score)
@@ -63,14 +71,6 @@ class PrefixCounter:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, a: str, b: str) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) >= 4 * self.limit:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merge(a + b) == [a, b]
-        return got
-
     def real(self, piece: str) -> bool:
         """A piece that its own text gives."""
         got = self.whole.get(piece)
@@ -81,32 +81,30 @@ class PrefixCounter:
     def unit(self, unit: str) -> bytes:
         """Deltas of one unit, as signed bytes."""
         last, count, out = [""], [0], array("b")
+        score, pairs = self.score, self.pairs
         for end in range(1, len(unit) + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = unit[start:end]
-                if end - start == 1:
-                    if piece in self.score:
-                        tokens, fit = 1, True
-                    else:  # not in the vocabulary: its bytes, and it merges with nothing
-                        tokens, fit = len(piece.encode()), True
-                elif piece in self.score and self.real(piece):
-                    tokens, fit = 1, not start or self.fits(last[start], piece)
-                else:
+            for n in (*self.lengths.get(unit[max(0, end - 3) : end], ()), 2):
+                start = end - n
+                if start < 0 or (piece := unit[start:end]) not in score or not self.real(piece):
                     continue
-                if fit:
+                if not start or pairs[last[start], piece]:
                     last.append(piece)
-                    count.append(count[start] + tokens)
+                    count.append(count[start] + 1)
                     break
+            else:
+                piece = unit[end - 1]
+                last.append(piece)
+                # not in the vocabulary: its bytes, and it merges with nothing
+                count.append(count[end - 1] + (1 if piece in score else len(piece.encode())))
             out.append(count[end] - count[end - 1])
         return out.tobytes()
 
-    def __getitem__(self, unit: str) -> bytes:
-        got = self.units.get(unit)
-        if got is None:
-            if len(self.units) >= self.limit:
-                self.units.clear()
-            got = self.units[unit] = self.unit(unit)
-        return got
+    def parts(self, unit: str) -> bytes:
+        """Deltas of a unit by way of the parts that it falls into."""
+        seams = [0, *(i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in self.inside), len(unit)]
+        if len(seams) == 2:
+            return self.unit(unit)
+        return b"".join(self.units[unit[a:b]] for a, b in zip(seams, seams[1:], strict=False))
 
     def deltas(self, text: str) -> np.ndarray:
         if not text:
@@ -114,7 +112,7 @@ class PrefixCounter:
         marked = SPACE + text.replace(" ", SPACE)
         if not (self.plain and self.apart):
             raise ValueError("this model folds text or joins pieces over white space; its prefixes have no unit form")
-        got = np.frombuffer(b"".join(map(self.__getitem__, self.cut.findall(marked))), np.int8)
+        got = np.frombuffer(b"".join(map(self.units.__getitem__, self.cut.findall(marked))), np.int8)
         out = got[1:].copy()
         out[0] += got[0]
         return out
