@@ -2,12 +2,12 @@
 
 Documents with the same set of shingles are one class (a row of the matrix). Shingles stand in one order for all, rare ones
 first, by counts in a table of fixed size. Two rows with enough overlap must share a shingle among the first few of each
-(a bound from their sizes), so only those columns are multiplied first, a column block by shingle: there the overlap counts
-gathered so far and the places in both rows bound the whole overlap, and pairs below the bound go. For the pairs that stay,
-the product is finished over their whole rows, exactly.
+(a bound from their sizes), so only those columns are multiplied first, a column block by shingle: there the places in both rows and
+bitmaps of both (Sandes, Teodoro and Melo 2020) bound the whole overlap, and pairs below the bound go. For the pairs that
+stay, the product is finished over their whole rows, exactly.
 
-Components need no complete product. A first round multiplies only neighbours in each column (by size), which joins up large
-groups of near copies; the second takes every pair of a column whose rows the first left in different components.
+Components need no complete product. A first round multiplies only neighbours in each column, which joins up large groups of
+near copies; the second takes every pair of a column whose rows the first left in different components.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from .common import arrow_rows, chunks, components, cut, few, row_key
 #: Counters in the table of shingle counts: 8 MB for any input. A count stops at 2**32 - 1; it only orders shingles.
 COUNTERS = 1 << 20
 _BLOCK = 1 << 14
+#: Bits of a set's parities.
+BITS = 256
+_MAPS = [f"m{i}" for i in range(BITS // 64)]
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -37,21 +40,27 @@ def _class_ids(sets: list[np.ndarray]) -> np.ndarray:
     return (tk.mix(folded) >> np.uint64(1)).astype(np.int64)
 
 
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """BITS parities of each set's members by hash, as rows of 64-bit numbers: two sets' differ in no more bits than members."""
+    odd = np.stack([np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1 for s in sets]) if sets else np.zeros((0, BITS))
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
 def shingle_classes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k, doc_id, n_shingles, cid of every row: cid is the same for equal sets and null for empty ones."""
+    """k, doc_id, n_shingles, cid and bitmaps of every row: cid is the same for equal sets and null for empty ones."""
 
     def run(batches):
         for whole in batches:
             for batch in chunks(whole, "text"):
                 sets = _sets(batch, n)
                 size = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), pa.array(size), pa.array(_class_ids(sets), mask=size == 0)], names=["k", "doc_id", "n_shingles", "cid"])
+                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), pa.array(size), pa.array(_class_ids(sets), mask=size == 0), *map(pa.array, _bitmaps(sets).T.copy())], names=["k", "doc_id", "n_shingles", "cid", *_MAPS])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "k long, doc_id long, n_shingles long, cid long")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "k long, doc_id long, n_shingles long, cid long, " + ", ".join(f"{m} long" for m in _MAPS))
 
 
 def shingle_counts(texts: DataFrame, n: int) -> np.ndarray:
@@ -135,36 +144,52 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return pairs.join(rows.toDF("a", "sa"), "a").join(rows.toDF("b", "sb"), "b").mapInArrow(product, "a long, b long")
 
 
+def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs whose classes are in different components."""
+    roots = cut(joined, "roots")
+    return pairs.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k, doc_id, n_shingles, component_id of every row; k is row_key(id_col, text_col).
+    """k, doc_id, n_shingles, component_id, group of every row; k is row_key(id_col, text_col).
 
     Words are runs of bytes other than 09-0D and 20, A-Z lower-cased. Two rows link if 100 * overlap >= percent * union of
     their sets of n-word shingles (a shorter text: its whole sequence). component_id is the least doc_id that links reach.
-    Null, empty or wordless texts have no shingles and component_id is their own doc_id. Repeated rows link, as equal sets
-    do. Null ids never become a component's id unless all its ids are null. An empty table gives no rows.
+    Null, empty or wordless texts have no shingles, no group, and their own doc_id as component_id. Repeated rows link, as
+    equal sets do. A component's id is null only if all its ids are; `group` tells such components apart. Empty docs: no rows.
     """
     arrow_rows(docs.sparkSession)
     spark = docs.sparkSession
     rows = cut(shingle_classes(docs, n, id_col, text_col), "classes")
-    classes = cut(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("k").alias("k")), "class")
+    classes = cut(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.first("n_shingles").cast("int").alias("size"), *(F.first(m).alias(m) for m in _MAPS)), "class")
     texts = _rows(docs, id_col, text_col).select("k", "text").join(few(classes.select("cid", "k")), "k").select("cid", "text")
     counts = spark.sparkContext.broadcast(shingle_counts(texts, n))
-    near = Window.partitionBy("key").orderBy("size", "cid")
+    # neighbors of about one size, in another order in each column: a group of near copies is joined by many random pairs
+    near = Window.partitionBy("key").orderBy(F.floor(F.log(F.col("size").cast("double")) * 8), F.xxhash64("key", "cid"), "cid")
     columns = cut(prefixes(texts, counts, n, percent).withColumn("before", F.lag(F.struct("cid", "size", "place")).over(near)).withColumn("after", F.lead("cid").over(near)).where("before is not null or after is not null").drop("after"), "columns")
     fits = lambda a, sa, pa_, b, sb, pb: f"100 * least({sa}, {sb}) >= {percent} * greatest({sa}, {sb}) AND 1 + least({sa} - {pa_} - 1, {sb} - {pb} - 1) + least({pa_}, {pb}) >= {_overlap(sa, sb, percent)}"
-    first = cut(columns.where("before.cid <> cid").where(fits("cid", "size", "place", "before.cid", "before.size", "before.place")).select(F.least("cid", "before.cid").alias("a"), F.greatest("cid", "before.cid").alias("b")).distinct(), "pairs")
-    links = cut(verified(first, texts, n, percent), "links")
+    # sets that differ in more members than the overlap leaves room for: told by their bitmaps
+    alike = " + ".join(f"bit_count(a{m} ^ b{m})" for m in _MAPS) + f" <= sa + sb - 2 * {_overlap('sa', 'sb', percent)}"
+    maps = classes.select("cid", "size", *_MAPS)
+    side = lambda x: maps.toDF(x, f"s{x}", *(x + m for m in _MAPS))
+    first = columns.where("before.cid <> cid").where(fits("cid", "size", "place", "before.cid", "before.size", "before.place")).select(F.least("cid", "before.cid").alias("a"), F.greatest("cid", "before.cid").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    first = cut(first.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b", "n"), "pairs")
+    # of each row the pair of most common columns first; then the pairs that these haven't joined
+    best = cut(first.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "best")
+    links = cut(verified(best, texts, n, percent), "links")
+    more = apart(first.select("a", "b").join(best, ["a", "b"], "left_anti"), components(links))
+    links = cut(links.union(verified(cut(more, "pairs"), texts, n, percent)), "links")
     joined = components(links)
-    parts = columns.select("key", "cid", "size", "place").join(joined.toDF("cid", "root"), "cid", "left").select("key", "cid", "size", "place", F.coalesce("root", "cid").alias("root"))
+    parts = columns.select("key", "cid", "place").join(joined.toDF("cid", "root"), "cid", "left").select("key", "cid", "place", F.coalesce("root", "cid").alias("root"))
     mixed = parts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    parts = cut(parts.join(mixed, "key"), "mixed")
-    x, y = parts.toDF("key", "a", "sa", "pa", "ra"), parts.toDF("key", "b", "sb", "pb", "rb")
-    rest = x.join(y, (x.key == y.key) & (x.ra != y.rb) & F.expr("a < b") & F.expr(fits("a", "sa", "pa", "b", "sb", "pb"))).select("a", "b").distinct()
-    rest = cut(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    parts = cut(parts.join(mixed, "key").join(maps, "cid"), "mixed")
+    x, y = (parts.select("key", F.col("place").alias(f"p{x}"), F.col("root").alias(f"r{x}"), F.col("cid").alias(x), F.col("size").alias(f"s{x}"), *(F.col(m).alias(x + m) for m in _MAPS)) for x in "ab")
+    rest = x.join(y, (x.key == y.key) & F.expr(f"ra <> rb AND a < b AND {fits('a', 'sa', 'pa', 'b', 'sb', 'pb')} AND {alike}")).select("a", "b").distinct()
+    rest = cut(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     links = links.union(verified(rest, texts, n, percent))
     found = components(links)
     named = classes.select("cid", "least").join(found.toDF("cid", "root"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     named = cut(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "root").select("cid", "component_id")
-    return rows.join(ids, "cid", "left").select("k", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = named.join(least, "root").select("cid", "root", "component_id")
+    return rows.join(ids, "cid", "left").select("k", "doc_id", "n_shingles", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("root").alias("group"))
