@@ -169,3 +169,16 @@ def test_chats_edges(spark):
     got = {r.conv_id: (r.n_turns, r.chat) for r in chat.format_chats(df).collect()}
     assert set(got) == {2, 4, 5, None, 6, 7} and got[2][1] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>bot\nyo<|im_end|>\n" and got[7][0] == 2
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_passages_of_frequent_lines(spark):
+    """Every line is in many texts, so a key's first text and the one before are seldom those that a row repeats."""
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"w{i}_{k}" for k in range(8)) for i in range(40)]
+    rows = [(i, " ".join(lines[k] for k in rng.permutation(40)[:8])) for i in range(600)]
+    for i in range(0, 600, 10):
+        w = rows[i][1].split()
+        w[rng.integers(12, 52)] = "changed"
+        rows.append((1000 + i, " ".join(w)))
+    got = {(r.source_id, r.doc_id) for r in ps.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 1000 + i) for i in range(0, 600, 10)}
