@@ -182,3 +182,19 @@ def test_passages_of_frequent_lines(spark):
         rows.append((1000 + i, " ".join(w)))
     got = {(r.source_id, r.doc_id) for r in ps.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(i, 1000 + i) for i in range(0, 600, 10)}
+
+
+def _h(words):
+    from gridloom.llm import textkernel as tk
+    import pyarrow as pa
+
+    return (tk.shingles(tk.words(pa.array([" ".join(words).encode()]), lower=True), 5)[0] >> np.uint64(32)).astype("<u4")
+
+
+@pytest.mark.parametrize(("n", "place", "cut", "new"), [(96, 48, 0, 9), (104, 48, 7, 7)])
+def test_passages_with_a_clause_inserted_or_replaced(n, place, cut, new):
+    base = [f"t{i}" for i in range(n)]
+    changed = [*base[:place], *(f"x{i}" for i in range(new)), *base[place + cut :]]
+    for x, y in ((base, changed), (changed, base)):
+        got = ps.common_passages(_h(x), _h(y))
+        assert [(p.start, p.end, p.from_start, p.from_end) for p in got] == [(0, len(y), 0, len(x))]
