@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_rows, cut
+from .common import arrow_rows, chunks, cut
 
 #: Salts over which the pieces of one length are numbered.
 SALTS = 64
@@ -107,15 +107,11 @@ def _plan(counts: np.ndarray, max_len: int, most: int) -> Plan:
     return Plan(t[:, 0], t[:, 1], t[:, 2], t[:, 3], sequence)
 
 
-def cut_pieces(n: int, max_len: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n tokens: max_len each, what is over comes first."""
-    over = n % max_len
-    return [(0, over)] * bool(over) + [(i, max_len) for i in range(over, n, max_len)]
-
-
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every text with its end id (ids: and the ids).
 
+    Pieces have max_len tokens, but for a text's first, which has what is over.
+
     A null text is empty: one piece with the end id. Repeated rows and null ids stay rows of their own.
     """
     arrow_rows(docs.sparkSession)
@@ -123,16 +119,22 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int
     def pieces(batches):
         from .encoders import encoder
 
-        enc, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids}
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                x = enc.ids(t.as_py()) + end
-                for k, (at, n) in enumerate(cut_pieces(len(x) // 4, max_len)):
-                    own = x[4 * at : 4 * (at + n)]
-                    for name, v in zip(out, (i, k, at, n, zlib.crc32(own), own), strict=False):
-                        out[name].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * ids))
+        enc = encoder(tokenizer_path)
+        kind = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * ids)
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                flat, at = enc.ended(batch.column("text"), end_id)
+                n = np.diff(at)
+                many = -(-n // max_len)
+                row = np.repeat(np.arange(len(n)), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                over = n - (many - 1) * max_len  # the first piece's length
+                start = np.where(piece > 0, over[row] + (piece - 1) * max_len, 0)
+                length = np.where(piece > 0, max_len, over[row])
+                own, begin = memoryview(flat.astype("<u4", copy=False)).cast("B"), 4 * (at[row] + start)
+                spans = [own[a:b] for a, b in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
+                columns = [batch.column("id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(map(zlib.crc32, spans), pa.int64())] + [pa.array(map(bytes, spans), pa.binary())] * ids
+                yield pa.RecordBatch.from_arrays(columns, schema=kind)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 

@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 #: Bytes 09-0D and 20 part words; every other byte belongs to one.
 SPACE_WORD = np.array([not (b == 0x20 or 0x09 <= b <= 0x0D) for b in range(256)])
-_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
+LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +88,7 @@ def words(col: pa.Array, lower: bool = False, table: np.ndarray = SPACE_WORD) ->
     """The words of each text: runs of bytes that `table` marks. lower: A-Z are lower-cased first."""
     data, at = column_bytes(col)
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     inside = table[data]
     before = np.zeros(len(data) + 1, bool)
     before[1:] = inside
@@ -104,6 +104,15 @@ def words(col: pa.Array, lower: bool = False, table: np.ndarray = SPACE_WORD) ->
     return Words(data, at, start, end, hash_spans(sums, start, end), first, sums)
 
 
+def units(data: np.ndarray, at: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """start and end of each unit, and each text's first: texts are cut where cut[byte, next byte] says so."""
+    begins = np.zeros(len(data) + 1, bool)
+    begins[1 : len(data)] = cut.ravel()[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+    begins[at] = True
+    start = np.flatnonzero(begins[: len(data)])
+    return start, np.append(start[1:], len(data))[: len(start)], np.searchsorted(start, at)
+
+
 def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's n-word shingles in order, and for k texts k + 1 places in them.
 

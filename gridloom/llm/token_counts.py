@@ -7,7 +7,7 @@ later questions (how many tokens in the first n characters, how many characters
 
 No piece holds certain neighbouring characters (a white space mark after anything else, mostly a letter before punctuation),
 so texts fall apart there into units whose counts are computed once and remembered; a text's counts are its units' counts
-one after another.
+one after another. The units of a whole chunk of texts are looked up at once.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import textkernel as tk
 from .common import arrow_rows, chunks
-from .encoders import Memo
+from .encoders import TABLE_BITS, Memo, UnitTable, holding, per_text, replaced
 
-#: Units, and as many pairs of pieces, that a Python worker's memos hold, twice.
+#: Parts of units, and as many pairs of pieces, that a Python worker's memos hold, twice.
 MEMO_UNITS = 150_000
 SPACE = "▁"
+_FIRST = np.uint64(0x5851F42D4C957F2D)
 
 
 class PrefixCounter:
@@ -33,7 +35,7 @@ class PrefixCounter:
     The first character's delta holds the mark that the model puts before a text, so an empty text has 0 tokens.
     """
 
-    def __init__(self, path: str, limit: int = MEMO_UNITS):
+    def __init__(self, path: str, limit: int = MEMO_UNITS, bits: int = TABLE_BITS):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -55,6 +57,11 @@ class PrefixCounter:
         self.lines_apart = not any("\n" in p for p in self.score)
         probe = "ﬁ½Ａ é x  y "
         self.plain = m.decode(m.encode(probe)) == probe and m.encode("a", out_type=str)[0].startswith(SPACE)
+        # bytes between which no piece goes on: ASCII ones, and a space after or a line's end beside any
+        mark = lambda b: SPACE if b == 0x20 else chr(b)
+        self.seams = np.array([[mark(a) + mark(b) not in self.inside if max(a, b) < 0x80 else (b == 0x20 and self.apart) or (0x0A in (a, b) and self.lines_apart) for b in range(256)] for a in range(256)])
+        self.heads: set[int] = set()
+        self.table = UnitTable(lambda units, keys: map(self.of_unit, units, keys), "<i1", bits)
         lines = "\\n|" if self.lines_apart else ""
         self.cut = re.compile(f"{lines}{SPACE}*[^{SPACE}{lines[:2]}]+|{SPACE}+")
 
@@ -106,17 +113,38 @@ class PrefixCounter:
             return self.unit(unit)
         return b"".join(self.units[unit[a:b]] for a, b in zip(seams, seams[1:], strict=False))
 
+    def check(self) -> None:
+        if not (self.plain and self.apart):
+            raise ValueError("this model folds text or joins pieces over white space; its prefixes have no unit form")
+
     def deltas(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int8)
-        marked = SPACE + text.replace(" ", SPACE)
-        if not (self.plain and self.apart):
-            raise ValueError("this model folds text or joins pieces over white space; its prefixes have no unit form")
-        got = np.frombuffer(b"".join(map(self.units.__getitem__, self.cut.findall(marked))), np.int8)
+        self.check()
+        got = np.frombuffer(b"".join(map(self.units.__getitem__, self.cut.findall(SPACE + text.replace(" ", SPACE)))), np.int8)
         out = got[1:].copy()
         out[0] += got[0]
         return out
 
+    def of_unit(self, unit: bytes, key: int) -> bytes:
+        """Deltas of a unit; one that begins a text holds the mark before it."""
+        if key in self.heads:
+            return self.deltas(unit.decode()).tobytes()
+        return b"".join(map(self.parts, self.cut.findall(unit.decode().replace(" ", SPACE))))
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Deltas of all texts of a binary column one after another, and for n texts n + 1 places in them; null: none."""
+        self.check()
+        data, at = tk.column_bytes(texts)
+        start, end, first = tk.units(data, at, self.seams)
+        h = tk.hash_spans(tk.running_sums(data), start, end)
+        head = first[:-1][np.diff(first) > 0]
+        h[head] ^= _FIRST
+        self.heads = set(h[head].tolist())
+        sizes, flat = self.table.values(h, data, start, end)
+        other = {i: self.deltas(texts[i].as_py().decode()) for i in np.flatnonzero(holding(data, at, [SPACE.encode()])).tolist()}
+        return replaced(flat, per_text(sizes, first), other)
+
 
 _counters: dict[str, PrefixCounter] = {}
 
@@ -140,9 +168,10 @@ def prefix_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         own = counter(model_path)
         for whole in batches:
             for batch in chunks(whole, "text"):
-                texts = batch.column("text").to_pylist()
-                deltas = [own.deltas(t.decode()) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, texts), pa.int64()), pa.array([int(d.sum(dtype=np.int64)) for d in deltas], pa.int64()), pa.array([d.tobytes() for d in deltas], pa.binary())], schema=schema)
+                flat, at = own.batch(batch.column("text"))
+                run = np.concatenate([[0], np.cumsum(flat, dtype=np.int64)])
+                kept = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype("<i4").tobytes()), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(tk.column_bytes(batch.column("text"))[1])), pa.array(run[at[1:]] - run[at[:-1]]), kept], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, prefix_deltas binary")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import arrow_rows, shared_path
+from .common import arrow_rows, chunks, shared_path
 
 #: Stands for a null document id in part-k.docs.
 NULL_ID = -(1 << 63)
@@ -54,16 +54,16 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, out_dir
         part = TaskContext.get().partitionId()
         fs, base = pafs.FileSystem.from_uri(out_dir)
         kind = "<u2" if max(enc.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
-        end = np.array([end_id], kind).tobytes()
-        ids, offsets = [], [0]
+        ids, offsets, held = [], [np.zeros(1, np.int64)], [0]
 
         def stream():
-            for batch in batches:
-                ids.append(np.asarray(batch.column("id").fill_null(NULL_ID)).astype("<i8"))
-                for t in batch.column("text"):
-                    x = np.frombuffer(enc.ids(t.as_py()), "<u4").astype(kind).tobytes() + end
-                    offsets.append(offsets[-1] + len(x) // int(kind[-1]))
-                    yield x
+            for whole in batches:
+                for batch in chunks(whole, "text"):
+                    flat, at = enc.ended(batch.column("text"), end_id)
+                    ids.append(np.asarray(batch.column("id").fill_null(NULL_ID)).astype("<i8"))
+                    offsets.append(held[0] + at[1:])
+                    held[0] += len(flat)
+                    yield flat.astype(kind).tobytes()
 
         first = next(whole := stream(), None)
         if first is None:
@@ -76,9 +76,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, out_dir
             yield from whole
 
         _put(fs, f"{name}.bin", all_pieces())
-        _put(fs, f"{name}.offsets", [np.array(offsets, "<u8").tobytes()])
+        _put(fs, f"{name}.offsets", [np.concatenate(offsets).astype("<u8").tobytes()])
         _put(fs, f"{name}.docs", [x.tobytes() for x in ids])
-        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(offsets) - 1], "ids": [offsets[-1]], "kind": [kind]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [sum(map(len, ids))], "ids": held, "kind": [kind]})
 
     parts = sorted(rows.mapInArrow(write, "part long, docs long, ids long, kind string").collect())  # one row a part
     before, listed = 0, []

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 from gridloom.llm import token_counts as tc
 from gridloom.llm.encoders import Encoder
-from gridloom.llm.packing import cut_pieces, make_plan, pack_documents
+from gridloom.llm.packing import make_plan, pack_documents
 from gridloom.llm.token_files import read_token_files, write_token_files
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -25,7 +26,7 @@ def ids(tok, text):
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_encoder_is_the_library(path):
-    enc, tok = Encoder(path, 50), Tokenizer.from_file(path)
+    enc, tok = Encoder(path, 4), Tokenizer.from_file(path)
 
     @settings(max_examples=300, deadline=None)
     @given(TEXTS)
@@ -33,12 +34,20 @@ def test_encoder_is_the_library(path):
         assert np.frombuffer(enc.ids(text.encode()), "<u4").tolist() == ids(tok, text)
 
     same()
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(TEXTS | st.sampled_from(["a <|endoftext|> b", "", " "]), max_size=5))
+    def same_together(texts):
+        flat, at = enc.batch(pa.array([t.encode() for t in texts], pa.binary()))
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [ids(tok, t) for t in texts]
+
+    same_together()
     for text in ("don't we'll 'S x's", "<|endoftext|>a <|ENDOFTEXT|>", "a  b\n\n c \n", "word,word.word!", "\x1c a\x85b", ""):
         assert np.frombuffer(enc.ids(text.encode()), "<u4").tolist() == ids(tok, text)
 
 
 def test_prefix_counts_are_the_library():
-    own, sp = tc.PrefixCounter(PIECE, 50), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    own, sp = tc.PrefixCounter(PIECE, 50, 4), sentencepiece.SentencePieceProcessor(model_file=PIECE)
 
     @settings(max_examples=200, deadline=None)
     @given(TEXTS)
@@ -48,6 +57,15 @@ def test_prefix_counts_are_the_library():
 
     same()
 
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(TEXTS, max_size=5))
+    def same_together(texts):
+        flat, at = own.batch(pa.array([t.encode() for t in texts], pa.binary()))
+        assert [flat[a:b].sum() for a, b in zip(at, at[1:], strict=False)] == [len(sp.encode(t)) for t in texts]
+        assert flat.tolist() == [x for t in texts for x in own.deltas(t).tolist()]
+
+    same_together()
+
 
 def test_prefix_questions(spark, odd):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
@@ -80,10 +98,6 @@ def test_files_round_trip(spark, odd, none):
     assert read_token_files(spark, write_token_files(none, WORD, 1)).count() == 0
 
 
-def test_cut_pieces():
-    assert cut_pieces(5, 4) == [(0, 1), (1, 4)] and cut_pieces(4, 4) == [(0, 4)] and cut_pieces(8, 4) == [(0, 4), (4, 4)] and cut_pieces(3, 4) == [(0, 3)]
-
-
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 24), max_size=80))
 def test_plan_places_each_piece_once(lengths):
@@ -109,6 +123,12 @@ def test_plan_places_each_piece_once(lengths):
 def test_packing_edges(spark, odd, none):
     got = pack_documents(odd, BYTE, 2, 64).collect()
     tok = Tokenizer.from_file(BYTE)
+    want = []
+    for r in odd.collect():
+        x = [*ids(tok, r.text or ""), 2]
+        cuts = [0, *range(len(x) % 64 or 64, len(x) + 1, 64)]
+        want += [(r.doc_id, k, a, b - a, zlib.crc32(np.array(x[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == sorted(want, key=str)
     assert sum(r.length for r in got) == sum(len(ids(tok, r.text or "")) + 1 for r in odd.collect())
     by = defaultdict(list)
     for r in got:
