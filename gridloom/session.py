@@ -20,9 +20,11 @@ def make_spark(app: str = "gridloom", cores: str = "*", shuffle_partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset and all is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_gridloom_shared", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark._gridloom_shared = found
     return found if "://" in found or found.startswith("file:") else "file://" + found
@@ -40,7 +42,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again: lost executors don't lose it."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*cuts: DataFrame) -> None:
+    """Deletes the files of tables that cut wrote and nothing reads any more."""
+    for df in cuts:
+        jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -54,3 +65,11 @@ def collected(df: DataFrame, limit: int = 10_000) -> list:
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows")
     return rows
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name, lengthened until none of the frames has such a column (Spark's names have no case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
