@@ -1,22 +1,18 @@
 """Focal operators: statistics over a moving window, dilation, erosion, patches, sieve and region growing.
 
-A window's statistic is one grouping: every pixel is sent to the cells whose window holds it, and partial sums of a
-partition's own rows come together before the shuffle. Cells beyond the grid don't count (partial windows at borders).
+Windows are worked out tile by tile (tiles.py), so every pixel is shuffled about once however large the window is. Cells
+beyond the grid don't count (partial windows at borders).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
 from .components import components
-
-
-def offsets(size: int, circular: bool = False) -> list[tuple[int, int, float]]:
-    """(dr, dc, weight) of a square of 2 size + 1, or of a disk of radius size."""
-    return [(i, j, 1.0) for i in range(-size, size + 1) for j in range(-size, size + 1) if not circular or i * i + j * j <= size * size]
+from .tiles import dilated, eroded, offsets, tiled, window_stat
 
 
 def structure_offsets(matrix: Sequence[Sequence[float | None]]) -> list[tuple[int, int, float]]:
@@ -25,11 +21,8 @@ def structure_offsets(matrix: Sequence[Sequence[float | None]]) -> list[tuple[in
     return [(i - h, j - w, float(v)) for i, row in enumerate(matrix) for j, v in enumerate(row) if v is not None and v == v]
 
 
-def _sent(df: DataFrame, band: str, where: Sequence[tuple[int, int, float]]) -> DataFrame:
-    """Each pixel's value at the cells whose window holds it: r, c, v, w, own (the value where it is the cell's own)."""
-    at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w).alias("w")) for i, j, w in where)))
-    sent = df.select("r", "c", F.col(band).alias("v"), at.alias("o"))
-    return sent.select((F.col("r") - F.col("o.i")).alias("r"), (F.col("c") - F.col("o.j")).alias("c"), "v", F.col("o.w").alias("w"), ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("same"))
+def _reach(where: Sequence[tuple[int, int, float]]) -> int:
+    return max(max(abs(i), abs(j)) for i, j, _ in where)
 
 
 def neighbor_stat(df: DataFrame, band: str, stat: str, size: int = 1, circular: bool = False, structure: Sequence | None = None, percentile: float = 50) -> DataFrame:
@@ -37,47 +30,32 @@ def neighbor_stat(df: DataFrame, band: str, stat: str, size: int = 1, circular:
 
     NoData is skipped; a pixel that is NoData itself has none. Mean, Sum and Count are rounded to 6 decimals.
     """
-    where = structure_offsets(structure) if structure else offsets(size, circular)
-    if not any(i == j == 0 for i, j, _ in where):
-        where = [*where, (0, 0, 0.0)]
-    x = F.when(F.col("w") != 0, F.col("v") * F.col("w"))
-    agg: Column = {
-        "count": F.round(F.count(x).cast("double"), 6), "max": F.max(x), "mean": F.round(F.avg(x), 6), "median": F.median(x), "min": F.min(x),
-        "percentile": F.percentile(x, F.lit(percentile / 100)), "stddev": F.stddev_pop(x), "sum": F.round(F.coalesce(F.sum(x), F.lit(0.0)), 6),
-    }[stat.lower()]
-    out = _sent(df, band, where).groupBy("r", "c").agg(agg.alias("value"), F.max(F.col("same").cast("int")).alias("inside"), F.count(F.when(F.col("same"), F.col("v"))).alias("valid"))
-    return out.where("inside = 1").select("r", "c", F.when(F.col("valid") > 0, F.col("value")).alias("value"))
+    where, stat = structure_offsets(structure) if structure else offsets(size, circular), stat.lower()
+    if stat not in ("count", "max", "mean", "median", "min", "percentile", "stddev", "sum"):
+        raise ValueError(f"unknown statistic {stat}")
+    out = tiled(df, band, _reach(where), window_stat(stat, where, percentile / 100))
+    return out.withColumn("value", F.round("value", 6)) if stat in ("mean", "sum", "count") else out
+
+
+def neighbor_apply(df: DataFrame, band: str, kernel, size: int = 1) -> DataFrame:
+    """r, c and value of a kernel of one's own, kernel(values, present), over tiles with a halo of `size` (see tiles.tiled)."""
+    return tiled(df, band, size, kernel)
 
 
 def dilation(df: DataFrame, band: str, values: Sequence, size: int = 1, circular: bool = False) -> DataFrame:
     """Pixels not of the listed values take the one that their window has; of several the later in the list."""
-    place = F.coalesce(*(F.when(F.col("v") == x, F.lit(i)) for i, x in enumerate(values)))
-    own = F.max(F.when(F.col("same"), F.col("v")))
-    found = F.max(place)
-    named = F.coalesce(*(F.when(found == i, F.lit(x)) for i, x in enumerate(values)))
-    out = _sent(df, band, offsets(size, circular)).groupBy("r", "c").agg(own.alias("own"), named.alias("near"), F.max(F.col("same").cast("int")).alias("inside"))
-    stays = F.coalesce(F.col("own").isin(list(values)), F.lit(False)) | F.col("near").isNull()
-    return out.where("inside = 1").select("r", "c", F.when(stays, F.col("own")).otherwise(F.col("near")).alias("value"))
+    where = offsets(size, circular)
+    return tiled(df, band, _reach(where), dilated(list(values), where)).withColumn("value", F.col("value").cast(dict(df.dtypes)[band]))
 
 
 def erosion(df: DataFrame, band: str, values: Sequence, size: int = 1, circular: bool = False) -> DataFrame:
     """`size` passes: a listed pixel with a neighbor of another value takes the commonest unlisted neighbor value.
 
-    Neighbors: 8, or 4 if circular. Ties go to the smaller value; no unlisted valid neighbor: NoData.
+    Neighbors: 8, or 4 if circular. Ties go to the smaller value; no unlisted valid neighbor: NoData. All passes are done
+    within a tile, whose halo is as wide as there are passes.
     """
     where = [(i, j, 1.0) for i, j, _ in offsets(1) if not circular or i == 0 or j == 0]
-    out = df.select("r", "c", F.col(band).alias("value"))
-    for _ in range(size):
-        sent = _sent(out, "value", where)
-        listed = F.coalesce(F.col("v").isin(list(values)), F.lit(False))
-        part = sent.groupBy("r", "c", "v").agg(F.count("*").alias("n"), F.max(F.col("same").cast("int")).alias("same"))
-        cell = part.groupBy("r", "c").agg(
-            F.max("same").alias("inside"), F.max(F.when(F.col("same") == 1, F.col("v"))).alias("own"), F.count("*").alias("kinds"),
-            F.max_by(F.when(~listed, F.col("v")), F.when(~listed & F.col("v").isNotNull(), F.struct(F.col("n"), -F.col("v")))).alias("common"),
-        )
-        eaten = F.coalesce(F.col("own").isin(list(values)), F.lit(False)) & (F.col("kinds") > 1)
-        out = cut(cell.where("inside = 1").select("r", "c", F.when(eaten, F.col("common")).otherwise(F.col("own")).alias("value")), "eroded")
-    return out
+    return tiled(df, band, size, eroded(list(values), where, size)).withColumn("value", F.col("value").cast(dict(df.dtypes)[band]))
 
 
 def patches(df: DataFrame, band: str, width: int, eight: bool = False) -> DataFrame:

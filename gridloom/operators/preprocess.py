@@ -64,3 +64,9 @@ def search_products(products: DataFrame, date_from: str, date_to: str, max_cloud
         out = out.where(F.lower("product_id").contains(name.lower()))
     out = out.orderBy("acquisition_date", "product_id")
     return out.limit(limit) if limit else out
+
+
+def product_urls(products: DataFrame, base: str, bands, ending: str = "tif") -> DataFrame:
+    """product_id, band and url (base/collection/product/band) of each band of each product."""
+    each = products.withColumn("band", F.explode(F.array(*map(F.lit, bands))))
+    return each.select("product_id", "band", F.concat_ws("/", F.lit(base.rstrip("/")), "collection", "product_id", F.concat("band", F.lit(f".{ending}"))).alias("url"))

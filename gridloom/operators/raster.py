@@ -11,7 +11,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.expressions import Compiler, compile_over
-from ..session import collected, few
+from ..session import collected, few, free_name
+from .ranks import numbered, percentiles as ranked_values, running_sum
+from .tiles import dilated, offsets, tiled
 
 POSITION = ("r", "c")
 
@@ -31,8 +33,13 @@ def masked(df: DataFrame, bands: Sequence[str], mode: str) -> Column:
     return out
 
 
-def band_calc(df: DataFrame, expressions: Sequence[tuple[str, str]], resolve: Callable | None = None, mask: str = "all", nodata: dict[str, float] | None = None, keep: bool = False) -> DataFrame:
-    """r, c and a column for each (expression, name); later expressions may use earlier names. mask: any, all or none."""
+def band_calc(df: DataFrame, expressions: Sequence[tuple[str, str]], resolve: Callable | None = None, mask: str = "all", nodata: dict[str, float] | None = None, keep: bool = False, kind: str | None = None) -> DataFrame:
+    """r, c and a column for each (expression, name); later expressions may use earlier names. mask: any, all or none.
+
+    kind: the type in which bands are read and results are given, such as float (default: as they are).
+    """
+    if kind:
+        df = df.withColumns({b: F.col(b).cast(kind) for b in bands_of(df)})
     own = {b.lower(): b for b in bands_of(df)}
     made: dict[str, str] = {}
     out = df
@@ -56,6 +63,7 @@ def band_calc(df: DataFrame, expressions: Sequence[tuple[str, str]], resolve: Ca
             return F.col(own[ref.lower()])
 
         (value,) = compile_over(out, [text], look, lambda n: (nodata or {}).get(n))
+        value = value.cast(kind) if kind else value
         out = out.withColumn(name, F.when(~masked(df, list(dict.fromkeys(used)), mask), value) if used else value)
         made[name.lower()] = name
     return out if keep else out.select(*POSITION, *dict.fromkeys(n for _, n in expressions))
@@ -99,8 +107,14 @@ def clip_extent(df: DataFrame, left: int, top: int, right: int, bottom: int) ->
     return df.where(F.col("c").between(left, right) & F.col("r").between(top, bottom))
 
 
-def mask_values(df: DataFrame, mask: str, values: Sequence, bands: Sequence[str] | None = None) -> DataFrame:
-    """NoData in the bands where the mask column has one of the values."""
+def mask_values(df: DataFrame, mask: str, values: Sequence, bands: Sequence[str] | None = None, buffer: int = 0, circular: bool = True) -> DataFrame:
+    """NoData in the bands where the mask column has one of the values, or a pixel within `buffer` of one has."""
+    if buffer:
+        flag, near = free_name("_flag", df), free_name("_near", df)
+        where = offsets(buffer, circular)
+        grown = tiled(df.withColumn(flag, F.when(F.col(mask).isin(list(values)), 1)), flag, buffer, dilated([1], where)).withColumnRenamed("value", near)
+        out = df.join(grown, list(POSITION), "left")
+        return out.withColumns({b: F.when(F.col(near).isNull(), F.col(b)) for b in bands or [x for x in bands_of(df) if x != mask]}).select(*df.columns)
     return df.withColumns({b: F.when(~F.coalesce(F.col(mask).isin(list(values)), F.lit(False)), F.col(b)) for b in bands or [x for x in bands_of(df) if x != mask]})
 
 
@@ -133,6 +147,10 @@ def resample(df: DataFrame, factor: int, method: str, band: str) -> DataFrame:
     if method == "nearest_neighbour":
         half = factor // 2
         return block.where((F.col("_r") % factor == half) & (F.col("_c") % factor == half)).select(*POSITION, band)
+    return _blocks(block, method, band)
+
+
+def _blocks(block: DataFrame, method: str, band: str) -> DataFrame:
     if method == "mode":
         counts = block.where(F.col(band).isNotNull()).groupBy(*POSITION, band).agg(F.count("*").alias("n"))
         return counts.groupBy(*POSITION).agg(F.max_by(band, F.struct("n", -F.col(band))).alias(band))
@@ -142,6 +160,27 @@ def resample(df: DataFrame, factor: int, method: str, band: str) -> DataFrame:
     return block.groupBy(*POSITION).agg(agg.alias(band))
 
 
+def resample_to(df: DataFrame, band: str, method: str, pixel: tuple[float, float], new_pixel: tuple[float, float], origin: tuple[float, float] = (0.0, 0.0), new_origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """A band on another grid (pixel width and height, and the corner where it begins: an explicit resolution or an aligned raster).
+
+    nearest_neighbour: each new pixel whose middle lies in an old one takes its value, so finer grids are filled. The other
+    methods (see resample) sum up the old pixels whose middles lie in a new one.
+    """
+    (w, h), (v, u), (x0, y0), (x1, y1) = pixel, new_pixel, origin, new_origin
+    if method == "nearest_neighbour":
+
+        def span(place: str, size: float, start: float, new: float, begin: float) -> Column:
+            """New places whose middles are in [low, high) of an old one."""
+            low = (F.col(place) * size + (start - begin)) / new - 0.5
+            return F.sequence(F.ceil(low).cast("int"), (F.ceil(low + size / new) - 1).cast("int"))
+
+        rows, columns = span("r", h, y0, u, y1), span("c", w, x0, v, x1)
+        held = df.withColumns({"_i": rows, "_j": columns}).where("_i[0] <= _i[size(_i) - 1] AND _j[0] <= _j[size(_j) - 1]")
+        return held.select(F.explode("_i").alias("r"), "_j", band).select("r", F.explode("_j").alias("c"), band)
+    middle = lambda place, size, start, new, begin: F.floor(((F.col(place) + 0.5) * size + (start - begin)) / new).cast("int")
+    return _blocks(df.select(middle("r", h, y0, u, y1).alias("r"), middle("c", w, x0, v, x1).alias("c"), band), method, band)
+
+
 def constant_grid(spark, rows: int, columns: int, value: float) -> DataFrame:
     return spark.range(rows * columns).select(F.expr(f"cast(id div {columns} as int)").alias("r"), F.expr(f"cast(id % {columns} as int)").alias("c"), F.lit(float(value)).alias("value"))
 
@@ -184,7 +223,7 @@ def report(df: DataFrame, band: str, pixel_area: float | None = 1.0) -> DataFram
 def combination(df: DataFrame, bands: Sequence[str], pixel_area: float = 1.0) -> DataFrame:
     """Distinct tuples of the bands with ids 1.. in their order, pixels and area; pixels with any NoData don't count."""
     counts = df.dropna(subset=list(bands)).groupBy(*bands).agg(F.count("*").alias("pixels"))
-    return counts.select(F.dense_rank().over(Window.orderBy(*bands)).alias("combination"), *bands, "pixels", (F.col("pixels") * pixel_area).alias("area"))
+    return numbered(counts, "combination", *bands, start=1).select(F.col("combination").cast("int").alias("combination"), *bands, "pixels", (F.col("pixels") * pixel_area).alias("area"))
 
 
 def combination_raster(df: DataFrame, bands: Sequence[str]) -> DataFrame:
@@ -193,10 +232,17 @@ def combination_raster(df: DataFrame, bands: Sequence[str]) -> DataFrame:
 
 
 def zonal_stats(df: DataFrame, zone: str, band: str, percentiles: Sequence[float] = ()) -> DataFrame:
-    """Count, max, mean, median, min, std (population), sum and linear percentiles of a band by zone; NoData is skipped."""
-    own = df.where(F.col(zone).isNotNull()).groupBy(zone)
-    simple = {"count": F.count, "max": F.max, "mean": F.avg, "median": F.median, "min": F.min, "std": F.stddev_pop, "sum": F.sum}
-    return own.agg(*(f(band).alias(n) for n, f in simple.items()), *(F.percentile(band, F.lit(p / 100)).alias(f"p{p:g}") for p in percentiles))
+    """Count, max, mean, median, min, std (population), sum and linear percentiles of a band by zone; NoData is skipped.
+
+    The median and the percentiles are exact: they are read off running counts of different values (see ranks), so a zone
+    with very many pixels is not one task's.
+    """
+    own = df.where(F.col(zone).isNotNull())
+    simple = {"count": F.count, "max": F.max, "mean": F.avg, "min": F.min, "std": F.stddev_pop, "sum": F.sum}
+    each = own.groupBy(zone).agg(*(f(band).alias(n) for n, f in simple.items()))
+    ranked = ranked_values(own, band, [50, *percentiles], [zone])
+    names = ["median", *(f"p{p:g}" for p in percentiles)]
+    return each.join(few(ranked), zone, "left").select(zone, "count", "max", "mean", F.col("p0").alias("median"), "min", "std", "sum", *(F.col(f"p{i}").alias(n) for i, n in enumerate(names) if i))
 
 
 def cross_matrix(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -255,14 +301,13 @@ def dark_object(df: DataFrame, band: str, share: float = 0.0001) -> DataFrame:
     """The least value at which the running count of pixels reaches a share of all."""
     counts = df.where(F.col(band).isNotNull()).groupBy(band).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("t"))
-    run = counts.withColumn("run", F.sum("n").over(Window.orderBy(band).rowsBetween(Window.unboundedPreceding, 0)))
-    return run.join(F.broadcast(total)).where(F.col("run") >= F.col("t") * share).agg(F.min(band).alias("dark_object"))
+    return running_sum(counts, "n", "run", [band]).join(F.broadcast(total)).where(F.col("run") >= F.col("t") * share).agg(F.min(band).alias("dark_object"))
 
 
 def unique_table(df: DataFrame, band: str, incremental: bool = True) -> DataFrame:
     """Distinct values and the numbers 1.. in their order (or the values themselves), for a reclassification."""
     values = df.where(F.col(band).isNotNull()).select(F.col(band).alias("old_value")).distinct()
-    return values.withColumn("new_value", F.row_number().over(Window.orderBy("old_value")) if incremental else F.col("old_value"))
+    return numbered(values, "new_value", "old_value", start=1).withColumn("new_value", F.col("new_value").cast("int")) if incremental else values.withColumn("new_value", F.col("old_value"))
 
 
 def reclassify_by_table(df: DataFrame, band: str, table: DataFrame, name: str = "value") -> DataFrame:

@@ -223,3 +223,30 @@ def cross_validate(pipeline, grid: list[dict], df: DataFrame, label: str, folds:
     dealt = df.withColumn("_fold", F.pmod(F.xxhash64(*df.columns), F.lit(folds)).cast("int"))
     judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     return CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="_fold").fit(dealt)
+
+
+def save_model(model, path: str) -> None:
+    """A fitted pipeline, to a folder."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    """A pipeline that save_model saved."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def predict_with(df: DataFrame, bands: Sequence[str], model, keep: Sequence[str] = ("r", "c"), kind: str = "double") -> DataFrame:
+    """keep and class by a model of one's own: model(array of pixels by bands) -> array of classes, a batch at a time."""
+    import pyarrow as pa
+
+    names = [f"_x{i}" for i in range(len(bands))]
+
+    def run(batches):
+        for batch in batches:
+            x = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(model(x))], names=[*keep, "class"])
+
+    kinds = dict(df.dtypes)
+    return df.select(*keep, *(F.col(b).cast("double").alias(n) for b, n in zip(bands, names, strict=True))).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + f", class {kind}")

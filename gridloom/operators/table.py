@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.expressions import Compiler, compile_over
-from ..session import few
+from ..session import collected, few, free_name
 
 #: Aggregations by name; std is of the sample in pivots (std_pop: of the population).
 AGGREGATES = {
@@ -16,6 +16,10 @@ AGGREGATES = {
 }
 
 
+#: Rows that a side may have against which each target is compared.
+NEAREST_ROWS = 10_000
+
+
 def aggregate(func: str, column: str, row_id: str | None = None) -> Column:
     """An aggregation by name: AGGREGATES, percentile_<p>, or first and last by row_id."""
     if func in AGGREGATES:
@@ -122,11 +126,12 @@ def join_tables(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     """
     how = {"outer": "full_outer"}.get(how, how)
     taken = {c: c + postfix if c in left.columns else c for c in right.columns if c != right_key or right_key != left_key}
-    own = right.select(F.col(right_key).alias("_key"), *(F.col(c).alias(n) for c, n in taken.items()))
-    out = left.join(own, left[left_key].eqNullSafe(own["_key"]), how)
+    key = free_name("_key", left, right)
+    own = right.select(F.col(right_key).alias(key), *(F.col(c).alias(n) for c, n in taken.items()))
+    out = left.join(own, left[left_key].eqNullSafe(own[key]), how)
     if right_key == left_key:
-        out = out.withColumn(left_key, F.coalesce(left_key, "_key"))
-    return fill(out.drop("_key"), nodata)
+        out = out.withColumn(left_key, F.coalesce(left_key, key))
+    return fill(out.drop(key), nodata)
 
 
 def first_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -157,29 +162,31 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left")
 def nearest_value(df: DataFrame, field: str, targets: DataFrame, target: str, threshold: float | None = None, order: str | None = None) -> DataFrame:
     """For each target its nearest row of df (ties: the least by `order`), and none if not within the threshold.
 
-    df is the small side (bands, signatures): it is broadcast, after its size was counted, as one sorted array.
+    df is the small side (bands, signatures): one array for all targets; more than NEAREST_ROWS rows are an error.
     """
-    place = order or field
-    rows = few(df.agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("o"), F.struct(*df.columns).alias("r")))).alias("_rows")), 1)
+    if df.count() > NEAREST_ROWS:
+        raise ValueError(f"more than {NEAREST_ROWS} rows")
+    place, rows, found = order or field, free_name("_rows", df, targets), free_name("_b", df, targets)
+    held = df.agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("o"), F.struct(*df.columns).alias("r")))).alias(rows))
     gap = lambda x: F.abs(x["r"][field] - F.col(target))
-    best = F.array_min(F.transform("_rows", lambda x: F.struct(gap(x).alias("d"), x["o"].alias("o"), x["r"].alias("r"))))
-    out = targets.crossJoin(rows).withColumn("_b", best).drop("_rows")  # one row against each target
-    ok = F.lit(True) if threshold is None else F.col("_b.d") < threshold
-    return out.select(*targets.columns, *(F.when(ok, F.col(f"_b.r.{c}")).alias(c) for c in df.columns))
+    best = F.array_min(F.transform(rows, lambda x: F.struct(gap(x).alias("d"), x["o"].alias("o"), x["r"].alias("r"))))
+    out = targets.crossJoin(F.broadcast(held)).withColumn(found, best).drop(rows)  # one row against each target
+    ok = F.lit(True) if threshold is None else F.col(f"{found}.d") < threshold
+    return out.select(*targets.columns, *(F.when(ok, F.col(f"{found}.r.{c}")).alias(c) for c in df.columns))
 
 
 def pivot(df: DataFrame, row: str, functions: Sequence[tuple[str, str]], secondary: Sequence[str] = (), condition: str | None = None, nodata: float = -999, cross_matrix: bool = False, values: Sequence[tuple] | None = None, row_id: str | None = None) -> DataFrame:
     """Groups by `row`; with secondary fields each of their combinations is a column <column>_<function>_<field><value>...
 
     cross_matrix: columns are named by the values alone. Missing cells are 0, missing results without secondary fields
-    nodata. values: the combinations, if known, which saves a pass; else they are read (at most 10 000).
+    nodata. values: the combinations, if known, which saves a pass; else they are read (more than 10 000 are an error).
     """
     if condition:
         df = filter_rows(df, condition)
     if not secondary:
         return fill(df.groupBy(row).agg(*(aggregate(f, c, row_id).alias(f"{c}_{f}") for c, f in functions)), nodata)
     if values is None:
-        values = sorted(tuple(r) for r in df.select(*secondary).distinct().limit(10_000).collect())
+        values = sorted(tuple(r) for r in collected(df.select(*secondary).distinct()))
     part = df.groupBy(row, *secondary).agg(*(aggregate(f, c, row_id).alias(f"_v{i}") for i, (c, f) in enumerate(functions)))
     cells = []
     for v in values:

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import few
-
 #: Columns of a table of polygons: fid, ring as array<struct<x double, y double>>, and attributes.
 RING = "ring"
+#: Points of polygons that a broadcast may hold (16 bytes each).
+POLYGON_POINTS = 2_000_000
 
 
 def boxes(features: DataFrame) -> DataFrame:
@@ -39,12 +39,31 @@ def pixels_in_polygons(df: DataFrame, features: DataFrame, cell: int = 256, **gr
     """Pixels joined with the polygons that hold their middles: an equi-join on square cells of the grid, then the test.
 
     Each polygon goes to the cells that its box meets, so no pixel is compared with all polygons; pixels are not copied.
+    Polygons are broadcast if they have at most POLYGON_POINTS points in all the cells that they go to, else both sides
+    are shuffled by cell. Columns of both sides stay.
     """
     own = pixel_centers(df, **grid)
     (x0, y0), (w, h) = grid.get("origin", (0.0, 0.0)), grid.get("size", (1.0, 1.0))
     place = lambda v, start, width: F.floor((v - start) / (width * cell)).cast("int")
-    met = boxes(features).withColumn("_i", F.explode(F.sequence(place(F.col("left"), F.lit(x0), w), place(F.col("right"), F.lit(x0), w)))).withColumn("_j", F.explode(F.sequence(place(-F.col("top"), F.lit(-y0), h), place(-F.col("bottom"), F.lit(-y0), h))))
-    return own.withColumns({"_i": F.expr(f"cast(c div {cell} as int)"), "_j": F.expr(f"cast(r div {cell} as int)")}).join(few(met, 100_000), ["_i", "_j"]).where(inside(F.col("x"), F.col("y"), F.col(RING))).drop("_i", "_j", "left", "top", "right", "bottom")
+    x, y = F.transform(RING, lambda p: p["x"]), F.transform(RING, lambda p: p["y"])
+    met = features.withColumn("_i", F.explode(F.sequence(place(F.array_min(x), F.lit(x0), w), place(F.array_max(x), F.lit(x0), w)))).withColumn("_j", F.explode(F.sequence(place(-F.array_max(y), F.lit(-y0), h), place(-F.array_min(y), F.lit(-y0), h))))
+    points = met.agg(F.sum(F.size(RING))).first()[0] or 0
+    met = F.broadcast(met) if points <= POLYGON_POINTS else met
+    return own.withColumns({"_i": F.expr(f"cast(c div {cell} as int)"), "_j": F.expr(f"cast(r div {cell} as int)")}).join(met, ["_i", "_j"]).where(inside(F.col("x"), F.col("y"), F.col(RING))).drop("_i", "_j")
+
+
+def clip_polygons(df: DataFrame, features: DataFrame, field: str | None = None, **grid) -> DataFrame:
+    """Pixels whose middles are in a polygon; with a field, of each of its values (a column more): a raster a value."""
+    keep = [c for c in df.columns] + ([field] if field else [])
+    return pixels_in_polygons(df, features, **grid).select(*keep).dropDuplicates(["r", "c"] + ([field] if field else []))
+
+
+def mask_polygons(df: DataFrame, features: DataFrame, bands: Sequence[str], inverse: bool = False, **grid) -> DataFrame:
+    """NoData in the bands inside the polygons (inverse: outside)."""
+    held = pixels_in_polygons(df.select("r", "c"), features, **grid).select("r", "c", F.lit(True).alias("_held")).distinct()
+    out = df.join(held, ["r", "c"], "left")
+    stays = F.col("_held").isNotNull() if inverse else F.col("_held").isNull()
+    return out.withColumns({b: F.when(stays, F.col(b)) for b in bands}).select(*df.columns)
 
 
 def rasterize(df: DataFrame, features: DataFrame, field: str, **grid) -> DataFrame:
@@ -96,3 +115,68 @@ def to_geojson(features: DataFrame) -> DataFrame:
 
 def random_points(spark, number: int, left: float, top: float, right: float, bottom: float, seed: int = 0) -> DataFrame:
     return spark.range(number).select("id", (F.lit(left) + F.rand(seed) * (right - left)).alias("x"), (F.lit(bottom) + F.rand(seed + 1) * (top - bottom)).alias("y"))
+
+
+def rasterize_touched(df: DataFrame, features: DataFrame, field: str, precision: int = 8, **grid) -> DataFrame:
+    """r, c and the field of a polygon that touches the pixel in one of precision^2 places (of several the largest fid)."""
+    (x0, y0), (w, h) = grid.get("origin", (0.0, 0.0)), grid.get("size", (1.0, 1.0))
+    part = F.explode(F.sequence(F.lit(0), F.lit(precision - 1)))
+    fine = df.select("r", "c", part.alias("i")).select("r", "c", "i", part.alias("j")).select((F.col("r") * precision + F.col("i")).alias("r"), (F.col("c") * precision + F.col("j")).alias("c"))
+    met = pixels_in_polygons(fine, features, origin=(x0, y0), size=(w / precision, h / precision)).groupBy(F.expr(f"cast(r div {precision} as int)").alias("r"), F.expr(f"cast(c div {precision} as int)").alias("c")).agg(F.max_by(field, "fid").alias("value"))
+    return df.select("r", "c").join(met, ["r", "c"], "left")
+
+
+def region_rings(edges: DataFrame) -> DataFrame:
+    """region, value, ring (array of x, y; x right, y down) and area of each ring that bounds a region: holes are negative.
+
+    edges: region, value, r, c, side (region_edges). A region's edges meet in one task, as its polygon is one value.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    kinds = dict(edges.dtypes)
+    point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+    def run(key, table):
+        r, c, side = (table.column(n).to_pylist() for n in ("r", "c", "side"))
+        # each edge from corner to corner, the region on its right
+        ways = {"N": lambda r, c: ((c, r), (c + 1, r)), "E": lambda r, c: ((c + 1, r), (c + 1, r + 1)), "S": lambda r, c: ((c + 1, r + 1), (c, r + 1)), "W": lambda r, c: ((c, r + 1), (c, r))}
+        onward: dict = {}
+        for y, x, s in zip(r, c, side, strict=True):
+            a, b = ways[s](y, x)
+            onward.setdefault(a, []).append(b)
+        rings, areas = [], []
+        while onward:
+            start = at = next(iter(onward))
+            ring, way = [], None
+            while True:
+                to = onward[at]
+                if len(to) > 1 and way is not None:  # two of the region's pixels meet at this corner: turn right, and stay with one
+                    to.sort(key=lambda p: way[0] * (p[1] - at[1]) - way[1] * (p[0] - at[0]))
+                step = to.pop()
+                if not to:
+                    del onward[at]
+                new = (step[0] - at[0], step[1] - at[1])
+                if new != way:
+                    ring.append(at)
+                at, way = step, new
+                if at == start:
+                    break
+            p = np.array(ring, float)
+            q = np.roll(p, -1, 0)
+            rings.append([{"x": float(x), "y": float(y)} for x, y in ring])
+            areas.append(float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2))
+        n = len(rings)
+        return pa.table({"region": pa.array([key[0].as_py()] * n, key[0].type), "value": pa.array(table.column("value").to_pylist()[:1] * n, table.column("value").type), "ring": pa.array(rings, point), "area": pa.array(areas, pa.float64())})
+
+    return edges.groupBy("region").applyInArrow(run, f"region {kinds['region']}, value {kinds['value']}, ring array<struct<x:double,y:double>>, area double")
+
+
+def union_features(features: DataFrame, field: str) -> DataFrame:
+    """One row a value of the field: its rings together (a multipolygon), their number and area. Rings don't overlap."""
+    return features.groupBy(field).agg(F.collect_list(RING).alias("rings"), F.count("*").alias("parts"), F.sum(area(F.col(RING))).alias("area"))
+
+
+def explode_features(merged: DataFrame, field: str) -> DataFrame:
+    """A row a ring of what union_features merged."""
+    return merged.select(field, F.posexplode("rings").alias("part", RING))

@@ -61,6 +61,20 @@ def nearest_band(bands: DataFrame, wavelength: float, threshold: float | None =
     return near if threshold is None else near.where(gap < threshold)
 
 
+def bands_where(bands: DataFrame, **attributes) -> DataFrame:
+    """Bands with the given attributes; a list stands for any of its values."""
+    out = bands
+    for name, value in attributes.items():
+        out = out.where(F.col(name).isin(list(value)) if isinstance(value, (list, tuple)) else F.col(name).eqNullSafe(F.lit(value)))
+    return out
+
+
+def set_attribute(bands: DataFrame, name: str, value, number: int | None = None) -> DataFrame:
+    """An attribute of all bands, or of one."""
+    new = F.lit(value).cast(dict(bands.dtypes)[name])
+    return bands.withColumn(name, new if number is None else F.when(F.col("band_number") == number, new).otherwise(F.col(name)))
+
+
 def spectral_bands(bands: DataFrame, unit: str = "micrometre") -> DataFrame:
     """range, band_number: of each spectral range the nearest band within its reach; none: null."""
     scale = _UNITS.get(unit, 0.0)
@@ -97,14 +111,22 @@ class BandSet:
             date = str(spark.range(1).select(date_from_path(F.lit(paths[0]))).first()[0])
         if date:
             bands = bands.withColumn("date", F.lit(date).cast("date"))
-        order = [n for _, n in sorted(zip(waves, names, strict=True), key=lambda x: x[0])]
-        return cls(sort_by_wavelength(bands), pixels.select("r", "c", *order), name, date)
+        order = sorted(zip(waves, names, strict=True), key=lambda x: x[0])
+        out = cls(sort_by_wavelength(bands), pixels.select("r", "c", *(n for _, n in order)), name, date)
+        out._waves, out._nodata = ([float(w) for w, _ in order], unit), nodata  # known here: no need to ask the table
+        return out
 
     @property
     def names(self) -> list[str]:
         return [c for c in self.pixels.columns if c not in ("r", "c")]
 
     def ranges(self) -> dict[str, int]:
+        """Band numbers by spectral range, as spectral_bands has them."""
+        if not hasattr(self, "_ranges") and hasattr(self, "_waves"):
+            waves, unit = self._waves
+            scale = _UNITS.get(unit, 0.0)
+            near = {k: min((abs(w - c * scale), i) for i, w in enumerate(waves, 1)) for k, (c, _) in SPECTRAL_RANGES.items()} if waves else {}
+            self._ranges = {k: near[k][1] if k in near and near[k][0] < d * scale else None for k, (_, d) in SPECTRAL_RANGES.items()}
         if not hasattr(self, "_ranges"):
             unit = self.bands.select("wavelength_unit").first()
             self._ranges = {r["range"]: r.band_number for r in spectral_bands(self.bands, unit[0] if unit else "micrometre").collect()}  # six rows
@@ -144,6 +166,17 @@ class Catalog:
     def move(self, number: int, to: int) -> None:
         self.sets.insert(to - 1, self.sets.pop(number - 1))
 
+    def reset(self) -> None:
+        self.sets, self.current = [], 1
+
+    def bbox(self) -> DataFrame:
+        """top, bottom, left and right of all sets' pixels."""
+        each = [s.pixels.agg(F.min("r").alias("top"), F.max("r").alias("bottom"), F.min("c").alias("left"), F.max("c").alias("right")) for s in self.sets]
+        out = each[0]
+        for x in each[1:]:
+            out = out.union(x)
+        return out.agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("left").alias("left"), F.max("right").alias("right"))
+
     def sort_by_date(self) -> None:
         self.sets.sort(key=lambda s: s.date or "")
 
@@ -189,12 +222,18 @@ class Catalog:
 
     def wide(self, sets: Sequence[int] | None = None, union: bool = False) -> DataFrame:
         """r, c and s<number>_<band> of the sets, of pixels in all of them (union: in any)."""
+        numbers = list(sets or range(1, len(self.sets) + 1))
+        kinds = {f"s{k}_{n}": t for k in numbers for n, t in self.sets[k - 1].pixels.dtypes if n not in ("r", "c")}
         out = None
-        for k in sets or range(1, len(self.sets) + 1):
+        for k in numbers:  # one grouping by position, however many sets meet
             s = self.sets[k - 1]
-            one = s.pixels.select("r", "c", *(F.col(n).alias(f"s{k}_{n}") for n in s.names))
-            out = one if out is None else out.join(one, ["r", "c"], "full_outer" if union else "inner")
-        return out
+            own = {f"s{k}_{n}": F.col(n) for n in s.names}
+            one = s.pixels.select("r", "c", *(own.get(n, F.lit(None).cast(t)).alias(n) for n, t in kinds.items()))
+            out = one if out is None else out.unionByName(one)
+        if len(numbers) == 1:
+            return out
+        got = out.groupBy("r", "c").agg(F.count("*").alias("_sets"), *(F.max(n).alias(n) for n in kinds))
+        return (got if union else got.where(F.col("_sets") == len(numbers))).drop("_sets")
 
 
 def program(text: str, catalog: Catalog) -> list[tuple[str, str]]:
@@ -239,7 +278,7 @@ def run_program(text: str, catalog: Catalog, union: bool = False, mask: str = "a
         return ref if ref in wide.columns else catalog.columns(ref)
 
     nodata = {}
-    for k, s in enumerate(catalog.sets, 1):
+    for k, s in enumerate(catalog.sets if "nodata" in text.lower() else [], 1):
         for r in s.bands.select("band_number", "nodata").collect():  # a row a band
             nodata[f"bandset{k}b{r.band_number}"] = r.nodata
     return band_calc(wide, program(text, catalog), resolve, mask, nodata)

@@ -8,8 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .fixtures import BANDS, COLUMNS, EMBED_SQL, GRID_SQL, WAVELENGTHS, embed, grid, table
+from .functions.projection import from_utm, to_utm
 from .operators import neighborhood as nb, preprocess as pp, raster as ra, spectral as sp, table as tb, vector as ve
+from .operators.tiles import offsets, window_stat
 from .plans import catalog as cat
+from .session import shared_path
+from .sources import records as re, tables as so
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,7 +46,9 @@ def doubles(df: DataFrame, places: int = 6) -> DataFrame:
 
 @query("SELECT event_id, value, event_type FROM events")
 def scan_table(spark, sf):
-    return table(spark, sf, "events").select("event_id", "value", "event_type")
+    path = shared_path(spark, "events")
+    so.write_text(table(spark, sf, "events").select("event_id", "value", "event_type"), path, decimals=17, separator=",")
+    return so.open_table(spark, path).select("event_id", "value", "event_type")
 
 
 @query(G + "SELECT r, c, vh * 2 + 1 AS v FROM px")
@@ -52,7 +58,9 @@ def scan_raster(spark, sf):
 
 @query(G + "SELECT r, c, v FROM px WHERE r BETWEEN 2 AND 6 AND c BETWEEN 10 AND 30")
 def window_read(spark, sf):
-    return ra.clip_extent(grid(spark, sf), 10, 2, 30, 6).select("r", "c", "v")
+    path = shared_path(spark, "raster")
+    so.write_raster(grid(spark, sf).select("r", "c", "v"), path, kind="double")
+    return so.read_raster(spark, path, window=(2, 10, 6, 30))
 
 
 @query(G + "SELECT 'v' AS band, min(r) AS top, max(r) AS bottom, min(c) AS \"left\", max(c) AS \"right\", count(*) AS pixels, count(vh) AS valid FROM px")
@@ -106,12 +114,13 @@ def date_ranges(spark, sf):
 
 # ---- joins
 
-_JOIN = "SELECT coalesce(o_orderkey, -9999) AS o_orderkey, coalesce(o_custkey, -9999) AS o_custkey, coalesce(c_custkey, -9999) AS c_custkey, coalesce(c_acctbal, -9999) AS c_acctbal FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 0) {} JOIN (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 5 <> 0) ON o_custkey = c_custkey"
+_JOIN = "SELECT coalesce(o_orderkey, -9999) AS o_orderkey, coalesce(o_custkey, -9999) AS o_custkey, coalesce(c_custkey, -9999) AS c_custkey, coalesce(c_acctbal, -9999) AS c_acctbal FROM (SELECT o_orderkey, o_custkey + 100 AS o_custkey FROM orders) {} JOIN (SELECT c_custkey, c_acctbal FROM customer) ON o_custkey = c_custkey"
 
 
 def _join(spark, sf, how):
-    left = table(spark, sf, "orders").where("o_orderkey % 7 <> 0").select("o_orderkey", "o_custkey")
-    right = table(spark, sf, "customer").where("c_custkey % 5 <> 0").select("c_custkey", "c_acctbal")
+    """Orders with every key moved on, so that some find no customer and some customers no order."""
+    left = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") + 100).alias("o_custkey"))
+    right = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
     return tb.join_tables(left, right, "o_custkey", "c_custkey", how)
 
 
@@ -142,9 +151,9 @@ def join_first_match(spark, sf):
     return out.select("o_orderkey", "l_partkey", "l_extendedprice")
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey, r_name FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey < 5) JOIN (SELECT r_regionkey AS n_nationkey, r_name FROM region) USING (n_nationkey)")
+@query("SELECT n_nationkey, n_name, n_regionkey, r_name FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation) JOIN (SELECT r_regionkey AS n_nationkey, r_name FROM region) USING (n_nationkey)")
 def join_unique(spark, sf):
-    left = table(spark, sf, "nation").where("n_nationkey < 5").select("n_nationkey", "n_name", "n_regionkey")
+    left = table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
     return tb.join_unique(left, table(spark, sf, "region").select(F.col("r_regionkey").alias("n_nationkey"), "r_name"), "n_nationkey", "inner")
 
 
@@ -254,9 +263,9 @@ def class_covariance(spark, sf):
     return doubles(sp.class_covariances(embed(spark, sf), "cls", BANDS[:2]), 8)
 
 
-@query(E + "SELECT r, c, b1, b2, cls FROM pe WHERE r < 5")
+@query(E + "SELECT r, c, b1, b2, cls FROM pe")
 def train_matrix(spark, sf):
-    return embed(spark, sf).where("r < 5").select("r", "c", "b1", "b2", "cls")
+    return embed(spark, sf).select("r", "c", "b1", "b2", "cls")
 
 
 @query(E + ", lo AS (SELECT min(b1) AS x, min(b2) AS y FROM pe) SELECT CAST(floor((b1 - (x - 0.1)) / 0.1) AS BIGINT) AS bin_x, CAST(floor((b2 - (y - 0.1)) / 0.1) AS BIGINT) AS bin_y, count(*) AS pixels FROM pe, lo GROUP BY 1, 2")
@@ -269,14 +278,14 @@ def dark_object(spark, sf):
     return ra.dark_object(grid(spark, sf), "k")
 
 
-@query(E + "SELECT cls, count(*) AS pixels, round(avg(b1), 6) AS mean_b1, round(stddev_pop(b1), 6) AS std_b1 FROM pe WHERE r < 5 GROUP BY 1")
+@query(E + "SELECT cls, count(*) AS pixels, round(avg(b1), 6) AS mean_b1, round(stddev_pop(b1), 6) AS std_b1 FROM pe GROUP BY 1")
 def roi_signature(spark, sf):
-    return doubles(sp.signatures(embed(spark, sf).where("r < 5"), "cls", ["b1"]))
+    return doubles(sp.signatures(embed(spark, sf), "cls", ["b1"]))
 
 
-@query(E + ", s AS (SELECT cls, avg(b1) AS v, stddev_pop(b1) AS d FROM pe WHERE cls IN (1, 2) GROUP BY 1) SELECT CAST(0.49 AS DOUBLE) AS wavelength, round(avg(v), 6) AS value, round(sqrt(avg(d * d)), 6) AS standard_deviation FROM s")
+@query(E + ", s AS (SELECT cls, avg(b1) AS v, stddev_pop(b1) AS d FROM pe GROUP BY 1) SELECT CAST(0.49 AS DOUBLE) AS wavelength, round(avg(v), 6) AS value, round(sqrt(avg(d * d)), 6) AS standard_deviation FROM s")
 def sig_merge(spark, sf):
-    s = sp.signatures(embed(spark, sf).where("cls IN (1, 2)"), "cls", ["b1"])
+    s = sp.signatures(embed(spark, sf), "cls", ["b1"])
     return doubles(sp.merge_signatures(s.select(F.lit(0.49).cast("double").alias("wavelength"), F.col("mean_b1").alias("value"), F.col("std_b1").alias("standard_deviation"))))
 
 
@@ -309,9 +318,9 @@ def band_sort(spark, sf):
     return cat.renumber(_bandset(spark, sf).bands.withColumn("_w", -F.col("wavelength")), "_w").select("band_number", "wavelength")
 
 
-@query("SELECT d AS \"date\", CAST(row_number() OVER (ORDER BY d) AS INT) AS number FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey < 40)")
+@query("SELECT d AS \"date\", CAST(row_number() OVER (ORDER BY d) AS INT) AS number FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)")
 def bandset_sort(spark, sf):
-    days = table(spark, sf, "orders").where("o_orderkey < 40").select(F.to_date("o_orderdate").alias("date")).distinct()
+    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
     return cat.renumber(days, "date").withColumnRenamed("band_number", "number")
 
 
@@ -328,7 +337,7 @@ def band_remove(spark, sf):
 
 @query(f"SELECT band_number, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL} WHERE wavelength = 0.665")
 def band_by_attr(spark, sf):
-    return _bandset(spark, sf).bands.where("wavelength = 0.665").select("band_number", "wavelength")
+    return cat.bands_where(_bandset(spark, sf).bands, wavelength=0.665).select("band_number", "wavelength")
 
 
 @query(G + "SELECT k AS old_value, CAST(row_number() OVER (ORDER BY k) AS INT) AS new_value FROM (SELECT DISTINCT k FROM px)")
@@ -634,7 +643,10 @@ def region_stats(spark, sf):
     return nb.region_stats(grid(spark, sf).where("k >= 2").selectExpr("r", "c", "1 AS f"), "f", COLUMNS)
 
 
-@query()
+_SIEVE = "WITH RECURSIVE " + GRID_SQL + ", f AS (SELECT r, c, k, r * 100 + c AS id FROM px), w(id, to_id, k) AS (SELECT id, id, k FROM f UNION SELECT w.id, n.id, w.k FROM w JOIN f p ON p.id = w.to_id JOIN f n ON abs(n.r - p.r) + abs(n.c - p.c) = 1 AND n.k = w.k), m AS (SELECT id, min(to_id) AS patch, count(*) AS n FROM w GROUP BY 1), g AS (SELECT f.*, m.patch, m.n FROM f JOIN m USING (id)), "
+
+
+@query(_SIEVE + "b AS (SELECT DISTINCT x.patch AS a, y.k, y.n FROM g x JOIN g y ON abs(x.r - y.r) + abs(x.c - y.c) = 1 AND x.patch <> y.patch WHERE x.n < 3), t AS (SELECT a, first(k ORDER BY n DESC, k) AS k FROM b GROUP BY 1) SELECT CAST(g.r AS INT) AS r, CAST(g.c AS INT) AS c, coalesce(t.k, g.k) AS value FROM g LEFT JOIN t ON t.a = g.patch")
 def sieve(spark, sf):
     return nb.sieve(grid(spark, sf), "k", 3, COLUMNS)
 
@@ -706,28 +718,28 @@ _classify("classify_sam", "sam")
 _classify("classify_threshold", "md", 0.28)
 
 
-@query()
+@query(E + ", s AS (SELECT cls, avg(b1) AS x, avg(b2) AS y, covar_samp(b1, b1) AS a, covar_samp(b1, b2) AS b, covar_samp(b2, b2) AS c FROM pe GROUP BY 1), q AS (SELECT r, c, s.cls, -ln(a * s.c - b * b) - (s.c * (b1 - x) * (b1 - x) - 2 * b * (b1 - x) * (b2 - y) + a * (b2 - y) * (b2 - y)) / (a * s.c - b * b) AS l FROM (SELECT r, c, b1, b2 FROM pe) p, (SELECT cls, x, y, a, b, c AS c FROM s) s)".replace("r, c, s.cls", "p.r, p.c, s.cls") + ", o AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY l DESC, cls) AS i FROM q) SELECT r, c, cls AS class, round(l, 6) AS likelihood FROM o WHERE i = 1")
 def classify_ml(spark, sf):
     px = embed(spark, sf)
-    return doubles(sp.classify_likelihood(px, px, "cls", BANDS[:3]))
+    return doubles(sp.classify_likelihood(px, px, "cls", BANDS[:2]))
 
 
 @query()
 def classify_random_forest(spark, sf):
     px = embed(spark, sf)
-    return sp.predict(sp.learner("random_forest", BANDS, "cls", trees=10).fit(px.where("r < 10")), px)
+    return sp.predict(sp.learner("random_forest", BANDS, "cls", trees=10).fit(px), px)
 
 
 @query()
 def classify_svm(spark, sf):
     px = embed(spark, sf)
-    return sp.predict(sp.learner("svm", BANDS, "cls").fit(px.where("r < 10")), px)
+    return sp.predict(sp.learner("svm", BANDS, "cls").fit(px), px)
 
 
 @query()
 def classify_mlp(spark, sf):
     px = embed(spark, sf)
-    return sp.predict(sp.learner("mlp", BANDS, "cls", hidden=[16], classes=10, max_iter=30).fit(px.where("r < 10")), px)
+    return sp.predict(sp.learner("mlp", BANDS, "cls", hidden=[16], classes=10, max_iter=30).fit(px), px)
 
 
 @query(E + ", a AS (SELECT avg(b1) AS m, stddev_pop(b1) AS s FROM pe) SELECT r, c, round((b1 - m) / (s + 1e-6), 6) AS b1 FROM pe, a")
@@ -745,9 +757,12 @@ def pca_cov(spark, sf):
     return doubles(sp.covariance(embed(spark, sf), BANDS).drop("correlation"), 8)
 
 
-@query()
+_PCA = ", m AS (SELECT avg(b1) AS x, avg(b2) AS y, covar_samp(b1, b1) AS a, covar_samp(b1, b2) AS b, covar_samp(b2, b2) AS d FROM pe), l AS (SELECT *, (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS v FROM m), u AS (SELECT *, b / sqrt(b * b + (v - a) * (v - a)) AS p, (v - a) / sqrt(b * b + (v - a) * (v - a)) AS q FROM l), w AS (SELECT x, y, p * s AS p, q * s AS q, CASE WHEN abs(p) > abs(q) THEN sign(p * s) ELSE sign(-q * s) END AS t FROM (SELECT *, CASE WHEN abs(p) > abs(q) THEN sign(p) ELSE sign(q) END AS s FROM u))"
+
+
+@query(E + _PCA + " SELECT r, c, round((b1 - x) * p + (b2 - y) * q, 6) AS pc1, round(t * (-(b1 - x) * q + (b2 - y) * p), 6) AS pc2 FROM pe, w")
 def pca_scores(spark, sf):
-    return doubles(sp.principal_components(embed(spark, sf), BANDS, 2)[0])
+    return doubles(sp.principal_components(embed(spark, sf), BANDS[:2], 2)[0])
 
 
 _SEEDS = E + ", m AS (SELECT min(b1) AS l1, max(b1) AS h1, min(b2) AS l2, max(b2) AS h2 FROM pe), s AS (SELECT CAST(i + 1 AS INT) AS k, l1 + (i + 0.5) * (h1 - l1) / 3 AS x, l2 + (i + 0.5) * (h2 - l2) / 3 AS y FROM m, range(3) t(i)), q AS (SELECT r, c, b1, b2, k, sqrt((b1 - x) * (b1 - x) + (b2 - y) * (b2 - y)) AS d FROM pe, s), o AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY d, k) AS i FROM q) "
@@ -773,17 +788,17 @@ def cluster_kmeans(spark, sf):
 # ---- preprocessing
 
 
-def _pre(name: str, f: Callable, sql: str):
+def _pre(name: str, f: Callable, sql: str, places: int = 6):
     def run(spark, sf):
-        return doubles(grid(spark, sf, holes=True).select("r", "c", f(F.col("v")).alias("v")))
+        return doubles(grid(spark, sf, holes=True).select("r", "c", f(F.col("v")).alias("v")), places)
 
     run.__name__ = name
-    query(G + f"SELECT r, c, round(CASE WHEN vh IS NOT NULL THEN {sql} END, 6) AS v FROM px")(run)
+    query(G + f"SELECT r, c, round(CASE WHEN vh IS NOT NULL THEN {sql} END, {places}) AS v FROM px")(run)
 
 
 _pre("toa_s2", lambda v: pp.linear(v, 1 / 200, -0.1), "greatest(0, least(1, vh / 200 - 0.1))")
 _pre("toa_reflectance", lambda v: pp.top_of_atmosphere(v, 0.002, -0.1, 40.0), f"greatest(0, least(1, (vh * 0.002 - 0.1) / {math.sin(math.radians(40.0))!r}))")
-_pre("sr_l2", lambda v: pp.linear(v, 0.00275, -0.2), "greatest(0, least(1, vh * 0.00275 - 0.2))")
+_pre("sr_l2", lambda v: pp.linear(v, 0.00275, -0.2), "greatest(0, least(1, vh * 0.00275 - 0.2))", 9)  # values of two decimals: at six places many are ties
 _pre("brightness_temp", lambda v: pp.brightness_temperature(v, 0.0003342, 0.1, 774.8853, 1321.0789), "1321.0789 / ln(1 + 774.8853 / (vh * 0.0003342 + 0.1))")
 _pre("hls_non_negative", lambda v: pp.non_negative(v - 50), "greatest(vh - 50, 0)")
 
@@ -809,7 +824,201 @@ def product_search(spark, sf):
 
 @query("SELECT 'https://example.org/' || o_orderstatus || '/' || o_orderkey || '/B02.tif' AS url FROM orders")
 def product_urls(spark, sf):
-    return table(spark, sf, "orders").select(F.concat(F.lit("https://example.org/"), "o_orderstatus", F.lit("/"), F.col("o_orderkey").cast("string"), F.lit("/B02.tif")).alias("url"))
+    products = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("product_id"), F.col("o_orderstatus").alias("collection"))
+    return pp.product_urls(products, "https://example.org", ["B02"]).select("url")
+
+
+# ---- files, catalogs and polygons
+
+
+def _csv(name: str, decimals: int, where: str = ""):
+    def run(spark, sf):
+        path = shared_path(spark, name)
+        so.write_text(table(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice"), path, decimals=decimals, separator=";")
+        return so.open_text(spark, path, ";")
+
+    run.__name__ = name
+    query(f"SELECT p_partkey, p_name, round(p_retailprice, {decimals}) AS p_retailprice FROM part")(run)
+
+
+_csv("scan_csv", 6)
+
+
+@query(G + "SELECT r, c, CASE WHEN vh IS NOT NULL THEN round(vh, 2) END AS v FROM px")
+def write_raster(spark, sf):
+    path = shared_path(spark, "raster")
+    so.write_raster(doubles(grid(spark, sf, holes=True).select("r", "c", "v"), 2), path, nodata=-32768, scale=0.01, kind="int")
+    return doubles(so.read_raster(spark, path, nodata=-32768, scale=0.01), 2)
+
+
+@query(G + "SELECT r, c, vh AS v FROM px")
+def copy_raster(spark, sf):
+    one, two = shared_path(spark, "raster"), shared_path(spark, "copy")
+    so.write_raster(grid(spark, sf, holes=True).select("r", "c", "v"), one, kind="double")
+    re.copy_raster(spark, one, two, kind="double")
+    return so.read_raster(spark, two)
+
+
+@query(E + ", s AS (SELECT cls, " + ", ".join(f"avg({b}) AS {b}, stddev_pop({b}) AS d{b}" for b in BANDS[:2]) + f" FROM pe GROUP BY 1) SELECT cls, CAST({WAVELENGTHS[0]} AS DOUBLE) AS wavelength, round(b1, 8) AS value, round(db1, 8) AS standard_deviation FROM s UNION ALL SELECT cls, CAST({WAVELENGTHS[1]} AS DOUBLE), round(b2, 8), round(db2, 8) FROM s")
+def signature_files(spark, sf):
+    path = shared_path(spark, "signatures")
+    re.write_signatures(re.spectra(sp.signatures(embed(spark, sf), "cls", BANDS[:2]), "cls", BANDS[:2], WAVELENGTHS[:2]), path)
+    return doubles(re.read_signatures(spark, path).withColumn("cls", F.col("cls").cast("int")), 8)
+
+
+@query(_SIGS + f", q AS (SELECT p.r, p.c, s.cls, {_dist('md')} AS d FROM pe p, s), o AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY d, cls) AS i FROM q) SELECT r, c, cls AS class, round(d, 4) AS distance FROM o WHERE i = 1")
+def classify_from_file(spark, sf):
+    """Signatures written to a file, read back and used."""
+    path = shared_path(spark, "signatures")
+    px = embed(spark, sf)
+    re.write_signatures(re.spectra(sp.signatures(px, "cls", BANDS), "cls", BANDS, WAVELENGTHS), path)
+    sig = re.from_spectra(re.read_signatures(spark, path).withColumn("cls", F.col("cls").cast("int")), "cls", BANDS, WAVELENGTHS)
+    return doubles(sp.classify(px, sig, "cls", BANDS), 4)
+
+
+@query(f"SELECT band_number, 'b' || band_number AS name, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL}")
+def bandset_create(spark, sf):
+    return _bandset(spark, sf).bands.select("band_number", "name", "wavelength")
+
+
+@query(f"SELECT band_number, 'b' || band_number AS name, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL}")
+def bandset_xml(spark, sf):
+    path = shared_path(spark, "bandset")
+    re.write_xml(_bandset(spark, sf).bands, path, "bandset", "band")
+    return re.read_xml(spark, path, "band", cat.BAND_SCHEMA).select("band_number", "name", "wavelength")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS product_id, CAST(o_orderdate AS DATE) AS acquisition_date, CAST(o_custkey % 100 AS DOUBLE) AS cloud_cover FROM orders")
+def product_xml(spark, sf):
+    path = shared_path(spark, "products")
+    products = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("product_id"), F.to_date("o_orderdate").alias("acquisition_date"), (F.col("o_custkey") % 100).cast("double").alias("cloud_cover"))
+    re.write_xml(products, path, "products", "product")
+    return re.read_xml(spark, path, "product", products.schema)
+
+
+@query("SELECT '<tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>' AS html FROM nation")
+def html_table(spark, sf):
+    return re.html_rows(table(spark, sf, "nation"), ["n_nationkey", "n_name"])
+
+
+@query("SELECT DISTINCT '/data/' || event_type AS folder, event_type || '.TIF' AS file, event_type AS name, 'tif' AS ending, 'raster' AS kind FROM events")
+def path_parts(spark, sf):
+    path = F.concat(F.lit("/data/"), "event_type", F.lit("/"), "event_type", F.lit(".TIF"))
+    return table(spark, sf, "events").select(*(x.alias(n) for n, x in re.path_parts(path).items()), re.kind_of(path).alias("kind")).distinct()
+
+
+@query("SELECT n_nationkey, printf('#%02x%02x%02x', n_nationkey, n_regionkey * 50, 255 - n_nationkey) AS colour, n_regionkey * 50 AS green FROM nation")
+def colours(spark, sf):
+    colour = re.hex_colour(F.col("n_nationkey"), F.col("n_regionkey") * 50, 255 - F.col("n_nationkey"))
+    return table(spark, sf, "nation").select("n_nationkey", colour.alias("colour"), re.colour_parts(colour)[1].alias("green"))
+
+
+_S2 = "(VALUES " + ", ".join(f"('{n}', {w})" for n, w in cat.SENSORS["Sentinel-2"]) + ") t(name, wavelength)"
+
+
+@query(f"SELECT name, CAST(wavelength AS DOUBLE) AS wavelength FROM {_S2}")
+def sensor_lookup(spark, sf):
+    names = spark.createDataFrame([(i, f"scene_{n}") for i, (n, _) in enumerate(cat.SENSORS["Sentinel-2"], 1)], "band_number int, name string").withColumn("wavelength", F.lit(None).cast("double"))
+    return cat.sensor_bands(names, "Sentinel-2").select(F.substring("name", 7, 9).alias("name"), "wavelength")
+
+
+def _two_sets(spark, sf) -> cat.Catalog:
+    px = embed(spark, sf).drop("cls")
+    return cat.Catalog([cat.BandSet.create(px.where(w).select("r", "c", F.col("b1").alias(f"{n}_b1")), name=n) for n, w in (("left", "c < 20"), ("right", "c >= 5"))])
+
+
+@query("SELECT CAST(2 AS INT) AS number")
+def bandset_by_name(spark, sf):
+    return spark.createDataFrame([(n,) for n in _two_sets(spark, sf).by_name("right")], "number int")
+
+
+@query(E + "SELECT CAST(min(r) AS INT) AS top, CAST(max(r) AS INT) AS bottom, CAST(min(c) AS INT) AS \"left\", CAST(max(c) AS INT) AS \"right\" FROM pe")
+def catalog_bbox(spark, sf):
+    return _two_sets(spark, sf).bbox()
+
+
+@query(E + "SELECT r, c, round(b1 * 2, 6) AS b1, round(b1 + b2, 6) AS b2 FROM pe")
+def calc_bandset(spark, sf):
+    """Results of a calculation as a band set of their own, which the next one uses."""
+    px = embed(spark, sf).drop("cls")
+    first = cat.BandSet.create(ra.band_calc(px, [('"b1"', "x"), ('"b1" + "b2"', "y")]))
+    return doubles(cat.run_program('"b1" * 2 @b1\n"b2" @b2', cat.Catalog([first])))
+
+
+@query(E + "SELECT r, c, CAST(b1 AS FLOAT) * CAST(3 AS FLOAT) AS v FROM (SELECT r, c, CAST(b1 AS FLOAT) AS b1 FROM pe)")
+def calc_float32(spark, sf):
+    return ra.band_calc(embed(spark, sf).select("r", "c", "b1"), [('"b1" * 3', "v")], kind="float")
+
+
+@query(G + f"SELECT DISTINCT r, c, v FROM ({_IN_BOX})")
+def clip_polygon(spark, sf):
+    return ve.clip_polygons(grid(spark, sf).select("r", "c", "v"), ve.rectangles(spark, _BOXES))
+
+
+@query(G + f"SELECT DISTINCT r, c, v, CAST(value AS INT) AS value FROM ({_IN_BOX})")
+def clip_by_field(spark, sf):
+    return ve.clip_polygons(grid(spark, sf).select("r", "c", "v"), ve.rectangles(spark, _BOXES), "value")
+
+
+@query(G + f"SELECT r, c, CASE WHEN b.value IS NULL THEN px.v END AS v FROM px LEFT JOIN (SELECT DISTINCT r, c, 1 AS value FROM ({_IN_BOX})) b USING (r, c)")
+def mask_polygon(spark, sf):
+    return ve.mask_polygons(grid(spark, sf).select("r", "c", "v"), ve.rectangles(spark, _BOXES), ["v"])
+
+
+@query(G + "SELECT a.r, a.c, CASE WHEN count(*) FILTER (b.k = 3) = 0 THEN a.v END AS v FROM px a JOIN px b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY a.r, a.c, a.v")
+def mask_buffer(spark, sf):
+    return ra.mask_values(grid(spark, sf).select("r", "c", "k", "v"), "k", [3], ["v"], buffer=1, circular=False).select("r", "c", "v")
+
+
+@query(G + "SELECT CAST(r * 2 + i AS INT) AS r, CAST(c * 2 + j AS INT) AS c, v FROM px, range(2) a(i), range(2) b(j)")
+def resample_finer(spark, sf):
+    return ra.resample_to(grid(spark, sf).select("r", "c", "v"), "v", "nearest_neighbour", (1.0, 1.0), (0.5, 0.5))
+
+
+@query(G + "SELECT CAST(floor((r + 0.5 - 1) / 3) AS INT) AS r, CAST(floor((c + 0.5 - 2) / 3) AS INT) AS c, round(avg(v), 6) AS v FROM px GROUP BY 1, 2")
+def resample_aligned(spark, sf):
+    return doubles(ra.resample_to(grid(spark, sf).select("r", "c", "v"), "v", "average", (1.0, 1.0), (3.0, 3.0), new_origin=(2.0, 1.0)))
+
+
+@query(_NEAR.format("CASE WHEN a.vh IS NOT NULL THEN round(max(b.vh) - min(b.vh), 6) END"))
+def neighbor_custom(spark, sf):
+    """A kernel of one's own: the range of values in each window."""
+    top, low = (window_stat(n, offsets(1)) for n in ("max", "min"))
+    return doubles(nb.neighbor_apply(grid(spark, sf, holes=True), "v", lambda x, present: top(x, present) - low(x, present)))
+
+
+@query(E + "SELECT r, c, CASE WHEN b1 + 2 * b2 > 0.1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS class FROM pe")
+def custom_model(spark, sf):
+    return sp.predict_with(embed(spark, sf), BANDS[:2], lambda x: (x[:, 0] + 2 * x[:, 1] > 0.1) + 1.0)
+
+
+@query(_PATCH + ", m AS (SELECT id, min(to_id) AS patch FROM w GROUP BY 1) SELECT CAST(patch AS BIGINT) AS region, CAST(count(*) AS DOUBLE) AS area FROM m GROUP BY 1")
+def raster_polygons(spark, sf):
+    """Rings of the regions' polygons; with holes taken off they are as large as the regions have pixels."""
+    px = grid(spark, sf).where("k >= 2").selectExpr("r", "c", "1 AS f")
+    return ve.region_rings(nb.region_edges(px, "f", COLUMNS)).groupBy("region").agg(F.sum("area").alias("area"))
+
+
+@query("SELECT CAST(v AS INT) AS value, CAST(n AS BIGINT) AS parts, CAST(a AS DOUBLE) AS area FROM (VALUES (5, 1, 50), (8, 1, 120)) t(v, n, a)")
+def polygon_union(spark, sf):
+    return ve.union_features(ve.rectangles(spark, _BOXES), "value").select("value", "parts", "area")
+
+
+@query("SELECT event_id, lon, lat FROM (SELECT event_id, CAST(event_id % 600 / 100.0 + 6 AS DOUBLE) AS lon, CAST(event_id % 8000 / 100.0 AS DOUBLE) AS lat FROM events)")
+def utm_round_trip(spark, sf):
+    df = table(spark, sf, "events").selectExpr("event_id", "CAST(event_id % 600 / 100.0D + 6 AS DOUBLE) AS lon", "CAST(event_id % 8000 / 100.0D AS DOUBLE) AS lat")
+    x, y = to_utm(F.col("lon"), F.col("lat"), 32)
+    back = df.select("event_id", x.alias("x"), y.alias("y"))
+    lon, lat = from_utm(F.col("x"), F.col("y"), 32)
+    return doubles(back.select("event_id", lon.alias("lon"), lat.alias("lat")))
+
+
+@query()
+def classify_saved(spark, sf):
+    """A classifier that was saved and loaded again."""
+    px, path = embed(spark, sf), shared_path(spark, "classifier")
+    sp.save_model(sp.learner("random_forest", BANDS, "cls", trees=5).fit(px), path)
+    return sp.predict(sp.load_model(path), px)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

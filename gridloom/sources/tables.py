@@ -8,6 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import collected
+
 INT, FLOAT = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(nan|inf)\s*$"
 
 
@@ -93,7 +95,7 @@ def landsat_products(spark: SparkSession, path: str, bands: Sequence[int]) -> Da
 
 def structure_of(spark: SparkSession, path: str, separator: str = ",") -> list[list[float | None]]:
     """A structuring element from a text matrix; nan: not part of it."""
-    rows = [r.value for r in spark.read.text(path).limit(1001).collect()]
+    rows = [r.value for r in collected(spark.read.text(path))]
     return [[None if x.strip().lower() == "nan" else float(x) for x in line.split(separator)] for line in rows if line.strip()]
 
 
@@ -113,9 +115,11 @@ def write_text(df: DataFrame, path: str, fields: Sequence[str] | None = None, de
 
 
 def write_raster(df: DataFrame, path: str, nodata: float = -32768, scale: float = 1.0, offset: float = 0.0, kind: str = "float", rows_per_tile: int = 1024) -> None:
-    """A pixel table as Parquet by strips of rows: bands unscaled, cast, NoData as its sentinel."""
+    """A pixel table as Parquet by strips of rows: bands unscaled, cast (to whole numbers: the nearest), NoData as its sentinel."""
     bands = [c for c in df.columns if c not in ("r", "c")]
-    cells = {b: F.coalesce((F.col(b) / scale - offset / scale).cast(kind), F.lit(nodata).cast(kind)) for b in bands}
+    whole = kind not in ("float", "double")
+    stored = {b: F.col(b) / scale - offset / scale for b in bands}
+    cells = {b: F.coalesce((F.rint(x) if whole else x).cast(kind), F.lit(nodata).cast(kind)) for b, x in stored.items()}
     df.withColumns(cells).withColumn("tile", F.expr(f"cast(r div {rows_per_tile} as int)")).repartition("tile").sortWithinPartitions("r", "c").write.mode("overwrite").partitionBy("tile").parquet(path)
 
 

@@ -19,7 +19,7 @@ def connect(sf_dir: str):
 
 def plain(x):
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else round(x, 4) + 0.0
+        return "nan" if math.isnan(x) else round(x, 9) + 0.0
     if isinstance(x, datetime.datetime):
         return x.isoformat()
     return x
@@ -38,6 +38,6 @@ def differences(df, con, sql: str) -> str:
     if len(a) != len(b):
         return f"{len(a)} and {len(b)} rows"
     for x, y in zip(a, b, strict=True):
-        if any(u != v and not (isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 2e-4 * max(1, abs(u))) for u, v in zip(x, y, strict=True)):
+        if any(u != v and not (isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 1e-9 * max(1, abs(u))) for u, v in zip(x, y, strict=True)):
             return f"{names}: {x} and {y}"
     return ""
