@@ -8,13 +8,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import session
 from ..operators.components import components
-from ..session import cut, few, shared_path
+from ..operators.ranks import numbered
+from ..session import cut, few, release, shared_path
 
-__all__ = ["arrow_rows", "chunks", "components", "cut", "few", "free_name", "row_key", "shared_path"]
+__all__ = ["arrow_rows", "chunks", "components", "cut", "few", "free_name", "numbered", "release", "row_key", "shared_path"]
 
 #: Texts are handled in chunks of about so many bytes, whatever Spark's batch size; a longer text is a chunk alone.
 CHUNK_BYTES = 1 << 19
+#: Workers give freed arrays back to the system, as they stay from one stage to the next.
+WORKERS = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Bytes of an Arrow batch to Python, about.
+BATCH_BYTES = 8 << 20
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
@@ -26,7 +32,9 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH"), root]))
+    env.update(WORKERS)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES):
@@ -44,11 +52,8 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES):
 
 
 def free_name(df: DataFrame, name: str) -> str:
-    """name, lengthened until df has no such column (Spark's names have no case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+    """name, lengthened until df has no such column."""
+    return session.free_name(name, df)
 
 
 def row_key(id_col: str, text_col: str):

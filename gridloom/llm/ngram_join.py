@@ -1,10 +1,12 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Documents with the same set of shingles are one class (a row of the matrix). Shingles stand in one order for all, rare ones
-first, by counts in a table of fixed size. Two rows with enough overlap must share a shingle among the first few of each
-(a bound from their sizes), so only those columns are multiplied first, a column block by shingle: there the places in both rows and
-bitmaps of both (Sandes, Teodoro and Melo 2020) bound the whole overlap, and pairs below the bound go. For the pairs that
-stay, the product is finished over their whole rows, exactly.
+Documents with the same set of shingles are one class (a row of the matrix). Columns that one class alone holds add nothing
+to any product, and a row with too many of them for its size links with nothing: first a fixed quarter of the columns shows
+that for most rows, then all columns of those that are left (counts: holders.py, exact). Shingles stand in one order for all,
+rare ones first. The product's first block is each row's rarest columns, as many as its size allows to be missing and one:
+there overlaps are accumulated for every pair, and pairs that can't reach the overlap that their sizes ask for go. What a row
+has alone, and bitmaps of two rows (Sandes, Teodoro and Melo 2020), bound their overlap before that. For the pairs that stay,
+the product is finished over their whole rows, exactly.
 
 Components need no complete product. A first round multiplies only neighbours in each column, which joins up large groups of
 near copies; the second takes every pair of a column whose rows the first left in different components.
@@ -17,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkernel as tk
-from .common import arrow_rows, chunks, components, cut, few, row_key
+from .common import arrow_rows, chunks, components, cut, few, release, row_key
+from .holders import KIND, Chunks, bucketed, kept_bits, with_counts
 
-#: Counters in the table of shingle counts: 8 MB for any input. A count stops at 2**32 - 1; it only orders shingles.
-COUNTERS = 1 << 20
-_BLOCK = 1 << 14
-#: Bits of a set's parities.
-BITS = 256
+#: Of so many columns one is looked at first. Parts into which columns of 255 rows or more are dealt for neighbours.
+SAMPLE, PARTS = 4, 64
+#: Bits of a row's parities.
+BITS = 512
 _MAPS = [f"m{i}" for i in range(BITS // 64)]
 
 
@@ -40,81 +42,96 @@ def _class_ids(sets: list[np.ndarray]) -> np.ndarray:
     return (tk.mix(folded) >> np.uint64(1)).astype(np.int64)
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """BITS parities of each set's members by hash, as rows of 64-bit numbers: two sets' differ in no more bits than members."""
-    odd = np.stack([np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1 for s in sets]) if sets else np.zeros((0, BITS))
-    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
-
-
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
 def shingle_classes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k, doc_id, n_shingles, cid and bitmaps of every row: cid is the same for equal sets and null for empty ones."""
+    """k, doc_id, n_shingles and cid of every row: cid is the same for equal sets and null for empty ones."""
 
     def run(batches):
         for whole in batches:
             for batch in chunks(whole, "text"):
                 sets = _sets(batch, n)
                 size = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), pa.array(size), pa.array(_class_ids(sets), mask=size == 0), *map(pa.array, _bitmaps(sets).T.copy())], names=["k", "doc_id", "n_shingles", "cid", *_MAPS])
+                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), pa.array(size), pa.array(_class_ids(sets), mask=size == 0)], names=["k", "doc_id", "n_shingles", "cid"])
+
+    return _rows(docs, id_col, text_col).mapInArrow(run, "k long, doc_id long, n_shingles long, cid long")
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "k long, doc_id long, n_shingles long, cid long, " + ", ".join(f"{m} long" for m in _MAPS))
 
+def _needed(size, percent: int):
+    """Least overlap with which a set of `size` links with any other."""
+    return -(-size * percent // 100)
 
-def shingle_counts(texts: DataFrame, n: int) -> np.ndarray:
-    """Documents per shingle, in COUNTERS counters by hash, over all rows. Summed up in two steps of bounded groups."""
 
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+def incidence(texts: DataFrame, n: int, sample: int = 1) -> DataFrame:
+    """A chunk table of the classes in texts (cid, text): whole sizes, and shingles, or those of one in `sample` columns."""
+
+    def run(batches):
+        out = Chunks()
         for whole in batches:
             for batch in chunks(whole, "text"):
-                for s in _sets(batch, n):
-                    np.add.at(total, (s >> np.uint64(44)).astype(np.int64), 1)
-        from pyspark import TaskContext
+                sets = _sets(batch, n)
+                own = [s[s % np.uint64(sample) == 0] for s in sets] if sample > 1 else sets
+                size = np.array([(len(s), len(o)) for s, o in zip(sets, own, strict=True)], np.int32).reshape(-1, 2)
+                yield from out.add(np.asarray(batch.column("cid")), size, kept_bits(np.concatenate([*own, np.zeros(0, np.uint64)])))
+        yield from out.row()
 
-        lane = TaskContext.get().partitionId() % 64
-        for b in range(0, COUNTERS, _BLOCK):
-            yield pa.RecordBatch.from_pydict({"block": [b // _BLOCK], "lane": [lane], "counts": [np.minimum(total[b : b + _BLOCK], (1 << 32) - 1).astype("<u4").tobytes()]}, schema=pa.schema([("block", pa.int64()), ("lane", pa.int64()), ("counts", pa.binary())]))
+    return texts.mapInArrow(run, KIND)
 
-    def add(key, table):
-        total = np.zeros(_BLOCK, np.int64)
-        for x in table.column("counts"):
-            total += np.frombuffer(x.as_py(), "<u4")
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "lane": pa.array([0], pa.int64()), "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())})
 
-    kind = "block long, lane long, counts binary"
-    parts = texts.mapInArrow(count, kind).groupBy("block", "lane").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind)
-    total = np.zeros(COUNTERS, np.int64)
-    for r in parts.collect():  # COUNTERS counters, whatever the input
-        total[r.block * _BLOCK : (r.block + 1) * _BLOCK] = np.frombuffer(r.counts, "<u4")
-    return total
+def able(texts: DataFrame, n: int, percent: int, sample: int = SAMPLE) -> DataFrame:
+    """cid of the classes of which the sampled columns don't rule out that they link."""
 
+    def run(ids, sizes, x, shared):
+        size, own = sizes.reshape(-1, 2).T
+        lone = np.concatenate([[0], np.cumsum(shared == 0)])
+        end = np.cumsum(own)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[lone[end] - lone[end - own] <= size - _needed(size, percent)])], names=["cid"])
 
-def _overlap(a: str, b: str, percent: int) -> str:
-    """Least overlap of sets of sizes a and b that link, in SQL: o / (a + b - o) >= percent / 100."""
-    return f"((({a} + {b}) * {percent} + {100 + percent - 1}) div {100 + percent})"
+    table = bucketed(incidence(texts, n, sample), "sampled")
+    out = cut(with_counts(table, run, "cid long", flags=True), "able")
+    release(table)
+    return out
 
 
-def prefixes(texts: DataFrame, counts, n: int, percent: int) -> DataFrame:
-    """key, cid, size, place: the first shingles of each class in the common order; places from 0."""
+def columns_of(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """key, cid, size, part, held: the shared ones among each class's first shingles in the common order, if it can link.
 
-    def run(batches):
-        ordered = counts.value
-        for whole in batches:
-            for batch in chunks(whole, "text"):
-                cids = batch.column("cid").to_pylist()
-                out: list[tuple] = []
-                for cid, s in zip(cids, _sets(batch, n), strict=True):
-                    size = len(s)
-                    keep = size - -(-size * percent // 100) + 1
-                    order = np.lexsort((s, ordered[(s >> np.uint64(44)).astype(np.int64)]))[:keep]
-                    out.append((s[order].view(np.int64), np.full(len(order), cid), np.full(len(order), size), np.arange(len(order))))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]), pa.int64()), pa.array(np.concatenate([o[1] for o in out]), pa.int64()), pa.array(np.concatenate([o[2] for o in out]), pa.int32()), pa.array(np.concatenate([o[3] for o in out]), pa.int32())], names=["key", "cid", "size", "place"])
+    And, with no key, one row a class: cid, size, held (shingles that others have too) and the parities of its shingles by
+    hash: two sets' differ in no more bits than members.
+    """
+    kinds = ["key long", "cid long", "size int", "part int", "held int", *(f"{m} long" for m in _MAPS)]
+
+    def run(ids, sizes, x, counts):
+        out, rows, maps = [], [], []
+        for cid, size, at in zip(ids.tolist(), sizes[::2].tolist(), np.cumsum(sizes[::2]) - sizes[::2], strict=True):
+            c, own = counts[at : at + size], x[at : at + size]
+            room = size - _needed(size, percent)
+            lone = int((c < 2).sum())
+            if lone <= room:
+                first = np.lexsort((own, c))[lone : room + 1]
+                key = own[first].astype(np.int64)
+                part = np.where(c[first] == 255, (tk.mix(own[first] ^ np.uint64(cid % (1 << 64))) % np.uint64(PARTS)).astype(np.int64), 0)
+                out.append((key, np.full(len(key), cid), np.full(len(key), size), part, np.full(len(key), size - lone)))
+                rows.append((cid, size, size - lone))
+                maps.append(np.packbits((np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8), bitorder="little").view("<i8"))
+        if out:
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            none = [pa.nulls(len(columns[0]), pa.int64())] * len(_MAPS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)] + none, names=[k.split()[0] for k in kinds])
+            cid, size, held = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), cid, size, pa.nulls(len(rows), pa.int32()), held, *map(pa.array, np.stack(maps).T.copy())], names=[k.split()[0] for k in kinds])
+
+    table = bucketed(incidence(texts, n), "incidence")
+    out = cut(with_counts(table, run, ", ".join(kinds)), "columns")
+    release(table)
+    return out
 
-    return texts.mapInArrow(run, "key long, cid long, size int, place int")
+
+def _overlap(a: str, b: str, percent: int) -> str:
+    """Least overlap of sets of sizes a and b that link, in SQL: o / (a + b - o) >= percent / 100."""
+    return f"((({a} + {b}) * {percent} + {100 + percent - 1}) div {100 + percent})"
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -159,36 +176,43 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     equal sets do. A component's id is null only if all its ids are; `group` tells such components apart. Empty docs: no rows.
     """
     arrow_rows(docs.sparkSession)
-    spark = docs.sparkSession
     rows = cut(shingle_classes(docs, n, id_col, text_col), "classes")
-    classes = cut(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.first("n_shingles").cast("int").alias("size"), *(F.first(m).alias(m) for m in _MAPS)), "class")
+    classes = cut(rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min("k").alias("k")), "class")
     texts = _rows(docs, id_col, text_col).select("k", "text").join(few(classes.select("cid", "k")), "k").select("cid", "text")
-    counts = spark.sparkContext.broadcast(shingle_counts(texts, n))
-    # neighbors of about one size, in another order in each column: a group of near copies is joined by many random pairs
-    near = Window.partitionBy("key").orderBy(F.floor(F.log(F.col("size").cast("double")) * 8), F.xxhash64("key", "cid"), "cid")
-    columns = cut(prefixes(texts, counts, n, percent).withColumn("before", F.lag(F.struct("cid", "size", "place")).over(near)).withColumn("after", F.lead("cid").over(near)).where("before is not null or after is not null").drop("after"), "columns")
-    fits = lambda a, sa, pa_, b, sb, pb: f"100 * least({sa}, {sb}) >= {percent} * greatest({sa}, {sb}) AND 1 + least({sa} - {pa_} - 1, {sb} - {pb} - 1) + least({pa_}, {pb}) >= {_overlap(sa, sb, percent)}"
-    # sets that differ in more members than the overlap leaves room for: told by their bitmaps
-    alike = " + ".join(f"bit_count(a{m} ^ b{m})" for m in _MAPS) + f" <= sa + sb - 2 * {_overlap('sa', 'sb', percent)}"
-    maps = classes.select("cid", "size", *_MAPS)
-    side = lambda x: maps.toDF(x, f"s{x}", *(x + m for m in _MAPS))
-    first = columns.where("before.cid <> cid").where(fits("cid", "size", "place", "before.cid", "before.size", "before.place")).select(F.least("cid", "before.cid").alias("a"), F.greatest("cid", "before.cid").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
-    first = cut(first.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b", "n"), "pairs")
+    if not rows.groupBy("k").count().where("count > 1").isEmpty():  # repeated rows: one stands for all
+        texts = texts.dropDuplicates(["cid"])
+    left = able(texts, n, percent)
+    texts = texts.join(few(left), "cid")
+    found = columns_of(texts, n, percent)
+    columns, maps = found.where("key is not null").select("key", "cid", "size", "part", "held"), found.where("key is null").select("cid", "held", *_MAPS)
+    # neighbors of about one size, in another order in each column: a group of near copies is joined by many random pairs; and
+    # each row with the one of the column, and of its size, that has least alone: what links with any links with that most likely
+    grade = F.floor(F.log(F.col("size").cast("double")) * 8)
+    near = Window.partitionBy("key", "part").orderBy(grade, F.xxhash64("key", "cid"), "cid")
+    least = Window.partitionBy("key", "part", grade).orderBy(F.col("size") - F.col("held"), "cid")
+    met = columns.select("cid", "size", F.array(F.lag(F.struct("cid", "size")).over(near), F.first(F.struct("cid", "size")).over(least)).alias("others"))
+    first = met.select("cid", "size", F.explode("others").alias("o")).where(f"o is not null AND o.cid <> cid AND 100 * least(size, o.size) >= {percent} * greatest(size, o.size)")
+    first = cut(first.select(F.least("cid", "o.cid").alias("a"), F.greatest("cid", "o.cid").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
     # of each row the pair of most common columns first; then the pairs that these haven't joined
     best = cut(first.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "best")
     links = cut(verified(best, texts, n, percent), "links")
     more = apart(first.select("a", "b").join(best, ["a", "b"], "left_anti"), components(links))
     links = cut(links.union(verified(cut(more, "pairs"), texts, n, percent)), "links")
     joined = components(links)
-    parts = columns.select("key", "cid", "place").join(joined.toDF("cid", "root"), "cid", "left").select("key", "cid", "place", F.coalesce("root", "cid").alias("root"))
+    parts = columns.join(joined.toDF("cid", "root"), "cid", "left").select("key", "cid", "size", F.coalesce("root", "cid").alias("root"))
     mixed = parts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     parts = cut(parts.join(mixed, "key").join(maps, "cid"), "mixed")
-    x, y = (parts.select("key", F.col("place").alias(f"p{x}"), F.col("root").alias(f"r{x}"), F.col("cid").alias(x), F.col("size").alias(f"s{x}"), *(F.col(m).alias(x + m) for m in _MAPS)) for x in "ab")
-    rest = x.join(y, (x.key == y.key) & F.expr(f"ra <> rb AND a < b AND {fits('a', 'sa', 'pa', 'b', 'sb', 'pb')} AND {alike}")).select("a", "b").distinct()
-    rest = cut(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    x, y = (parts.select("key", F.col("root").alias(f"r{x}"), F.col("cid").alias(x), F.col("size").alias(f"s{x}"), F.col("held").alias(f"h{x}"), *(F.col(m).alias(x + m) for m in _MAPS)) for x in "ab")
+    # overlaps accumulated over the block of rare columns; beyond it, the row that leaves the block first has `need` - 1 others
+    need = lambda s: f"(({s} * {percent} + 99) div 100)"
+    least = _overlap("sa", "sb", percent)
+    alike = " + ".join(f"bit_count(a{m} ^ b{m})" for m in _MAPS) + f" <= sa + sb - 2 * {least}"
+    block = x.join(y, (x.key == y.key) & F.expr(f"ra <> rb AND a < b AND 100 * least(sa, sb) >= {percent} * greatest(sa, sb) AND least(ha, hb) >= {least} AND {alike}"))
+    rest = block.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("n")).where(f"n + greatest({need('sa')}, {need('sb')}) - 1 >= {least}")
+    rest = cut(rest.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     links = links.union(verified(rest, texts, n, percent))
-    found = components(links)
-    named = classes.select("cid", "least").join(found.toDF("cid", "root"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
+    joined = components(links)
+    named = classes.select("cid", "least").join(joined.toDF("cid", "root"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     named = cut(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = named.join(least, "root").select("cid", "root", "component_id")
