@@ -18,10 +18,23 @@ BAND_SCHEMA = T.StructType(
         ("left", T.DoubleType()), ("top", T.DoubleType()), ("right", T.DoubleType()), ("bottom", T.DoubleType()), ("nodata", T.DoubleType()), ("crs", T.StringType()),
     )]
 )
-# fixed values: band names and centre wavelengths in micrometres of two common sensors
+# fixed values: endings of band names and centre wavelengths in micrometres, by sensor
 SENSORS = {
-    "Sentinel-2": [("B01", 0.443), ("B02", 0.49), ("B03", 0.56), ("B04", 0.665), ("B05", 0.705), ("B06", 0.74), ("B07", 0.783), ("B08", 0.842), ("B8A", 0.865), ("B09", 0.945), ("B10", 1.375), ("B11", 1.61), ("B12", 2.19)],
-    "Landsat 8-9": [("B1", 0.443), ("B2", 0.482), ("B3", 0.5615), ("B4", 0.6545), ("B5", 0.865), ("B6", 1.6085), ("B7", 2.2005)],
+    "ASTER": [("01", 0.56), ("02", 0.66), ("3N", 0.81), ("04", 1.65), ("05", 2.165), ("06", 2.205), ("07", 2.26), ("08", 2.33), ("09", 2.395), ("10", 8.3), ("11", 8.65), ("12", 9.1), ("13", 10.6), ("14", 11.3)],
+    "GeoEye-1": [("01", 0.48), ("02", 0.545), ("03", 0.6725), ("04", 0.85)],
+    "GOES": [("01", 0.47), ("02", 0.64), ("03", 0.87), ("04", 1.38), ("05", 1.61), ("06", 2.25)],
+    "Landsat 1-3": [("4", 0.55), ("5", 0.65), ("6", 0.75), ("7", 0.95)],
+    "Landsat 4-5": [("1", 0.485), ("2", 0.56), ("3", 0.66), ("4", 0.83), ("5", 1.65), ("7", 2.215)],
+    "Landsat 7": [("1", 0.485), ("2", 0.56), ("3", 0.66), ("4", 0.835), ("5", 1.65), ("7", 2.22)],
+    "Landsat 8-9": [("1", 0.44), ("2", 0.48), ("3", 0.56), ("4", 0.655), ("5", 0.865), ("6", 1.61), ("7", 2.2)],
+    "MODIS": [("03", 0.469), ("04", 0.555), ("01", 0.645), ("02", 0.858), ("05", 1.24), ("06", 1.64), ("07", 2.13)],
+    "Pleiades": [("01", 0.49), ("02", 0.56), ("03", 0.65), ("04", 0.84)],
+    "QuickBird": [("01", 0.4875), ("02", 0.543), ("03", 0.65), ("04", 0.8165)],
+    "RapidEye": [("01", 0.475), ("02", 0.555), ("03", 0.6575), ("04", 0.71), ("05", 0.805)],
+    "Sentinel-2": [("01", 0.443), ("02", 0.49), ("03", 0.56), ("04", 0.665), ("05", 0.705), ("06", 0.74), ("07", 0.783), ("08", 0.842), ("8A", 0.865), ("09", 0.945), ("10", 1.375), ("11", 1.61), ("12", 2.19)],
+    "SPOT 4-5": [("01", 0.545), ("02", 0.645), ("03", 0.835), ("04", 1.665)],
+    "SPOT 6": [("01", 0.485), ("02", 0.56), ("03", 0.66), ("04", 0.825)],
+    "WorldView-2-3": [("01", 0.425), ("02", 0.48), ("03", 0.545), ("04", 0.605), ("05", 0.66), ("06", 0.725), ("07", 0.8325), ("08", 0.95)],
 }
 _UNITS = {"micrometre": 1.0, "um": 1.0, "nanometre": 1000.0, "nm": 1000.0}
 

@@ -918,8 +918,8 @@ _S2 = "(VALUES " + ", ".join(f"('{n}', {w})" for n, w in cat.SENSORS["Sentinel-2
 
 @query(f"SELECT name, CAST(wavelength AS DOUBLE) AS wavelength FROM {_S2}")
 def sensor_lookup(spark, sf):
-    names = spark.createDataFrame([(i, f"scene_{n}") for i, (n, _) in enumerate(cat.SENSORS["Sentinel-2"], 1)], "band_number int, name string").withColumn("wavelength", F.lit(None).cast("double"))
-    return cat.sensor_bands(names, "Sentinel-2").select(F.substring("name", 7, 9).alias("name"), "wavelength")
+    names = spark.createDataFrame([(i, f"scene_B{n}") for i, (n, _) in enumerate(cat.SENSORS["Sentinel-2"], 1)], "band_number int, name string").withColumn("wavelength", F.lit(None).cast("double"))
+    return cat.sensor_bands(names, "Sentinel-2").select(F.substring("name", 8, 9).alias("name"), "wavelength")
 
 
 def _two_sets(spark, sf) -> cat.Catalog:

@@ -64,13 +64,15 @@ def open_dbf(spark: SparkSession, path: str) -> DataFrame:
     kinds, _ = _dbf_rows(files.select("content").first().content)
 
     def rows(batches):
-        import pandas as pd
+        import pyarrow as pa
 
+        types = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
         for batch in batches:
-            for content in batch["content"]:
-                yield pd.DataFrame(_dbf_rows(bytes(content))[1], columns=[n for n, _ in kinds])
+            for content in batch.column("content"):
+                own = _dbf_rows(content.as_py())[1]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in own], types[k]) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-    return files.select("content").mapInPandas(rows, ", ".join(f"`{n}` {k}" for n, k in kinds))
+    return files.select("content").mapInArrow(rows, ", ".join(f"`{n}` {k}" for n, k in kinds))
 
 
 def open_table(spark: SparkSession, path: str, **options) -> DataFrame:
