@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from pathlib import Path
 
 import numpy as np
@@ -13,14 +16,14 @@ from ..operators.components import components
 from ..operators.ranks import numbered
 from ..session import cut, few, release, shared_path
 
-__all__ = ["arrow_rows", "chunks", "components", "cut", "few", "free_name", "numbered", "release", "row_key", "shared_path"]
+__all__ = ["arrow_rows", "chunks", "components", "cut", "few", "free_name", "give_back", "numbered", "release", "row_key", "shared_path"]
 
 #: Texts are handled in chunks of about so many bytes, whatever Spark's batch size; a longer text is a chunk alone.
 CHUNK_BYTES = 1 << 19
 #: Workers give freed arrays back to the system, as they stay from one stage to the next.
 WORKERS = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Bytes of an Arrow batch to Python, about.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
@@ -37,6 +40,13 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Gives memory that Python has freed back to the system, after the driver has put a model together."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES):
     """Slices of a batch whose `column` has about `size` bytes each."""
     col = batch.column(column)

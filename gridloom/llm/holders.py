@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import arrow_rows, shared_path
 
 #: Shingles that a block has, about; bits of a shingle that are kept; shingles of a chunk, about.
-BLOCK, BITS, CHUNK = 1 << 19, 48, 1 << 19
+BLOCK, BITS, CHUNK = 1 << 19, 48, 1 << 18
 _BYTES = BITS // 8
 KIND = "chunk long, ids binary, sizes binary, h binary"
 
