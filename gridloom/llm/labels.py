@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import few
+from .common import few, row_key
 
 #: Labelled rows, those of the least hashes, that a driver-side fit reads at most.
 FIT_ROWS = 50_000
@@ -17,9 +17,15 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, text, label, fold of the labelled documents outside the held-out fold; an id labelled twice takes its larger label."""
+    """k (row_key), doc_id, text, label, fold of the labelled documents outside the held-out fold; an id labelled twice takes its larger label."""
     known = few(labels.where(F.col(label).isin(0, 1) & (fold(id_col) != 0)).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label).cast("int").alias("label")))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label", fold("doc_id").alias("fold"))
+    return docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).join(known, F.col("doc_id") == F.col("_id")).select("k", "doc_id", "text", "label", fold("doc_id").alias("fold"))
+
+
+def sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """About the `rows` rows of least hashes (all, if there are no more): those under a threshold, so that no rows are sorted."""
+    n = df.count()
+    return df if n <= rows else df.where(key < F.lit(-(1 << 63) + int(rows / n * 2**64)))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
