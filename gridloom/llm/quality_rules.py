@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textkernel as tk
 from .common import arrow_rows, chunks
+from .labels import sample
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 #: Rows of the forest's sample, trees, rows per tree, share of labelled good texts that a threshold has to keep.
 SAMPLE_ROWS, TREES, TREE_ROWS, KEEP_GOOD = 20_000, 100, 256, 0.99
 _BINS = 1000
+#: Mean word length and number of words that are 1 on the scale of features.
+LONG_WORD, LONG_TEXT = 20, 1e6
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -83,14 +86,14 @@ def rule_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def features(s: dict[str, np.ndarray]) -> np.ndarray:
-    """What the forest splits, each from 0 to 1: shares of symbols, repeated lines and repeated words.
+    """What the forest splits, each from 0 to 1: shares of symbols, repeated lines and repeated words, word length, length.
 
-    A text's length isn't a fault, and neither are a few repeats: their shares are squared, so that cuts drawn evenly over a
-    range seldom part small values from none; a root spreads the symbols of tables and of junk from plain text.
+    A few repeats are no fault: their shares are squared, so that cuts drawn evenly over a range seldom part small values from
+    none; a root spreads the symbols of tables and of junk from plain text. The text's length is on a log scale.
     """
     f = {k: np.asarray(v, np.float64) for k, v in s.items()}
     words = np.maximum(f["n_words"], 1)
-    return np.stack([np.sqrt(np.minimum(1, f["n_symbols"] / words)), np.minimum(1, 10 * f["n_dup_lines"] / words) ** 2, (f["n_repeat_words"] / words) ** 2], 1)
+    return np.stack([np.sqrt(np.minimum(1, f["n_symbols"] / words)), np.minimum(1, 10 * f["n_dup_lines"] / words) ** 2, (f["n_repeat_words"] / words) ** 2, np.minimum(1, f["word_chars"] / words / LONG_WORD), np.minimum(1, np.log1p(f["n_words"]) / np.log(LONG_TEXT))], 1)
 
 
 @dataclass
@@ -165,14 +168,15 @@ def pick_threshold(bins: list[tuple[int, int, int]], keep_good: float = KEEP_GOO
 def judge(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, seed: int = 0) -> DataFrame:
     """stats (a written table with STATS) with anomaly (the forest's score), base_failed and kept.
 
-    labels: doc_id and quality (1 good, 0 bad, else unlabelled). The forest is fitted on at most sample_rows labelled good
-    rows that pass the base rules, those of the least hashes; every row is scored, and the threshold is set over all
+    labels: doc_id and quality (1 good, 0 bad, else unlabelled). The forest is fitted on about sample_rows labelled good rows
+    at most that pass the base rules, those of the least hashes; every row is scored, and the threshold is set over all
     labelled rows that pass. No labels or an empty table: only the base rules decide.
     """
     spark = stats.sparkSession
     stats = stats.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).where("_q in (0, 1)").distinct()
-    drawn = stats.where("not base_failed").join(known.where("_q = 1"), F.col("doc_id") == F.col("_id")).orderBy(F.xxhash64("doc_id", *STATS)).limit(sample_rows).select(*STATS).toPandas()
+    drawn = stats.where("not base_failed").join(known.where("_q = 1"), F.col("doc_id") == F.col("_id"))
+    drawn = sample(drawn, F.xxhash64("doc_id", *STATS), sample_rows).select(*STATS).toPandas()
     forest = spark.sparkContext.broadcast(fit_forest(features({n: drawn[n].to_numpy() for n in STATS}), trees, seed=seed))
     names = stats.columns
 
