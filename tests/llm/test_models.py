@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import cut
 from gridloom.llm.labels import fit_logistic
-from gridloom.llm.quality_classifier import estimate_prior, fit_pu, quality
+from gridloom.llm.quality_classifier import estimate_prior, fit_pu, quality, risk_sums
 from gridloom.llm.quality_rules import STATS, fit_forest, judge, pick_threshold, rule_stats, text_stats
-from gridloom.llm.toxicity import toxicity
+from gridloom.llm.toxicity import CUTOFF, SHARE, TELLING, count_pairs, discounts, models, toxicity
 
 SMALL, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
@@ -98,9 +98,89 @@ def test_pu_fit():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(1, 0.5, (3000, 2)), rng.normal(-1, 0.5, (3000, 2))
     u = np.vstack([good[2000:2700], bad[:300]])
-    w = fit_pu(good[:1000], u, 0.5)
-    prior = estimate_prior(good[1000:2000] @ w[:-1], u @ w[:-1])
+    x, positive = np.hstack([np.vstack([good[:1000], u]), np.ones((2000, 1))]), np.arange(2000) < 1000
+    sums = lambda w: risk_sums(x, positive, w)
+    w = fit_pu(sums, 3, 0.5, unbiased=False)
+    bins = lambda y: np.histogram(1 / (1 + np.exp(-y @ w[:-1] - w[-1])), 1000, (0, 1))[0]
+    prior = estimate_prior(bins(good[1000:2000]), bins(u))
     assert 0.6 < prior < 0.8
-    w = fit_pu(good[:1000], u, prior)
+    w = fit_pu(sums, 3, prior)
     assert (good[2700:] @ w[:-1] + w[-1] > 0).mean() > 0.95 and (bad[300:] @ w[:-1] + w[-1] < 0).mean() > 0.95
     assert fit_logistic(np.zeros((0, 1)), np.zeros(0)).tolist() == [0, 0]
+
+
+def test_risk_sums():
+    """Gradients and second derivatives against differences of the losses."""
+    rng = np.random.default_rng(2)
+    x, positive, w = np.hstack([rng.normal(size=(50, 2)), np.ones((50, 1))]), rng.random(50) < 0.4, rng.normal(size=3)
+    losses = lambda w, part: np.split(risk_sums(x, positive, w), 2)[part][1:3]
+    for part in (0, 1):
+        own = np.split(risk_sums(x, positive, w), 2)[part]
+        total, good, second = own[3:6], own[6:9], own[9:].reshape(3, 3)
+        for i, e in enumerate(np.eye(3) * 1e-5):
+            up, down = losses(w + e, part), losses(w - e, part)
+            assert np.allclose((up - down) / 2e-5, [good[i], good[i] + total[i]], atol=1e-4)
+            assert np.allclose((np.split(risk_sums(x, positive, w + e), 2)[part][6:9] - good) / 1e-5, second[i], atol=1e-3)
+
+
+def brute_kneser_ney(rows):
+    """(word given context) -> log P_1 - log P_0, by dictionaries."""
+    pairs, start = [Counter(), Counter()], "<start>"
+    for text, label in rows:
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        pairs[label].update(zip([start, *w], w, strict=False))
+    both = pairs[0] + pairs[1]
+    types = [Counter(w for _, w in c) for c in (*pairs, both)]
+    off = lambda counts: (lambda d: lambda n: n - [0, *d][min(n, 3)] if n else 0)(discounts(np.bincount(np.minimum(list(counts.values()), 5), minlength=6)[1:]))
+    size = len(types[2]) + 1
+
+    def level(c, w, shared):
+        f, total = off(types[c]), sum(types[c].values())
+        return (f(types[c][w]) + (total - sum(map(f, types[c].values()))) * shared) / total if total else shared
+
+    less = [off(c) for c in pairs]
+    kept = [k for k in both if max(pairs[0][k], pairs[1][k]) >= CUTOFF]
+
+    def back(c, w):
+        shared = level(2, w, 1 / size)
+        return (1 - SHARE) * level(c, w, shared) + SHARE * shared
+
+    def p(c, u, w):
+        n = sum(v for (a, _), v in pairs[c].items() if a == u)
+        if not n or not any(a == u for a, _ in kept):
+            return back(c, w)
+        mass = {b: max(less[c](pairs[c][a, b]), 0) / n for a, b in kept if a == u}
+        return mass.get(w, 0) + (1 - sum(mass.values())) * back(c, w)
+
+    def texts(text):
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        gaps = [np.log(back(1, x) / back(0, x)) for x in w]
+        return [np.log(p(1, u, x) / p(0, u, x)) for u, x in zip([start, *w], w, strict=False)], [max(0, g - limit) for g in gaps]
+
+    limit = TELLING * max(np.log(back(1, w) / back(0, w)) for w in [*types[2], ""])
+    return texts
+
+
+@pytest.mark.parametrize("most", [1 << 30, 700])
+def test_kneser_ney(spark, most):
+    """Evidence against dictionaries; a small bound deals the model in parts."""
+    rng = np.random.default_rng(4)
+    words = [f"W{i}" for i in range(25)]
+    rows = [(" ".join(words[min(24, int(x))] for x in rng.exponential(4 + 3 * label, rng.integers(0, 30))), label) for label in (0, 1, 0) for _ in range(25)]
+    df = spark.createDataFrame([(t.encode(), y) for t, y in rows], "text binary, label int")
+    got = list(models(count_pairs(df), most))
+    assert (len(got) > 1) == (most < 1 << 30)
+    brute, new = brute_kneser_ney(rows), [*(t for t, _ in rows[::7]), "w1 other w2 w2 w3", ""]
+    n, *sums = zip(*(m.evidence(pa.array([t.encode() for t in new])) for m in got), strict=True)
+    for i, t in enumerate(new):
+        want = brute(t)
+        assert n[0][i] == len(want[0])
+        assert np.allclose([sum(s[i] for s in each) for each in sums], [*map(sum, want)], atol=1e-4)
+
+
+def test_toxicity_in_parts(spark, odd, docs, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    whole, parts = ({(r.doc_id, r.k): r.score for r in toxicity(docs, labels, model_bytes=most).collect()} for most in (1 << 30, 30_000))
+    assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-4 for k in whole)
+    known = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (6, 0, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity(odd, known, model_bytes=100).count() == odd.count()
