@@ -4,6 +4,7 @@ Pieces matter to a plan only by their length, so the plan is made over the count
 for the longest length left, single, pair and triple sums of available lengths that fill its gap exactly are looked up
 and used as often as their counts allow; where none fits, the longest available length that fits goes in (best fit).
 Each use empties a length, so there are at most about max_len different patterns, whatever the number of pieces.
+Triples first is not always best, so plans with sums of up to three, two and one are made, and the shortest is taken.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import arrow_rows, chunks, cut
+from .common import arrow_rows, chunks, cut, few, free_name
 
-#: Salts over which the pieces of one length are numbered.
-SALTS = 64
+#: Pieces of one length that are numbered together, about.
+SALTED = 200_000
 
 
 @dataclass
@@ -32,36 +33,46 @@ class Plan:
     sequences: int
 
 
-def _exact(gap: int, left: np.ndarray, most: int) -> list[int] | None:
-    """Lengths, longest first, that fill the gap exactly: one, two or three that are available, at most `most`."""
-    if left[gap]:
-        return [gap]
-    if most < 2:
+class Sums:
+    """Sums of one, two and three of the lengths that are left, by hash: the combinations of a sum in a list, longest first.
+
+    Counts only fall while a plan is made, so a combination that is used up never comes back, and each list is read once.
+    """
+
+    def __init__(self, left: np.ndarray, most: int):
+        self.left, self.most = left, most
+        self.lengths = np.flatnonzero(left)[::-1].tolist()
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        self.at: dict[int, int] = {}
+        for i, a in enumerate(self.lengths if most > 1 else []):
+            for b in self.lengths[i:]:
+                if a + b < len(left):
+                    self.pairs.setdefault(a + b, []).append((a, b))
+
+    def pair(self, total: int, taken: int = 0) -> tuple[int, int] | None:
+        """The first pair with this sum that is left once one length is taken."""
+        found, left = self.pairs.get(total, ()), self.left
+        k = self.at.get(total, 0)
+        while k < len(found) and not (left[found[k][0]] > 0 and left[found[k][1]] > (found[k][0] == found[k][1])):
+            k += 1
+        self.at[total] = k
+        for a, b in found[k:]:
+            if left[a] > (a == taken) and left[b] > (a == b) + (b == taken):
+                return a, b
         return None
-    have = np.flatnonzero(left[:gap])
-    for a in have[::-1]:
-        b = gap - a
-        if b > a:
-            break
-        if left[b] - (a == b) > 0:
-            return [int(a), int(b)]
-    if len(have) and most > 2:
-        one = (left[:gap] > 0).astype(np.float64)
-        pairs = np.rint(np.convolve(one, one))[:gap] > 0
-        for a in have[::-1]:
+
+    def exact(self, gap: int) -> list[int] | None:
+        """One, two or three lengths (at most `most`) that fill the gap exactly."""
+        if self.left[gap] > 0:
+            return [gap]
+        if self.most > 1 and (two := self.pair(gap)):
+            return list(two)
+        for a in self.lengths if self.most > 2 else ():
             if 3 * a < gap:
                 break
-            if not pairs[gap - a]:
-                continue
-            two = have[(have <= a) & (have <= gap - a - 1)]
-            for b in two[::-1]:
-                c = gap - a - b
-                if c > b:
-                    break
-                want = np.bincount([a, b, c], minlength=gap)
-                if c > 0 and (left[:gap] >= want[:gap]).all():
-                    return [int(a), int(b), int(c)]
-    return None
+            if a < gap and self.left[a] > 0 and (two := self.pair(gap - a, a)):
+                return [a, *two]
+        return None
 
 
 def make_plan(counts: np.ndarray, max_len: int) -> Plan:
@@ -72,13 +83,14 @@ def make_plan(counts: np.ndarray, max_len: int) -> Plan:
 def _plan(counts: np.ndarray, max_len: int, most: int) -> Plan:
     left = np.zeros(max_len + 1, np.int64)
     left[: len(counts)] = counts
+    sums = Sums(left, most)
     runs: list[tuple[list[int], int]] = []
     for top in range(max_len, 0, -1):
         while left[top]:
             first, gap = [top], max_len - top
             left[top] -= 1
             while gap:
-                if found := _exact(gap, left, most):
+                if found := sums.exact(gap):
                     first += found
                     left[found[0]] -= 1
                     for x in found[1:]:
@@ -143,25 +155,28 @@ def pack(pieces: DataFrame, max_len: int) -> DataFrame:
     """Adds sequence_id and offset to rows with a `length` of 1 to max_len; other columns stay. No rows: no rows.
 
     `pieces` is read three times, so it should be a written table. Pieces of one length are numbered by salt and row, with
-    prefix sums over the salts: no length's pieces meet in one task, and ties go by the rows' own values.
+    prefix sums over the salts, of which a length has as many as its pieces need: no length's pieces meet in one task. Ties go
+    by the rows' own values.
     """
+    salt, base, place_of, salts = (free_name(pieces, n) for n in ("_salt", "_base", "_rank", "_salts"))
     keys = [c for c in pieces.columns if dict(pieces.dtypes)[c] != "binary"]
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-    counts = cut(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")), "lengths")  # at most SALTS x max_len rows
-    before = counts.withColumn("_base", F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).drop("n")
     total = np.zeros(max_len + 1, np.int64)
-    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most max_len rows
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most max_len rows
         total[r.length] = r.n
+    many = pieces.sparkSession.createDataFrame([(n, int(-(-c // SALTED))) for n, c in enumerate(total.tolist()) if c], f"length long, {salts} long")
+    salted = pieces.join(F.broadcast(many), "length").withColumn(salt, F.pmod(F.xxhash64(*keys), F.col(salts)).cast("int")).select(*pieces.columns, salt)
+    counts = salted.groupBy("length", salt).agg(F.count("*").alias(base))  # a row for each SALTED pieces, and for each length
+    before = few(cut(counts.withColumn(base, F.sum(base).over(Window.partitionBy("length").orderBy(salt)) - F.col(base)), "lengths"))
     plan = pieces.sparkSession.sparkContext.broadcast(make_plan(total, max_len))
-    ranked = salted.join(F.broadcast(before), ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*keys)) - 1).select(*pieces.columns, "_rank")
+    ranked = salted.join(before, ["length", salt]).withColumn(place_of, F.col(base) + F.row_number().over(Window.partitionBy("length", salt).orderBy(*keys)) - 1).select(*pieces.columns, place_of)
 
     def place(batches):
         p = plan.value
         key = p.length * (1 << 40) + p.rank  # lengths stay apart: ranks are under 2**40
         for batch in batches:
-            n, rank = np.asarray(batch.column("length")).astype(np.int64), np.asarray(batch.column("_rank"))
+            n, rank = np.asarray(batch.column("length")).astype(np.int64), np.asarray(batch.column(place_of))
             slot = np.searchsorted(key, n * (1 << 40) + rank, "right") - 1
-            own = batch.drop_columns(["_rank"])
+            own = batch.drop_columns([place_of])
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(p.sequence[slot] + rank - p.rank[slot]), pa.array(p.offset[slot])], names=[*own.schema.names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long")
