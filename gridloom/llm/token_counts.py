@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkernel as tk
-from .common import arrow_rows, chunks
+from .common import arrow_rows, chunks, free_name
 from .encoders import TABLE_BITS, Memo, UnitTable, holding, per_text, replaced
 
 #: Parts of units, and as many pairs of pieces, that a Python worker's memos hold, twice.
@@ -178,14 +178,14 @@ def prefix_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
 def _ask(counts: DataFrame, name: str, answer, number) -> DataFrame:
     """counts with a column of answer(counts at each prefix of 1, 2, .. characters, number); number: a column or a value."""
-    kept = counts.schema
+    kept, n_col = counts.schema, free_name(counts, "_n")
 
     def run(batches):
         for batch in batches:
-            got = [answer(np.cumsum(np.frombuffer(d or b"", np.int8), dtype=np.int64), n) for d, n in zip(batch.column("prefix_deltas").to_pylist(), batch.column("_n").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["_n"]).columns, pa.array(got, pa.int64())], names=[*kept.names, name])
+            got = [answer(np.cumsum(np.frombuffer(d or b"", np.int8), dtype=np.int64), n) for d, n in zip(batch.column("prefix_deltas").to_pylist(), batch.column(n_col).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns([n_col]).columns, pa.array(got, pa.int64())], names=[*kept.names, name])
 
-    return counts.withColumn("_n", (number if not isinstance(number, int) else F.lit(number)).cast("long")).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields) + f", {name} long")
+    return counts.withColumn(n_col, (number if not isinstance(number, int) else F.lit(number)).cast("long")).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields) + f", {name} long")
 
 
 def tokens_of_prefix(counts: DataFrame, chars) -> DataFrame:

@@ -30,6 +30,8 @@ def _put(fs: pafs.FileSystem, path: str, pieces) -> None:
     with fs.open_output_stream(own) as out:
         for x in pieces:
             out.write(x)
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:  # an earlier attempt's, with the same content
+        fs.delete_file(path)
     fs.move(own, path)
 
 
