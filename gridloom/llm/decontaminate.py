@@ -61,8 +61,8 @@ def window_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     lengths = sorted(r[0] for r in tests.where(F.size("words") < WINDOW).select(F.size("words")).distinct().collect())  # at most 7 numbers
     wide = tests.select("item", F.explode(spans(F.col("words"), WINDOW)).alias("span")).distinct()
     hits = _spans(rows.join(few(cut(found, "found")), "k"), wide, WINDOW)
-    for n in lengths:
-        hits = hits.union(_spans(rows, tests.where(F.size("words") == n).select("item", F.col("words").alias("span")), n))
+    if lengths:
+        hits = hits.union(_short_spans(rows, tests.where(F.size("words") < WINDOW), lengths))
     return hits.distinct()
 
 
@@ -73,6 +73,20 @@ def _spans(rows: DataFrame, tests: DataFrame, n: int) -> DataFrame:
     return own.withColumn("h", F.xxhash64("s")).join(hashed, "h").where("s = span").select("k", "at", F.lit(n).alias("words"), "item")
 
 
+def _short_spans(rows: DataFrame, tests: DataFrame, lengths: list[int]) -> DataFrame:
+    """Spans of rows that are the words of one of the (short) tests, in one pass over the rows for all lengths: by 128-bit hashes."""
+    keys = lambda x: (F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))
+    hashed = few(tests.select("item", F.size("words").alias("n"), *keys(F.col("words"))))
+    kind = "array<struct<at:int,n:int,h:bigint,g:bigint>>"
+
+    def every(w: Column) -> Column:
+        each = lambda n: _each(w, n, lambda i: F.struct((i - 1).alias("at"), F.lit(n).alias("n"), *keys(F.slice(w, i, n))))
+        return F.concat(*(F.coalesce(each(n).cast(kind), F.array().cast(kind)) for n in lengths))
+
+    own = rows.select("k", F.explode(let(F.col("words"), every)).alias("s")).select("k", "s.*")
+    return own.join(hashed, ["n", "h", "g"]).select("k", "at", F.col("n").alias("words"), "item")
+
+
 def contamination(docs: DataFrame, items: DataFrame, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """k, doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs.
 
