@@ -198,3 +198,25 @@ def test_passages_with_a_clause_inserted_or_replaced(n, place, cut, new):
     for x, y in ((base, changed), (changed, base)):
         got = ps.common_passages(_h(x), _h(y))
         assert [(p.start, p.end, p.from_start, p.from_end) for p in got] == [(0, len(y), 0, len(x))]
+
+
+@pytest.mark.parametrize(("words_each", "edits", "copies"), [(60, 1, 30), (100, 1, 30), (200, 2, 30)])
+def test_recall_of_near_copies_in_clusters(spark, words_each, edits, copies):
+    """Clusters of copies with an edited word or more each, within texts of their own: documents with an earlier holder."""
+    rng = np.random.default_rng(words_each)
+    rows, inner = [], []
+    for k in range(6):
+        base = [f"c{k}_{i}" for i in range(words_each)]
+        for _ in range(copies):
+            w = list(base)
+            for p in rng.choice(words_each, edits, replace=False):
+                w[p] = f"e{rng.integers(1 << 40)}"
+            inner.append(" ".join(w))
+    order = rng.permutation(len(inner))
+    for d, i in enumerate(order):
+        own = [f"o{rng.integers(1 << 40)}" for _ in range(80)]
+        rows.append((d, " ".join([*own[:40], inner[i], *own[40:]])))
+    sets = [shingle_set(inner[i], 5) for i in order]
+    want = {d for d in range(len(rows)) if any(100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e]) for e in range(d))}
+    got = {r.doc_id for r in ps.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 60 and len(want & got) >= 0.95 * len(want)
