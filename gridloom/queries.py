@@ -651,14 +651,17 @@ def sieve(spark, sf):
     return nb.sieve(grid(spark, sf), "k", 3, COLUMNS)
 
 
-@query()
+_GROW = "WITH RECURSIVE " + GRID_SQL + ", s AS (SELECT v FROM px WHERE r = 4 AND c = 50), b AS (SELECT r, c, v FROM px WHERE r BETWEEN -46 AND 54 AND c BETWEEN 0 AND 100), w(step, r, c) AS (SELECT CAST(i AS INT), 4, 50 FROM range(1, 11) t(i) UNION SELECT w.step, b.r, b.c FROM w JOIN b ON abs(b.r - w.r) + abs(b.c - w.c) = 1 JOIN s ON abs(b.v - s.v) <= 60.0::DOUBLE * w.step / 10), n AS (SELECT step, count(*) AS n FROM w GROUP BY 1), p AS (SELECT coalesce(min(step) FILTER (n >= 20), 10) AS step FROM n) "
+
+
+@query(_GROW + "SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM w JOIN p USING (step)")
 def region_threshold(spark, sf):
     return nb.region_growing(grid(spark, sf), "v", (4, 50), 60.0, 20, COLUMNS)
 
 
-@query()
+@query(_PATCH + ", m AS (SELECT id, min(to_id) AS patch FROM w GROUP BY 1) SELECT CAST(m.patch AS BIGINT) AS region, CAST(1 AS INT) AS value, CAST(f.r AS INT) AS r, CAST(f.c AS INT) AS c, side FROM f JOIN m USING (id), (VALUES ('N', -1, 0), ('E', 0, 1), ('S', 1, 0), ('W', 0, -1)) v(side, i, j) WHERE NOT EXISTS (SELECT 1 FROM f n WHERE n.r = f.r + i AND n.c = f.c + j)")
 def raster_to_vector(spark, sf):
-    return nb.region_edges(grid(spark, sf).selectExpr("r", "c", "CAST(k >= 2 AS INT) AS f"), "f", COLUMNS)
+    return nb.region_edges(grid(spark, sf).where("k >= 2").selectExpr("r", "c", "1 AS f"), "f", COLUMNS)
 
 
 # ---- distances and classifiers

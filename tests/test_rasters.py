@@ -109,3 +109,42 @@ def test_streaming_report(spark, tmp_path):
     q = running_report(scene_stream(spark, str(tmp_path / "in"), "t timestamp, k int"), "k", "t").writeStream.format("memory").queryName("report").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("report").first().pixels == 2
+
+
+def test_clusters_are_of_the_nearest_centers(spark):
+    """The last assignment against its centers, and the centers against their pixels' means."""
+    rng = np.random.default_rng(0)
+    x = np.vstack([rng.normal(m, 0.3, (60, 2)) for m in (0, 3, 6)])
+    df = spark.createDataFrame([(0, i, float(a), float(b)) for i, (a, b) in enumerate(x)], "r int, c int, b1 double, b2 double")
+    got, centers = sp.cluster(df, ["b1", "b2"], 3, max_iter=50)
+    own = np.array([r.cluster for r in got.orderBy("c").collect()]) - 1
+    assert (own == np.argmin(((x[:, None] - centers[None]) ** 2).sum(2), 1)).all()
+    assert np.allclose(centers, [x[own == k].mean(0) for k in range(3)], atol=1e-3)
+
+
+def test_saved_classifier(spark, tmp_path):
+    df = spark.createDataFrame([(0, i, float(i % 7), float(i % 3), i % 2) for i in range(60)], "r int, c int, b1 double, b2 double, cls int")
+    model = sp.learner("random_forest", ["b1", "b2"], "cls", trees=3).fit(df)
+    sp.save_model(model, str(tmp_path / "m"))
+    one, two = (sorted(map(tuple, sp.predict(m, df).collect())) for m in (model, sp.load_model(str(tmp_path / "m"))))
+    assert one == two
+
+
+def test_rings_with_a_hole(spark):
+    ring = [(i, j, 1) for i in range(3) for j in range(3) if (i, j) != (1, 1)]
+    edges = nb.region_edges(spark.createDataFrame([*ring, (3, 3, 1)], "r int, c int, f int"), "f", 10)
+    got = sorted((r.region, r.area, len(r.ring)) for r in ve.region_rings(edges).collect())
+    assert got == [(0, -1.0, 4), (0, 9.0, 4), (33, 1.0, 4)]
+
+
+def test_window_larger_than_tiles(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((30, 30))
+    df = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(30) for j in range(30)], "r int, c int, v double")
+    from gridloom.operators import tiles
+
+    got = np.zeros_like(x)
+    for r in tiles.tiled(df, "v", 5, tiles.window_stat("median", tiles.offsets(5)), tile=4).collect():
+        got[r.r, r.c] = r.value
+    pad = np.pad(x, 5, constant_values=np.nan)
+    assert np.allclose(got, [[np.nanmedian(pad[i : i + 11, j : j + 11]) for j in range(30)] for i in range(30)])
