@@ -646,7 +646,11 @@ def region_stats(spark, sf):
 _SIEVE = "WITH RECURSIVE " + GRID_SQL + ", f AS (SELECT r, c, k, r * 100 + c AS id FROM px), w(id, to_id, k) AS (SELECT id, id, k FROM f UNION SELECT w.id, n.id, w.k FROM w JOIN f p ON p.id = w.to_id JOIN f n ON abs(n.r - p.r) + abs(n.c - p.c) = 1 AND n.k = w.k), m AS (SELECT id, min(to_id) AS patch, count(*) AS n FROM w GROUP BY 1), g AS (SELECT f.*, m.patch, m.n FROM f JOIN m USING (id)), "
 
 
-@query(_SIEVE + "b AS (SELECT DISTINCT x.patch AS a, y.k, y.n FROM g x JOIN g y ON abs(x.r - y.r) + abs(x.c - y.c) = 1 AND x.patch <> y.patch WHERE x.n < 3), t AS (SELECT a, first(k ORDER BY n DESC, k) AS k FROM b GROUP BY 1) SELECT CAST(g.r AS INT) AS r, CAST(g.c AS INT) AS c, coalesce(t.k, g.k) AS value FROM g LEFT JOIN t ON t.a = g.patch")
+#: Too slow for whole tables of any size: every pair of a patch's pixels; a test runs it on the smallest.
+SIEVE_SQL = _SIEVE + "b AS (SELECT DISTINCT x.patch AS a, y.k, y.n FROM g x JOIN g y ON abs(x.r - y.r) + abs(x.c - y.c) = 1 AND x.patch <> y.patch WHERE x.n < 3), t AS (SELECT a, first(k ORDER BY n DESC, k) AS k FROM b GROUP BY 1) SELECT CAST(g.r AS INT) AS r, CAST(g.c AS INT) AS c, coalesce(t.k, g.k) AS value FROM g LEFT JOIN t ON t.a = g.patch"
+
+
+@query()
 def sieve(spark, sf):
     return nb.sieve(grid(spark, sf), "k", 3, COLUMNS)
 

@@ -3,7 +3,7 @@
 import compare
 import pytest
 
-from gridloom.queries import ORACLE_SQL, QUERIES, flagship
+from gridloom.queries import ORACLE_SQL, QUERIES, SIEVE_SQL, flagship
 
 
 @pytest.fixture(scope="module")
@@ -28,3 +28,7 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sieve(spark, sf, con):
+    assert not compare.differences(QUERIES["sieve"](spark, sf), con, SIEVE_SQL)
