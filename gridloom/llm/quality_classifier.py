@@ -19,7 +19,7 @@ from .labels import fold
 from .quality_rules import text_stats
 
 #: Bins of the score histograms, Newton steps at most, ridge.
-BINS, STEPS, RIDGE = 1000, 15, 1e-4
+BINS, STEPS, RIDGE = 1000, 15, 3e-2
 _CLASSES = {
     "upper": lambda b: 0x41 <= b <= 0x5A,
     "lower": lambda b: 0x61 <= b <= 0x7A,
