@@ -16,7 +16,7 @@ from ..operators.components import components
 from ..operators.ranks import numbered
 from ..session import cut, few, release, shared_path
 
-__all__ = ["arrow_rows", "chunks", "components", "cut", "few", "free_name", "give_back", "numbered", "release", "row_key", "shared_path"]
+__all__ = ["arrow_rows", "chunks", "components", "cut", "few", "free_name", "give_back", "numbered", "release", "row_key", "shared_path", "slices"]
 
 #: Texts are handled in chunks of about so many bytes, whatever Spark's batch size; a longer text is a chunk alone.
 CHUNK_BYTES = 1 << 19
@@ -24,6 +24,8 @@ CHUNK_BYTES = 1 << 19
 WORKERS = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Bytes of an Arrow batch to Python, about.
 BATCH_BYTES = 4 << 20
+#: Rows of a few numbers that a task sends on at once.
+OUTPUT_ROWS = 50_000
 
 
 def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
@@ -40,11 +42,21 @@ def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def _trim() -> None:
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def give_back() -> None:
     """Gives memory that Python has freed back to the system, after the driver has put a model together."""
     gc.collect()
-    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-        ctypes.CDLL(None).malloc_trim(0)
+    _trim()
+
+
+def slices(batch: pa.RecordBatch, rows: int = OUTPUT_ROWS):
+    """A large batch in parts, as each goes to the JVM whole."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES):
@@ -59,6 +71,7 @@ def chunks(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    _trim()
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkernel as tk
-from .common import arrow_rows, chunks, components, cut, few, release, row_key
+from .common import arrow_rows, chunks, components, cut, few, release, row_key, slices
 from .holders import KIND, Chunks, bucketed, kept_bits, with_counts
 
 #: Of so many columns one is looked at first. Parts into which columns of 255 rows or more are dealt for neighbours.
@@ -119,7 +119,7 @@ def columns_of(texts: DataFrame, n: int, percent: int) -> DataFrame:
         if out:
             columns = [np.concatenate(c) for c in zip(*out, strict=True)]
             none = [pa.nulls(len(columns[0]), pa.int64())] * len(_MAPS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)] + none, names=[k.split()[0] for k in kinds])
+            yield from slices(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)] + none, names=[k.split()[0] for k in kinds]))
             cid, size, held = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True))
             yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), cid, size, pa.nulls(len(rows), pa.int32()), held, *map(pa.array, np.stack(maps).T.copy())], names=[k.split()[0] for k in kinds])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textkernel as tk
-from .common import arrow_rows, chunks, cut, give_back, release, row_key
+from .common import arrow_rows, chunks, cut, give_back, release, row_key, slices
 from .labels import FIT_ROWS, fit_logistic, fold, labelled, sample
 
 #: Least count of a pair that the model keeps, the shared part of P_c(w), the part of the largest difference beyond which a
@@ -35,7 +35,7 @@ BLOCK, MODEL_BYTES = 1 << 18, 128 << 20
 #: Words: runs of 0-9, a-z (A-Z lower-cased) and bytes beyond ASCII.
 LETTERS = np.array([b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A for b in range(256)])
 _START = np.uint64(0x2545F4914F6CDD1D)
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 
 
 def bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,9 +166,9 @@ def count_pairs(train: DataFrame) -> DataFrame:
                 context, word, first = bigrams(batch.column("text"))
                 got.append((context, word, np.repeat(np.asarray(batch.column("label")).astype(np.int8), np.diff(first))))
                 if sum(len(g[0]) for g in got) > _FLUSH:
-                    yield flush()
+                    yield from slices(flush(), 64)
         if sum(len(g[0]) for g in got):
-            yield flush()
+            yield from slices(flush(), 64)
 
     def by_context(key, table):
         context, word, *n = _together(table, 2, 2)
