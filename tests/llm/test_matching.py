@@ -220,3 +220,29 @@ def test_recall_of_near_copies_in_clusters(spark, words_each, edits, copies):
     want = {d for d in range(len(rows)) if any(100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e]) for e in range(d))}
     got = {r.doc_id for r in ps.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(want) > 60 and len(want & got) >= 0.95 * len(want)
+
+
+@pytest.mark.parametrize("changed", [1, 2])
+def test_passages_changed_at_the_same_place(spark, changed):
+    """Two texts of frequent lines, each with words of its own at the same place; no text has the passage unchanged."""
+    rng = np.random.default_rng(changed)
+    lines = [" ".join(f"w{i}_{k}" for k in range(8)) for i in range(40)]
+    some = lambda: " ".join(lines[k] for k in rng.permutation(40)[:8])
+    rows = [(i, some()) for i in range(600)]
+    for i in range(0, 600, 10):
+        base, at = some().split(), int(rng.integers(24, 38))
+        for j in range(2):
+            rows.append((1000 + i + j, " ".join([*base[:at], *(f"x{i}_{j}_{k}" for k in range(changed)), *base[at + changed :]])))
+    got = {(r.source_id, r.doc_id) for r in ps.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got >= {(1000 + i, 1001 + i) for i in range(0, 600, 10)}
+
+
+def test_passages_of_two_texts_that_are_not_alike(spark):
+    """The third text has a passage of the first and of the second, which differ too much from each other."""
+    rows = []
+    for k in range(40):
+        for j, at in enumerate((15, 45, None)):
+            w = [f"e{k}_{j}" if i == at else f"c{k}_{i}" for i in range(60)]
+            rows.append((3 * k + j, " ".join([*(f"o{k}_{j}_{i}" for i in range(30)), *w, *(f"p{k}_{j}_{i}" for i in range(30))])))
+    got = {(r.source_id, r.doc_id) for r in ps.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3 * k + j, 3 * k + 2) for k in range(40) for j in range(2)}
