@@ -51,12 +51,20 @@ def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Rows of values by 64-bit hash, in an open hash table; `other` stands for hashes that it doesn't have."""
+    """Rows of values by 64-bit hash, in an open hash table; `other` stands for hashes that it doesn't have.
+
+    The table, several times as large, is made where rows are first looked up, so the driver only has and sends the rows.
+    """
 
     def __init__(self, key: np.ndarray, values: np.ndarray, other):
+        self.own, self.bits = key, 0
+        self.values = np.empty((len(key) + 1, len(other)), np.float32)
+        self.values[:-1], self.values[-1] = values, other
+
+    def _build(self) -> None:
+        key, self.own = self.own, None
         self.bits = max(4, int(2 * len(key)).bit_length())
         self.key, self.row = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-        self.values = np.vstack([values, np.asarray(other, np.float32)[None]]).astype(np.float32)
         left = np.arange(len(key))
         while len(left):
             at, one = np.unique(self._slots(key[left]), return_index=True)
@@ -73,6 +81,8 @@ class Lookup:
 
     def rows(self, h: np.ndarray) -> np.ndarray:
         """The row of each hash; -1, the last row, if there is none."""
+        if not self.bits:
+            self._build()
         return self.row[self._slots(h)]
 
 
@@ -226,25 +236,33 @@ def models(counts: DataFrame, most: int = MODEL_BYTES):
     context, n_context = context[order], [n[order] for n in n_context]
     rest = np.ones((len(context), 2))
 
+    def mass(of: np.ndarray, n: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        """The discounted part of pairs whose contexts `of` stand at `at`, by class."""
+        return np.stack([_less(n[c], d_pair[c]) / np.maximum(n_context[c][at], 1) for c in (0, 1)], 1)
+
+    for r in counts.where(f"step = {_KEPT}").toLocalIterator():  # row by row, as all pairs needn't fit into the driver
+        of, _, *n = _columns(r.n, bytes(r.data), 2, 2)
+        np.subtract.at(rest, at := np.searchsorted(context, of), mass(of, n, at))
+
+    def pairs(part: int) -> Lookup:
+        of, own, *n = _gathered(counts, _KEPT, 2, 2, part, parts)
+        return Lookup(pair_hash(of, own), mass(of, n, np.searchsorted(context, of)), [0, 0])
+
     def level(part: int) -> tuple[np.ndarray, np.ndarray]:
         """The part's words, and P_c of them and, last, of one that no text has."""
         word, *types = _gathered(counts, _WORDS, 1, 3, part, parts)
         both = backed(2, types[2], np.full(len(word) + 1, even))
         return word, np.stack([(1 - SHARE) * backed(c, types[c], both) + SHARE * both for c in (0, 1)], 1)
 
-    one = level(0)
-    largest = max(float(np.log(p[:, 1] / p[:, 0]).max()) for _, p in (level(part) if part else one for part in range(parts)))
+    largest = max(float(np.log(p[:, 1] / p[:, 0]).max()) for _, p in map(level, range(parts)))
     limit = TELLING * largest if largest > 0 else np.inf
+
+    def words(part: int) -> Lookup:
+        word, p = level(part)
+        return Lookup(word, p[:-1], p[-1])
+
     for part in range(parts):
-        word, p = level(part) if part else one
-        one = None
-        if not part:
-            of, own, *n = _gathered(counts, _KEPT, 2, 2)
-            at = np.searchsorted(context, of)
-            mass = np.stack([_less(n[c], d_pair[c]) / np.maximum(n_context[c][at], 1) for c in (0, 1)], 1)
-            rest = 1 - np.stack([np.bincount(at, m, len(context)) for m in mass.T], 1)
-        mine = own % np.uint64(parts) == part
-        yield Model(Lookup(word, p[:-1], p[-1]), Lookup(pair_hash(of[mine], own[mine]), mass[mine], [0, 0]), Lookup(context, rest, [1, 1]), (part, parts), limit)
+        yield Model(words(part), pairs(part), Lookup(context, rest, [1, 1]), (part, parts), limit)
 
 
 def _evidence(docs: DataFrame, parts: list, keep: list[str]) -> DataFrame:
@@ -287,7 +305,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     arrow_rows(spark)
     known = labelled(docs, labels, label, text_col, id_col)
     counts = count_pairs(known.where("fold > 1"))
-    parts = [spark.sparkContext.broadcast(m) for m in models(counts, model_bytes)]
+    parts = list(map(spark.sparkContext.broadcast, models(counts, model_bytes)))  # no part stays while the next is made
     release(counts)
     give_back()
     fit = sample(_evidence(known.where("fold = 1"), parts, ["k", "doc_id", "label"]), F.xxhash64("doc_id"), FIT_ROWS).toPandas()

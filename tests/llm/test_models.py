@@ -184,3 +184,19 @@ def test_toxicity_in_parts(spark, odd, docs, sf):
     assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-4 for k in whole)
     known = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (6, 0, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
     assert toxicity(odd, known, model_bytes=100).count() == odd.count()
+
+
+def test_a_model_is_sent_without_its_tables(spark, docs, sf):
+    """The driver makes and sends rows of hashes and values; the hash tables are made where they are used."""
+    import pickle
+
+    from gridloom.llm.toxicity import Lookup
+
+    rng = np.random.default_rng(3)
+    key = rng.integers(1, 1 << 63, 100_000).astype(np.uint64)
+    table = Lookup(key, np.arange(200_000).reshape(-1, 2), [-1, -2])
+    sent = pickle.dumps(table)
+    assert len(sent) < 1.1 * (key.nbytes + 8 * len(key))
+    there = pickle.loads(sent)
+    assert (there.values[there.rows(key), 1] == 1 + 2 * np.arange(100_000)).all()
+    assert (there.values[there.rows(np.array([7], np.uint64))] == [-1, -2]).all()
