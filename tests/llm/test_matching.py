@@ -246,3 +246,39 @@ def test_passages_of_two_texts_that_are_not_alike(spark):
             rows.append((3 * k + j, " ".join([*(f"o{k}_{j}_{i}" for i in range(30)), *w, *(f"p{k}_{j}_{i}" for i in range(30))])))
     got = {(r.source_id, r.doc_id) for r in ps.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(3 * k + j, 3 * k + 2) for k in range(40) for j in range(2)}
+
+
+def test_passages_of_a_cluster_are_not_all_pairs(spark):
+    """Copies with many edits: every word that an earlier text shares is listed and every class, but not every two texts."""
+    rng = np.random.default_rng(11)
+    base, rows = [f"b{i}" for i in range(400)], []
+    for d in range(80):
+        w = [x if rng.random() > 0.04 else f"e{rng.integers(40)}" for x in base]
+        rows.append((d, " ".join(w)))
+    need, pairs = defaultdict(set), set()
+    for b in range(80):
+        for a in range(b):
+            for p in ps.common_passages(_h(rows[a][1].split()), _h(rows[b][1].split())):
+                need[b] |= set(range(p.start, p.end))
+                pairs.add((a, b))
+    out = ps.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), classes=True).collect()
+    got, held = {(r.source_id, r.doc_id) for r in out}, defaultdict(set)
+    for r in out:
+        held[r.doc_id] |= set(range(r.start, r.end))
+    assert {r.class_id for r in out} == {0} and {r.doc_id for r in out} == set(need) == set(range(1, 80))
+    words_missed = sum(len(need[d] - held[d]) for d in need)
+    assert got <= pairs and words_missed <= 0.001 * sum(map(len, need.values()))
+    assert len(got) < len(pairs) / 2
+
+
+def test_bounds_on_shared_shingles():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        x = rng.integers(0, rng.integers(2, 60), rng.integers(46, 91)).astype(np.uint64)
+        assert ps.different(x, 46).tolist() == [len(set(x[i : i + 46].tolist())) for i in range(len(x) - 45)]
+        shared = rng.random(60) < 0.8
+        both, first = shared[x.astype(int)], ps._last(x) >= 0
+        if both.sum() >= len(x) - 18 and 100 * len(set(x[both].tolist())) >= 80 * len(set(x.tolist())):
+            assert len(set(x[both].tolist())) >= ps.fewest(x, len(set(x.tolist())), 46, 18, 80)
+            assert ps.promising(both, first, np.zeros(len(x) + 4, bool), 50, 5, 80)
+            assert not ps.promising(both, first, np.ones(len(x) + 4, bool), 50, 5, 80)
