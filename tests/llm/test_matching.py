@@ -271,6 +271,28 @@ def test_passages_of_a_cluster_are_not_all_pairs(spark):
     assert len(got) < len(pairs) / 2
 
 
+def test_pairs_that_add_no_words_are_not_aligned():
+    """A known passage before words that the other text doesn't have adds none; whatever adds some is aligned."""
+    both = np.arange(200) < 100
+    known = np.arange(204) < 104
+    last = np.full(200, -1)
+    assert not ps.adding(both, last, known, 50, 5, 80)
+    assert ps.adding(both, last, known & (np.arange(204) != 30), 50, 5, 80)
+    rng, added, left = np.random.default_rng(5), 0, 0
+    for _ in range(400):
+        base = [f"w{i}" for i in rng.integers(0, 150, 160)]
+        x, y = ([w if rng.random() > 0.02 else f"e{rng.integers(1000)}" for w in base[a:b]] for a, b in ((0, 120), tuple(sorted(rng.choice(161, 2, replace=False)))))
+        x, y = _h(x), _h(y)
+        known = np.zeros(len(y) + 4, bool)
+        known[: rng.integers(0, len(known) + 1)] = True
+        adds = any(not known[p.start : p.end].all() for p in ps.common_passages(x, y))
+        added += adds
+        if not ps.adding(ps.marked(np.sort(x), y), ps._last(y), known, 50, 5, 80):
+            left += 1
+            assert not adds
+    assert added > 50 and left > 50
+
+
 def test_bounds_on_shared_shingles():
     rng = np.random.default_rng(2)
     for _ in range(300):
