@@ -35,7 +35,8 @@ BLOCK, MODEL_BYTES = 1 << 18, 128 << 20
 #: Words: runs of 0-9, a-z (A-Z lower-cased) and bytes beyond ASCII.
 LETTERS = np.array([b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A for b in range(256)])
 _START = np.uint64(0x2545F4914F6CDD1D)
-_FLUSH = 1_000_000
+#: Words that a task gathers before it counts their pairs; rows of a lookup that are put in at once; bytes sent on at once.
+_FLUSH, _BUILD, _SENT = 1 << 18, 1 << 18, 4 << 20
 
 
 def bigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,32 +54,37 @@ def pair_hash(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 class Lookup:
     """Rows of values by 64-bit hash, in an open hash table; `other` stands for hashes that it doesn't have.
 
-    The table, several times as large, is made where rows are first looked up, so the driver only has and sends the rows.
+    The table, of places in the rows, is made where rows are first looked up, so the driver only has and sends the rows.
     """
 
     def __init__(self, key: np.ndarray, values: np.ndarray, other):
-        self.own, self.bits = key, 0
+        self.key, self.bits = key, 0
         self.values = np.empty((len(key) + 1, len(other)), np.float32)
         self.values[:-1], self.values[-1] = values, other
 
     def _build(self) -> None:
-        key, self.own = self.own, None
-        self.bits = max(4, int(2 * len(key)).bit_length())
-        self.key, self.row = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-        left = np.arange(len(key))
-        while len(left):
-            at, one = np.unique(self._slots(key[left]), return_index=True)
-            self.key[at], self.row[at] = key[left[one]], left[one]
-            left = np.delete(left, one)
+        self.bits = max(4, int(2 * len(self.key)).bit_length())
+        self.row = np.full(1 << self.bits, -1, np.int32)
+        for low in range(0, len(self.key), _BUILD):  # a part after the other, as sorting takes several times its size
+            left = np.arange(low, min(len(self.key), low + _BUILD), dtype=np.int32)
+            while len(left):
+                at, one = np.unique(self._slots(self.key[left]), return_index=True)
+                self.row[at] = left[one]
+                left = np.delete(left, one)
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
         at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        far = np.flatnonzero((self.key[at] != h) & (self.row[at] >= 0))
-        while len(far):
+        far = np.arange(len(h))
+        while len(far := far[self._taken(self.row[at[far]], h[far])]):
             at[far] = (at[far] + 1) & ((1 << self.bits) - 1)
-            far = far[(self.key[at[far]] != h[far]) & (self.row[at[far]] >= 0)]
         return at
 
+    def _taken(self, row: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Whether a slot's row is there and is another hash's."""
+        out = row >= 0
+        out[out] = self.key[row[out]] != h[out]
+        return out
+
     def rows(self, h: np.ndarray) -> np.ndarray:
         """The row of each hash; -1, the last row, if there is none."""
         if not self.bits:
@@ -169,16 +175,17 @@ def count_pairs(train: DataFrame) -> DataFrame:
             got.clear()
             _, one, back = np.unique(pair_hash(context, word), return_index=True, return_inverse=True)
             n = [np.bincount(back[label == c], minlength=len(one)) for c in (0, 1)]
-            return _rows(_PAIRS, context[one] >> bits, [context[one], word[one]], n)
+            out = _rows(_PAIRS, context[one] >> bits, [context[one], word[one]], n)
+            return slices(out, max(1, _SENT * out.num_rows // max(1, out.nbytes)))
 
         for whole in batches:
             for batch in chunks(whole, "text"):
                 context, word, first = bigrams(batch.column("text"))
                 got.append((context, word, np.repeat(np.asarray(batch.column("label")).astype(np.int8), np.diff(first))))
                 if sum(len(g[0]) for g in got) > _FLUSH:
-                    yield from slices(flush(), 64)
+                    yield from flush()
         if sum(len(g[0]) for g in got):
-            yield from slices(flush(), 64)
+            yield from flush()
 
     def by_context(key, table):
         context, word, *n = _together(table, 2, 2)

@@ -200,3 +200,22 @@ def test_a_model_is_sent_without_its_tables(spark, docs, sf):
     there = pickle.loads(sent)
     assert (there.values[there.rows(key), 1] == 1 + 2 * np.arange(100_000)).all()
     assert (there.values[there.rows(np.array([7], np.uint64))] == [-1, -2]).all()
+
+
+def test_a_lookup_takes_little_memory():
+    """Hashes aren't kept twice, and the table is put together in parts."""
+    import tracemalloc
+
+    from gridloom.llm.toxicity import Lookup
+
+    key = np.random.default_rng(4).integers(1, 1 << 63, 1_500_000).astype(np.uint64) * np.uint64(2)
+    key = np.unique(key)
+    table = Lookup(key, np.zeros((len(key), 2)), [1, 1])
+    tracemalloc.start()
+    found = table.rows(key[:1000])
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert (found == np.arange(1000)).all()
+    assert held < 18 * len(key) and peak < 40 * len(key)
+    assert (np.concatenate([table.rows(key[a : a + 100_000]) for a in range(0, len(key), 100_000)]) == np.arange(len(key))).all()
+    assert (table.rows(key[:1000] + np.uint64(1)) == -1).all()
