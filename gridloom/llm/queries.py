@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat
+from . import chat, lexical, mining
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,5 +79,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_kneser_ney, op2_compact_windows, op3_chat_snapshots, op4_ngram_jaccard, op5_winnowing, op6_quality_rules, op7_prefix_token_counts, op8_pu_quality, op9_best_fit_packing, op10_token_files)}
-ORACLE_SQL: dict[str, str] = {"op3_chat_snapshots": chat.SQL}
+def op11_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mining.mine_negatives(table(spark, sf_dir, "embeddings"), label=label)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity_kneser_ney, op2_compact_windows, op3_chat_snapshots, op4_ngram_jaccard, op5_winnowing, op6_quality_rules, op7_prefix_token_counts, op8_pu_quality, op9_best_fit_packing, op10_token_files, op11_simhash_anchors, op12_lexical_search, op13_hard_negatives)}
+ORACLE_SQL: dict[str, str] = {"op3_chat_snapshots": chat.SQL, "op12_lexical_search": lexical.SQL, "op13_hard_negatives": mining.SQL}
