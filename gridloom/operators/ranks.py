@@ -1,6 +1,7 @@
 """Numbers and running sums over a whole table in some order, without a window that puts all rows into one task.
 
 Rows are sorted by ranges and written; what each range holds is summed up, and the sums of the ranges before it are added.
+Tables that, once written, have few rows (counted) can be left to a plain window.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut, few, free_name
 
+#: Up to so many rows one task numbers (or sums up) a written table at once; beyond, ranges are.
+ONE_TASK = 500_000
+
 
 def _before(rows: DataFrame, part: str, group: Sequence[str], value: Column, name: str) -> DataFrame:
     """Of each range (and group) the sum over all ranges before it: a row a range and group that it holds."""
@@ -20,9 +24,11 @@ def _before(rows: DataFrame, part: str, group: Sequence[str], value: Column, nam
     return sums.select(part, *group, (F.sum(name).over(Window.partitionBy(*group).orderBy(part)) - F.col(name)).alias(name))
 
 
-def numbered(df: DataFrame, name: str, *order: str | Column, start: int = 0) -> DataFrame:
-    """df with its rows' places in `order`, from `start`, as a long column; ties in any order."""
+def numbered(df: DataFrame, name: str, *order: str | Column, start: int = 0, one_task: int = 0) -> DataFrame:
+    """df with its rows' places in `order`, from `start`, as a long column; ties in any order. Up to one_task rows: by one task."""
     mark, part, before = (free_name(x, df) for x in ("_mark", "_part", "_before"))
+    if one_task and (df := cut(df, "unplaced")).count() <= one_task:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) + (start - 1)).cast("long"))
     rows = cut(df.orderBy(*order).withColumn(mark, F.monotonically_increasing_id()), "placed").withColumn(part, F.shiftright(mark, 33))
     counts = _before(rows, part, (), F.count("*"), before)
     place = F.col(mark).bitwiseAND(F.lit((1 << 33) - 1))
@@ -38,17 +44,24 @@ def running_sum(df: DataFrame, value: str, name: str, order: Sequence[str], grou
     return rows.join(sums, [part, *group]).select(*df.columns, (own + F.col(before)).alias(name))
 
 
-def percentiles(df: DataFrame, value: str, at: Sequence[float], group: Sequence[str]) -> DataFrame:
-    """group and p0, p1, ..: linear percentiles (0 to 100) of the values that are not null, from counts of different values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    run = running_sum(counts, "_n", "_run", [value], group)
-    totals = few(counts.groupBy(*group).agg(F.sum("_n").alias("_total")))
-    own = run.join(totals, list(group)).withColumn("_v", F.col(value).cast("double"))
-    cells = []
-    for p in at:
+def percentiles(counts: DataFrame, value: str, at: Sequence[float], group: Sequence[str], n: str = "_n", more: Sequence[Column] = ()) -> DataFrame:
+    """group, p0, p1, .. and `more`: linear percentiles (0 to 100) of values that stand `n` times each, from a table of counts.
+
+    counts: group, value (nulls are skipped) and n, each value once a group; it is written here unless it was. more: aggregates over
+    its rows, which have _total, the group's number of values, and _mean.
+    """
+    counts = counts if hasattr(counts, "_cut_path") else cut(counts, "counts")
+    every = Window.partitionBy(*group)
+    weight = F.sum(F.col(value).cast("double") * F.col(n))
+    few_rows, counts = counts.count() <= ONE_TASK, counts.where(F.col(value).isNotNull())
+    if few_rows:
+        own = counts.withColumns({"_run": F.sum(n).over(every.orderBy(value)), "_total": F.sum(n).over(every), "_mean": weight.over(every) / F.sum(n).over(every)})
+    else:
+        totals = few(cut(counts.groupBy(*group).agg(F.sum(n).alias("_total"), (weight / F.sum(n)).alias("_mean")), "totals"))
+        own = running_sum(counts, n, "_run", [value], group).join(totals, list(group))
+    v, cells = F.col(value).cast("double"), []
+    for i, p in enumerate(at):
         place = (F.col("_total") - 1) * (p / 100)
-        low = F.min(F.when(F.col("_run") > F.floor(place), F.col("_v")))
-        high = F.min(F.when(F.col("_run") > F.ceil(place), F.col("_v")))
-        share = F.max(place - F.floor(place))
-        cells.append(low + (high - low) * share)
-    return own.groupBy(*group).agg(*(c.alias(f"p{i}") for i, c in enumerate(cells)))
+        low, high = (F.min(F.when(F.col("_run") > f(place), v)) for f in (F.floor, F.ceil))
+        cells.append((low + (high - low) * F.max(place - F.floor(place))).alias(f"p{i}"))
+    return own.groupBy(*group).agg(*cells, *more)

@@ -11,8 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.expressions import Compiler, compile_over
-from ..session import collected, few, free_name
-from .ranks import numbered, percentiles as ranked_values, running_sum
+from ..session import collected, cut, few, free_name, small
+from .ranks import ONE_TASK, numbered, percentiles as ranked_values, running_sum
 from .tiles import dilated, offsets, tiled
 
 POSITION = ("r", "c")
@@ -195,7 +195,7 @@ def raster_info(df: DataFrame) -> DataFrame:
 
 def point_values(df: DataFrame, points: DataFrame, origin: tuple[float, float] = (0.0, 0.0), pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Values at points (id, x, y): the pixel at round((x - x0) / width), round((y0 - y) / height). Points are the small side."""
-    at = few(points.withColumns({"r": F.rint((F.lit(origin[1]) - F.col("y")) / pixel[1]).cast("int"), "c": F.rint((F.col("x") - origin[0]) / pixel[0]).cast("int")}))
+    at = small(points.withColumns({"r": F.rint((F.lit(origin[1]) - F.col("y")) / pixel[1]).cast("int"), "c": F.rint((F.col("x") - origin[0]) / pixel[0]).cast("int")}))
     return df.join(at, list(POSITION)).select("id", *bands_of(df))
 
 
@@ -223,26 +223,29 @@ def report(df: DataFrame, band: str, pixel_area: float | None = 1.0) -> DataFram
 def combination(df: DataFrame, bands: Sequence[str], pixel_area: float = 1.0) -> DataFrame:
     """Distinct tuples of the bands with ids 1.. in their order, pixels and area; pixels with any NoData don't count."""
     counts = df.dropna(subset=list(bands)).groupBy(*bands).agg(F.count("*").alias("pixels"))
-    return numbered(counts, "combination", *bands, start=1).select(F.col("combination").cast("int").alias("combination"), *bands, "pixels", (F.col("pixels") * pixel_area).alias("area"))
+    return numbered(counts, "combination", *bands, start=1, one_task=ONE_TASK).select(F.col("combination").cast("int").alias("combination"), *bands, "pixels", (F.col("pixels") * pixel_area).alias("area"))
 
 
 def combination_raster(df: DataFrame, bands: Sequence[str]) -> DataFrame:
     """r, c and the combination of each pixel."""
-    return df.join(few(combination(df, bands).drop("pixels", "area")), list(bands)).select(*POSITION, "combination")
+    return df.join(small(combination(df, bands).drop("pixels", "area")), list(bands)).select(*POSITION, "combination")
 
 
 def zonal_stats(df: DataFrame, zone: str, band: str, percentiles: Sequence[float] = ()) -> DataFrame:
     """Count, max, mean, median, min, std (population), sum and linear percentiles of a band by zone; NoData is skipped.
 
     The median and the percentiles are exact: they are read off running counts of different values (see ranks), so a zone
-    with very many pixels is not one task's.
+    with very many pixels is not one task's. The pixels are read once; all comes from the counts.
     """
     own = df.where(F.col(zone).isNotNull())
-    simple = {"count": F.count, "max": F.max, "mean": F.avg, "min": F.min, "std": F.stddev_pop, "sum": F.sum}
-    each = own.groupBy(zone).agg(*(f(band).alias(n) for n, f in simple.items()))
-    ranked = ranked_values(own, band, [50, *percentiles], [zone])
+    counts = cut(own.groupBy(zone, band).agg(F.count("*").alias("_n")), "counts")
+    v, n = F.col(band).cast("double"), F.col("_n")
+    more = [F.sum("_n").alias("count"), F.max(band).alias("max"), F.max("_mean").alias("mean"), F.min(band).alias("min"), F.sqrt(F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean"))) / F.sum("_n")).alias("std"), F.sum(F.col(band) * n).alias("sum")]
+    got = ranked_values(counts, band, [50, *percentiles], [zone], more=more)
     names = ["median", *(f"p{p:g}" for p in percentiles)]
-    return each.join(few(ranked), zone, "left").select(zone, "count", "max", "mean", F.col("p0").alias("median"), "min", "std", "sum", *(F.col(f"p{i}").alias(n) for i, n in enumerate(names) if i))
+    empty = counts.where(F.col(band).isNull()).select(zone)  # a zone of NoData alone is a zone
+    got = got.join(F.broadcast(empty) if counts.count() <= ONE_TASK else empty, zone, "full_outer").withColumn("count", F.coalesce("count", F.lit(0)))
+    return got.select(zone, "count", "max", "mean", F.col("p0").alias("median"), "min", "std", "sum", *(F.col(f"p{i}").alias(x) for i, x in enumerate(names) if i))
 
 
 def cross_matrix(df: DataFrame, row: str, column: str) -> DataFrame:
@@ -307,12 +310,12 @@ def dark_object(df: DataFrame, band: str, share: float = 0.0001) -> DataFrame:
 def unique_table(df: DataFrame, band: str, incremental: bool = True) -> DataFrame:
     """Distinct values and the numbers 1.. in their order (or the values themselves), for a reclassification."""
     values = df.where(F.col(band).isNotNull()).select(F.col(band).alias("old_value")).distinct()
-    return numbered(values, "new_value", "old_value", start=1).withColumn("new_value", F.col("new_value").cast("int")) if incremental else values.withColumn("new_value", F.col("old_value"))
+    return numbered(values, "new_value", "old_value", start=1, one_task=ONE_TASK).withColumn("new_value", F.col("new_value").cast("int")) if incremental else values.withColumn("new_value", F.col("old_value"))
 
 
 def reclassify_by_table(df: DataFrame, band: str, table: DataFrame, name: str = "value") -> DataFrame:
     """Values by a table (old_value, new_value); values that it lacks stay."""
-    return df.join(few(table), F.col(band) == F.col("old_value"), "left").withColumn(name, F.coalesce("new_value", band)).drop("old_value", "new_value")
+    return df.join(small(table), F.col(band) == F.col("old_value"), "left").withColumn(name, F.coalesce("new_value", band)).drop("old_value", "new_value")
 
 
 def rules_of(table: DataFrame) -> list[tuple[str, str]]:

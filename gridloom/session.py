@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A side of a join is broadcast only if it has at most this many rows of a few fixed-width columns (about 32 MB).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a written table that is broadcast, at most.
+BROADCAST_BYTES = 32 << 20
 #: The writer looks at a page's size from the first row on, not from the hundredth: pages of rows of megabytes, and the
 #: direct buffers that codecs keep for the largest, would be a hundred times as large.
 PAGES = {"parquet.page.size.row.check.min": "1"}
@@ -62,6 +64,18 @@ def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table that cut wrote."""
+    jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    return jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(jpath).getLength()
+
+
+def small(df: DataFrame, name: str = "side", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, worked out once and written, and marked for broadcast if its rows and bytes are few; else for a shuffled join."""
+    out = df if hasattr(df, "_cut_path") else cut(df, name)
+    return F.broadcast(out) if written_bytes(out) <= BROADCAST_BYTES and out.count() <= limit else out
+
+
 def collected(df: DataFrame, limit: int = 10_000) -> list:
     """Rows of a table that has to be small, such as signatures or rules; more than `limit` rows is an error."""
     rows = df.limit(limit + 1).collect()
