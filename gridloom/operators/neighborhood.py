@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut
+from ..session import cut, small
 from .components import components
-from .tiles import dilated, eroded, offsets, tiled, window_stat
+from .rings import stitched
+from .tiles import TILE, dilated, eroded, offsets, tiled, window_stat
 
 
 def structure_offsets(matrix: Sequence[Sequence[float | None]]) -> list[tuple[int, int, float]]:
@@ -58,29 +61,78 @@ def erosion(df: DataFrame, band: str, values: Sequence, size: int = 1, circular:
     return tiled(df, band, size, eroded(list(values), where, size)).withColumn("value", F.col("value").cast(dict(df.dtypes)[band]))
 
 
+def _runs(code: np.ndarray, eight: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of a tile (numbers of values, -1: none) each cell's run of equal cells in its row, and of each run the first one joined with it."""
+    new = code >= 0
+    new[:, 1:] &= code[:, 1:] != code[:, :-1]
+    run = np.cumsum(new.ravel()).reshape(code.shape) - 1
+    pairs = []
+    for step in (0, 1, -1) if eight else (0,):
+        up, down = (slice(max(0, -step), code.shape[1] - max(0, step)), slice(max(0, step), code.shape[1] - max(0, -step)))
+        same = (code[:-1, up] == code[1:, down]) & (code[:-1, up] >= 0)
+        pairs.append(np.stack([run[:-1, up][same], run[1:, down][same]]))
+    a, b = np.unique(np.concatenate(pairs, 1), axis=1)
+    root = np.arange(run[-1, -1] + 1)
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, before[a], low)
+        np.minimum.at(root, before[b], low)
+        while (root != root[root]).any():
+            root = root[root]
+        if (root == before).all():
+            return run, root
+
+
+def _labelled(df: DataFrame, band: str, width: int, eight: bool) -> tuple[DataFrame, DataFrame]:
+    """r, c, value, run of the pixels (written), and run, patch: of each run of a tile that others continue, the patch.
+
+    A tile's pixels are joined up within it; only pixels at borders of tiles are compared with others, so links are few: what
+    meets at a patch's key is its parts in tiles, not its pixels. A run, and a patch, is named by its first pixel.
+    """
+    kind = dict(df.dtypes)[band]
+    sent = df.where(F.col(band).isNotNull()).select("r", "c", F.col(band).alias("value"), F.floor(F.col("r") / TILE).alias("i"), F.floor(F.col("c") / TILE).alias("j"))
+
+    def join_up(key, table):
+        i, j = (k.as_py() * TILE for k in key)
+        r, c = (np.asarray(table.column(n)).astype(np.int64) for n in "rc")
+        value = table.column("value").combine_chunks()
+        code = np.full((TILE, TILE), -1)
+        code[r - i, c - j] = np.asarray(value.dictionary_encode().indices)
+        run, root = _runs(code, eight)
+        first = np.full(len(root), -1)
+        own = run[r - i, c - j]
+        order = np.lexsort((c, r))[::-1]
+        first[own[order]] = (r * width + c)[order]
+        return pa.table({"r": pa.array(r.astype(np.int32)), "c": pa.array(c.astype(np.int32)), "value": value, "run": pa.array(first[root[own]])})
+
+    own = cut(sent.groupBy("i", "j").applyInArrow(join_up, f"r int, c int, value {kind}, run long"), "runs")
+    tile = lambda r, c: (F.floor(r / TILE), F.floor(c / TILE))
+    steps = [(1, 0), (0, 1), *([(1, 1), (1, -1)] if eight else [])]
+    moved = own.select("value", F.col("run").alias("a"), *(x.alias(n) for x, n in zip(tile(F.col("r"), F.col("c")), "ij", strict=True)), F.explode(F.array(*(F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i, j in steps))).alias("p")).select("value", "a", "i", "j", "p.*")
+    ti, tj = tile(F.col("r"), F.col("c"))
+    moved = moved.where((ti != F.col("i")) | (tj != F.col("j"))).drop("i", "j")
+    edge = (F.pmod("r", F.lit(TILE)) == 0) | F.pmod("c", F.lit(TILE)).isin(0, TILE - 1)
+    links = moved.join(own.where(edge).select("r", "c", "value", F.col("run").alias("b")), ["r", "c", "value"]).select("a", "b").distinct()
+    return own, cut(components(links).toDF("run", "patch"), "patches")
+
+
 def patches(df: DataFrame, band: str, width: int, eight: bool = False) -> DataFrame:
-    """r, c, value, patch: connected pixels of equal value share a patch id, that of their first run.
+    """r, c, value, patch: connected pixels of equal value share a patch id, r * width + c of their first pixel.
 
-    Runs of a row come first (a window over each row), so links are between runs of neighboring rows only: far fewer than
-    between pixels. width: a number above every column, for ids.
+    width: a number above every column, for ids; a position stands once. See _labelled.
     """
-    row = Window.partitionBy("r").orderBy("c")
-    part = df.where(F.col(band).isNotNull()).select("r", "c", F.col(band).alias("value"))
-    new = F.coalesce((F.lag("c").over(row) != F.col("c") - 1) | (F.lag("value").over(row) != F.col("value")), F.lit(True))
-    runs = part.withColumn("_new", new).withColumn("_start", F.max(F.when(F.col("_new"), F.col("c"))).over(row.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = cut(runs.select("r", "c", "value", (F.col("r").cast("long") * width + F.col("_start")).alias("run")), "runs")
-    reach = [0, 1, -1] if eight else [0]
-    below = runs.select((F.col("r") - 1).alias("r"), F.explode(F.array(*(F.col("c") + i for i in reach))).alias("c"), "value", F.col("run").alias("b"))
-    links = runs.withColumnRenamed("run", "a").join(below, ["r", "c", "value"]).select("a", "b").distinct()
-    named = components(links).toDF("run", "patch")
-    return runs.join(named, "run", "left").select("r", "c", "value", F.coalesce("patch", "run").alias("patch"))
+    own, named = _labelled(df, band, width, eight)
+    return own.join(small(named), "run", "left").select("r", "c", "value", F.coalesce("patch", "run").alias("patch"))
 
 
 def label(df: DataFrame, band: str, width: int) -> DataFrame:
     """r, c, value: the number of pixels of each foreground pixel's 4-connected patch (foreground: not 0, not NoData)."""
-    own = patches(df.where(F.col(band) != 0).select("r", "c", F.lit(1).alias("f")), "f", width)
-    sizes = own.groupBy("patch").agg(F.count("*").alias("value"))
-    return own.select("r", "c", "patch").join(sizes, "patch").select("r", "c", "value")
+    own, named = _labelled(df.where(F.col(band) != 0).select("r", "c", F.lit(1).alias("f")), "f", width, False)
+    parts = own.groupBy("run").agg(F.count("*").alias("n")).join(small(named), "run", "left").withColumn("patch", F.coalesce("patch", "run"))
+    parts = cut(parts, "parts")
+    sizes = parts.groupBy("patch").agg(F.sum("n").alias("value"))
+    return own.select("r", "c", "run").join(small(parts.join(small(sizes), "patch").select("run", "value")), "run").select("r", "c", "value")
 
 
 def sieve(df: DataFrame, band: str, size: int, width: int, eight: bool = False) -> DataFrame:
@@ -111,6 +163,69 @@ def region_edges(df: DataFrame, band: str, width: int) -> DataFrame:
     return each.join(other, ["nr", "nc"], "left").where("beside IS NULL OR beside <> patch").select(F.col("patch").alias("region"), "value", "r", "c", "side")
 
 
+def region_rings(edges: DataFrame) -> DataFrame:
+    """region, value, ring (array of x, y; x right, y down) and area of each ring that bounds a region: holes are negative.
+
+    edges: region, value, r, c, side (region_edges). A tile's edges are followed within it, the region on their right; what
+    leaves a tile goes on as the piece of another one, and pieces are stitched by list ranking (rings.stitched).
+    """
+    kinds = dict(edges.dtypes)
+    number = F.when(F.col("side") == "N", 0).when(F.col("side") == "E", 1).when(F.col("side") == "S", 2).otherwise(3)
+    at = lambda n: F.sequence(F.floor((F.col(n) - 1) / TILE), F.floor((F.col(n) + 1) / TILE))
+    sent = edges.select("region", "value", "r", "c", number.cast("int").alias("side"), F.explode(at("r")).alias("i")).withColumn("j", F.explode(at("c")))
+    point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+    ahead = np.array([(0, 1), (1, 0), (0, -1), (-1, 0)])  # the way along a side N, E, S, W of a pixel, as (row, column)
+    begin = np.array([(0, 0), (0, 1), (1, 1), (1, 0)])  # and the corner where it begins
+
+    def follow(key, table):
+        i, j = (k.as_py() * TILE - 1 for k in key)
+        r, c, side = (np.asarray(table.column(n)).astype(np.int64) for n in ("r", "c", "side"))
+        wide = TILE + 2
+        place = np.full((wide + 2, wide + 2, 4), -1)  # edge by pixel and side, with a border of none
+        place[r - i + 1, c - j + 1, side] = np.arange(len(r))
+        y, x = r - i + 1, c - j + 1
+        step, out = ahead[side], -ahead[(side + 1) % 4]  # out: away from the pixel
+        right = place[y, x, (side + 1) % 4]
+        on = place[y + step[:, 0], x + step[:, 1], side]
+        left = place[y + step[:, 0] + out[:, 0], x + step[:, 1] + out[:, 1], (side + 3) % 4]
+        after = np.where(right >= 0, right, np.where(on >= 0, on, left))
+        own = (y > 1) & (y <= TILE + 1) & (x > 1) & (x <= TILE + 1)
+        ids = (r << 34) + (c << 2) + side
+        before = np.full(len(r), -1)
+        known = np.flatnonzero((after >= 0) & (own | own[after]))
+        before[after[known]] = known
+        todo = np.flatnonzero(own)
+        starts = [e for e in todo.tolist() if before[e] < 0 or not own[before[e]]]
+        seen = np.zeros(len(r), bool)
+        rows = {n: [] for n in ("piece", "next", "at", "path", "cross", "length")}
+        by = [(rr + begin[s][0], cc + begin[s][1]) for rr, cc, s in zip(r.tolist(), c.tolist(), side.tolist(), strict=True)]
+        afters, owns, sides, befores = after.tolist(), own.tolist(), side.tolist(), before.tolist()
+        for start in [*starts, *todo.tolist()]:  # what starts nowhere are whole rings
+            if seen[start]:
+                continue
+            e, path, cross, n = start, [], 0, 0
+            while True:
+                seen[e] = True
+                if sides[befores[e]] != sides[e]:
+                    path.append({"x": float(by[e][1]), "y": float(by[e][0])})
+                y1, x1 = by[e]
+                y2, x2 = y1 + int(ahead[sides[e]][0]), x1 + int(ahead[sides[e]][1])
+                cross += x1 * y2 - x2 * y1
+                n += 1
+                e = afters[e]
+                if e == start or not owns[e]:
+                    break
+            for name, v in zip(rows, (int(ids[start]), int(ids[e]), start, path, float(cross), float(n)), strict=True):
+                rows[name].append(v)
+        pick = pa.array(rows["at"], pa.int64())
+        cols = {n: table.column(n).combine_chunks().take(pick) for n in ("region", "value")}
+        return pa.table({"piece": pa.array(rows["piece"], pa.int64()), "next": pa.array(rows["next"], pa.int64()), **cols, "path": pa.array(rows["path"], point), "cross": pa.array(rows["cross"], pa.float64()), "length": pa.array(rows["length"], pa.float64())})
+
+    pieces = sent.groupBy("i", "j").applyInArrow(follow, f"piece long, next long, region {kinds['region']}, value {kinds['value']}, path array<struct<x:double,y:double>>, cross double, length double")
+    rings = stitched(pieces.select("piece", "next", F.struct("region", "value").alias("key"), "path", "cross", "length"))
+    return rings.select("ring_key.region", "ring_key.value", F.col("path").alias("ring"), "area")
+
+
 def dissolve(edges: DataFrame) -> DataFrame:
     """Border length by value over all its regions."""
     return edges.groupBy("value").agg(F.countDistinct("region").alias("regions"), F.count("*").alias("border"))

@@ -1,4 +1,7 @@
-"""Polygons as rings of points: point-in-polygon joins, rasterization, unions of attributes, GeoJSON."""
+"""Polygons as rings of points: point-in-polygon joins, rasterization, unions of attributes, GeoJSON.
+
+Features are rows of fid, ring and attributes; one of several rings (parts, holes) has a row for each, with its attributes.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +9,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Columns of a table of polygons: fid, ring as array<struct<x double, y double>>, and attributes.
-RING = "ring"
-#: Points of polygons that a broadcast may hold (16 bytes each).
-POLYGON_POINTS = 2_000_000
+from ..session import free_name, small
+from .overlay import dissolved
+from .polygons import RING, at_spans, bounds, cover_spans, grid_edges, middle_spans, outline_spans, ring_area, signed
 
 
 def boxes(features: DataFrame) -> DataFrame:
@@ -18,38 +20,25 @@ def boxes(features: DataFrame) -> DataFrame:
     return features.withColumns({"left": F.array_min(x), "right": F.array_max(x), "top": F.array_max(y), "bottom": F.array_min(y)})
 
 
-def inside(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point is in a ring, by crossings of the ray to its right; the ring is closed by its first point."""
-    n = F.size(ring)
-
-    def crossing(i: Column) -> Column:
-        a, b = F.element_at(ring, i), F.element_at(ring, i % n + 1)
-        over = (a["y"] > y) != (b["y"] > y)
-        return F.when(over & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]), 1).otherwise(0)
-
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + crossing(i)) % 2 == 1
-
-
 def pixel_centers(df: DataFrame, origin: tuple[float, float] = (0.0, 0.0), size: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """df with x and y of each pixel's middle; rows go down from the origin."""
     return df.withColumns({"x": F.lit(origin[0]) + (F.col("c") + 0.5) * size[0], "y": F.lit(origin[1]) - (F.col("r") + 0.5) * size[1]})
 
 
-def pixels_in_polygons(df: DataFrame, features: DataFrame, cell: int = 256, **grid) -> DataFrame:
-    """Pixels joined with the polygons that hold their middles: an equi-join on square cells of the grid, then the test.
+def pixels_in_polygons(df: DataFrame, features: DataFrame, touched: bool = False, **grid) -> DataFrame:
+    """Pixels (with their middles, x and y) joined with the polygons that hold their middles: a row a pixel and feature.
 
-    Each polygon goes to the cells that its box meets, so no pixel is compared with all polygons; pixels are not copied.
-    Polygons are broadcast if they have at most POLYGON_POINTS points in all the cells that they go to, else both sides
-    are shuffled by cell. Columns of both sides stay.
+    touched: also with those whose outline passes a pixel. Rings go to the rows of pixels as spans of columns (see polygons);
+    holes and several parts count by the even-odd rule. Pixels aren't copied. Attributes of features stay, rings don't.
     """
-    own = pixel_centers(df, **grid)
-    (x0, y0), (w, h) = grid.get("origin", (0.0, 0.0)), grid.get("size", (1.0, 1.0))
-    place = lambda v, start, width: F.floor((v - start) / (width * cell)).cast("int")
-    x, y = F.transform(RING, lambda p: p["x"]), F.transform(RING, lambda p: p["y"])
-    met = features.withColumn("_i", F.explode(F.sequence(place(F.array_min(x), F.lit(x0), w), place(F.array_max(x), F.lit(x0), w)))).withColumn("_j", F.explode(F.sequence(place(-F.array_max(y), F.lit(-y0), h), place(-F.array_min(y), F.lit(-y0), h))))
-    points = met.agg(F.sum(F.size(RING))).first()[0] or 0
-    met = F.broadcast(met) if points <= POLYGON_POINTS else met
-    return own.withColumns({"_i": F.expr(f"cast(c div {cell} as int)"), "_j": F.expr(f"cast(r div {cell} as int)")}).join(met, ["_i", "_j"]).where(inside(F.col("x"), F.col("y"), F.col(RING))).drop("_i", "_j")
+    box, own, rest = bounds(df), grid_edges(features, **grid), features.drop(RING).dropDuplicates(["fid"])
+    if box is None:
+        return pixel_centers(df, **grid).join(rest, F.lit(False))
+    spans = middle_spans(own, *box[:2])
+    if touched:
+        spans = spans.union(outline_spans(own, *box[:2]))
+    met = at_spans(pixel_centers(df, **grid), spans, *box[2:])
+    return (met.dropDuplicates(["r", "c", "fid"]) if touched else met).join(small(rest), "fid")
 
 
 def clip_polygons(df: DataFrame, features: DataFrame, field: str | None = None, **grid) -> DataFrame:
@@ -60,26 +49,34 @@ def clip_polygons(df: DataFrame, features: DataFrame, field: str | None = None,
 
 def mask_polygons(df: DataFrame, features: DataFrame, bands: Sequence[str], inverse: bool = False, **grid) -> DataFrame:
     """NoData in the bands inside the polygons (inverse: outside)."""
-    held = pixels_in_polygons(df.select("r", "c"), features, **grid).select("r", "c", F.lit(True).alias("_held")).distinct()
+    flag = free_name("_held", df)
+    held = pixels_in_polygons(df.select("r", "c"), features, **grid).select("r", "c", F.lit(True).alias(flag)).distinct()
     out = df.join(held, ["r", "c"], "left")
-    stays = F.col("_held").isNotNull() if inverse else F.col("_held").isNull()
+    stays = F.col(flag).isNotNull() if inverse else F.col(flag).isNull()
     return out.withColumns({b: F.when(stays, F.col(b)) for b in bands}).select(*df.columns)
 
 
-def rasterize(df: DataFrame, features: DataFrame, field: str, **grid) -> DataFrame:
-    """r, c and the field of the polygon at each pixel's middle (of several the one of the largest fid), null elsewhere."""
-    burned = pixels_in_polygons(df.select("r", "c"), features, **grid).groupBy("r", "c").agg(F.max_by(field, "fid").alias("value"))
+def rasterize(df: DataFrame, features: DataFrame, field: str, touched: bool = False, **grid) -> DataFrame:
+    """r, c and the field of the polygon at each pixel's middle (of several the one of the largest fid), null elsewhere.
+
+    touched: of the polygons that have a part of the pixel, however small.
+    """
+    burned = pixels_in_polygons(df.select("r", "c"), features, touched, **grid).groupBy("r", "c").agg(F.max_by(field, "fid").alias("value"))
     return df.select("r", "c").join(burned, ["r", "c"], "left")
 
 
-def rasterize_area(df: DataFrame, features: DataFrame, field: str, precision: int = 4, **grid) -> DataFrame:
-    """r, c and the value that covers most of each pixel, by precision^2 parts of it; ties go to the smaller value."""
-    (x0, y0), (w, h) = grid.get("origin", (0.0, 0.0)), grid.get("size", (1.0, 1.0))
-    part = F.explode(F.sequence(F.lit(0), F.lit(precision - 1)))
-    fine = df.select("r", "c", part.alias("i")).select("r", "c", "i", part.alias("j")).select((F.col("r") * precision + F.col("i")).alias("r"), (F.col("c") * precision + F.col("j")).alias("c"))
-    burned = rasterize(fine, features, field, origin=(x0, y0), size=(w / precision, h / precision)).where("value is not null")
-    coarse = burned.groupBy(F.expr(f"cast(r div {precision} as int)").alias("r"), F.expr(f"cast(c div {precision} as int)").alias("c"), "value").agg(F.count("*").alias("n"))
-    best = coarse.groupBy("r", "c").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("value"))
+def rasterize_area(df: DataFrame, features: DataFrame, field: str, hole: str | None = None, **grid) -> DataFrame:
+    """r, c, the value that covers most of each pixel (ties, to nine decimals: the smaller value), and the share it covers.
+
+    Shares are exact. hole: a boolean column that tells rings which are holes; the other rings of a feature don't overlap.
+    """
+    box = bounds(df)
+    if box is None:
+        return df.select("r", "c").withColumns({"value": F.lit(None).cast(dict(features.dtypes)[field]), "cover": F.lit(None).cast("double")})
+    spans = cover_spans(grid_edges(signed(features, hole), "_sign", **grid), *box)
+    held = at_spans(df.select("r", "c"), spans, *box[2:]).join(small(features.select("fid", F.col(field).alias("value")).dropDuplicates(["fid"])), "fid")
+    shares = held.groupBy("r", "c", "value").agg(F.round(F.sum("cover"), 9).alias("cover"))
+    best = shares.groupBy("r", "c").agg(F.min_by("value", F.struct(-F.col("cover"), "value")).alias("value"), F.max("cover").alias("cover"))
     return df.select("r", "c").join(best, ["r", "c"], "left")
 
 
@@ -99,10 +96,8 @@ def layer_extent(features: DataFrame) -> DataFrame:
 
 
 def area(ring: Column) -> Column:
-    """Area of a ring, by the shoelace formula."""
-    n = F.size(ring)
-    at = lambda i: F.element_at(ring, i)
-    return F.abs(F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda s, i: s + at(i)["x"] * at(i % n + 1)["y"] - at(i % n + 1)["x"] * at(i)["y"])) / 2
+    """Area of a ring."""
+    return F.abs(ring_area(ring))
 
 
 def to_geojson(features: DataFrame) -> DataFrame:
@@ -117,64 +112,11 @@ def random_points(spark, number: int, left: float, top: float, right: float, bot
     return spark.range(number).select("id", (F.lit(left) + F.rand(seed) * (right - left)).alias("x"), (F.lit(bottom) + F.rand(seed + 1) * (top - bottom)).alias("y"))
 
 
-def rasterize_touched(df: DataFrame, features: DataFrame, field: str, precision: int = 8, **grid) -> DataFrame:
-    """r, c and the field of a polygon that touches the pixel in one of precision^2 places (of several the largest fid)."""
-    (x0, y0), (w, h) = grid.get("origin", (0.0, 0.0)), grid.get("size", (1.0, 1.0))
-    part = F.explode(F.sequence(F.lit(0), F.lit(precision - 1)))
-    fine = df.select("r", "c", part.alias("i")).select("r", "c", "i", part.alias("j")).select((F.col("r") * precision + F.col("i")).alias("r"), (F.col("c") * precision + F.col("j")).alias("c"))
-    met = pixels_in_polygons(fine, features, origin=(x0, y0), size=(w / precision, h / precision)).groupBy(F.expr(f"cast(r div {precision} as int)").alias("r"), F.expr(f"cast(c div {precision} as int)").alias("c")).agg(F.max_by(field, "fid").alias("value"))
-    return df.select("r", "c").join(met, ["r", "c"], "left")
-
-
-def region_rings(edges: DataFrame) -> DataFrame:
-    """region, value, ring (array of x, y; x right, y down) and area of each ring that bounds a region: holes are negative.
-
-    edges: region, value, r, c, side (region_edges). A region's edges meet in one task, as its polygon is one value.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    kinds = dict(edges.dtypes)
-    point = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-
-    def run(key, table):
-        r, c, side = (table.column(n).to_pylist() for n in ("r", "c", "side"))
-        # each edge from corner to corner, the region on its right
-        ways = {"N": lambda r, c: ((c, r), (c + 1, r)), "E": lambda r, c: ((c + 1, r), (c + 1, r + 1)), "S": lambda r, c: ((c + 1, r + 1), (c, r + 1)), "W": lambda r, c: ((c, r + 1), (c, r))}
-        onward: dict = {}
-        for y, x, s in zip(r, c, side, strict=True):
-            a, b = ways[s](y, x)
-            onward.setdefault(a, []).append(b)
-        rings, areas = [], []
-        while onward:
-            start = at = next(iter(onward))
-            ring, way = [], None
-            while True:
-                to = onward[at]
-                if len(to) > 1 and way is not None:  # two of the region's pixels meet at this corner: turn right, and stay with one
-                    to.sort(key=lambda p: way[0] * (p[1] - at[1]) - way[1] * (p[0] - at[0]))
-                step = to.pop()
-                if not to:
-                    del onward[at]
-                new = (step[0] - at[0], step[1] - at[1])
-                if new != way:
-                    ring.append(at)
-                at, way = step, new
-                if at == start:
-                    break
-            p = np.array(ring, float)
-            q = np.roll(p, -1, 0)
-            rings.append([{"x": float(x), "y": float(y)} for x, y in ring])
-            areas.append(float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum() / 2))
-        n = len(rings)
-        return pa.table({"region": pa.array([key[0].as_py()] * n, key[0].type), "value": pa.array(table.column("value").to_pylist()[:1] * n, table.column("value").type), "ring": pa.array(rings, point), "area": pa.array(areas, pa.float64())})
-
-    return edges.groupBy("region").applyInArrow(run, f"region {kinds['region']}, value {kinds['value']}, ring array<struct<x:double,y:double>>, area double")
-
-
-def union_features(features: DataFrame, field: str) -> DataFrame:
-    """One row a value of the field: its rings together (a multipolygon), their number and area. Rings don't overlap."""
-    return features.groupBy(field).agg(F.collect_list(RING).alias("rings"), F.count("*").alias("parts"), F.sum(area(F.col(RING))).alias("area"))
+def union_features(features: DataFrame, field: str, hole: str | None = None) -> DataFrame:
+    """One row a value of the field: the rings of the union of its features (a multipolygon; holes run clockwise), their
+    number, the area that they cover and the length of their outlines. Features may overlap and touch; see overlay."""
+    rings = dissolved(features, field, hole)
+    return rings.groupBy(field).agg(F.collect_list(RING).alias("rings"), F.count("*").alias("parts"), F.sum("area").alias("area"), F.sum("border").alias("border"))
 
 
 def explode_features(merged: DataFrame, field: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .fixtures import BANDS, COLUMNS, EMBED_SQL, GRID_SQL, WAVELENGTHS, embed, grid, table
+from .fixtures import BANDS, COLUMNS, EMBED_SQL, GRID_SQL, PARCEL_SQL, PLOT_SQL, WAVELENGTHS, embed, grid, parcels, plots, table
 from .functions.projection import from_utm, to_utm
 from .operators import neighborhood as nb, preprocess as pp, raster as ra, spectral as sp, table as tb, vector as ve
 from .operators.tiles import offsets, window_stat
@@ -603,6 +603,50 @@ def vector_values(spark, sf):
     return ve.distinct_values(ve.rectangles(spark, _BOXES), "value")
 
 
+# ---- polygons with holes, from table rows
+
+P = G + ", " + PARCEL_SQL + " "
+
+
+@query(P + "SELECT fid, count(*) AS pixels, round(avg(v), 9) AS mean FROM inside GROUP BY 1")
+def zonal_polygons(spark, sf):
+    return doubles(ve.pixels_in_polygons(grid(spark, sf).select("r", "c", "v"), parcels(spark, sf)).groupBy("fid").agg(F.count("*").alias("pixels"), F.avg("v").alias("mean")), 9)
+
+
+@query(P + "SELECT px.r, px.c, i.value FROM px LEFT JOIN (SELECT r, c, arg_max(val, fid) AS value FROM inside GROUP BY 1, 2) i USING (r, c)")
+def rasterize_polygons(spark, sf):
+    return ve.rasterize(grid(spark, sf), parcels(spark, sf), "value")
+
+
+#: The part (0 to 1) of an edge that lies within a pixel.
+_PART = "greatest(0, least((c - ax) / (zx - ax), (c + 1 - ax) / (zx - ax)), least((r - ay) / (zy - ay), (r + 1 - ay) / (zy - ay))) AS t0, least(1, greatest((c - ax) / (zx - ax), (c + 1 - ax) / (zx - ax)), greatest((r - ay) / (zy - ay), (r + 1 - ay) / (zy - ay))) AS t1"
+
+
+@query(P + f", t AS (SELECT r, c, fid, val FROM (SELECT r, c, fid, val, {_PART} FROM q) WHERE t0 < t1 UNION SELECT r, c, fid, val FROM inside) SELECT px.r, px.c, i.value FROM px LEFT JOIN (SELECT r, c, arg_max(val, fid) AS value FROM t GROUP BY 1, 2) i USING (r, c)")
+def rasterize_touched(spark, sf):
+    return ve.rasterize(grid(spark, sf), parcels(spark, sf), "value", touched=True)
+
+
+#: What lies right of an edge in a pixel: the integral of its clamped distance from the pixel's right side, signed by direction.
+_COVER = (
+    ", b AS (SELECT r, c, fid, val, hole, ax + (zx - ax) * (y1 - ay) / (zy - ay) AS x1, ax + (zx - ax) * (y2 - ay) / (zy - ay) AS x2, y1, y2 FROM (SELECT *, greatest(r, least(r + 1, ay)) AS y1, greatest(r, least(r + 1, zy)) AS y2 FROM q)), "
+    "h AS (SELECT *, c + 1 - x1 AS u1, c + 1 - x2 AS u2 FROM b WHERE y1 <> y2), "
+    "w AS (SELECT r, c, fid, val, (y2 - y1) * ((CASE WHEN u2 < 0 THEN 0 WHEN u2 < 1 THEN u2 * u2 / 2 ELSE u2 - 0.5 END) - (CASE WHEN u1 < 0 THEN 0 WHEN u1 < 1 THEN u1 * u1 / 2 ELSE u1 - 0.5 END)) / (u2 - u1) AS a, hole FROM h), "
+    "g AS (SELECT r, c, val, sum(cover) AS cover FROM (SELECT r, c, fid, val, abs(sum(a) FILTER (NOT hole)) - coalesce(abs(sum(a) FILTER (hole)), 0) AS cover FROM w GROUP BY 1, 2, 3, 4) WHERE cover > 1e-9 GROUP BY 1, 2, 3), "
+    "m AS (SELECT r, c, val, round(cover, 9) AS cover, row_number() OVER (PARTITION BY r, c ORDER BY round(cover, 9) DESC, val) AS i FROM g) "
+)
+
+
+@query(P + _COVER + "SELECT px.r, px.c, m.val AS value, round(m.cover, 6) AS cover FROM px LEFT JOIN m ON m.r = px.r AND m.c = px.c AND m.i = 1")
+def rasterize_area(spark, sf):
+    return doubles(ve.rasterize_area(grid(spark, sf), parcels(spark, sf), "value", "hole"))
+
+
+@query(f"WITH {PLOT_SQL} SELECT value, count(*)::DOUBLE AS area, sum((SELECT count(*) FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(i, j) WHERE (u.value, u.x + i, u.y + j) NOT IN (SELECT (value, x, y) FROM u)))::DOUBLE AS border FROM u GROUP BY 1")
+def dissolve_polygons(spark, sf):
+    return doubles(ve.union_features(plots(spark, sf), "value").select("value", "area", "border"))
+
+
 # ---- neighborhoods
 
 _NEAR = G + "SELECT a.r, a.c, {} AS value FROM px a JOIN px b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY a.r, a.c, a.vh"
@@ -1003,7 +1047,7 @@ def custom_model(spark, sf):
 def raster_polygons(spark, sf):
     """Rings of the regions' polygons; with holes taken off they are as large as the regions have pixels."""
     px = grid(spark, sf).where("k >= 2").selectExpr("r", "c", "1 AS f")
-    return ve.region_rings(nb.region_edges(px, "f", COLUMNS)).groupBy("region").agg(F.sum("area").alias("area"))
+    return nb.region_rings(nb.region_edges(px, "f", COLUMNS)).groupBy("region").agg(F.sum("area").alias("area"))
 
 
 @query("SELECT CAST(v AS INT) AS value, CAST(n AS BIGINT) AS parts, CAST(a AS DOUBLE) AS area FROM (VALUES (5, 1, 50), (8, 1, 120)) t(v, n, a)")

@@ -67,7 +67,7 @@ def test_triangle(spark, px):
     want = np.array([[9 if (j + 0.5) + (i + 0.5) < 5 else -9 for j in range(5)] for i in range(5)])
     assert (got == want).all()
     assert ring.select(ve.area(ring.ring)).first()[0] == 12.5
-    assert as_array(ve.rasterize_area(px, ring, "value", 2))[0, 0] == 9
+    assert as_array(ve.rasterize_area(px, ring, "value"))[0, 0] == 9
     assert '"Polygon"' in ve.to_geojson(ring).first().json
 
 
@@ -133,7 +133,7 @@ def test_saved_classifier(spark, tmp_path):
 def test_rings_with_a_hole(spark):
     ring = [(i, j, 1) for i in range(3) for j in range(3) if (i, j) != (1, 1)]
     edges = nb.region_edges(spark.createDataFrame([*ring, (3, 3, 1)], "r int, c int, f int"), "f", 10)
-    got = sorted((r.region, r.area, len(r.ring)) for r in ve.region_rings(edges).collect())
+    got = sorted((r.region, r.area, len(r.ring)) for r in nb.region_rings(edges).collect())
     assert got == [(0, -1.0, 4), (0, 9.0, 4), (33, 1.0, 4)]
 
 
