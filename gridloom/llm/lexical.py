@@ -18,10 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textkernel as tk
-from .common import arrow_rows, cut, few, row_key, slices
+from .common import arrow_rows, cut, few, give_back, row_key, slices
 
 #: Bytes of text of a shard, about (a longer text is one alone); documents that are merged at once; items of a block.
-SHARD_BYTES, WINDOW, ITEMS = 8 << 20, 4096, 256
+SHARD_BYTES, WINDOW, ITEMS = 4 << 20, 4096, 256
 #: Bytes that belong to terms: digits, letters and all of other scripts.
 TERM = np.array([b >= 0x80 or 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
 PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -136,6 +136,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if size >= SHARD_BYTES:
                 yield from slices(row())
                 held, size = [], 0
+                give_back()
         if held:
             yield from slices(row())
 
