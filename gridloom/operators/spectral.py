@@ -6,12 +6,15 @@ projection: assigning pixels to classes costs no join and no shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import collected
+from ..session import collected, cut
 
 
 def signatures(df: DataFrame, label: str, bands: Sequence[str]) -> DataFrame:
@@ -151,6 +154,59 @@ def range_seeds(df: DataFrame, bands: Sequence[str], classes: int) -> np.ndarray
     return np.stack([low + (i + 0.5) * (high - low) / classes for i in range(classes)])
 
 
+def random_seeds(df: DataFrame, bands: Sequence[str], classes: int, seed: int = 0, keys: Sequence[str] = ("r", "c")) -> np.ndarray:
+    """The bands of the pixels of least hashes of their keys: random, yet the same however the pixels are dealt out."""
+    rows = df.dropna(subset=list(bands)).orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(classes).select(*bands).collect()
+    return np.array([tuple(map(float, r)) for r in rows]).reshape(-1, len(bands))
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the nearest center and the squared distance."""
+    d = ((x[:, None, :] - centers[None]) ** 2).sum(-1)
+    return d.argmin(1), d.min(1)
+
+
+def parallel_seeds(df: DataFrame, bands: Sequence[str], classes: int, seed: int = 0, rounds: int = 5, keys: Sequence[str] = ("r", "c")) -> np.ndarray:
+    """Seeds by oversampling (Bahmani and others 2012): in each round a pixel is drawn with a chance of 2 classes times its
+    share of the sum of squared distances to the seeds so far; the few drawn, weighed by the pixels nearest to each, are
+    reduced to `classes` by weighted sampling. Draws come from hashes of the keys, so the seeds don't depend on partitions.
+    """
+    own = df.dropna(subset=list(bands)).select(*keys, *(F.col(b).cast("double").alias(f"_b{i}") for i, b in enumerate(bands)))
+    names, kinds = [f"_b{i}" for i in range(len(bands))], dict(own.dtypes)
+    centers = random_seeds(own, names, 1, seed, keys)
+    if not len(centers):
+        return np.zeros((0, len(bands)))
+
+    def distances(centers):
+        def run(batches):
+            for batch in batches:
+                x = np.stack([batch.column(n).to_numpy() for n in names], 1)
+                for at in range(0, len(x), 4096):
+                    near, d = _nearest(x[at : at + 4096], centers)
+                    part = batch.slice(at, 4096)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int32)), pa.array(d)], names=[*part.schema.names, "near", "d"])
+
+        return own.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in kinds.items()) + ", near int, d double")
+
+    for k in range(rounds):
+        far = distances(centers)
+        total = float(f"{far.agg(F.sum('d')).first()[0]:.9e}")  # so that the order of summing doesn't show
+        if total == 0:
+            break
+        chance = F.pmod(F.xxhash64(F.lit(seed + k + 1), *keys), F.lit(1 << 53)) / float(1 << 53)
+        drawn = collected(far.where(chance < 2 * classes * F.col("d") / total).select(*names, *keys).orderBy(*keys), max(10_000, 10 * classes))
+        centers = np.concatenate([centers, np.array([r[: len(bands)] for r in drawn], float).reshape(-1, len(bands))])
+    weight = np.zeros(len(centers))
+    for r in collected(distances(centers).groupBy("near").agg(F.count("*").alias("n")), max(10_000, 60 * classes)):
+        weight[r.near] = r.n
+    rng = np.random.default_rng(seed)
+    out = [int(rng.choice(len(centers), p=weight / weight.sum()))]
+    while len(out) < min(classes, len(np.unique(centers, axis=0))):
+        chance = weight * _nearest(centers, centers[out])[1]
+        out.append(int(rng.choice(len(centers), p=chance / chance.sum())))
+    return centers[out]
+
+
 def _seed_table(df: DataFrame, centers: np.ndarray, bands: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(i + 1, *map(float, c)) for i, c in enumerate(centers)], "cluster int, " + ", ".join(f"{b} double" for b in bands))
 
@@ -165,12 +221,14 @@ def update_clusters(df: DataFrame, centers: np.ndarray, bands: Sequence[str], al
     return own.groupBy("cluster").agg(F.count("*").alias("pixels"), *(F.avg(b).alias(b) for b in bands))
 
 
-def cluster(df: DataFrame, bands: Sequence[str], classes: int, algorithm: str = "md", threshold: float = 1e-4, max_iter: int = 10, seeds: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
+def cluster(df: DataFrame, bands: Sequence[str], classes: int, algorithm: str = "md", threshold: float = 1e-4, max_iter: int = 10, seeds: np.ndarray | str | None = None) -> tuple[DataFrame, np.ndarray]:
     """Lloyd's iterations until no center moves by more than the threshold: r, c, cluster, and the centers.
 
+    seeds: an array, "random", "parallel" (see parallel_seeds), or None: evenly over the bands' ranges.
     Each iteration is one aggregation over the pixels; only the centers come to the driver, and empty clusters keep theirs.
     """
-    centers = range_seeds(df, bands, classes) if seeds is None else np.array(seeds, float)
+    chosen = {"random": random_seeds, "parallel": parallel_seeds, "range": range_seeds}
+    centers = chosen[seeds or "range"](df, bands, classes) if seeds is None or isinstance(seeds, str) else np.array(seeds, float)
     for _ in range(max_iter):
         new = centers.copy()
         for r in collected(update_clusters(df, centers, bands, algorithm)):
@@ -250,3 +308,68 @@ def predict_with(df: DataFrame, bands: Sequence[str], model, keep: Sequence[str]
 
     kinds = dict(df.dtypes)
     return df.select(*keep, *(F.col(b).cast("double").alias(n) for b, n in zip(bands, names, strict=True))).mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + f", class {kind}")
+
+
+# ---- a machine with a radial kernel
+
+
+@dataclass
+class RadialMachine:
+    """A support vector machine with a radial (RBF) kernel, by random Fourier features before linear machines."""
+
+    bands: list[str]
+    mean: np.ndarray
+    scale: np.ndarray
+    ways: np.ndarray  # bands by features
+    phase: np.ndarray
+    model: object  # Spark ML's one-against-the-rest model
+
+    def features(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """keep and _f: sqrt(2 / n) cos(x W + b) of each pixel's standardized bands, whose products are the kernel's values."""
+        from pyspark.ml.functions import array_to_vector
+
+        kinds, names = dict(df.dtypes), [f"_x{i}" for i in range(len(self.bands))]
+        mean, scale, ways, phase, many = self.mean, self.scale, self.ways, self.phase, math.sqrt(2 / len(self.phase))
+
+        def run(batches):
+            for batch in batches:
+                x = np.stack([batch.column(n).to_numpy() for n in names], 1)
+                z = many * np.cos((x - mean) / scale @ ways + phase)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), rows], names=[*keep, "_z"])
+
+        own = df.dropna(subset=self.bands).select(*keep, *(F.col(b).cast("double").alias(n) for b, n in zip(self.bands, names, strict=True)))
+        return own.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", _z array<double>").select(*keep, array_to_vector("_z").alias("_f"))
+
+    def predict(self, df: DataFrame, keep: Sequence[str] = ("r", "c")) -> DataFrame:
+        """keep, class, and confidence: the largest of the classes' decision values."""
+        from pyspark.ml.functions import vector_to_array
+
+        out = self.model.transform(self.features(df, keep))
+        return out.select(*keep, F.col("prediction").cast("int").alias("class"), F.array_max(vector_to_array("rawPrediction")).alias("confidence"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        rest = [(self.bands, self.mean.tolist(), self.scale.tolist(), self.ways.ravel().tolist(), self.phase.tolist())]
+        spark.createDataFrame(rest, "bands array<string>, mean array<double>, scale array<double>, ways array<double>, phase array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> RadialMachine:
+        from pyspark.ml.classification import OneVsRestModel
+
+        r = spark.read.parquet(f"{path}/features").first()
+        return cls(list(r.bands), np.array(r.mean), np.array(r.scale), np.array(r.ways).reshape(len(r.bands), -1), np.array(r.phase), OneVsRestModel.load(f"{path}/model"))
+
+
+def radial_machine(df: DataFrame, bands: Sequence[str], label: str, gamma: float | None = None, features: int = 200, regularization: float = 0.001, seed: int = 0) -> RadialMachine:
+    """A RadialMachine of the kernel exp(-gamma d^2) over standardized bands; gamma: 1 / bands if not given. label: 0, 1, .."""
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+
+    row = df.agg(*(F.avg(b) for b in bands), *(F.stddev_pop(b) for b in bands)).first()
+    mean, scale = np.array(row[: len(bands)], float), np.array(row[len(bands) :], float)
+    rng, gamma = np.random.default_rng(seed), gamma or 1 / len(bands)
+    ways, phase = rng.normal(size=(len(bands), features)) * math.sqrt(2 * gamma), rng.uniform(0, 2 * np.pi, features)
+    out = RadialMachine(list(bands), mean, np.where(scale > 0, scale, 1.0), ways, phase, None)
+    rows = cut(out.features(df.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")), [label]), "features")
+    out.model = OneVsRest(classifier=LinearSVC(regParam=regularization, featuresCol="_f", labelCol=label, standardization=False), featuresCol="_f", labelCol=label).fit(rows)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.expressions import Compiler, compile_over
-from ..session import collected, few, free_name
+from ..session import collected, cut, few, free_name, small
 
 #: Aggregations by name; std is of the sample in pivots (std_pop: of the population).
 AGGREGATES = {
@@ -16,10 +16,6 @@ AGGREGATES = {
 }
 
 
-#: Rows that a side may have against which each target is compared.
-NEAREST_ROWS = 10_000
-
-
 def aggregate(func: str, column: str, row_id: str | None = None) -> Column:
     """An aggregation by name: AGGREGATES, percentile_<p>, or first and last by row_id."""
     if func in AGGREGATES:
@@ -160,19 +156,32 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "left")
 
 
 def nearest_value(df: DataFrame, field: str, targets: DataFrame, target: str, threshold: float | None = None, order: str | None = None) -> DataFrame:
-    """For each target its nearest row of df (ties: the least by `order`), and none if not within the threshold.
+    """For each target its nearest row of df (ties: the least by `order`), and none if not strictly within the threshold.
 
-    df is the small side (bands, signatures): one array for all targets; more than NEAREST_ROWS rows are an error.
+    Both sides may be of any size: their different values are sorted by ranges and written, each value takes the last row of
+    df before it and the first after it, and what a range lacks comes from the ranges beside it. Rows whose field is null or
+    NaN take no part; null targets, and all if df is empty, get none.
     """
-    if df.count() > NEAREST_ROWS:
-        raise ValueError(f"more than {NEAREST_ROWS} rows")
-    place, rows, found = order or field, free_name("_rows", df, targets), free_name("_b", df, targets)
-    held = df.agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("o"), F.struct(*df.columns).alias("r")))).alias(rows))
-    gap = lambda x: F.abs(x["r"][field] - F.col(target))
-    best = F.array_min(F.transform(rows, lambda x: F.struct(gap(x).alias("d"), x["o"].alias("o"), x["r"].alias("r"))))
-    out = targets.crossJoin(F.broadcast(held)).withColumn(found, best).drop(rows)  # one row against each target
-    ok = F.lit(True) if threshold is None else F.col(f"{found}.d") < threshold
-    return out.select(*targets.columns, *(F.when(ok, F.col(f"{found}.r.{c}")).alias(c) for c in df.columns))
+    value = lambda x: F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double"))
+    whole, place = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns))), F.col(order or field)
+    rows = df.select(value(field).alias("v"), place.alias("o"), whole.alias("r")).where("v IS NOT NULL")
+    rows = rows.groupBy("v").agg(F.min_by(F.struct("v", "o", "r"), F.struct("o", "r")).alias("own"))
+    asked = targets.select(value(target).alias("v")).where("v IS NOT NULL").distinct()
+    both = rows.withColumn("asks", F.lit(False)).union(asked.select("v", F.lit(None).cast(rows.schema["own"].dataType), F.lit(True)))
+    both = cut(both.orderBy("v", "asks").withColumn("part", F.spark_partition_id()), "sorted")
+    ends = both.groupBy("part").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("v"))).alias("last"), F.min_by("own", F.when(F.col("own").isNotNull(), F.col("v"))).alias("first"))
+    parts = Window.orderBy("part")  # a row a range
+    ends = ends.select("part", F.last("last", True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    here = Window.partitionBy("part").orderBy("v", "asks")
+    near = both.withColumns({"a": F.last("own", True).over(here.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first("own", True).over(here.rowsBetween(0, Window.unboundedFollowing))}).where("asks")
+    near = near.join(F.broadcast(ends), "part").select("v", F.coalesce("a", "before").alias("a"), F.coalesce("b", "after").alias("b"))
+    gap = lambda x: F.abs(F.col(f"{x}.v") - F.col("v"))
+    nearer = F.col("b").isNull() | (gap("a") < gap("b")) | ((gap("a") == gap("b")) & (F.struct("a.o", "a.r") <= F.struct("b.o", "b.r")))
+    best = near.withColumn("x", F.when(F.col("a").isNotNull() & nearer, F.col("a")).otherwise(F.col("b")))
+    best = best.where(F.lit(True) if threshold is None else gap("x") < threshold)
+    at, found = (free_name(n, df, targets) for n in ("_at", "_found"))
+    out = targets.withColumn(at, value(target)).join(small(best.select(F.col("v").alias(at), F.col("x.r").alias(found)), "nearest"), at, "left")
+    return out.select(*targets.columns, *(F.col(f"{found}.c{i}").alias(c) for i, c in enumerate(df.columns)))
 
 
 def pivot(df: DataFrame, row: str, functions: Sequence[tuple[str, str]], secondary: Sequence[str] = (), condition: str | None = None, nodata: float = -999, cross_matrix: bool = False, values: Sequence[tuple] | None = None, row_id: str | None = None) -> DataFrame:

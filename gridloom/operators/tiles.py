@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
+
 #: Side of a tile.
 TILE = 256
 #: Cells that a ranking kernel sorts at once.
@@ -43,6 +45,8 @@ def tiled(df: DataFrame, band: str, halo: int, kernel: Callable[[np.ndarray, np.
         values, present = np.full((side, side), np.nan), np.zeros((side, side), bool)
         y, x = r - i * tile + halo, c - j * tile + halo
         values[y, x], present[y, x] = v, True
+        if present.sum() < len(r):
+            raise ValueError("a pixel's position stands twice")
         out = kernel(values, present)
         own = (y >= halo) & (y < halo + tile) & (x >= halo) & (x < halo + tile)
         got = out[y[own], x[own]]
@@ -51,6 +55,50 @@ def tiled(df: DataFrame, band: str, halo: int, kernel: Callable[[np.ndarray, np.
     return sent.groupBy("i", "j").applyInArrow(run, "r int, c int, value double")
 
 
+def pyramid(df: DataFrame, band: str, levels: int, tile: int = TILE) -> DataFrame:
+    """level, r, c, average, maximum, minimum, nearest and valid (pixels) of the blocks of 2^level pixels, for levels 1 to `levels`.
+
+    A pixel moves once for every eight levels: a tile has whole blocks of its levels, each summed up from the level before,
+    and the last level is the next pass's grid. nearest is the pixel below and right of the block's middle. Blocks without
+    valid pixels are left out; NoData is skipped; positions stand once.
+    """
+    per, done, out = tile.bit_length() - 1, 0, None
+    at = lambda x: F.floor(F.col(x) / tile)
+    value = F.col(band).cast("double")
+    now = df.select("r", "c", *(value.alias(n) for n in ("s", "hi", "lo", "corner")), value.isNotNull().cast("long").alias("n"))
+    while done < levels:
+        take = min(per, levels - done)
+        own = now.withColumns({"i": at("r"), "j": at("c")}).groupBy("i", "j").applyInArrow(_levels(done + 1, take, tile), "level int, r int, c int, s double, hi double, lo double, corner double, near double, n long")
+        if done + take < levels:
+            own = cut(own, "levels")
+            now = own.where(F.col("level") == done + take).select("r", "c", "s", "hi", "lo", "corner", "n")
+        out = own if out is None else out.unionByName(own)
+        done += take
+    return out.where("n > 0").select("level", "r", "c", (F.col("s") / F.col("n")).alias("average"), F.col("hi").alias("maximum"), F.col("lo").alias("minimum"), F.col("near").alias("nearest"), F.col("n").alias("valid"))
+
+
+def _levels(first: int, levels: int, tile: int) -> Callable:
+    """The function of a tile's pixels (or blocks) that gives its blocks of `levels` more levels; corner: a block's first pixel."""
+
+    def run(key, table):
+        i, j = (k.as_py() for k in key)
+        r, c = (np.asarray(table.column(n)).astype(np.int64) for n in "rc")
+        grids = {n: np.full((tile, tile), 0.0 if n == "n" else np.nan) for n in ("s", "hi", "lo", "corner", "n")}
+        for n, g in grids.items():
+            g[r - i * tile, c - j * tile] = table.column(n).to_numpy()
+        parts = []
+        for level in range(1, levels + 1):
+            four = {n: np.stack([g[a::2, b::2] for a in (0, 1) for b in (0, 1)]) for n, g in grids.items()}
+            grids = {"s": np.nansum(four["s"], 0), "hi": np.fmax.reduce(four["hi"]), "lo": np.fmin.reduce(four["lo"]), "corner": four["corner"][0], "n": four["n"].sum(0)}
+            y, x = np.indices(grids["n"].shape).reshape(2, -1) if level == levels else np.nonzero(grids["n"])  # the last one's corners go on
+            cells = {"level": np.full(len(y), first + level - 1, np.int32), "r": (y + i * (tile >> level)).astype(np.int32), "c": (x + j * (tile >> level)).astype(np.int32)}
+            values = {n: g[y, x] for n, g in (*list(grids.items())[:4], ("near", four["corner"][3]))}
+            parts.append(pa.table({**{n: pa.array(v) for n, v in cells.items()}, **{n: pa.array(v, mask=np.isnan(v)) for n, v in values.items()}, "n": pa.array(grids["n"][y, x].astype(np.int64))}))
+        return pa.concat_tables(parts)
+
+    return run
+
+
 def shifted(x: np.ndarray, i: int, j: int, fill) -> np.ndarray:
     """x at (row + i, column + j) of each cell; fill beyond the border."""
     out = np.full_like(x, fill)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .fixtures import BANDS, COLUMNS, EMBED_SQL, GRID_SQL, PARCEL_SQL, PLOT_SQL, WAVELENGTHS, embed, grid, parcels, plots, table
 from .functions.projection import from_utm, to_utm
 from .operators import neighborhood as nb, preprocess as pp, raster as ra, spectral as sp, table as tb, vector as ve
-from .operators.tiles import offsets, window_stat
+from .operators.tiles import offsets, pyramid, window_stat
 from .plans import catalog as cat
 from .session import shared_path
 from .sources import records as re, tables as so
@@ -163,6 +163,11 @@ def nearest_value(spark, sf):
     return tb.nearest_value(bands, "w", table(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 20, "n_nationkey").select("p_partkey", "n_nationkey")
 
 
+@query("SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, CASE WHEN abs(s_acctbal - c_acctbal) < 50 THEN s_suppkey END AS s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(s_acctbal - c_acctbal), s_suppkey) AS rn FROM customer, supplier) WHERE rn = 1")
+def nearest_join(spark, sf):
+    return tb.nearest_value(table(spark, sf, "supplier"), "s_acctbal", table(spark, sf, "customer"), "c_acctbal", 50, "s_suppkey").select("c_custkey", "s_suppkey")
+
+
 def _bandset(spark, sf) -> cat.BandSet:
     return cat.BandSet.create(embed(spark, sf).drop("cls"), WAVELENGTHS)
 
@@ -603,6 +608,21 @@ def vector_values(spark, sf):
     return ve.distinct_values(ve.rectangles(spark, _BOXES), "value")
 
 
+_LEVEL = "SELECT CAST({k} AS INT) AS level, CAST(r // {b} AS INT) AS r, CAST(c // {b} AS INT) AS c, round(avg(vh), 6) AS average, max(vh) AS maximum, min(vh) AS minimum, max(CASE WHEN r % {b} = {h} AND c % {b} = {h} THEN vh END) AS nearest, count(vh) AS valid FROM px GROUP BY r // {b}, c // {b} HAVING count(vh) > 0"
+
+
+@query(G + " UNION ALL ".join(_LEVEL.format(k=k, b=2**k, h=2 ** (k - 1)) for k in range(1, 6)))
+def overviews(spark, sf):
+    return rounded(pyramid(grid(spark, sf, holes=True), "v", 5), "average")
+
+
+@query(G + "SELECT CAST(r // 8 AS INT) AS r, CAST(c // 8 AS INT) AS c, round(max(vh), 6) AS value FROM px GROUP BY ALL HAVING count(vh) > 0")
+def overview_read(spark, sf):
+    path = shared_path(spark, "overviews")
+    so.write_overviews(grid(spark, sf, holes=True), "v", path, 4)
+    return doubles(so.read_overview(spark, path, 12.0, "maximum"))
+
+
 # ---- polygons with holes, from table rows
 
 P = G + ", " + PARCEL_SQL + " "
@@ -831,6 +851,17 @@ def cluster_update(spark, sf):
     return doubles(sp.update_clusters(px, sp.range_seeds(px, ["b1", "b2"], 3), ["b1", "b2"]))
 
 
+@query()
+def classify_svm_radial(spark, sf):
+    px = embed(spark, sf)
+    return sp.radial_machine(px, BANDS, "cls").predict(px).select("r", "c", "class")
+
+
+@query()
+def cluster_parallel_seeds(spark, sf):
+    return sp.cluster(embed(spark, sf), BANDS, 4, max_iter=5, seeds="parallel")[0].select("r", "c", "cluster")
+
+
 @query()
 def cluster_kmeans(spark, sf):
     return sp.cluster(embed(spark, sf), ["b1", "b2"], 3)[0].select("r", "c", "cluster")

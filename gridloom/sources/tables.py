@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.tiles import pyramid
 from ..session import collected
 
 INT, FLOAT = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(nan|inf)\s*$"
@@ -133,3 +135,15 @@ def read_raster(spark: SparkSession, path: str, nodata: float = -32768, scale: f
         df = df.where(F.col("tile").between(top // rows_per_tile, bottom // rows_per_tile) & F.col("r").between(top, bottom) & F.col("c").between(left, right))
     bands = [c for c in df.columns if c not in ("r", "c", "tile")]
     return df.select("r", "c", *(F.when(F.col(b) != nodata, F.col(b).cast("double") * scale + offset).alias(b) for b in bands))
+
+
+def write_overviews(df: DataFrame, band: str, path: str, levels: int = 5) -> None:
+    """A band's pyramid (tiles.pyramid) as Parquet, a folder a level."""
+    pyramid(df, band, levels).repartition("level", "r").sortWithinPartitions("r", "c").write.mode("overwrite").partitionBy("level").parquet(path)
+
+
+def read_overview(spark: SparkSession, path: str, zoom: float, method: str = "average") -> DataFrame:
+    """r, c, value of the coarsest level whose blocks are no wider than `zoom` pixels (2 at least); only its folder is read."""
+    df = spark.read.parquet(path)
+    level = max(1, int(math.log2(max(zoom, 2))))
+    return df.where(F.col("level") == level).select("r", "c", F.col(method).alias("value"))
