@@ -147,26 +147,29 @@ def resample(df: DataFrame, factor: int, method: str, band: str) -> DataFrame:
     if method == "nearest_neighbour":
         half = factor // 2
         return block.where((F.col("_r") % factor == half) & (F.col("_c") % factor == half)).select(*POSITION, band)
-    return _blocks(block, method, band)
+    return block_values(block, method, [band])
 
 
-def _blocks(block: DataFrame, method: str, band: str) -> DataFrame:
+def block_values(block: DataFrame, method: str, bands: Sequence[str]) -> DataFrame:
+    """r, c and a value of each band for rows that share r and c; mode: of one band."""
     if method == "mode":
+        (band,) = bands
         counts = block.where(F.col(band).isNotNull()).groupBy(*POSITION, band).agg(F.count("*").alias("n"))
         return counts.groupBy(*POSITION).agg(F.max_by(band, F.struct("n", -F.col(band))).alias(band))
     simple = {"average": F.avg, "sum": F.sum, "maximum": F.max, "minimum": F.min}
     at = {"median": 0.5, "first_quartile": 0.25, "third_quartile": 0.75}
-    agg = simple[method](band) if method in simple else F.expr(f"percentile_disc({at[method]}) WITHIN GROUP (ORDER BY {band})")
-    return block.groupBy(*POSITION).agg(agg.alias(band))
+    agg = simple.get(method) or (lambda b: F.expr(f"percentile_disc({at[method]}) WITHIN GROUP (ORDER BY `{b}`)"))
+    return block.groupBy(*POSITION).agg(*(agg(b).alias(b) for b in bands))
 
 
-def resample_to(df: DataFrame, band: str, method: str, pixel: tuple[float, float], new_pixel: tuple[float, float], origin: tuple[float, float] = (0.0, 0.0), new_origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
-    """A band on another grid (pixel width and height, and the corner where it begins: an explicit resolution or an aligned raster).
+def resample_to(df: DataFrame, band: str | Sequence[str], method: str, pixel: tuple[float, float], new_pixel: tuple[float, float], origin: tuple[float, float] = (0.0, 0.0), new_origin: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """A band, or several, on another grid (pixel width and height, and the corner where it begins: an explicit resolution or an aligned raster).
 
     nearest_neighbour: each new pixel whose middle lies in an old one takes its value, so finer grids are filled. The other
     methods (see resample) sum up the old pixels whose middles lie in a new one.
     """
     (w, h), (v, u), (x0, y0), (x1, y1) = pixel, new_pixel, origin, new_origin
+    bands, i, j = [band] if isinstance(band, str) else list(band), free_name("_i", df), free_name("_j", df)
     if method == "nearest_neighbour":
 
         def span(place: str, size: float, start: float, new: float, begin: float) -> Column:
@@ -175,10 +178,10 @@ def resample_to(df: DataFrame, band: str, method: str, pixel: tuple[float, float
             return F.sequence(F.ceil(low).cast("int"), (F.ceil(low + size / new) - 1).cast("int"))
 
         rows, columns = span("r", h, y0, u, y1), span("c", w, x0, v, x1)
-        held = df.withColumns({"_i": rows, "_j": columns}).where("_i[0] <= _i[size(_i) - 1] AND _j[0] <= _j[size(_j) - 1]")
-        return held.select(F.explode("_i").alias("r"), "_j", band).select("r", F.explode("_j").alias("c"), band)
+        held = df.withColumns({i: rows, j: columns}).where(f"{i}[0] <= {i}[size({i}) - 1] AND {j}[0] <= {j}[size({j}) - 1]")
+        return held.select(F.explode(i).alias("r"), j, *bands).select("r", F.explode(j).alias("c"), *bands)
     middle = lambda place, size, start, new, begin: F.floor(((F.col(place) + 0.5) * size + (start - begin)) / new).cast("int")
-    return _blocks(df.select(middle("r", h, y0, u, y1).alias("r"), middle("c", w, x0, v, x1).alias("c"), band), method, band)
+    return block_values(df.select(middle("r", h, y0, u, y1).alias("r"), middle("c", w, x0, v, x1).alias("c"), *bands), method, bands)
 
 
 def constant_grid(spark, rows: int, columns: int, value: float) -> DataFrame:

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .fixtures import BANDS, COLUMNS, EMBED_SQL, GRID_SQL, PARCEL_SQL, PLOT_SQL, WAVELENGTHS, embed, grid, parcels, plots, table
+from .functions import projection as pj
 from .functions.projection import from_utm, to_utm
-from .operators import neighborhood as nb, preprocess as pp, raster as ra, spectral as sp, table as tb, vector as ve
+from .operators import neighborhood as nb, preprocess as pp, raster as ra, spectral as sp, table as tb, vector as ve, warp
 from .operators.tiles import offsets, pyramid, window_stat
 from .plans import catalog as cat
 from .session import shared_path
@@ -623,6 +624,47 @@ def overview_read(spark, sf):
     return doubles(so.read_overview(spark, path, 12.0, "maximum"))
 
 
+# ---- reprojection: the event grid in degrees, by thousandths from 8 E 47 N, and a UTM grid over it
+
+_DEGREES, _UTM = warp.Grid(4326, (8.0, 47.0), (0.001, 0.001)), warp.Grid(32632, (423800.0, 5206300.0), (90.0, 90.0))
+_SERIES = lambda f, g, terms, a="xi", b="eta": " + ".join(f"{f}({2 * j} * {a}) * {g}({2 * j} * {b}) * {v!r}::DOUBLE" for j, v in enumerate(terms, 1))
+#: Of each UTM pixel the fractional row and column in the grid of degrees, by the inverse series.
+_INVERSE = (
+    f", t AS (SELECT CAST(i AS INT) AS r, CAST(j AS INT) AS c, (5206300.0 - (i + 0.5) * 90) / {pj.SCALE * pj._RADIUS!r}::DOUBLE AS xi, (423800.0 + (j + 0.5) * 90 - 500000) / {pj.SCALE * pj._RADIUS!r}::DOUBLE AS eta FROM range((SELECT CAST(max(r) * 1.3 + 20 AS INT) FROM px)) a(i), range(110) b(j)), "
+    f"u AS (SELECT r, c, xi - ({_SERIES('sin', 'cosh', pj._BACK)}) AS up, eta - ({_SERIES('cos', 'sinh', pj._BACK)}) AS across FROM t), "
+    f"d AS (SELECT r, c, asin(sin(up) / cosh(across)) AS chi, degrees(atan2(sinh(across), cos(up))) + 9 AS lon FROM u), "
+    f"g AS (SELECT r, c, (47.0 - degrees(chi + {' + '.join(f'sin({2 * j} * chi) * {v!r}::DOUBLE' for j, v in enumerate(pj._LATITUDE, 1))})) / 0.001 AS y, (lon - 8.0) / 0.001 AS x FROM d)"
+)
+
+
+def _warped(spark, sf, method: str):
+    px = grid(spark, sf, holes=True).select("r", "c", "v")
+    rows = int(px.agg(F.max("r") * F.lit(1.3) + 20).first()[0] + 0.5)
+    return warp.reproject(px, ["v"], _DEGREES, _UTM, rows, 110, method)
+
+
+@query(G + _INVERSE + " SELECT g.r, g.c, px.vh AS v FROM g JOIN px ON px.r = floor(g.y) AND px.c = floor(g.x)")
+def reproject_utm(spark, sf):
+    return _warped(spark, sf, "nearest_neighbour")
+
+
+@query(G + _INVERSE + ", n AS (SELECT g.r, g.c, sum(p.vh * (1 - abs(g.y - 0.5 - p.r)) * (1 - abs(g.x - 0.5 - p.c))) / sum((1 - abs(g.y - 0.5 - p.r)) * (1 - abs(g.x - 0.5 - p.c))) FILTER (p.vh IS NOT NULL) AS v FROM g JOIN px p ON p.r IN (floor(g.y - 0.5), floor(g.y - 0.5) + 1) AND p.c IN (floor(g.x - 0.5), floor(g.x - 0.5) + 1) GROUP BY 1, 2) SELECT g.r, g.c, CASE WHEN px.vh IS NOT NULL THEN round(n.v, 5) END AS v FROM g JOIN px ON px.r = floor(g.y) AND px.c = floor(g.x) JOIN n ON n.r = g.r AND n.c = g.c")
+def reproject_bilinear(spark, sf):
+    return doubles(_warped(spark, sf, "bilinear"), 5)
+
+
+_FORWARD = (
+    f", q AS (SELECT vh, radians(47.0 - (r + 0.5) * 0.001) AS phi, radians(8.0 + (c + 0.5) * 0.001 - 9) AS away FROM px), h AS (SELECT vh, away, sinh(atanh(sin(phi)) - {pj._E!r}::DOUBLE * atanh(sin(phi) * {pj._E!r}::DOUBLE)) AS t FROM q), "
+    f"k AS (SELECT vh, atan2(t, cos(away)) AS xi, atanh(sin(away) / sqrt(1 + t * t)) AS eta FROM h), "
+    f"m AS (SELECT vh, (eta + {_SERIES('cos', 'sinh', pj._FORWARD)}) * {pj.SCALE * pj._RADIUS!r}::DOUBLE + 500000 AS x, (xi + {_SERIES('sin', 'cosh', pj._FORWARD)}) * {pj.SCALE * pj._RADIUS!r}::DOUBLE AS y FROM k)"
+)
+
+
+@query(G + _FORWARD + " SELECT CAST(floor((5206300 - y) / 90) AS INT) AS r, CAST(floor((x - 423800) / 90) AS INT) AS c, round(avg(vh), 6) AS v FROM m WHERE floor((x - 423800) / 90) BETWEEN 0 AND 109 AND floor((5206300 - y) / 90) BETWEEN 0 AND (SELECT CAST(max(r) * 1.3 + 20 AS INT) - 1 FROM px) GROUP BY ALL")
+def reproject_average(spark, sf):
+    return doubles(_warped(spark, sf, "average"))
+
+
 # ---- polygons with holes, from table rows
 
 P = G + ", " + PARCEL_SQL + " "
