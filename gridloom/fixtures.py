@@ -37,6 +37,20 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("fid", "value", "p.hole", "p.ring")
 
 
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A band table of a row a part: band_number, name, wavelength, path."""
+    return table(spark, sf_dir, "part").selectExpr("CAST(p_partkey + 1 AS INT) AS band_number", "concat('scene_B', lpad(CAST(p_size % 14 AS STRING), 2, '0')) AS name", "(400 + p_partkey * 37 % 2000) / 1000 AS wavelength", "p_name AS path")
+
+
+BANDS_SQL = "bt AS (SELECT CAST(p_partkey + 1 AS INT) AS band_number, 'scene_B' || lpad(CAST(p_size % 14 AS VARCHAR), 2, '0') AS name, (400 + p_partkey * 37 % 2000)::DOUBLE / 1000 AS wavelength, p_name AS path FROM part)"
+
+
+def estates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fid, value, ring of a box for each nation, none of which meet."""
+    corner = lambda i, j: F.struct((F.col("n_nationkey") * 10 + i * (F.col("n_nationkey") % 4 + 2)).cast("double").alias("x"), (F.col("n_regionkey") * 10 + F.lit(j * 5)).cast("double").alias("y"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("fid"), F.col("n_regionkey").alias("value"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"))
+
+
 def plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fid, value, ring of a box for each part: boxes of one brand overlap and touch."""
     corner = lambda i, j: F.struct((F.col("p_partkey") * 37 % 101 + i * (F.col("p_size") % 9 + 1)).cast("double").alias("x"), (F.col("p_partkey") * 91 % 83 + j * (F.col("p_size") % 5 + 1)).cast("double").alias("y"))

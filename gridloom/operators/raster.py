@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.expressions import Compiler, compile_over
 from ..session import collected, cut, few, free_name, small
+from .polygons import bounds
 from .ranks import ONE_TASK, numbered, percentiles as ranked_values, running_sum
 from .tiles import dilated, offsets, tiled
 
@@ -188,6 +189,17 @@ def constant_grid(spark, rows: int, columns: int, value: float) -> DataFrame:
     return spark.range(rows * columns).select(F.expr(f"cast(id div {columns} as int)").alias("r"), F.expr(f"cast(id % {columns} as int)").alias("c"), F.lit(float(value)).alias("value"))
 
 
+def constant_like(df: DataFrame, value: float | None, name: str = "value") -> DataFrame:
+    """A raster over the extent of df, all of one value (None: NoData)."""
+    box = bounds(df)
+    if box is None:
+        return df.select(*POSITION, F.lit(value).cast("double").alias(name))
+    top, bottom, left, right = box
+    wide = right - left + 1
+    pixels = df.sparkSession.range((bottom - top + 1) * wide)
+    return pixels.select(F.expr(f"cast(id div {wide} + {top} as int)").alias("r"), F.expr(f"cast(id % {wide} + {left} as int)").alias("c"), F.lit(value).cast("double").alias(name))
+
+
 def raster_info(df: DataFrame) -> DataFrame:
     """Extent, counts and NoData of each band: one row a band."""
     bands = bands_of(df)
@@ -251,6 +263,19 @@ def zonal_stats(df: DataFrame, zone: str, band: str, percentiles: Sequence[float
     return got.select(zone, "count", "max", "mean", F.col("p0").alias("median"), "min", "std", "sum", *(F.col(f"p{i}").alias(x) for i, x in enumerate(names) if i))
 
 
+def distinct_tuples(df: DataFrame, bands: Sequence[str], valid: Sequence[str] = ()) -> DataFrame:
+    """Distinct tuples of the bands over pixels that have a value in all of them, and in `valid`."""
+    return df.dropna(subset=[*bands, *valid]).select(*bands).distinct()
+
+
+def band_stats(df: DataFrame, bands: Sequence[str]) -> DataFrame:
+    """band, n, low, high, total, mean, variance (population) of each band's values, in one pass."""
+    stats = {"n": F.count, "low": F.min, "high": F.max, "total": F.sum, "mean": F.avg, "variance": F.var_pop}
+    row = df.agg(*(F.struct(*(f(F.col(b).cast("double") if n != "n" else F.col(b)).alias(n) for n, f in stats.items())).alias(f"_{i}") for i, b in enumerate(bands)))
+    each = F.array(*(F.struct(F.lit(b).alias("band"), *(F.col(f"_{i}.{n}").alias(n) for n in stats)) for i, b in enumerate(bands)))
+    return row.select(F.explode(each).alias("x")).select("x.*")
+
+
 def cross_matrix(df: DataFrame, row: str, column: str) -> DataFrame:
     """Pixels of each pair of classes (long form), with row and column totals."""
     counts = df.dropna(subset=[row, column]).groupBy(F.col(row).alias("row_class"), F.col(column).alias("column_class")).agg(F.count("*").alias("pixels"))

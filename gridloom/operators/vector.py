@@ -41,6 +41,15 @@ def pixels_in_polygons(df: DataFrame, features: DataFrame, touched: bool = False
     return (met.dropDuplicates(["r", "c", "fid"]) if touched else met).join(small(rest), "fid")
 
 
+def training_matrix(df: DataFrame, rois: DataFrame, bands: Sequence[str], label: str, **grid) -> DataFrame:
+    """label, r, c and features (array of the bands) of the pixels of regions of interest; pixels with NoData are left out.
+
+    A pixel of several regions of one class counts once, one of several classes for each.
+    """
+    held = pixels_in_polygons(df.dropna(subset=list(bands)), rois, **grid)
+    return held.select(label, "r", "c", F.array(*(F.col(b).cast("double") for b in bands)).alias("features")).dropDuplicates([label, "r", "c"])
+
+
 def clip_polygons(df: DataFrame, features: DataFrame, field: str | None = None, **grid) -> DataFrame:
     """Pixels whose middles are in a polygon; with a field, of each of its values (a column more): a raster a value."""
     keep = [c for c in df.columns] + ([field] if field else [])

@@ -7,14 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .fixtures import BANDS, COLUMNS, EMBED_SQL, GRID_SQL, PARCEL_SQL, PLOT_SQL, WAVELENGTHS, embed, grid, parcels, plots, table
+from .fixtures import BANDS, BANDS_SQL, COLUMNS, EMBED_SQL, GRID_SQL, HOLE, OUTLINE, PARCEL_SQL, PLOT_SQL, WAVELENGTHS, bands, embed, estates, grid, parcels, plots, table
 from .functions import projection as pj
 from .functions.projection import from_utm, to_utm
 from .operators import neighborhood as nb, preprocess as pp, raster as ra, spectral as sp, table as tb, vector as ve, warp
 from .operators.tiles import offsets, pyramid, window_stat
 from .plans import catalog as cat
 from .session import shared_path
-from .sources import records as re, tables as so
+from .sources import records as re, tables as so, vectors as vs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -176,14 +176,14 @@ def _bandset(spark, sf) -> cat.BandSet:
 _BANDS_SQL = "(VALUES " + ", ".join(f"({i}, {w})" for i, w in enumerate(WAVELENGTHS, 1)) + ") t(band_number, wavelength)"
 
 
-@query(f"SELECT band_number, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL} WHERE abs(wavelength - 0.85) < 0.1 ORDER BY abs(wavelength - 0.85), band_number LIMIT 1")
+@query(f"WITH {BANDS_SQL} SELECT band_number, wavelength FROM bt WHERE abs(wavelength - 0.85) < 0.1 ORDER BY abs(wavelength - 0.85), band_number LIMIT 1")
 def nearest_wavelength(spark, sf):
-    return cat.nearest_band(_bandset(spark, sf).bands, 0.85, 0.1).select("band_number", "wavelength")
+    return cat.nearest_band(bands(spark, sf), 0.85, 0.1).select("band_number", "wavelength")
 
 
-@query(f"WITH s AS (SELECT * FROM (VALUES ('BLUE', 0.475, 0.2), ('GREEN', 0.56, 0.03), ('RED', 0.65, 0.04), ('NIR', 0.85, 0.15), ('SWIR1', 1.61, 0.2), ('SWIR2', 2.2, 0.2)) v(\"range\", m, d)) SELECT \"range\", (SELECT band_number FROM {_BANDS_SQL} WHERE abs(wavelength - m) < d ORDER BY abs(wavelength - m), band_number LIMIT 1) AS band_number FROM s")
+@query(f"WITH {BANDS_SQL}, s AS (SELECT * FROM (VALUES ('BLUE', 0.475, 0.2), ('GREEN', 0.56, 0.03), ('RED', 0.65, 0.04), ('NIR', 0.85, 0.15), ('SWIR1', 1.61, 0.2), ('SWIR2', 2.2, 0.2)) v(\"range\", m, d)) SELECT \"range\", arg_min(band_number, (abs(wavelength - m), band_number)) AS band_number FROM s LEFT JOIN bt ON abs(wavelength - m) < d GROUP BY 1")
 def spectral_bands(spark, sf):
-    return cat.spectral_bands(_bandset(spark, sf).bands)
+    return cat.spectral_bands(bands(spark, sf))
 
 
 @query(G + "SELECT r, c, a.v AS b1, b.v AS b2 FROM (SELECT r, c, v FROM px WHERE c < 60) a JOIN (SELECT r, c, v FROM px WHERE c >= 40) b USING (r, c)")
@@ -238,12 +238,12 @@ def unique_count(spark, sf):
 
 @query(G + "SELECT DISTINCT k, m FROM px WHERE vh IS NOT NULL")
 def distinct_combos(spark, sf):
-    return grid(spark, sf, holes=True).dropna(subset=["v", "k", "m"]).select("k", "m").distinct()
+    return ra.distinct_tuples(grid(spark, sf, holes=True), ["k", "m"], ["v"])
 
 
-@query(G + "SELECT count(vh) AS n, round(sum(vh), 6) AS total, round(var_pop(vh), 6) AS variance FROM px")
+@query(G + " UNION ALL ".join(f"SELECT '{b}' AS band, count({x}) AS n, min({x})::DOUBLE AS low, max({x})::DOUBLE AS high, round(sum({x}), 6)::DOUBLE AS total, round(avg({x}), 6) AS mean, round(var_pop({x}), 6) AS variance FROM px" for b, x in (("v", "vh"), ("k", "k"))))
 def band_stats(spark, sf):
-    return doubles(grid(spark, sf, holes=True).agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.var_pop("v").alias("variance")))
+    return doubles(ra.band_stats(grid(spark, sf, holes=True), ["v", "k"]))
 
 
 _PAIRS = [(a, b) for i, a in enumerate(BANDS[:3]) for b in BANDS[i:3]]
@@ -254,9 +254,9 @@ def covariance(spark, sf):
     return doubles(sp.covariance(embed(spark, sf), BANDS[:3]), 8)
 
 
-@query(E + "SELECT min(b1) AS low, max(b1) AS high FROM pe")
+@query(E + " UNION ALL ".join(f"SELECT '{b}' AS band, min({b}) AS low, max({b}) AS high FROM pe" for b in BANDS))
 def band_minmax(spark, sf):
-    return embed(spark, sf).agg(F.min("b1").alias("low"), F.max("b1").alias("high"))
+    return ra.band_stats(embed(spark, sf), BANDS).select("band", "low", "high")
 
 
 @query(E + "SELECT cls, count(*) AS pixels, round(avg(b1), 6) AS mean_b1, round(avg(b2), 6) AS mean_b2 FROM pe GROUP BY 1")
@@ -269,9 +269,18 @@ def class_covariance(spark, sf):
     return doubles(sp.class_covariances(embed(spark, sf), "cls", BANDS[:2]), 8)
 
 
-@query(E + "SELECT r, c, b1, b2, cls FROM pe")
+@query(G + f", {PARCEL_SQL} SELECT DISTINCT CAST(val AS INT) AS class_id, r, c, v AS f1, m::DOUBLE AS f2 FROM inside JOIN (SELECT r, c, m FROM px) USING (r, c)")
 def train_matrix(spark, sf):
-    return embed(spark, sf).select("r", "c", "b1", "b2", "cls")
+    rois = vs.import_rois(parcels(spark, sf), F.lit(1), F.col("value"))
+    return ve.training_matrix(grid(spark, sf), rois, ["v", "m"], "class_id").select("class_id", "r", "c", F.col("features")[0].alias("f1"), F.col("features")[1].alias("f2"))
+
+
+@query(G + f", {PARCEL_SQL}, s AS (SELECT val, avg(v) AS a, avg(m) AS b FROM inside JOIN (SELECT r, c, m FROM px) USING (r, c) GROUP BY 1) SELECT px.r, px.c, CAST(arg_min(val, (round(sqrt((px.v - a) * (px.v - a) + (px.m - b) * (px.m - b)), 9), val)) AS INT) AS class FROM px, s GROUP BY 1, 2")
+def classify_rois(spark, sf):
+    px = grid(spark, sf).select("r", "c", "v", "m")
+    rois = vs.import_rois(_parcel_file(spark, sf), F.lit(1), F.col("value"))
+    sig = sp.signatures(ve.pixels_in_polygons(px, rois), "class_id", ["v", "m"]).orderBy("class_id")
+    return sp.classify(px, sig.selectExpr("class_id", "mean_v AS v", "mean_m AS m"), "class_id", ["v", "m"], "md").select("r", "c", F.col("class").cast("int").alias("class"))
 
 
 @query(E + ", lo AS (SELECT min(b1) AS x, min(b2) AS y FROM pe) SELECT CAST(floor((b1 - (x - 0.1)) / 0.1) AS BIGINT) AS bin_x, CAST(floor((b2 - (y - 0.1)) / 0.1) AS BIGINT) AS bin_y, count(*) AS pixels FROM pe, lo GROUP BY 1, 2")
@@ -319,9 +328,9 @@ def upsert(spark, sf):
     return tb.upsert(table(spark, sf, "nation").select("n_nationkey", "n_name"), table(spark, sf, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name")), "n_nationkey")
 
 
-@query(f"SELECT CAST(row_number() OVER (ORDER BY wavelength DESC) AS INT) AS band_number, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL}")
+@query(f"WITH {BANDS_SQL} SELECT CAST(row_number() OVER (ORDER BY wavelength, band_number) AS INT) AS band_number, wavelength, path FROM bt")
 def band_sort(spark, sf):
-    return cat.renumber(_bandset(spark, sf).bands.withColumn("_w", -F.col("wavelength")), "_w").select("band_number", "wavelength")
+    return cat.sort_by_wavelength(bands(spark, sf)).select("band_number", "wavelength", "path")
 
 
 @query("SELECT d AS \"date\", CAST(row_number() OVER (ORDER BY d) AS INT) AS number FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders)")
@@ -330,20 +339,25 @@ def bandset_sort(spark, sf):
     return cat.renumber(days, "date").withColumnRenamed("band_number", "number")
 
 
-@query(f"SELECT CAST(CASE WHEN band_number >= 3 THEN band_number + 1 ELSE band_number END AS INT) AS band_number, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL} UNION ALL SELECT 3::INT, CAST(9.5 AS DOUBLE)")
+@query(f"WITH {BANDS_SQL} SELECT CAST(CASE WHEN band_number >= 3 THEN band_number + 1 ELSE band_number END AS INT) AS band_number, wavelength FROM bt UNION ALL SELECT 3::INT, max(wavelength) FROM bt")
 def band_insert(spark, sf):
-    bands = _bandset(spark, sf).bands.select("band_number", "wavelength")
-    return cat.insert_band(bands, bands.limit(1).select(F.lit(9.5).cast("double").alias("wavelength")), 3).select("band_number", "wavelength")
+    own = bands(spark, sf).select("band_number", "wavelength")
+    return cat.insert_band(own, own.agg(F.max("wavelength").alias("wavelength")), 3).select("band_number", "wavelength")
 
 
-@query(f"SELECT CAST(CASE WHEN band_number > 2 THEN band_number - 1 ELSE band_number END AS INT) AS band_number, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL} WHERE band_number <> 2")
+@query(f"WITH {BANDS_SQL} SELECT CAST(CASE WHEN band_number > 2 THEN band_number - 1 ELSE band_number END AS INT) AS band_number, wavelength FROM bt WHERE band_number <> 2")
 def band_remove(spark, sf):
-    return cat.remove_band(_bandset(spark, sf).bands.select("band_number", "wavelength"), 2)
+    return cat.remove_band(bands(spark, sf).select("band_number", "wavelength"), 2)
+
+
+@query(f"WITH {BANDS_SQL} SELECT CAST(CASE WHEN band_number = 2 THEN 7 WHEN band_number BETWEEN 3 AND 7 THEN band_number - 1 ELSE band_number END AS INT) AS band_number, wavelength FROM bt")
+def band_move(spark, sf):
+    return cat.move_band(bands(spark, sf).select("band_number", "wavelength"), 2, 7).select("band_number", "wavelength")
 
 
-@query(f"SELECT band_number, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL} WHERE wavelength = 0.665")
+@query(f"WITH {BANDS_SQL} SELECT band_number, wavelength FROM bt WHERE name IN ('scene_B05', 'scene_B11')")
 def band_by_attr(spark, sf):
-    return cat.bands_where(_bandset(spark, sf).bands, wavelength=0.665).select("band_number", "wavelength")
+    return cat.bands_where(bands(spark, sf), name=["scene_B05", "scene_B11"]).select("band_number", "wavelength")
 
 
 @query(G + "SELECT k AS old_value, CAST(row_number() OVER (ORDER BY k) AS INT) AS new_value FROM (SELECT DISTINCT k FROM px)")
@@ -514,9 +528,9 @@ def raster_edit(spark, sf):
     return doubles(ra.edit(grid(spark, sf).select("r", "c", "v"), "v", F.col("r").between(2, 4), '"raster" * 2'))
 
 
-@query("SELECT CAST(i // 30 AS INT) AS r, CAST(i % 30 AS INT) AS c, CAST(7 AS DOUBLE) AS value FROM range(600) t(i)")
+@query(G + "SELECT CAST(i AS INT) AS r, CAST(j AS INT) AS c, CAST(7 AS DOUBLE) AS value FROM range((SELECT max(r) + 1 FROM px)) a(i), range((SELECT max(c) + 1 FROM px)) b(j)")
 def constant_grid(spark, sf):
-    return ra.constant_grid(spark, 20, 30, 7)
+    return ra.constant_like(grid(spark, sf), 7)
 
 
 @query(G + "SELECT CAST(1 AS INT) AS id, v FROM px WHERE r = 3 AND c = 12 UNION ALL SELECT 2, v FROM px WHERE r = 5 AND c = 40")
@@ -599,14 +613,26 @@ def rasterize_box(spark, sf):
     return ve.rasterize(grid(spark, sf), ve.rectangles(spark, _BOXES), "value")
 
 
-@query("SELECT CAST(2 AS DOUBLE) AS \"left\", CAST(-1 AS DOUBLE) AS top, CAST(30 AS DOUBLE) AS \"right\", CAST(-9 AS DOUBLE) AS bottom")
+def _parcel_file(spark, sf) -> DataFrame:
+    """The parcels, written as GeoJSON and read again."""
+    path = shared_path(spark, "layer")
+    vs.write_geojson(parcels(spark, sf), path, ["value"])
+    return vs.read_geojson(spark, path, ["value"])
+
+
+@query(f"SELECT min(s_suppkey * 37 % 100) + {min(x for x, _ in OUTLINE)} AS \"left\", max(s_suppkey * 37 % 100) + {max(x for x, _ in OUTLINE)} AS \"right\", -min(s_suppkey) - {min(y for _, y in OUTLINE)} AS top, -max(s_suppkey) - {max(y for _, y in OUTLINE)} AS bottom FROM supplier".replace(" AS ", "::DOUBLE AS "))
 def layer_extent(spark, sf):
-    return ve.layer_extent(ve.rectangles(spark, _BOXES))
+    return ve.layer_extent(_parcel_file(spark, sf))
 
 
-@query("SELECT * FROM (VALUES (5::INT), (8::INT)) t(value)")
+@query("SELECT DISTINCT CAST(s_nationkey AS VARCHAR) AS value FROM supplier")
 def vector_values(spark, sf):
-    return ve.distinct_values(ve.rectangles(spark, _BOXES), "value")
+    return ve.distinct_values(_parcel_file(spark, sf), "value")
+
+
+@query(f"SELECT s_suppkey AS fid, CAST(i AS INT) AS part, h AS hole, CAST(n AS INT) AS points, CAST(s_nationkey AS VARCHAR) AS value, s_suppkey * 37 % 100 + x::DOUBLE AS x FROM supplier, (VALUES (0, false, {len(OUTLINE)}, {OUTLINE[0][0]}), (0, true, {len(HOLE)}, {HOLE[0][0]})) v(i, h, n, x)")
+def geojson_layer(spark, sf):
+    return _parcel_file(spark, sf).select("fid", "part", "hole", F.size("ring").alias("points"), "value", F.col("ring")[0]["x"].alias("x"))
 
 
 _LEVEL = "SELECT CAST({k} AS INT) AS level, CAST(r // {b} AS INT) AS r, CAST(c // {b} AS INT) AS c, round(avg(vh), 6) AS average, max(vh) AS maximum, min(vh) AS minimum, max(CASE WHEN r % {b} = {h} AND c % {b} = {h} THEN vh END) AS nearest, count(vh) AS valid FROM px GROUP BY r // {b}, c // {b} HAVING count(vh) > 0"
@@ -1000,15 +1026,18 @@ def classify_from_file(spark, sf):
     return doubles(sp.classify(px, sig, "cls", BANDS), 4)
 
 
-@query(f"SELECT band_number, 'b' || band_number AS name, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL}")
+@query(G + "SELECT CAST(row_number() OVER (ORDER BY avg(v)) AS INT) AS band_number, z AS name, round(avg(v), 6) AS wavelength FROM px GROUP BY z")
 def bandset_create(spark, sf):
-    return _bandset(spark, sf).bands.select("band_number", "name", "wavelength")
+    """A band for each event type, in the order of its mean value."""
+    waves = sorted((r.z, r.w) for r in grid(spark, sf).groupBy("z").agg(F.avg("v").alias("w")).collect())  # a row a type
+    wide = grid(spark, sf).select("r", "c", *(F.when(F.col("z") == z, F.col("v")).alias(z) for z, _ in waves))
+    return doubles(cat.BandSet.create(wide, [w for _, w in waves]).bands.select("band_number", "name", "wavelength"))
 
 
-@query(f"SELECT band_number, 'b' || band_number AS name, CAST(wavelength AS DOUBLE) AS wavelength FROM {_BANDS_SQL}")
+@query(f"WITH {BANDS_SQL} SELECT band_number, name, wavelength FROM bt")
 def bandset_xml(spark, sf):
     path = shared_path(spark, "bandset")
-    re.write_xml(_bandset(spark, sf).bands, path, "bandset", "band")
+    re.write_xml(bands(spark, sf), path, "bandset", "band")
     return re.read_xml(spark, path, "band", cat.BAND_SCHEMA).select("band_number", "name", "wavelength")
 
 
@@ -1040,10 +1069,9 @@ def colours(spark, sf):
 _S2 = "(VALUES " + ", ".join(f"('{n}', {w})" for n, w in cat.SENSORS["Sentinel-2"]) + ") t(name, wavelength)"
 
 
-@query(f"SELECT name, CAST(wavelength AS DOUBLE) AS wavelength FROM {_S2}")
+@query(f"WITH {BANDS_SQL}, s AS (SELECT * FROM (VALUES ('01', 0.443), ('02', 0.49), ('03', 0.56), ('04', 0.665), ('05', 0.705), ('06', 0.74), ('07', 0.783), ('08', 0.842), ('09', 0.945), ('10', 1.375), ('11', 1.61), ('12', 2.19)) v(n, w)) SELECT band_number, name, CAST(w AS DOUBLE) AS wavelength FROM bt LEFT JOIN s ON right(name, 2) = n")
 def sensor_lookup(spark, sf):
-    names = spark.createDataFrame([(i, f"scene_B{n}") for i, (n, _) in enumerate(cat.SENSORS["Sentinel-2"], 1)], "band_number int, name string").withColumn("wavelength", F.lit(None).cast("double"))
-    return cat.sensor_bands(names, "Sentinel-2").select(F.substring("name", 8, 9).alias("name"), "wavelength")
+    return cat.sensor_bands(bands(spark, sf), "Sentinel-2").select("band_number", "name", "wavelength")
 
 
 def _two_sets(spark, sf) -> cat.Catalog:
@@ -1051,9 +1079,12 @@ def _two_sets(spark, sf) -> cat.Catalog:
     return cat.Catalog([cat.BandSet.create(px.where(w).select("r", "c", F.col("b1").alias(f"{n}_b1")), name=n) for n, w in (("left", "c < 20"), ("right", "c >= 5"))])
 
 
-@query("SELECT CAST(2 AS INT) AS number")
+@query("SELECT CAST(i AS INT) AS number FROM (SELECT z, row_number() OVER (ORDER BY z) AS i FROM (SELECT DISTINCT event_type AS z FROM events)) WHERE z = 'error'")
 def bandset_by_name(spark, sf):
-    return spark.createDataFrame([(n,) for n in _two_sets(spark, sf).by_name("right")], "number int")
+    px = grid(spark, sf)
+    kinds = sorted(r.z for r in px.select("z").distinct().collect())
+    sets = cat.Catalog([cat.BandSet.create(px.where(F.col("z") == z).select("r", "c", "v"), name=z) for z in kinds])
+    return spark.createDataFrame([(n,) for n in sets.by_name("error")], "number int")
 
 
 @query(E + "SELECT CAST(min(r) AS INT) AS top, CAST(max(r) AS INT) AS bottom, CAST(min(c) AS INT) AS \"left\", CAST(max(c) AS INT) AS \"right\" FROM pe")
@@ -1123,9 +1154,9 @@ def raster_polygons(spark, sf):
     return nb.region_rings(nb.region_edges(px, "f", COLUMNS)).groupBy("region").agg(F.sum("area").alias("area"))
 
 
-@query("SELECT CAST(v AS INT) AS value, CAST(n AS BIGINT) AS parts, CAST(a AS DOUBLE) AS area FROM (VALUES (5, 1, 50), (8, 1, 120)) t(v, n, a)")
+@query("SELECT n_regionkey AS value, count(*) AS parts, sum((n_nationkey % 4 + 2) * 5)::DOUBLE AS area FROM nation GROUP BY 1")
 def polygon_union(spark, sf):
-    return ve.union_features(ve.rectangles(spark, _BOXES), "value").select("value", "parts", "area")
+    return doubles(ve.union_features(estates(spark, sf), "value").select("value", "parts", "area"))
 
 
 @query("SELECT event_id, lon, lat FROM (SELECT event_id, CAST(event_id % 600 / 100.0 + 6 AS DOUBLE) AS lon, CAST(event_id % 8000 / 100.0 AS DOUBLE) AS lat FROM events)")
