@@ -91,10 +91,11 @@ def set_attribute(bands: DataFrame, name: str, value, number: int | None = None)
 def spectral_bands(bands: DataFrame, unit: str = "micrometre") -> DataFrame:
     """range, band_number: of each spectral range the nearest band within its reach; none: null."""
     scale = _UNITS.get(unit, 0.0)
-    ranges = bands.sparkSession.createDataFrame([(k, c * scale, d * scale) for k, (c, d) in SPECTRAL_RANGES.items()], "range string, centre double, reach double")
-    rows = bands.where(F.col("wavelength").isNotNull()).select("band_number", "wavelength")
-    met = ranges.join(F.broadcast(rows), F.abs(F.col("wavelength") - F.col("centre")) < F.col("reach"), "left")
-    return met.groupBy("range").agg(F.min_by("band_number", F.struct(F.abs(F.col("wavelength") - F.col("centre")), "band_number")).alias("band_number"))
+    each = F.array(*(F.struct(F.lit(k).alias("range"), F.abs(F.col("wavelength") - c * scale).alias("gap"), F.lit(d * scale).alias("reach")) for k, (c, d) in SPECTRAL_RANGES.items()))
+    near = bands.where(F.col("wavelength").isNotNull()).select("band_number", F.explode(each).alias("x")).where("x.gap < x.reach")
+    best = near.groupBy("x.range").agg(F.min_by("band_number", F.struct("x.gap", "band_number")).alias("band_number"))
+    ranges = bands.sparkSession.createDataFrame([(k,) for k in SPECTRAL_RANGES], "range string")
+    return ranges.join(F.broadcast(best), "range", "left")  # a row a range
 
 
 def sensor_bands(bands: DataFrame, sensor: str) -> DataFrame:
@@ -105,15 +106,20 @@ def sensor_bands(bands: DataFrame, sensor: str) -> DataFrame:
 
 @dataclass
 class BandSet:
-    """Bands in order and the wide table of their pixels (r, c and a column a band, in the bands' order)."""
+    """Bands in order and the wide table of their pixels (r, c and a column a band, in the bands' order).
+
+    pixel and origin say where the grid lies: a pixel's size, and x and y of its upper left corner.
+    """
 
     bands: DataFrame
     pixels: DataFrame
     name: str = "bandset"
     date: str | None = None
+    pixel: tuple[float, float] = (1.0, 1.0)
+    origin: tuple[float, float] = (0.0, 0.0)
 
     @classmethod
-    def create(cls, pixels: DataFrame, wavelengths: Sequence[float] | None = None, unit: str = "micrometre", name: str = "bandset", date: str | None = None, nodata: float | None = None, paths: Sequence[str] | None = None) -> BandSet:
+    def create(cls, pixels: DataFrame, wavelengths: Sequence[float] | None = None, unit: str = "micrometre", name: str = "bandset", date: str | None = None, nodata: float | None = None, paths: Sequence[str] | None = None, pixel: tuple[float, float] = (1.0, 1.0), origin: tuple[float, float] = (0.0, 0.0)) -> BandSet:
         """Bands of a pixel table, sorted by wavelength; date "auto": from the first path."""
         spark: SparkSession = pixels.sparkSession
         names = [c for c in pixels.columns if c not in ("r", "c")]
@@ -125,7 +131,7 @@ class BandSet:
         if date:
             bands = bands.withColumn("date", F.lit(date).cast("date"))
         order = sorted(zip(waves, names, strict=True), key=lambda x: x[0])
-        out = cls(sort_by_wavelength(bands), pixels.select("r", "c", *(n for _, n in order)), name, date)
+        out = cls(sort_by_wavelength(bands), pixels.select("r", "c", *(n for _, n in order)), name, date, pixel, origin)
         out._waves, out._nodata = ([float(w) for w, _ in order], unit), nodata  # known here: no need to ask the table
         return out
 
@@ -165,7 +171,7 @@ class BandSet:
 
 @dataclass
 class Catalog:
-    """Numbered band sets on one grid; `wide` is the table of all that an expression names."""
+    """Numbered band sets; `wide` is the table of all that an expression names, on one grid."""
 
     sets: list[BandSet] = field(default_factory=list)
     current: int = 1
@@ -233,21 +239,49 @@ class Catalog:
             raise ValueError(f"no band {ref}")
         return [f"s{self.current}_{n}" for n in got] if isinstance(got, list) else f"s{self.current}_{got}"
 
-    def wide(self, sets: Sequence[int] | None = None, union: bool = False) -> DataFrame:
-        """r, c and s<number>_<band> of the sets, of pixels in all of them (union: in any)."""
+    def grid(self, sets: Sequence[int], align: int | None = None, resolution: tuple[float, float] | None = None) -> tuple[tuple[float, float], tuple[float, float]]:
+        """Pixel size and origin for several sets: those of set `align`, else of the first one; resolution: another pixel size."""
+        own = self.sets[(align or sets[0]) - 1]
+        return (resolution or own.pixel), own.origin
+
+    def wide(self, sets: Sequence[int] | None = None, union: bool = False, grid: tuple | None = None, method: str = "nearest_neighbour") -> DataFrame:
+        """r, c and s<number>_<band> of the sets, of pixels in all of them (union: in any).
+
+        grid: pixel size and origin of the result; sets on other grids are resampled onto it (see raster.resample_to).
+        """
+        from ..operators.raster import resample_to
+
         numbers = list(sets or range(1, len(self.sets) + 1))
+        pixel, origin = grid or self.grid(numbers)
+        down = lambda place: (place[0], -place[1])
         kinds = {f"s{k}_{n}": t for k in numbers for n, t in self.sets[k - 1].pixels.dtypes if n not in ("r", "c")}
         out = None
         for k in numbers:  # one grouping by position, however many sets meet
             s = self.sets[k - 1]
+            moved = s.pixels if (s.pixel, s.origin) == (pixel, origin) else resample_to(s.pixels, s.names, method, s.pixel, pixel, down(s.origin), down(origin))
             own = {f"s{k}_{n}": F.col(n) for n in s.names}
-            one = s.pixels.select("r", "c", *(own.get(n, F.lit(None).cast(t)).alias(n) for n, t in kinds.items()))
+            one = moved.select("r", "c", *(own.get(n, F.lit(None).cast(t)).alias(n) for n, t in kinds.items()))
             out = one if out is None else out.unionByName(one)
         if len(numbers) == 1:
             return out
         got = out.groupBy("r", "c").agg(F.count("*").alias("_sets"), *(F.max(n).alias(n) for n in kinds))
         return (got if union else got.where(F.col("_sets") == len(numbers))).drop("_sets")
 
+    def used(self, lines: Sequence[tuple[str, str]]) -> list[int]:
+        """Sets that a program's lines name, in their order."""
+        made, found = set(), set()
+        for text, name in lines:
+            for ref in re.findall(r'"([^"]+)"', text):
+                if ref.lower() in made:
+                    continue
+                try:
+                    got = ref if re.match(r"s\d+_", ref) else self.columns(ref)
+                except ValueError:  # an index, which is of the current set
+                    got = f"s{self.current}_"
+                found |= {int(re.match(r"s(\d+)_", n)[1]) for n in ([got] if isinstance(got, str) else got)}
+            made.add(name.lower())
+        return sorted(found) or [self.current]
+
 
 def program(text: str, catalog: Catalog) -> list[tuple[str, str]]:
     """(expression, output name) of a program's lines; loops are written out, # starts a comment line.
@@ -281,11 +315,22 @@ def program(text: str, catalog: Catalog) -> list[tuple[str, str]]:
     return out
 
 
-def run_program(text: str, catalog: Catalog, union: bool = False, mask: str = "all") -> DataFrame:
-    """r, c and the outputs of a program over a catalog (see `program`)."""
+def run_program(text: str, catalog: Catalog, union: bool = False, mask: str = "all", align: int | None = None, resolution: tuple[float, float] | None = None, extent: tuple[float, float, float, float] | None = None, method: str = "nearest_neighbour", prune: bool = False) -> DataFrame:
+    """r, c and the outputs of a program over a catalog (see `program`). prune: sets that it doesn't name don't count.
+
+    Sets on other grids than the result's (that of set `align`, else of the first one; `resolution`: another pixel size)
+    are resampled by `method`. extent: left, top, right and bottom; pixels whose middles lie beyond are left out.
+    """
     from ..operators.raster import band_calc
 
-    wide = catalog.wide(union=union)
+    lines = program(text, catalog)
+    sets = catalog.used(lines) if prune else list(range(1, len(catalog.sets) + 1))
+    (w, h), (x0, y0) = grid = catalog.grid(sets, align, resolution)
+    wide = catalog.wide(sets, union, grid, method)
+    if extent:
+        left, top, right, bottom = extent
+        x, y = F.lit(x0) + (F.col("c") + 0.5) * w, F.lit(y0) - (F.col("r") + 0.5) * h
+        wide = wide.where(x.between(left, right) & y.between(bottom, top))
 
     def resolve(ref: str):
         return ref if ref in wide.columns else catalog.columns(ref)
@@ -294,4 +339,4 @@ def run_program(text: str, catalog: Catalog, union: bool = False, mask: str = "a
     for k, s in enumerate(catalog.sets if "nodata" in text.lower() else [], 1):
         for r in s.bands.select("band_number", "nodata").collect():  # a row a band
             nodata[f"bandset{k}b{r.band_number}"] = r.nodata
-    return band_calc(wide, program(text, catalog), resolve, mask, nodata)
+    return band_calc(wide, lines, resolve, mask, nodata)

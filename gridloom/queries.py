@@ -1087,6 +1087,26 @@ def bandset_by_name(spark, sf):
     return spark.createDataFrame([(n,) for n in sets.by_name("error")], "number int")
 
 
+def _two_grids(spark, sf) -> cat.Catalog:
+    """The event grid by 1 m, what it counts by 2 m a metre off, and a set that no program names."""
+    px = grid(spark, sf)
+    coarse = ra.resample(px, 2, "maximum", "k")
+    return cat.Catalog([cat.BandSet.create(px.select("r", "c", "v"), name="fine"), cat.BandSet.create(coarse, name="coarse", pixel=(2.0, 2.0), origin=(1.0, -1.0)), cat.BandSet.create(px.where("false").select("r", "c", "m"), name="none")])
+
+
+_COARSE = ", q AS (SELECT r // 2 AS i, c // 2 AS j, max(k) AS k FROM px GROUP BY 1, 2)"
+
+
+@query(G + _COARSE + " SELECT px.r, px.c, round(px.v - q.k, 6) AS d FROM px JOIN q ON q.i = (px.r - 1) // 2 AND q.j = (px.c - 1) // 2 WHERE px.r >= 1 AND px.c >= 1")
+def calc_two_grids(spark, sf):
+    return doubles(cat.run_program('"bandset1b1" - "bandset2b1" @d', _two_grids(spark, sf), prune=True))
+
+
+@query(G + _COARSE + ", f AS (SELECT CAST((r - 1) // 2 AS INT) AS r, CAST((c - 1) // 2 AS INT) AS c, avg(v) AS v FROM px WHERE r >= 1 AND c >= 1 GROUP BY 1, 2) SELECT f.r, f.c, round(f.v - q.k, 6) AS d FROM f JOIN q ON q.i = f.r AND q.j = f.c WHERE 1 + (f.c + 0.5) * 2 BETWEEN 10 AND 61 AND -1 - (f.r + 0.5) * 2 BETWEEN -90 AND -3")
+def calc_aligned(spark, sf):
+    return doubles(cat.run_program('"bandset1b1" - "bandset2b1" @d', _two_grids(spark, sf), align=2, extent=(10.0, -3.0, 61.0, -90.0), method="average", prune=True))
+
+
 @query(E + "SELECT CAST(min(r) AS INT) AS top, CAST(max(r) AS INT) AS bottom, CAST(min(c) AS INT) AS \"left\", CAST(max(c) AS INT) AS \"right\" FROM pe")
 def catalog_bbox(spark, sf):
     return _two_sets(spark, sf).bbox()
