@@ -6,6 +6,7 @@ beyond the grid don't count (partial windows at borders).
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -163,6 +164,59 @@ def region_edges(df: DataFrame, band: str, width: int) -> DataFrame:
     return each.join(other, ["nr", "nc"], "left").where("beside IS NULL OR beside <> patch").select(F.col("patch").alias("region"), "value", "r", "c", "side")
 
 
+def _least_steps(gap: np.ndarray, start: tuple[int, int]) -> np.ndarray:
+    """For each cell the least value that every path to it from the start has to bear (4-connected); NaN cells bar the way."""
+    out = np.full(gap.shape, np.inf)
+    todo = [(gap[start], *start)]
+    while todo:
+        d, i, j = heapq.heappop(todo)
+        if d >= out[i, j]:
+            continue
+        out[i, j] = d
+        for y, x in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
+            if 0 <= y < gap.shape[0] and 0 <= x < gap.shape[1] and gap[y, x] == gap[y, x] and out[y, x] == np.inf:
+                heapq.heappush(todo, (max(d, gap[y, x]), y, x))
+    return out
+
+
+def grow_regions(df: DataFrame, bands: Sequence[str], seeds: DataFrame, distance: float, minimum: int, max_width: int = 100) -> DataFrame:
+    """id, r, c: the region of every seed (id, r, c), of which there may be any number.
+
+    In each band the pixels connected to the seed whose values differ from its by no more than d: `distance`, or the least
+    difference beyond it with which they are `minimum` pixels (all that connect, if they never are). What is left of a seed's
+    region is connected to it and in those of all bands. A region lies within max_width pixels; each box is a task's group.
+    NoData belongs to no region; a seed that has NoData in a band, or lies beyond the raster, has none.
+    """
+    half, kind = max_width // 2, dict(seeds.dtypes)["id"]
+    near = lambda x: F.sequence(F.floor((F.col(x) - half) / max_width), F.floor((F.col(x) + half) / max_width))
+    at = seeds.select("id", F.col("r").alias("sr"), F.col("c").alias("sc"), F.explode(near("r")).alias("i")).join(seeds.select("id", F.explode(near("c")).alias("j")), "id")
+    own = df.select("r", "c", *(F.col(b).cast("double").alias(f"v{k}") for k, b in enumerate(bands)), F.floor(F.col("r") / max_width).alias("i"), F.floor(F.col("c") / max_width).alias("j"))
+    boxes = own.join(small(at), ["i", "j"]).where((F.abs(F.col("r") - F.col("sr")) <= half) & (F.abs(F.col("c") - F.col("sc")) <= half))
+
+    def grow(key, table):
+        r, c = (np.asarray(table.column(n)).astype(np.int64) for n in "rc")
+        sr, sc = (int(table.column(n)[0].as_py()) for n in ("sr", "sc"))
+        inside = np.ones((2 * half + 1, 2 * half + 1))
+        for k in range(len(bands)):
+            gap = np.full(inside.shape, np.nan)
+            gap[r - sr + half, c - sc + half] = table.column(f"v{k}").to_numpy()
+            gap = np.abs(gap - gap[half, half])
+            if np.isnan(gap[half, half]):
+                inside[:] = np.nan
+                break
+            steps = _least_steps(gap, (half, half))
+            reached = np.sort(steps[np.isfinite(steps)])
+            limit = max(distance, reached[max(min(minimum, len(reached)), 1) - 1])
+            inside[~(steps <= limit)] = np.nan
+        if np.isnan(inside[half, half]):
+            y = x = np.zeros(0, np.int64)
+        else:
+            y, x = np.nonzero(np.isfinite(_least_steps(inside, (half, half))))
+        return pa.table({"id": pa.array([key[0].as_py()] * len(y), key[0].type), "r": pa.array((y + sr - half).astype(np.int32)), "c": pa.array((x + sc - half).astype(np.int32))})
+
+    return boxes.groupBy("id").applyInArrow(grow, f"id {kind}, r int, c int")
+
+
 def region_rings(edges: DataFrame) -> DataFrame:
     """region, value, ring (array of x, y; x right, y down) and area of each ring that bounds a region: holes are negative.
 

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import small
+
 
 def unit(x: Column) -> Column:
     """Clipped to 0..1; NoData stays."""
@@ -46,6 +48,20 @@ def restored(x: Column, scale: float, offset: float = 0.0, nodata: float | None
     return value if nodata is None else F.when(x != nodata, value)
 
 
+def reflectance(pixels: DataFrame, products: DataFrame, value: str = "value", dark: bool = False) -> DataFrame:
+    """pixels (product, band, r, c and digital numbers) with reflectances by their products' metadata (product, band, scale,
+    offset), clipped to 0..1. dark: less the reflectance of each product and band's darkest pixel, taken to be 1 %.
+
+    Bands without metadata have no reflectance. Metadata, and dark objects, are a row a product and band.
+    """
+    own = pixels.join(small(products.select("product", "band", "scale", "offset")), ["product", "band"], "left")
+    toa = F.col(value) * F.col("scale") + F.col("offset")
+    if dark:
+        low = pixels.groupBy("product", "band").agg(F.min(value).alias("_low"))
+        own, toa = own.join(small(low), ["product", "band"]), (F.col(value) - F.col("_low")) * F.col("scale") + 0.01
+    return own.withColumn(value, unit(toa)).select(*pixels.columns)
+
+
 def date_from_path(path: Column) -> Column:
     """The date in a path such as .../S2_2020-01-05/..., ..._20200105T..."""
     dashed = F.regexp_extract(path, r"(\d{4}-\d{2}-\d{2})", 1)

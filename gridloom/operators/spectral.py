@@ -7,7 +7,7 @@ projection: assigning pixels to classes costs no join and no shuffle.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,8 +91,36 @@ def class_covariances(df: DataFrame, label: str, bands: Sequence[str]) -> DataFr
     return df.where(F.col(label).isNotNull()).groupBy(label).agg(*(F.covar_samp(bands[i], bands[j]).alias(f"cov_{i + 1}_{j + 1}") for i in n for j in n if i <= j))
 
 
-def classify_likelihood(df: DataFrame, train: DataFrame, label: str, bands: Sequence[str], least: float | None = None, keep: Sequence[str] = ("r", "c")) -> DataFrame:
-    """keep, class, likelihood -ln|S| - d' S^-1 d of the likeliest class; classes without an invertible covariance are left out."""
+def chi_square_limit(percent: float, bands: int) -> float:
+    """What a chi-square value of `bands` degrees of freedom is beyond in `percent` of all cases."""
+
+    def above(x: float) -> float:
+        """1 - P(bands / 2, x / 2), by the series of the incomplete gamma function."""
+        a, y = bands / 2, x / 2
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= y / k
+            total += term
+        return 1 - total * math.exp(a * math.log(y) - y - math.lgamma(a))
+
+    low, high = 1e-12, 1.0
+    while above(high) > percent / 100:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if above(middle) > percent / 100 else (low, middle)
+    return (low + high) / 2
+
+
+def classify_likelihood(df: DataFrame, train: DataFrame, label: str, bands: Sequence[str], least: float | None = None, keep: Sequence[str] = ("r", "c"), percent: float | None = None) -> DataFrame:
+    """keep, class, likelihood -ln|S| - d' S^-1 d of the likeliest class; classes without an invertible covariance are left out.
+
+    least: classes less likely than that don't count. percent: classes from which a pixel is as far (d' S^-1 d) as only so
+    many of their own would be don't count. No class: null, that is, unclassified.
+    """
+    limit = None if percent is None else chi_square_limit(percent, len(bands))
     means = {r[label]: np.array([r[f"mean_{b}"] for b in bands], float) for r in collected(signatures(train, label, bands))}
     scores = []
     for r in sorted(collected(class_covariances(train, label, bands)), key=lambda r: r[label]):
@@ -105,7 +133,8 @@ def classify_likelihood(df: DataFrame, train: DataFrame, label: str, bands: Sequ
         d = [F.col(b).cast("double") - float(m) for b, m in zip(bands, means[r[label]], strict=True)]
         q = sum((d[i] * d[j] * float(inv[i, j]) for i in range(n) for j in range(n)), F.lit(0.0))
         like = -q - float(logdet)
-        scores.append((r[label], -like if least is None else F.when(like >= least, -like)))
+        near = F.lit(True) if limit is None else q <= limit
+        scores.append((r[label], F.when(near & (F.lit(True) if least is None else like >= least), -like)))
     k, d = _best(scores)
     return df.select(*keep, k.alias("class"), (-d).alias("likelihood"))
 
@@ -373,3 +402,99 @@ def radial_machine(df: DataFrame, bands: Sequence[str], label: str, gamma: float
     rows = cut(out.features(df.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")), [label]), "features")
     out.model = OneVsRest(classifier=LinearSVC(regParam=regularization, featuresCol="_f", labelCol=label, standardization=False), featuresCol="_f", labelCol=label).fit(rows)
     return out
+
+
+# ---- a network trained by mini-batches
+
+
+def cross_entropy(scores: np.ndarray, wanted: np.ndarray) -> tuple[float, np.ndarray]:
+    """Sum of -ln p of the wanted classes, p by softmax, and its slope by score."""
+    p = np.exp(scores - scores.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    rows = np.arange(len(wanted))
+    loss = -np.log(np.maximum(p[rows, wanted], 1e-300)).sum()
+    p[rows, wanted] -= 1
+    return float(loss), p
+
+
+@dataclass
+class Network:
+    """Dense layers with rectifiers between them, over standardized bands."""
+
+    bands: list[str]
+    mean: np.ndarray
+    scale: np.ndarray
+    layers: list[tuple[np.ndarray, np.ndarray]]
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return _forward((x - self.mean) / self.scale, self.layers)[-1]
+
+    def predict(self, df: DataFrame, keep: Sequence[str] = ("r", "c")) -> DataFrame:
+        """keep and class; pixels with NoData are left out."""
+        return predict_with(df.dropna(subset=self.bands), self.bands, lambda x: self.scores(x).argmax(1).astype(np.int32), keep, "int")
+
+
+def _forward(x: np.ndarray, layers) -> list[np.ndarray]:
+    """Every layer's output, the input first."""
+    out = [x]
+    for k, (w, b) in enumerate(layers):
+        z = out[-1] @ w + b
+        out.append(np.maximum(z, 0) if k < len(layers) - 1 else z)
+    return out
+
+
+def train_network(df: DataFrame, bands: Sequence[str], label: str, classes: int, hidden: Sequence[int] = (100,), steps: int = 100, batches: int = 1, rate: float = 0.01, loss: Callable = cross_entropy, seed: int = 0, keys: Sequence[str] = ("r", "c")) -> Network:
+    """A Network by Adam over mini-batches: pixels are dealt into `batches` by a hash of their keys, and each step sums the
+    loss's slopes over one of them, wherever its pixels lie; only the layers and their slopes move.
+
+    label: 0 to classes - 1. loss(scores, wanted) gives the sum of a batch's losses and their slopes by score.
+    """
+    row = df.agg(*(F.avg(b) for b in bands), *(F.stddev_pop(b) for b in bands)).first()
+    mean, scale = np.array(row[: len(bands)], float), np.array(row[len(bands) :], float)
+    scale = np.where(scale > 0, scale, 1.0)
+    dealt = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(batches)).cast("int").alias("batch")
+    rows = cut(df.dropna(subset=[*bands, label]).select(dealt, F.col(label).cast("int").alias("wanted"), *(F.col(b).cast("double").alias(f"x{i}") for i, b in enumerate(bands))), "training")
+    rng, sizes = np.random.default_rng(seed), [len(bands), *hidden, classes]
+    layers = [(rng.normal(size=(a, b)) * math.sqrt(2 / a), np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False)]
+    flat = lambda parts: np.concatenate([x.ravel() for pair in parts for x in pair])
+
+    def shaped(v: np.ndarray):
+        out, at = [], 0
+        for a, b in zip(sizes, sizes[1:], strict=False):
+            out.append((v[at : at + a * b].reshape(a, b), v[at + a * b : at + a * b + b]))
+            at += a * b + b
+        return out
+
+    theta = flat(layers)
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, steps + 1):
+        own = shaped(theta)
+
+        def slopes(batches, own=own):
+            total, n = np.zeros(len(theta)), 0
+            for batch in batches:
+                x = (np.stack([batch.column(f"x{i}").to_numpy() for i in range(len(bands))], 1) - mean) / scale
+                out = _forward(x, own)
+                _, g = loss(out[-1], batch.column("wanted").to_numpy())
+                parts = []
+                for k in range(len(own) - 1, -1, -1):
+                    parts.append((out[k].T @ g, g.sum(0)))
+                    g = (g @ own[k][0].T) * (out[k] > 0) if k else g
+                total += flat(parts[::-1])
+                n += len(x)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["slopes", "n"])
+
+        def summed(batches):
+            total, n = np.zeros(len(theta)), 0
+            for batch in batches:
+                for x, k in zip(batch.column("slopes"), batch.column("n"), strict=True):
+                    total, n = total + np.frombuffer(x.as_py()), n + k.as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["slopes", "n"])
+
+        parts = rows.where(F.col("batch") == (step - 1) % batches).mapInArrow(slopes, "slopes binary, n long")
+        got = parts.repartition(16).mapInArrow(summed, "slopes binary, n long").collect() if rows.rdd.getNumPartitions() > 64 else parts.collect()  # a row a task
+        g, n = sum(np.frombuffer(r.slopes) for r in got), sum(r.n for r in got)
+        g = g / max(n, 1)
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        theta = theta - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    return Network(list(bands), mean, scale, shaped(theta))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.expressions import Compiler, compile_over
 from ..session import collected, cut, few, free_name, small
+from .ranks import percentiles
 
 #: Aggregations by name; std is of the sample in pivots (std_pop: of the population).
 AGGREGATES = {
@@ -27,6 +28,30 @@ def aggregate(func: str, column: str, row_id: str | None = None) -> Column:
     raise ValueError(f"unknown aggregation {func}")
 
 
+def _quantile(func: str) -> float | None:
+    """The percentage of a median or percentile, else None."""
+    return 50.0 if func == "median" else float(func.removeprefix("percentile_")) if func.startswith("percentile_") else None
+
+
+def grouped(df: DataFrame, keys: Sequence[str], functions: Sequence[tuple[str, str]], row_id: str | None = None) -> DataFrame:
+    """keys and _v0, _v1, .. of the (column, function) pairs by group.
+
+    Medians and percentiles come from counts of different values (ranks.percentiles), so no group is sorted by one task.
+    """
+    simple = [(i, aggregate(f, c, row_id)) for i, (c, f) in enumerate(functions) if _quantile(f) is None]
+    out = df.groupBy(*keys).agg(*(a.alias(f"_v{i}") for i, a in simple)) if simple else df.select(*keys).distinct()
+    for column in dict.fromkeys(c for c, f in functions if _quantile(f) is not None):
+        own = [(i, _quantile(f)) for i, (c, f) in enumerate(functions) if c == column and _quantile(f) is not None]
+        # the column under another name, as it may be a key too
+        counts = df.select(*keys, F.col(column).alias("_value")).groupBy(*keys, "_value").agg(F.count("*").alias("_n"))
+        got = percentiles(counts, "_value", [p for _, p in own], keys).toDF(*(f"_k{k}" for k in range(len(keys))), *(f"_v{i}" for i, _ in own))
+        same = F.lit(True)
+        for k, key in enumerate(keys):
+            same = same & F.col(key).eqNullSafe(F.col(f"_k{k}"))
+        out = out.join(small(got), same, "left").drop(*(f"_k{k}" for k in range(len(keys))))
+    return out
+
+
 def _resolver(df: DataFrame):
     kinds = {c.lower(): c for c in df.columns}
 
@@ -193,10 +218,11 @@ def pivot(df: DataFrame, row: str, functions: Sequence[tuple[str, str]], seconda
     if condition:
         df = filter_rows(df, condition)
     if not secondary:
-        return fill(df.groupBy(row).agg(*(aggregate(f, c, row_id).alias(f"{c}_{f}") for c, f in functions)), nodata)
+        got = grouped(df, [row], functions, row_id)
+        return fill(got.select(row, *(F.col(f"_v{i}").alias(f"{c}_{f}") for i, (c, f) in enumerate(functions))), nodata)
     if values is None:
         values = sorted(tuple(r) for r in collected(df.select(*secondary).distinct()))
-    part = df.groupBy(row, *secondary).agg(*(aggregate(f, c, row_id).alias(f"_v{i}") for i, (c, f) in enumerate(functions)))
+    part = grouped(df, [row, *secondary], functions, row_id)
     cells = []
     for v in values:
         same = F.lit(True)

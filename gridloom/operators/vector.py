@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import free_name, small
 from .overlay import dissolved
 from .polygons import RING, at_spans, bounds, cover_spans, grid_edges, middle_spans, outline_spans, ring_area, signed
+from .raster import cross_matrix
 
 
 def boxes(features: DataFrame) -> DataFrame:
@@ -50,6 +51,12 @@ def training_matrix(df: DataFrame, rois: DataFrame, bands: Sequence[str], label:
     return held.select(label, "r", "c", F.array(*(F.col(b).cast("double") for b in bands)).alias("features")).dropDuplicates([label, "r", "c"])
 
 
+def cross_with_features(df: DataFrame, band: str, features: DataFrame, field: str, **grid) -> DataFrame:
+    """Pixels of each pair of a raster's class and a reference layer's (burned at pixels' middles), as raster.cross_matrix."""
+    burned, name = rasterize(df, features, field, **grid), free_name("_reference", df)
+    return cross_matrix(df.join(burned.withColumnRenamed("value", name), ["r", "c"]), band, name)
+
+
 def clip_polygons(df: DataFrame, features: DataFrame, field: str | None = None, **grid) -> DataFrame:
     """Pixels whose middles are in a polygon; with a field, of each of its values (a column more): a raster a value."""
     keep = [c for c in df.columns] + ([field] if field else [])

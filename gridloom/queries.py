@@ -224,6 +224,11 @@ def pivot_fields(spark, sf):
     return tb.pivot_fields(table(spark, sf, "lineitem"), [("l_tax", "sum")], ["l_returnflag", "l_linestatus"])
 
 
+@query("SELECT l_returnflag, round(median(l_quantity), 6) AS l_quantity_median, round(quantile_cont(l_extendedprice, 0.9), 6) AS \"l_extendedprice_percentile_90\", count(l_tax) AS l_tax_count FROM lineitem GROUP BY 1")
+def pivot_median(spark, sf):
+    return doubles(tb.pivot(table(spark, sf, "lineitem"), "l_returnflag", [("l_quantity", "median"), ("l_extendedprice", "percentile_90"), ("l_tax", "count")]))
+
+
 @query("SELECT l_returnflag, round(sum(x), 6) AS x_sum, min(x) AS x_min, max(x) AS x_max, round(avg(x), 6) AS x_mean, round(median(x), 6) AS x_median, round(stddev_samp(x), 6) AS x_std, round(stddev_pop(x), 6) AS x_std_pop, round(quantile_cont(x, 0.9), 6) AS x_percentile_90, arg_min(x, k) AS x_first, arg_max(x, k) AS x_last FROM (SELECT l_returnflag, l_extendedprice AS x, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, d := l_suppkey, e := l_extendedprice) AS k FROM lineitem) GROUP BY 1")
 def agg_functions(spark, sf):
     df = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("_row"))
@@ -706,6 +711,11 @@ def rasterize_polygons(spark, sf):
     return ve.rasterize(grid(spark, sf), parcels(spark, sf), "value")
 
 
+@query(P + ", b AS (SELECT r, c, arg_max(val, fid) AS ref FROM inside GROUP BY 1, 2) SELECT k AS row_class, ref AS column_class, count(*) AS pixels, CAST(sum(count(*)) OVER (PARTITION BY k) AS BIGINT) AS row_total, CAST(sum(count(*)) OVER (PARTITION BY ref) AS BIGINT) AS column_total FROM px JOIN b USING (r, c) GROUP BY k, ref")
+def cross_polygons(spark, sf):
+    return ve.cross_with_features(grid(spark, sf).select("r", "c", "k"), "k", parcels(spark, sf), "value")
+
+
 #: The part (0 to 1) of an edge that lies within a pixel.
 _PART = "greatest(0, least((c - ax) / (zx - ax), (c + 1 - ax) / (zx - ax)), least((r - ay) / (zy - ay), (r + 1 - ay) / (zy - ay))) AS t0, least(1, greatest((c - ax) / (zx - ax), (c + 1 - ax) / (zx - ax)), greatest((r - ay) / (zy - ay), (r + 1 - ay) / (zy - ay))) AS t1"
 
@@ -795,6 +805,13 @@ def region_threshold(spark, sf):
     return nb.region_growing(grid(spark, sf), "v", (4, 50), 60.0, 20, COLUMNS)
 
 
+@query()
+def region_growing_bands(spark, sf):
+    """A region for each supplier, from its place in the grid, by two bands."""
+    seeds = table(spark, sf, "supplier").selectExpr("s_suppkey AS id", "CAST(s_suppkey AS INT) AS r", "CAST(s_suppkey * 37 % 100 AS INT) AS c")
+    return nb.grow_regions(grid(spark, sf), ["v", "m"], seeds, 1.0, 12, 21)
+
+
 @query(_PATCH + ", m AS (SELECT id, min(to_id) AS patch FROM w GROUP BY 1) SELECT CAST(m.patch AS BIGINT) AS region, CAST(1 AS INT) AS value, CAST(f.r AS INT) AS r, CAST(f.c AS INT) AS c, side FROM f JOIN m USING (id), (VALUES ('N', -1, 0), ('E', 0, 1), ('S', 1, 0), ('W', 0, -1)) v(side, i, j) WHERE NOT EXISTS (SELECT 1 FROM f n WHERE n.r = f.r + i AND n.c = f.c + j)")
 def raster_to_vector(spark, sf):
     return nb.region_edges(grid(spark, sf).where("k >= 2").selectExpr("r", "c", "1 AS f"), "f", COLUMNS)
@@ -857,12 +874,38 @@ _classify("classify_sam", "sam")
 _classify("classify_threshold", "md", 0.28)
 
 
-@query(E + ", s AS (SELECT cls, avg(b1) AS x, avg(b2) AS y, covar_samp(b1, b1) AS a, covar_samp(b1, b2) AS b, covar_samp(b2, b2) AS c FROM pe GROUP BY 1), q AS (SELECT r, c, s.cls, -ln(a * s.c - b * b) - (s.c * (b1 - x) * (b1 - x) - 2 * b * (b1 - x) * (b2 - y) + a * (b2 - y) * (b2 - y)) / (a * s.c - b * b) AS l FROM (SELECT r, c, b1, b2 FROM pe) p, (SELECT cls, x, y, a, b, c AS c FROM s) s)".replace("r, c, s.cls", "p.r, p.c, s.cls") + ", o AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY l DESC, cls) AS i FROM q) SELECT r, c, cls AS class, round(l, 6) AS likelihood FROM o WHERE i = 1")
+_LIKELY = E + ", s AS (SELECT cls, avg(b1) AS x, avg(b2) AS y, covar_samp(b1, b1) AS a, covar_samp(b1, b2) AS b, covar_samp(b2, b2) AS c FROM pe GROUP BY 1), q AS (SELECT r, c, s.cls, -ln(a * s.c - b * b) - (s.c * (b1 - x) * (b1 - x) - 2 * b * (b1 - x) * (b2 - y) + a * (b2 - y) * (b2 - y)) / (a * s.c - b * b) AS l FROM (SELECT r, c, b1, b2 FROM pe) p, (SELECT cls, x, y, a, b, c AS c FROM s) s)".replace("r, c, s.cls", "p.r, p.c, s.cls")
+
+
+@query(_LIKELY + ", o AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY l DESC, cls) AS i FROM q) SELECT r, c, cls AS class, round(l, 6) AS likelihood FROM o WHERE i = 1")
 def classify_ml(spark, sf):
     px = embed(spark, sf)
     return doubles(sp.classify_likelihood(px, px, "cls", BANDS[:2]))
 
 
+@query(_LIKELY + f", d AS (SELECT q.*, ln(a * s.c - b * b) AS e FROM q JOIN s USING (cls)), o AS (SELECT r, c, arg_max(cls, (l, -cls)) AS class, round(max(l), 6) AS likelihood FROM d WHERE -(l + e) <= {-2 * math.log(0.4)!r} GROUP BY 1, 2) SELECT pe.r, pe.c, o.class, o.likelihood FROM pe LEFT JOIN o ON o.r = pe.r AND o.c = pe.c")
+def classify_ml_chi_square(spark, sf):
+    px = embed(spark, sf)
+    return doubles(sp.classify_likelihood(px, px, "cls", BANDS[:2], percent=40))
+
+
+@query()
+def classify_network(spark, sf):
+    px = embed(spark, sf)
+    return sp.train_network(px, BANDS, "cls", 10, [32], steps=20, batches=4).predict(px)
+
+
+@query()
+def cross_validated(spark, sf):
+    """Share of right classes by the parameters that do best over folds."""
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    px = embed(spark, sf)
+    pipeline = sp.learner("random_forest", BANDS, "cls", trees=5)
+    grid = ParamGridBuilder().addGrid(pipeline.getStages()[-1].maxDepth, [2, 5]).build()
+    return sp.predict(sp.cross_validate(pipeline, grid, px, "cls", 3).bestModel, px)
+
+
 @query()
 def classify_random_forest(spark, sf):
     px = embed(spark, sf)
@@ -960,6 +1003,49 @@ def dos1(spark, sf):
     return doubles(px.select("r", "c", pp.dark_object_subtraction(F.col("v"), 0.002, dark).alias("v")))
 
 
+def _metadata(spark, sf) -> str:
+    """A product's metadata for each event type, made from its events: quantification values and offsets by type."""
+    path = shared_path(spark, "metadata")
+    rows = table(spark, sf, "events").groupBy("event_type").agg(F.max("user_id").alias("u"), F.length("event_type").alias("n"))
+    level = F.when(F.col("n") % 2 == 0, "Level-2A").otherwise("Level-1C")
+    tag = F.when(F.col("n") % 2 == 0, "BOA").otherwise("RADIO")
+    value = F.when(F.col("n") % 2 == 0, "BOA_QUANTIFICATION_VALUE").otherwise("QUANTIFICATION_VALUE")
+    offsets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda i: F.concat(F.lit("<"), tag, F.lit('_ADD_OFFSET band_id="'), i.cast("string"), F.lit('">'), (-(F.col("n") + i)).cast("string"), F.lit("</"), tag, F.lit("_ADD_OFFSET>"))), "\n")
+    xml = F.concat(F.lit("<n1:Product><PRODUCT_START_TIME>2024-0"), (F.col("n") % 9 + 1).cast("string"), F.lit("-05T10:00:00Z</PRODUCT_START_TIME><PROCESSING_LEVEL>"), level, F.lit("</PROCESSING_LEVEL><"), value, F.lit(' unit="none">'), (F.col("n") * 100).cast("string"), F.lit("</"), value, F.lit(">"), offsets, F.lit("</n1:Product>"))
+    rows.select(F.col("event_type").alias("product"), xml.alias("value")).repartition("product").write.partitionBy("product").text(path)
+    return path
+
+
+_PRODUCTS = "m AS (SELECT event_type AS product, b, length(event_type) AS n, 1 / (length(event_type) * 100.0::DOUBLE) AS scale, -(length(event_type) + i) * (1 / (length(event_type) * 100.0::DOUBLE)) AS o FROM (SELECT DISTINCT event_type FROM events), (VALUES " + ", ".join(f"('{b}', {i})" for i, b in enumerate(so.S2_BANDS)) + ") v(b, i))"
+
+
+def _products(spark, sf) -> DataFrame:
+    path = _metadata(spark, sf)
+    kinds = [r[0] for r in table(spark, sf, "events").select("event_type").distinct().collect()]
+    out = None
+    for k in sorted(kinds):  # a product a type
+        one = so.sentinel2_products(spark, f"{path}/product={k}").withColumn("product", F.lit(k))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(f"WITH {_PRODUCTS} SELECT product, make_date(2024, n % 9 + 1, 5) AS \"date\", CASE WHEN n % 2 = 0 THEN 'Level-2A' ELSE 'Level-1C' END AS level, b AS band, round(scale, 9) AS scale, round(o, 9) AS \"offset\" FROM m")
+def sentinel2_metadata(spark, sf):
+    return doubles(_products(spark, sf), 9)
+
+
+@query(G + f", {_PRODUCTS}, p AS (SELECT z AS product, lpad(CAST(m + 1 AS VARCHAR), 2, '0') AS band, r, c, v FROM px) SELECT p.product, p.band, p.r, p.c, round(greatest(0, least(1, p.v * m.scale + m.o)), 9) AS v FROM p JOIN m ON m.product = p.product AND m.b = p.band")
+def preprocess_sentinel2(spark, sf):
+    px = grid(spark, sf).select(F.col("z").alias("product"), F.lpad((F.col("m") + 1).cast("string"), 2, "0").alias("band"), "r", "c", "v")
+    return doubles(pp.reflectance(px, _products(spark, sf), "v"), 9)
+
+
+@query(G + f", {_PRODUCTS}, p AS (SELECT z AS product, lpad(CAST(m + 1 AS VARCHAR), 2, '0') AS band, r, c, v, min(v) OVER (PARTITION BY z, m) AS low FROM px) SELECT p.product, p.band, p.r, p.c, round(greatest(0, least(1, (p.v - low) * m.scale + 0.01)), 9) AS v FROM p JOIN m ON m.product = p.product AND m.b = p.band")
+def preprocess_dos1(spark, sf):
+    px = grid(spark, sf).select(F.col("z").alias("product"), F.lpad((F.col("m") + 1).cast("string"), 2, "0").alias("band"), "r", "c", "v")
+    return doubles(pp.reflectance(px, _products(spark, sf), "v", dark=True), 9)
+
+
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS \"date\" FROM orders")
 def date_from_path(spark, sf):
     path = F.concat(F.lit("/data/S2_"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("/B02.tif"))

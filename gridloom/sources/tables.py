@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.tiles import pyramid
 from ..session import collected
 
+# fixed values: bands in the order of the products' metadata
+S2_BANDS = ("01", "02", "03", "04", "05", "06", "07", "08", "8A", "09", "10", "11", "12")
 INT, FLOAT = r"^\s*[+-]?\d{1,18}\s*$", r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(nan|inf)\s*$"
 
 
@@ -97,6 +99,21 @@ def landsat_products(spark: SparkSession, path: str, bands: Sequence[int]) -> Da
     return row.select("spacecraft", "processing_level", F.col("date").try_cast("date").alias("date"), F.col("sun_elevation").try_cast("double").alias("sun_elevation"), F.col("earth_sun_distance").try_cast("double").alias("earth_sun_distance"), F.explode(rows).alias("b")).select("spacecraft", "processing_level", "date", "sun_elevation", "earth_sun_distance", "b.*")
 
 
+def sentinel2_products(spark: SparkSession, path: str, bands: Sequence[str] = S2_BANDS) -> DataFrame:
+    """product (the file), date, level, band, scale and offset from Sentinel-2 product metadata: a row a product and band.
+
+    scale is one over the quantification value, offset the band's offset (in the metadata's order; none: 0) times scale.
+    """
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("product"))
+    tag = lambda name: F.nullif(F.regexp_extract("value", rf"<(?:\w+:)?{name}(?:\s[^>]*)?>\s*([^<]*?)\s*</", 1), F.lit(""))
+    offsets = lambda name: F.regexp_extract_all("value", F.lit(rf"<(?:\w+:)?{name}(?:\s[^>]*)?>\s*(-?\d+)\s*</"), F.lit(1))
+    surface = F.lower(tag("PROCESSING_LEVEL")).contains("2a")
+    quantity = F.when(surface, tag("BOA_QUANTIFICATION_VALUE")).otherwise(tag("QUANTIFICATION_VALUE")).try_cast("double")
+    own = files.where(tag("PROCESSING_LEVEL").isNotNull()).select("product", F.split(tag("PRODUCT_START_TIME"), "T")[0].try_cast("date").alias("date"), tag("PROCESSING_LEVEL").alias("level"), (1 / quantity).alias("scale"), F.when(surface, offsets("BOA_ADD_OFFSET")).otherwise(offsets("RADIO_ADD_OFFSET")).alias("offsets"))
+    each = F.transform(F.array(*map(F.lit, bands)), lambda b, i: F.struct(b.alias("band"), F.coalesce(F.get("offsets", i).try_cast("double"), F.lit(0.0)).alias("o")))
+    return own.select("product", "date", "level", "scale", F.explode(each).alias("b")).select("product", "date", "level", F.col("b.band").alias("band"), "scale", (F.col("b.o") * F.col("scale")).alias("offset"))
+
+
 def structure_of(spark: SparkSession, path: str, separator: str = ",") -> list[list[float | None]]:
     """A structuring element from a text matrix; nan: not part of it."""
     rows = [r.value for r in collected(spark.read.text(path))]

@@ -82,3 +82,83 @@ def test_seeds(spark, rings):
     assert clusters.select("cluster").distinct().count() == 4 and len(centers) == 4
     assert len(sp.parallel_seeds(rings.limit(0), ["x", "y"], 3)) == 0
     assert len(sp.parallel_seeds(rings.select("r", "c", F.lit(1.0).alias("x"), F.lit(2.0).alias("y")), ["x", "y"], 3)) == 1  # no more different pixels
+
+
+def test_chi_square_limits():
+    for percent, n, want in ((5, 1, 3.841459), (5, 2, 5.991465), (1, 3, 11.344867), (50, 6, 5.348121), (0.1, 10, 29.588298)):
+        assert abs(sp.chi_square_limit(percent, n) - want) < 1e-5
+
+
+def test_network_learns_rings(spark, rings):
+    net = sp.train_network(rings, ["x", "y"], "k", 2, hidden=[32], steps=60, batches=3, rate=0.03)
+    assert net.predict(rings, ["c", "k"]).where(F.col("class") == F.col("k")).count() > 580
+    again = sp.train_network(rings.repartition(1), ["x", "y"], "k", 2, hidden=[32], steps=5, batches=3)
+    other = sp.train_network(rings.repartition(7), ["x", "y"], "k", 2, hidden=[32], steps=5, batches=3)
+    assert all(np.allclose(a, b, atol=1e-9) for p, q in zip(again.layers, other.layers, strict=True) for a, b in zip(p, q, strict=True))
+
+    def squares(scores, wanted):  # a loss of one's own
+        g = scores - np.eye(2)[wanted]
+        return float((g * g).sum() / 2), g
+
+    assert sp.train_network(rings, ["x", "y"], "k", 2, hidden=[32], steps=60, rate=0.03, loss=squares).predict(rings, ["c", "k"]).where(F.col("class") == F.col("k")).count() > 560
+
+
+def test_slopes_of_the_loss():
+    rng = np.random.default_rng(2)
+    scores, wanted = rng.normal(size=(5, 4)), np.array([0, 3, 1, 1, 2])
+    _, g = sp.cross_entropy(scores, wanted)
+    for i, j in ((0, 0), (2, 3), (4, 1)):
+        up, down = scores.copy(), scores.copy()
+        up[i, j] += 1e-6
+        down[i, j] -= 1e-6
+        assert abs((sp.cross_entropy(up, wanted)[0] - sp.cross_entropy(down, wanted)[0]) / 2e-6 - g[i, j]) < 1e-6
+
+
+def test_cross_validation(spark, rings):
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    pipeline = sp.learner("random_forest", ["x", "y"], "k", trees=5)
+    grid = ParamGridBuilder().addGrid(pipeline.getStages()[-1].maxDepth, [1, 6]).build()
+    fitted = sp.cross_validate(pipeline, grid, rings, "k", 3)
+    assert fitted.avgMetrics[1] > 0.9 > fitted.avgMetrics[0]
+    assert sp.predict(fitted.bestModel, rings, ["c", "k"]).where(F.col("class") == F.col("k")).count() > 570
+
+
+@pytest.mark.parametrize("minimum", [1, 15, 10_000])
+def test_regions_of_many_seeds(spark, minimum):
+    from gridloom.operators import neighborhood as nb
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 6, (2, 40, 40)).astype(float)
+    a[0, rng.integers(0, 40, 60), rng.integers(0, 40, 60)] = np.nan
+    rows = [(i, j, *(None if np.isnan(v) else float(v) for v in a[:, i, j])) for i in range(40) for j in range(40)]
+    px = spark.createDataFrame(rows, "r int, c int, u double, v double")
+    places = [(k, int(i), int(j)) for k, (i, j) in enumerate(rng.integers(0, 42, (25, 2)))]
+    got = {}
+    for r in nb.grow_regions(px, ["u", "v"], spark.createDataFrame(places, "id int, r int, c int"), 1.0, minimum, 11).collect():
+        got.setdefault(r.id, set()).add((r.r, r.c))
+
+    def connected(ok, start):
+        out, todo = {start}, [start]
+        while todo:
+            i, j = todo.pop()
+            for n in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
+                if n in ok and n not in out:
+                    out.add(n)
+                    todo.append(n)
+        return out
+
+    for k, i, j in places:
+        if i > 39 or j > 39 or np.isnan(a[:, i, j]).any():
+            assert k not in got
+            continue
+        box = [(y, x) for y in range(max(0, i - 5), min(40, i + 6)) for x in range(max(0, j - 5), min(40, j + 6))]
+        both = None
+        for band in a:
+            gap = {p: abs(band[p] - band[i, j]) for p in box if not np.isnan(band[p])}
+            for d in [1.0, *sorted({g for g in gap.values() if g > 1.0})]:
+                region = connected({p for p, g in gap.items() if g <= d}, (i, j))
+                if len(region) >= minimum:
+                    break
+            both = region if both is None else both & region
+        assert got[k] == connected(both, (i, j))
