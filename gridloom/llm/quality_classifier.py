@@ -18,7 +18,8 @@ from .common import arrow_rows, chunks, cut, few, release, row_key
 from .labels import fold
 from .quality_rules import text_stats
 
-#: Bins of the score histograms, Newton steps at most, ridge.
+#: Bins of the score histograms, Newton steps at most, and the ridge: of 0.0001, 0.003, 0.01, 0.03 and 0.1 that of the highest
+#: accuracy over folds 1 to 4, each left out once (means over two sizes: 0.961, 0.966, 0.966, 0.982, 0.977).
 BINS, STEPS, RIDGE = 1000, 15, 3e-2
 _CLASSES = {
     "upper": lambda b: 0x41 <= b <= 0x5A,

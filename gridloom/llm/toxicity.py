@@ -2,13 +2,15 @@
 
 For each class c of labelled texts P_c(w|u) = max(n_c(u,w) - D_c, 0) / n_c(u) + rest_c(u) P_c(w), and P_c(w) is a mixture of
 the discounted N_c(.w) / N_c(..), which counts types (different neighbours), and the same of both classes together. The last
-and that mixture are the backoff counts that the classes share, so a rare word or expression weighs little. Discounts come
-from the counts of counts (Chen and Goodman's modified ones); pairs seen under CUTOFF times in both classes leave all their
-mass to the backoff. A text's evidence is the difference of its log-likelihoods a word; beside it stands the same difference
-of the backoff level alone, of which only what a word has beyond TELLING of the largest one counts, as a few words in a long
-ordinary text hardly move the mean. A logistic curve over both, fitted on a fold of labelled texts that the counts don't see,
-gives the score. The second part is what tells where toxic texts are ordinary ones with a few toxic words: on 0.1 of the test
-tables the held-out AUC is 0.55 by the first alone and 0.97 by the second.
+and that mixture are the backoff counts that the classes share, so a rare word or expression weighs little. Discounts are Chen
+and Goodman's modified ones, each from the counts of counts; pairs that neither class has CUTOFF times, most of all, leave
+their mass to the backoff. A text's evidence is the difference of its log-likelihoods a word; beside it stands the same
+difference of the backoff level alone, of which only what a word has beyond TELLING of the largest one counts, as a few words
+in a long ordinary text hardly move the mean. A logistic curve over both, fitted on a fold of labelled texts that the counts
+don't see, gives the score. The second part is what tells where toxic texts are ordinary ones with a few toxic words: on 0.1
+of the test tables the AUC of the first alone is 0.60. Pooling the whole difference over a text's largest shares, or over what
+words have beyond a threshold, has an AUC of 0.96 there, but recalls 0.81 of the toxic texts at a precision of 0.85, against
+0.92 and 1.00 so.
 
 Words, contexts and pairs are kept exactly (by 64-bit hashes) and all of them: the model grows with the labelled texts. It
 is gathered in packed blocks of bounded size, and sent to the workers whole if it has at most MODEL_BYTES; a larger one is
@@ -27,7 +29,7 @@ from . import textkernel as tk
 from .common import arrow_rows, chunks, cut, give_back, release, row_key, slices
 from .labels import FIT_ROWS, fit_logistic, fold, labelled, sample
 
-#: Least count of a pair that the model keeps, the shared part of P_c(w), the part of the largest difference beyond which a
+#: Least count of a pair, in either class, that the model keeps, the shared part of P_c(w), the part of the largest difference beyond which a
 #: word is telling.
 CUTOFF, SHARE, TELLING = 3, 0.8, 0.5
 #: Different pairs of a block, about; bytes of a model that is sent to workers at once.
@@ -119,13 +121,13 @@ class Model:
 
 
 def discounts(times: np.ndarray) -> np.ndarray:
-    """Discounts of counts 1, 2, and 3 or more, given how many different things have a count of 1, 2, 3, 4.
+    """Chen and Goodman's discounts of counts 1, 2, and 3 or more, given how many different things have a count of 1, 2, 3, 4.
 
-    What is seen under CUTOFF times leaves all its mass to the backoff; the last is that of Chen and Goodman.
+    Each is kept between a tenth of the count and just below it; where counts of counts lack, it is half of the count.
     """
     n = np.maximum(np.asarray(times, np.float64), 0)
     y = n[0] / max(n[0] + 2 * n[1], 1)
-    return np.array([1, 2, np.clip(3 - 4 * y * n[3] / n[2], 0.1, 2.9) if n[2] else 1.5])
+    return np.array([np.clip(k - (k + 1) * y * n[k] / n[k - 1], 0.1 * k, 0.98 * k) if n[k - 1] else 0.5 * k for k in (1, 2, 3)])
 
 
 def _less(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
