@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut, few, free_name
+from ..session import cut, few, free_name, small
 
 #: Up to so many rows one task numbers (or sums up) a written table at once; beyond, ranges are.
 ONE_TASK = 500_000
@@ -24,6 +24,15 @@ def _before(rows: DataFrame, part: str, group: Sequence[str], value: Column, nam
     return sums.select(part, *group, (F.sum(name).over(Window.partitionBy(*group).orderBy(part)) - F.col(name)).alias(name))
 
 
+def _matched(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with other's further columns, by keys, which may be null."""
+    names = {k: free_name(f"_{k}_", rows, other) for k in keys}
+    same = F.lit(True)
+    for k, name in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(name))
+    return rows.join(other.withColumnsRenamed(names), same).drop(*names.values())
+
+
 def numbered(df: DataFrame, name: str, *order: str | Column, start: int = 0, one_task: int = 0) -> DataFrame:
     """df with its rows' places in `order`, from `start`, as a long column; ties in any order. Up to one_task rows: by one task."""
     mark, part, before = (free_name(x, df) for x in ("_mark", "_part", "_before"))
@@ -41,24 +50,25 @@ def running_sum(df: DataFrame, value: str, name: str, order: Sequence[str], grou
     rows = cut(df.orderBy(*group, *order).withColumn(part, F.spark_partition_id()), "placed")
     sums = few(_before(rows, part, group, F.sum(value), before))
     own = F.sum(value).over(Window.partitionBy(part, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(sums, [part, *group]).select(*df.columns, (own + F.col(before)).alias(name))
+    return _matched(rows, sums, [part, *group]).select(*df.columns, (own + F.col(before)).alias(name))
 
 
 def percentiles(counts: DataFrame, value: str, at: Sequence[float], group: Sequence[str], n: str = "_n", more: Sequence[Column] = ()) -> DataFrame:
     """group, p0, p1, .. and `more`: linear percentiles (0 to 100) of values that stand `n` times each, from a table of counts.
 
-    counts: group, value (nulls are skipped) and n, each value once a group; it is written here unless it was. more: aggregates over
-    its rows, which have _total, the group's number of values, and _mean.
+    counts: group (may be null), value (null: counts for nothing, but a group of nulls has its row) and n, each value once a
+    group; it is written here unless it was. more: aggregates over its rows, which have _total, the group's number of values,
+    and _mean.
     """
     counts = counts if hasattr(counts, "_cut_path") else cut(counts, "counts")
     every = Window.partitionBy(*group)
     weight = F.sum(F.col(value).cast("double") * F.col(n))
-    few_rows, counts = counts.count() <= ONE_TASK, counts.where(F.col(value).isNotNull())
+    few_rows, counts = counts.count() <= ONE_TASK, counts.withColumn(n, F.when(F.col(value).isNull(), 0).otherwise(F.col(n)))
     if few_rows:
-        own = counts.withColumns({"_run": F.sum(n).over(every.orderBy(value)), "_total": F.sum(n).over(every), "_mean": weight.over(every) / F.sum(n).over(every)})
+        own = counts.withColumns({"_run": F.sum(n).over(every.orderBy(value)), "_total": F.sum(n).over(every), "_mean": F.try_divide(weight.over(every), F.sum(n).over(every))})
     else:
-        totals = few(cut(counts.groupBy(*group).agg(F.sum(n).alias("_total"), (weight / F.sum(n)).alias("_mean")), "totals"))
-        own = running_sum(counts, n, "_run", [value], group).join(totals, list(group))
+        totals = small(counts.groupBy(*group).agg(F.sum(n).alias("_total"), F.try_divide(weight, F.sum(n)).alias("_mean")), "totals")
+        own = _matched(running_sum(counts, n, "_run", [value], group), totals, group)
     v, cells = F.col(value).cast("double"), []
     for i, p in enumerate(at):
         place = (F.col("_total") - 1) * (p / 100)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.expressions import Compiler, compile_over
-from ..session import collected, cut, few, free_name, small
+from ..session import collected, cut, free_name, small
 from .polygons import bounds
 from .ranks import ONE_TASK, numbered, percentiles as ranked_values, running_sum
 from .tiles import dilated, offsets, tiled
@@ -255,11 +255,9 @@ def zonal_stats(df: DataFrame, zone: str, band: str, percentiles: Sequence[float
     own = df.where(F.col(zone).isNotNull())
     counts = cut(own.groupBy(zone, band).agg(F.count("*").alias("_n")), "counts")
     v, n = F.col(band).cast("double"), F.col("_n")
-    more = [F.sum("_n").alias("count"), F.max(band).alias("max"), F.max("_mean").alias("mean"), F.min(band).alias("min"), F.sqrt(F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean"))) / F.sum("_n")).alias("std"), F.sum(F.col(band) * n).alias("sum")]
+    more = [F.sum("_n").alias("count"), F.max(band).alias("max"), F.max("_mean").alias("mean"), F.min(band).alias("min"), F.sqrt(F.try_divide(F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean"))), F.sum("_n"))).alias("std"), F.sum(F.col(band) * n).alias("sum")]
     got = ranked_values(counts, band, [50, *percentiles], [zone], more=more)
     names = ["median", *(f"p{p:g}" for p in percentiles)]
-    empty = counts.where(F.col(band).isNull()).select(zone)  # a zone of NoData alone is a zone
-    got = got.join(F.broadcast(empty) if counts.count() <= ONE_TASK else empty, zone, "full_outer").withColumn("count", F.coalesce("count", F.lit(0)))
     return got.select(zone, "count", "max", "mean", F.col("p0").alias("median"), "min", "std", "sum", *(F.col(f"p{i}").alias(x) for i, x in enumerate(names) if i))
 
 

@@ -162,3 +162,18 @@ def test_regions_of_many_seeds(spark, minimum):
                     break
             both = region if both is None else both & region
         assert got[k] == connected(both, (i, j))
+
+
+@pytest.mark.parametrize("one_task", [500_000, 0])
+def test_ranks_with_nulls(spark, monkeypatch, one_task):
+    """Groups of NoData alone, and the null group, by one task and by ranges."""
+    from gridloom.operators import ranks
+
+    monkeypatch.setattr(ranks, "ONE_TASK", one_task)
+    df = spark.createDataFrame([(1, 2.0), (1, 4.0), (1, None), (2, None), (None, 5.0), (None, 6.0), (3, 7.0)], "z int, v double")
+    got = {r.z: (r["count"], r["mean"], r["median"], r["std"], r["p25"]) for r in ra.zonal_stats(df, "z", "v", [25]).collect()}
+    assert got == {1: (2, 3.0, 3.0, 1.0, 2.5), 2: (0, None, None, None, None), 3: (1, 7.0, 7.0, 0.0, 7.0)}
+    pivoted = {r.z: (r.v_median, r.v_count) for r in tb.pivot(df, "z", [("v", "median"), ("v", "count")]).collect()}
+    assert pivoted == {1: (3.0, 2), 2: (-999.0, 0), 3: (7.0, 1), -999: (5.5, 2)}
+    two = {r.z: (r.v_median_w1, r.v_count_w1) for r in tb.pivot(df.selectExpr("z", "v", "1 AS w"), "z", [("v", "median"), ("v", "count")], ["w"]).collect()}
+    assert two[None] == (5.5, 2) and two[1] == (3.0, 2)
