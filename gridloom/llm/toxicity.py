@@ -12,14 +12,15 @@ of the test tables the AUC of the first alone is 0.60. Pooling the whole differe
 words have beyond a threshold, has an AUC of 0.96 there, but recalls 0.81 of the toxic texts at a precision of 0.85, against
 0.92 and 1.00 so.
 
-Words, contexts and pairs are kept exactly (by 64-bit hashes) and all of them: the model grows with the labelled texts. It
-is gathered in packed blocks of bounded size, and sent to the workers whole if it has at most MODEL_BYTES; a larger one is
-dealt by words into parts of that size, which score one after another: evidence is a sum over words.
+Words, contexts and pairs are kept exactly (by 64-bit hashes) and all of them: the model grows with the labelled texts. Its
+values are worked out in packed blocks by the workers and dealt by hash into parts of about MODEL_BYTES. The driver has one
+part at a time, while it sends it; a worker has all of them and reads a text once: evidence is a sum over words and pairs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from .labels import FIT_ROWS, fit_logistic, fold, labelled, sample
 #: Least count of a pair, in either class, that the model keeps, the shared part of P_c(w), the part of the largest difference beyond which a
 #: word is telling.
 CUTOFF, SHARE, TELLING = 3, 0.8, 0.5
-#: Different pairs of a block, about; bytes of a model that is sent to workers at once.
-BLOCK, MODEL_BYTES = 1 << 18, 128 << 20
+#: Different pairs of a block, about; bytes of a part of the model, which the driver has at once.
+BLOCK, MODEL_BYTES = 1 << 18, 8 << 20
 #: Words: runs of 0-9, a-z (A-Z lower-cased) and bytes beyond ASCII.
 LETTERS = np.array([b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A for b in range(256)])
 _START = np.uint64(0x2545F4914F6CDD1D)
@@ -94,30 +95,52 @@ class Lookup:
         return self.row[self._slots(h)]
 
 
+def _dealt(key: np.ndarray, parts: int) -> list:
+    """Places of the hashes of each part, found by one sort, so that a text's work doesn't grow with the number of parts."""
+    if parts == 1:
+        return [slice(None)]
+    part = (key % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    return [order[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 @dataclass
 class Model:
-    words: Lookup  #: P_c(w) by class
-    pairs: Lookup  #: the discounted part by class
-    rest: Lookup  #: the backoff's weight by class; 1 where no pair of a context is kept
-    part: tuple[int, int]  #: scores words whose hash has this remainder by this number
+    words: Lookup  #: by word: log P_1(w) - log P_0(w), and as a context: log rest_1(u) - log rest_0(u)
+    pairs: Lookup  #: what a kept pair's log P_1(w|u) - log P_0(w|u) has beyond the two of its word and context
+    part: tuple[int, int]  #: has words and pairs whose hash has this remainder by this number
     limit: float  #: log P_1(w) - log P_0(w) beyond which a word is telling
 
     def evidence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words of each text, the sum of log P_1 - log P_0 over this part's words, and the sum of telling differences."""
-        context, word, first = bigrams(texts)
-        at = np.flatnonzero(word % np.uint64(self.part[1]) == self.part[0]) if self.part[1] > 1 else slice(None)
-        context, own = context[at], word[at]
-        rest, p = self.rest.rows(context), self.words.values[self.words.rows(own)].astype(np.float64)
-        telling = np.maximum(np.log(p[:, 1] / p[:, 0]) - self.limit, 0)
-        held = np.flatnonzero(rest >= 0)  # others have no pairs, and a weight of 1
-        p[held] = self.pairs.values[self.pairs.rows(pair_hash(context[held], own[held]))] + self.rest.values[rest[held]] * p[held]
-        sums = []
-        for y in (np.log(p[:, 1] / p[:, 0]), telling):
-            x = np.zeros(len(word))
-            x[at] = y
-            run = np.concatenate([[0], np.cumsum(x)])
-            sums.append(run[first[1:]] - run[first[:-1]])
-        return np.diff(first), *sums
+        """Words of each text, what this part adds to the sum of log P_1 - log P_0, and to the sum of telling differences."""
+        return evidence([self], texts)
+
+
+def evidence(parts: list[Model], texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, the sum of log P_1 - log P_0 over them, and the sum of telling differences, of these parts."""
+    context, word, first = bigrams(texts)
+    pair, many = pair_hash(context, word), np.diff(first)
+    begins, ends = first[:-1][many > 0], first[1:][many > 0] - 1
+    follows = np.ones(len(word))  # a text's last word is no context
+    follows[ends] = 0
+    x, telling = np.zeros(len(word)), np.zeros(len(word))
+    number = parts[0].part[1]
+    own_words, own_pairs = _dealt(word, number), _dealt(pair, number)
+    for m in parts:
+        at = own_words[m.part[0]]
+        value = m.words.values[m.words.rows(word[at])].astype(np.float64)
+        telling[at] = np.maximum(value[:, 0] - m.limit, 0)
+        x[at] += value[:, 0] + value[:, 1] * follows[at]
+        if int(_START) % number == m.part[0]:
+            x[begins] += m.words.values[m.words.rows(np.array([_START]))[0], 1]
+        at = own_pairs[m.part[0]]
+        x[at] += m.pairs.values[m.pairs.rows(pair[at]), 0]
+    sums = []
+    for y in (x, telling):
+        run = np.concatenate([[0], np.cumsum(y)])
+        sums.append(run[first[1:]] - run[first[:-1]])
+    return many, *sums
 
 
 def discounts(times: np.ndarray) -> np.ndarray:
@@ -155,8 +178,9 @@ def _together(table: pa.Table, hashes: int, counts: int) -> list[np.ndarray]:
 
 _KIND = "step long, block long, n long, data binary"
 #: What rows have: counts of pairs; kept pairs; contexts of kept pairs; how many pairs have a count of 1, 2, 3, 4 and more by
-#: class; types of words; words with their types by class and in both; the same hows-many of types; sums of types.
-_PAIRS, _KEPT, _CONTEXTS, _PAIR_TIMES, _TYPES, _WORDS, _WORD_TIMES, _SUMS = range(8)
+#: class; types of words; words with their types by class and in both; the same hows-many of types; sums of types; words with
+#: log P_1 - log P_0; kept pairs with their words' P_0 and P_1.
+_PAIRS, _KEPT, _CONTEXTS, _PAIR_TIMES, _TYPES, _WORDS, _WORD_TIMES, _SUMS, _LEVELS, _LEVELLED = range(10)
 
 
 def _times(step: int, block: int, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -213,88 +237,126 @@ def count_pairs(train: DataFrame) -> DataFrame:
     words = pairs.where(f"step = {_TYPES}").groupBy("block").applyInArrow(by_word, _KIND)
     out = cut(pairs.where(f"step <> {_TYPES}").union(words), "counts")
     release(pairs)
+    out._block_bits = int(bits)
     return out
 
 
-def _gathered(counts: DataFrame, step: int, hashes: int, columns: int, part: int = 0, parts: int = 1) -> list[np.ndarray]:
-    """The columns of a step's rows, of the words (the last hash) of a part."""
-    got = [[np.zeros(0, np.uint64)] * hashes + [np.zeros(0, np.int32)] * columns]
-    for r in counts.where(f"step = {step}").toLocalIterator():
-        own = _columns(r.n, bytes(r.data), hashes, columns)
-        keep = own[hashes - 1] % np.uint64(parts) == part if parts > 1 else slice(None)
-        got.append([c[keep] for c in own])
-    return [np.concatenate(c) for c in zip(*got, strict=True)]
-
-
-def models(counts: DataFrame, most: int = MODEL_BYTES):
-    """The model that counted rows make, in parts of about `most` bytes one after another. No rows: all words are alike."""
-    sums = [sum((np.array([int(c[0]) for c in _columns(1, bytes(r.data), 0, n)]) for r in counts.where(f"step = {step}").toLocalIterator()), np.zeros(n, np.int64)) for step, n in ((_PAIR_TIMES, 10), (_WORD_TIMES, 15), (_SUMS, 6))]  # a row a block
-    times, total = sums[1].reshape(3, 5), sums[2][:3] * (1 << 24) + sums[2][3:]
-    d_pair, d_word = [discounts(t) for t in sums[0].reshape(2, 5)], [discounts(t) for t in times]
-    taken = [t[0] * d[0] + t[1] * d[1] + t[2:].sum() * d[2] for t, d in zip(times, d_word, strict=True)]
-    sizes = {r.step: (r.n, r.bytes) for r in counts.groupBy("step").agg(F.sum("n").alias("n"), F.sum(F.octet_length("data")).alias("bytes")).collect()}
-    parts = max(1, -(-sum(sizes[s][1] for s in (_KEPT, _CONTEXTS, _WORDS) if s in sizes) // most))
-    even = 1 / (sizes.get(_WORDS, (0, 0))[0] + 1)  # what discounts take off goes evenly to all words and one that no text has
-
-    def backed(c: int, types: np.ndarray, shared):
-        """Discounted shares of the types of class c (2: both), what is taken off going by `shared`; no types: `shared`."""
-        return (_less(np.append(types, 0), d_word[c]) + taken[c] * shared) / total[c] if total[c] else shared
+def _of(table: pa.Table, step: int, hashes: int, counts: int) -> list[np.ndarray]:
+    """The columns of a step's rows; none: empty ones."""
+    rows = table.filter(pa.array(np.asarray(table.column("step")) == step))
+    return _together(rows, hashes, counts) if rows.num_rows else [np.zeros(0, np.uint64)] * hashes + [np.zeros(0, np.int32)] * counts
 
-    context, *n_context = _gathered(counts, _CONTEXTS, 1, 2)
-    order = np.argsort(context)
-    context, n_context = context[order], [n[order] for n in n_context]
-    rest = np.ones((len(context), 2))
 
-    def mass(of: np.ndarray, n: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-        """The discounted part of pairs whose contexts `of` stand at `at`, by class."""
-        return np.stack([_less(n[c], d_pair[c]) / np.maximum(n_context[c][at], 1) for c in (0, 1)], 1)
+def _summed(counts: DataFrame) -> dict[int, np.ndarray]:
+    """Sums over all blocks of the hows-many and of the sums of types: a row a task and step comes to the driver."""
+    widths = {_PAIR_TIMES: 10, _WORD_TIMES: 15, _SUMS: 6}
 
-    for r in counts.where(f"step = {_KEPT}").toLocalIterator():  # row by row, as all pairs needn't fit into the driver
-        of, _, *n = _columns(r.n, bytes(r.data), 2, 2)
-        np.subtract.at(rest, at := np.searchsorted(context, of), mass(of, n, at))
+    def add(batches):
+        got = {s: np.zeros(n, np.int64) for s, n in widths.items()}
+        for batch in batches:
+            for step, data in zip(batch.column("step").to_pylist(), batch.column("data"), strict=True):
+                got[step] += np.frombuffer(data.as_py(), "<i4")
+        yield pa.RecordBatch.from_pydict({"step": list(got), "data": [x.tobytes() for x in got.values()]})
 
-    def pairs(part: int) -> Lookup:
-        of, own, *n = _gathered(counts, _KEPT, 2, 2, part, parts)
-        return Lookup(pair_hash(of, own), mass(of, n, np.searchsorted(context, of)), [0, 0])
+    out = {s: np.zeros(n, np.int64) for s, n in widths.items()}
+    for r in counts.where(F.col("step").isin(list(widths))).select("step", "data").mapInArrow(add, "step long, data binary").collect():
+        out[r.step] += np.frombuffer(r.data, np.int64)
+    return out
 
-    def level(part: int) -> tuple[np.ndarray, np.ndarray]:
-        """The part's words, and P_c of them and, last, of one that no text has."""
-        word, *types = _gathered(counts, _WORDS, 1, 3, part, parts)
-        both = backed(2, types[2], np.full(len(word) + 1, even))
-        return word, np.stack([(1 - SHARE) * backed(c, types[c], both) + SHARE * both for c in (0, 1)], 1)
 
-    largest = max(float(np.log(p[:, 1] / p[:, 0]).max()) for _, p in map(level, range(parts)))
-    limit = TELLING * largest if largest > 0 else np.inf
+def models(counts: DataFrame, most: int = MODEL_BYTES):
+    """The model that counted rows make, in parts of about `most` bytes one after another. No rows: all words are alike.
 
-    def words(part: int) -> Lookup:
-        word, p = level(part)
-        return Lookup(word, p[:-1], p[-1])
+    log P_1(w|u) - log P_0(w|u) is a sum of what the word, its context and, if it is kept, the pair give. Words' levels are
+    worked out beside the words, then contexts and pairs beside the contexts; the driver sees sums, and one part at a time.
+    """
+    bits, sums = np.uint64(counts._block_bits), _summed(counts)
+    times, total = sums[_WORD_TIMES].reshape(3, 5), sums[_SUMS][:3] * (1 << 24) + sums[_SUMS][3:]
+    d_pair, d_word = [discounts(t) for t in sums[_PAIR_TIMES].reshape(2, 5)], [discounts(t) for t in times]
+    taken = [t[0] * d[0] + t[1] * d[1] + t[2:].sum() * d[2] for t, d in zip(times, d_word, strict=True)]
+    sizes = {r.step: r.n for r in counts.groupBy("step").agg(F.sum("n").alias("n")).collect()}
+    parts = max(1, -(-(16 * sizes.get(_WORDS, 0) + 12 * sizes.get(_KEPT, 0)) // most))
+    even = 1 / (sizes.get(_WORDS, 0) + 1)  # what discounts take off goes evenly to all words and one that no text has
 
-    for part in range(parts):
-        yield Model(words(part), pairs(part), Lookup(context, rest, [1, 1]), (part, parts), limit)
+    def backed(c: int, types: np.ndarray, shared):
+        """Discounted shares of the types of class c (2: both), what is taken off going by `shared`; no types: `shared`."""
+        return (_less(types, d_word[c]) + taken[c] * shared) / total[c] if total[c] else shared
+
+    def level(types: list[np.ndarray]) -> list[np.ndarray]:
+        """P_0 and P_1 of words."""
+        both = backed(2, types[2], np.full(len(types[2]), even))
+        return [(1 - SHARE) * backed(c, types[c], both) + SHARE * both for c in (0, 1)]
+
+    unseen = level([np.zeros(1, np.int64)] * 3)
+    other = float(np.log(unseen[1] / unseen[0])[0])
+
+    def levels(key, table):
+        word, *types = _of(table, _WORDS, 1, 3)  # a row a block, in order
+        p = level(types)
+        of, own, *n = _of(table, _KEPT, 2, 2)
+        at = np.searchsorted(word, own)
+        return pa.Table.from_batches([_rows(_LEVELS, word >> bits, [word, np.log(p[1] / p[0]).view(np.uint64)], []), _rows(_LEVELLED, of >> bits, [of, own, *(x[at].view(np.uint64) for x in p)], n)])
+
+    def largest(batches):
+        got = [np.frombuffer(d.as_py(), "<f8", n, 8 * n).max() for b in batches for n, d in zip(b.column("n").to_pylist(), b.column("data"), strict=True)]
+        yield pa.RecordBatch.from_pydict({"most": np.array([max(got)] if got else [])})
+
+    def values(key, table):
+        word, g = _of(table, _LEVELS, 2, 0)
+        context, *n_context = _of(table, _CONTEXTS, 1, 2)
+        of, own, *p, n0, n1 = _of(table, _LEVELLED, 4, 2)
+        order = np.argsort(context)
+        context, n_context = context[order], [n[order] for n in n_context]
+        at, p = np.searchsorted(context, of), [x.view(np.float64) for x in p]
+        mass = [_less(n, d) / np.maximum(t[at], 1) for n, d, t in zip((n0, n1), d_pair, n_context, strict=True)]
+        rest = [1 - np.bincount(at, m, len(context)) for m in mass]
+        weight = np.log(rest[1] / rest[0])
+        whole = [m + r[at] * x for m, r, x in zip(mass, rest, p, strict=True)]
+        beyond = np.log(whole[1] / whole[0]) - weight[at] - np.log(p[1] / p[0])
+        keys, pair = np.union1d(word, context), pair_hash(of, own)
+        alone, before = np.full(len(keys), other, np.float32), np.zeros(len(keys), np.float32)
+        alone[np.searchsorted(keys, word)] = g.view(np.float64)
+        before[np.searchsorted(keys, context)] = weight
+        part = lambda k: k % np.uint64(parts)
+        return pa.Table.from_batches([_rows(_WORDS, part(keys), [keys], [alone.view(np.int32), before.view(np.int32)]), _rows(_KEPT, part(pair), [pair], [beyond.astype(np.float32).view(np.int32)])])
+
+    levelled = cut(counts.where(F.col("step").isin(_KEPT, _WORDS)).groupBy("block").applyInArrow(levels, _KIND), "levels")
+    highest = max([other, *(r.most for r in levelled.where(f"step = {_LEVELS}").select("n", "data").mapInArrow(largest, "most double").collect())])
+    limit = TELLING * highest if highest > 0 else np.inf
+    rows = cut(levelled.union(counts.where(f"step = {_CONTEXTS}")).groupBy("block").applyInArrow(values, _KIND), "values")
+    release(levelled)
+    at, stream = 0, rows.repartitionByRange(parts, "block").sortWithinPartitions("block").toLocalIterator()
+
+    def model(part: int, got: list[tuple]) -> Model:
+        def lookup(step: int, columns: int, none: list[float]) -> Lookup:
+            each = [_columns(n, data, 1, columns) for s, n, data in got if s == step]
+            key, *value = (np.concatenate(c) for c in zip(*each, strict=True)) if each else [np.zeros(0, np.uint64)] + [np.zeros(0, np.int32)] * columns
+            return Lookup(key, np.stack([v.view(np.float32) for v in value], 1), none)
+
+        return Model(lookup(_WORDS, 2, [other, 0]), lookup(_KEPT, 1, [0]), (part, parts), limit)
+
+    for part, own in groupby(stream, lambda r: r.block):
+        while at < part:
+            yield model(at, [])
+            at += 1
+        yield model(part, [(r.step, r.n, bytes(r.data)) for r in own])
+        at = part + 1
+    for part in range(at, parts):
+        yield model(part, [])
+    release(rows)
 
 
 def _evidence(docs: DataFrame, parts: list, keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs, n_words, evidence and telling. k (row_key) has to be among them if there are several parts."""
+    """Columns `keep` of docs, n_words, evidence and telling: texts are read once, whatever the number of parts."""
     kinds = dict(docs.dtypes)
-    kind = ", ".join(f"{k} {kinds[k]}" for k in keep) + ", n_words long, evidence double, telling double"
-
-    def scored(model):
-        def run(batches):
-            for whole in batches:
-                for batch in chunks(whole, "text"):
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *map(pa.array, model.value.evidence(batch.column("text")))], names=[*keep, "n_words", "evidence", "telling"])
 
-        return docs.select(*keep, "text").mapInArrow(run, kind)
+    def run(batches):
+        own = [m.value for m in parts]
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *map(pa.array, evidence(own, batch.column("text")))], names=[*keep, "n_words", "evidence", "telling"])
 
-    if len(parts) == 1:
-        return scored(parts[0])
-    sums = [F.max("n_words").alias("n_words"), F.sum("evidence").alias("evidence"), F.sum("telling").alias("telling")]
-    each = [cut(scored(m).dropDuplicates(["k"]).select("k", "n_words", "evidence", "telling"), "evidence") for m in parts]
-    whole = each[0]
-    for x in each[1:]:
-        whole = whole.union(x)
-    return docs.select(*keep).join(whole.groupBy("k").agg(*sums), "k").select(*keep, "n_words", "evidence", "telling")
+    return docs.select(*keep, "text").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", n_words long, evidence double, telling double")
 
 
 def _curve(n: np.ndarray, *sums: np.ndarray) -> np.ndarray:
@@ -317,7 +379,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     parts = list(map(spark.sparkContext.broadcast, models(counts, model_bytes)))  # no part stays while the next is made
     release(counts)
     give_back()
-    fit = sample(_evidence(known.where("fold = 1"), parts, ["k", "doc_id", "label"]), F.xxhash64("doc_id"), FIT_ROWS).toPandas()
+    fit = _evidence(sample(known.where("fold = 1"), F.xxhash64("doc_id"), FIT_ROWS), parts, ["k", "doc_id", "label"]).toPandas()
     *weights, base = map(float, fit_logistic(_curve(*(fit[c].to_numpy() for c in ("n_words", "evidence", "telling"))), fit.label.to_numpy(np.float64)))
     rows = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     n = F.greatest("n_words", F.lit(1))

@@ -186,6 +186,23 @@ def test_toxicity_in_parts(spark, odd, docs, sf):
     assert toxicity(odd, known, model_bytes=100).count() == odd.count()
 
 
+def test_a_part_of_a_toxicity_model_is_bounded(spark):
+    """No part has all contexts, and parts together, in one reading of the texts, give what they give one by one."""
+    import pickle
+
+    from gridloom.llm.toxicity import evidence
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"u{a} v{b}" for a, b in zip(rng.permutation(1500)[:300], rng.integers(0, 40, 300), strict=True)).encode() for _ in range(60)]
+    df = spark.createDataFrame([(t, i % 2) for i, t in enumerate(3 * texts)], "text binary, label int")
+    got = list(models(count_pairs(df), 10_000))
+    assert len(got) > 5 and max(len(pickle.dumps(m)) for m in got) < 3 * 10_000
+    new = pa.array([*texts[:5], b"", b"u1 other u2"])
+    each, (n, *sums) = [m.evidence(new) for m in got], evidence(got, new)
+    assert n.tolist() == each[0][0].tolist()
+    assert np.allclose(sums, [np.sum([e[i] for e in each], 0) for i in (1, 2)])
+
+
 def test_a_model_is_sent_without_its_tables(spark, docs, sf):
     """The driver makes and sends rows of hashes and values; the hash tables are made where they are used."""
     import pickle
