@@ -195,10 +195,11 @@ def nearest_value(df: DataFrame, field: str, targets: DataFrame, target: str, th
     both = rows.withColumn("asks", F.lit(False)).union(asked.select("v", F.lit(None).cast(rows.schema["own"].dataType), F.lit(True)))
     both = cut(both.orderBy("v", "asks").withColumn("part", F.spark_partition_id()), "sorted")
     ends = both.groupBy("part").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col("v"))).alias("last"), F.min_by("own", F.when(F.col("own").isNotNull(), F.col("v"))).alias("first"))
-    parts = Window.orderBy("part")  # a row a range
-    ends = ends.select("part", F.last("last", True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    here = Window.partitionBy("part").orderBy("v", "asks")
-    near = both.withColumns({"a": F.last("own", True).over(here.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first("own", True).over(here.rowsBetween(0, Window.unboundedFollowing))}).where("asks")
+    # both ways from the first row on: a frame to the last row is read anew for every row
+    parts, back = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("part", F.desc("part")))  # a row a range
+    ends = ends.select("part", F.last("last", True).over(parts).alias("before"), F.last("first", True).over(back).alias("after"))
+    here, back = (Window.partitionBy("part").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (("v", "asks"), (F.desc("v"), F.desc("asks"))))
+    near = both.withColumns({"a": F.last("own", True).over(here), "b": F.last("own", True).over(back)}).where("asks")
     near = near.join(F.broadcast(ends), "part").select("v", F.coalesce("a", "before").alias("a"), F.coalesce("b", "after").alias("b"))
     gap = lambda x: F.abs(F.col(f"{x}.v") - F.col("v"))
     nearer = F.col("b").isNull() | (gap("a") < gap("b")) | ((gap("a") == gap("b")) & (F.struct("a.o", "a.r") <= F.struct("b.o", "b.r")))

@@ -177,3 +177,12 @@ def test_ranks_with_nulls(spark, monkeypatch, one_task):
     assert pivoted == {1: (3.0, 2), 2: (-999.0, 0), 3: (7.0, 1), -999: (5.5, 2)}
     two = {r.z: (r.v_median_w1, r.v_count_w1) for r in tb.pivot(df.selectExpr("z", "v", "1 AS w"), "z", [("v", "median"), ("v", "count")], ["w"]).collect()}
     assert two[None] == (5.5, 2) and two[1] == (3.0, 2)
+
+
+def test_nearest_values_read_no_frame_to_the_end(spark, sf, monkeypatch):
+    """A frame up to a range's last row is read anew for each row: the work would grow with the square of a range."""
+    from gridloom.queries import nearest_join
+
+    monkeypatch.setattr(tb, "small", lambda df, name: df)  # which writes, so that the plan would end there
+    plan = nearest_join(spark, sf)._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
