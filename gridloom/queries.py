@@ -233,7 +233,8 @@ def pivot_median(spark, sf):
 def agg_functions(spark, sf):
     df = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("x"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("_row"))
     names = ["sum", "min", "max", "mean", "median", "std", "std_pop", "percentile_90", "first", "last"]
-    return doubles(df.groupBy("l_returnflag").agg(*(tb.aggregate(n, "x", "_row").alias(f"x_{n}") for n in names)))
+    got = tb.grouped(df, ["l_returnflag"], [("x", n) for n in names], "_row")
+    return doubles(got.select("l_returnflag", *(F.col(f"_v{i}").alias(f"x_{n}") for i, n in enumerate(names))))
 
 
 @query(G + "SELECT k AS value, count(*) AS pixels FROM px GROUP BY 1")

@@ -186,3 +186,11 @@ def test_nearest_values_read_no_frame_to_the_end(spark, sf, monkeypatch):
     monkeypatch.setattr(tb, "small", lambda df, name: df)  # which writes, so that the plan would end there
     plan = nearest_join(spark, sf)._jdf.queryExecution().toString().lower()
     assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
+def test_medians_of_few_groups_are_not_gathered_by_group(spark, sf):
+    """A group's median and percentile come from ranks over sorted ranges, not from all its values in one task."""
+    from gridloom.queries import agg_functions
+
+    plan = agg_functions(spark, sf)._jdf.queryExecution().toString()
+    assert "median(" not in plan and "percentile(" not in plan
