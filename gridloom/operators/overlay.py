@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut
 from .polygons import RING, edges, signed
+from .ranks import running_sum
 from .rings import stitched, without_straight
 
 #: Edges that a cell has, about.
@@ -35,6 +36,26 @@ def _cells(df: DataFrame, x0: float, y0: float, cell: float) -> DataFrame:
     return row.withColumn("i", F.explode(F.sequence(F.floor(x(F.least(one, two) - near)), F.floor(x(F.greatest(one, two) + near)))))
 
 
+def _without_overlaps(own: DataFrame) -> DataFrame:
+    """own (value, ax, ay, bx, by, n), what lies on one another along the axes once: n more edges that go one way than the other.
+
+    Of edges along one line a running sum over their ends, sorted by ranges, gives how many more go ahead than back; stretches
+    where none do vanish, and neighbours of the same number are one. So polygons that cover each other many times have no
+    more edges than the lines that they draw.
+    """
+    upright, level = F.col("ax") == F.col("bx"), F.col("ay") == F.col("by")
+    at, a, b = (F.when(upright, F.col(x)).otherwise(F.col(y)) for x, y in (("ax", "ay"), ("ay", "ax"), ("by", "bx")))
+    line = own.where(upright | level).select("value", upright.alias("upright"), at.alias("at"), a.alias("a"), b.alias("b"), "n")
+    ends = line.select("value", "upright", "at", F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("n").alias("more")), F.struct(F.col("b").alias("p"), (-F.col("n")).alias("more")))).alias("e"))
+    ends = ends.groupBy("value", "upright", "at", F.col("e.p").alias("p")).agg(F.sum("e.more").alias("more")).where("more <> 0")
+    run = running_sum(ends, "more", "n", ["p"], ["value", "upright", "at"])
+    nexts = F.lead("p").over(Window.partitionBy("value", "upright", "at").orderBy("p"))
+    run = run.withColumn("q", nexts).where("n <> 0").select("value", "upright", "at", F.when(F.col("n") > 0, F.col("p")).otherwise(F.col("q")).alias("a"), F.when(F.col("n") > 0, F.col("q")).otherwise(F.col("p")).alias("b"), F.abs("n").alias("n"))
+    place = lambda c, along: F.when(F.col("upright") == along, F.col(c)).otherwise(F.col("at"))
+    lines = run.select("value", place("a", False).alias("ax"), place("a", True).alias("ay"), place("b", False).alias("bx"), place("b", True).alias("by"), "n")
+    return own.where(~(upright | level)).union(lines)
+
+
 def _meetings(digits: int):
     """The function of a cell's edges that gives the points at which each has to be cut."""
     eps = 0.5 * 10.0**-digits
@@ -119,12 +140,15 @@ def dissolved(features: DataFrame, field: str, hole: str | None = None, digits:
     flip = F.col("_sign") < 0
     ends = {f"{p}{v}": F.round(F.when(flip, F.col(f"{q}{v}")).otherwise(F.col(f"{p}{v}")), digits) + 0.0 for p, q in ("ab", "ba") for v in "xy"}
     own = edges(kept.withColumn("value", F.col(field)), "value", "_sign").select("value", *(c.alias(n) for n, c in ends.items())).where("ax <> bx OR ay <> by")
-    own = own.groupBy("value", "ax", "ay", "bx", "by").agg(F.count("*").alias("n"))
+    own = _without_overlaps(own.groupBy("value", "ax", "ay", "bx", "by").agg(F.count("*").alias("n")))
     own = cut(own.withColumn("eid", F.xxhash64("value", "ax", "ay", "bx", "by")), "edges")
-    n, left, right, low, high = own.agg(F.count("*"), F.least(F.min("ax"), F.min("bx")), F.greatest(F.max("ax"), F.max("bx")), F.least(F.min("ay"), F.min("by")), F.greatest(F.max("ay"), F.max("by"))).first()
-    if not n:
+    left, right, low, high = own.agg(F.least(F.min("ax"), F.min("bx")), F.greatest(F.max("ax"), F.max("bx")), F.least(F.min("ay"), F.min("by")), F.greatest(F.max("ay"), F.max("by"))).first()
+    if left is None:
         return features.sparkSession.createDataFrame([], f"{field} {kind}, ring {_POINT}, hole boolean, area double, border double")
-    cell = max(right - left, high - low) * 1.0000001234567 / max(1, int((n / EDGES) ** 0.5))
+    # cells are by value, so the value of the most edges says how many
+    cells = max(1, own.groupBy("value").count().agg(F.max("count")).first()[0] // EDGES)
+    wide, tall = right - left, high - low
+    cell = max((wide * tall / cells) ** 0.5, max(wide, tall) / cells) * 1.0000001234567
     x0, y0 = left - _SHIFT * cell, low - _SHIFT * cell
     met = _cells(own.select("value", "eid", "ax", "ay", "bx", "by"), x0, y0, cell).groupBy("value", "i", "j").applyInArrow(_meetings(digits), "eid long, x double, y double")
     cuts = met.groupBy("eid").agg(F.collect_set(F.struct("x", "y")).alias("cuts"))

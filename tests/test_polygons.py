@@ -192,3 +192,19 @@ def test_rings_over_tiles(spark, monkeypatch):
     for r in nb.patches(px, "v", 100).collect():
         cells[r.patch].add((r.c, r.r))
     assert sum(r.area for r in parts) == a.sum() and len(parts) == sum(rings_of(x) for x in cells.values())
+
+
+def test_boxes_on_one_another_have_few_edges(spark):
+    """Edges along one line are taken together before cells compare them with each other, however many lie there."""
+    from gridloom.operators.overlay import _without_overlaps
+
+    boxes = [(0.0, float(x), float(x + w), 1) for x in range(20) for w in range(1, 10)]  # bottoms to the right
+    tops = [(3.0, float(x + w), float(x), 1) for x in range(20) for w in range(1, 10)]
+    own = spark.createDataFrame([("a", a, y, b, y, n) for y, a, b, n in boxes + tops] + [("a", 0.0, 0.0, 2.0, 3.0, 1), ("b", 5.0, 5.0, 5.0, 7.0, 2), ("b", 5.0, 7.0, 5.0, 6.0, 2)], "value string, ax double, ay double, bx double, by double, n long")
+    got = [tuple(r) for r in _without_overlaps(own).select("value", "ax", "ay", "bx", "by", "n").collect()]
+    assert ("a", 0.0, 0.0, 2.0, 3.0, 1) in got and [r for r in got if r[0] == "b"] == [("b", 5.0, 5.0, 5.0, 6.0, 2)]
+    assert len(got) <= 2 + 2 * 28
+    for y, ahead in ((0.0, 1), (3.0, -1)):
+        for k in range(28):
+            want = sum(min(a, b) <= k < max(a, b) for yy, a, b, _ in boxes + tops if yy == y)
+            assert [n * (1 if ax < bx else -1) for v, ax, ay, bx, by, n in got if v == "a" and ay == by == y and min(ax, bx) <= k < max(ax, bx)] == [want * ahead]
