@@ -271,6 +271,9 @@ def cluster(df: DataFrame, bands: Sequence[str], classes: int, algorithm: str =
 
 # ---- learned classifiers
 
+#: Machines of one against the rest that are fitted at once, over one cached table: waits between their steps overlap.
+MACHINES = 4
+
 
 def learner(kind: str, bands: Sequence[str], label: str, **parameters):
     """A Spark ML pipeline: random_forest, random_forest_ovr, svm (linear, one against the rest) or mlp."""
@@ -285,7 +288,7 @@ def learner(kind: str, bands: Sequence[str], label: str, **parameters):
     elif kind == "random_forest_ovr":
         own = OneVsRest(classifier=RandomForestClassifier(numTrees=parameters.get("trees", 100), seed=0, **common), **common)
     elif kind == "svm":
-        own = OneVsRest(classifier=LinearSVC(regParam=parameters.get("regularization", 0.01), **common), **common)
+        own = OneVsRest(classifier=LinearSVC(regParam=parameters.get("regularization", 0.01), **common), parallelism=MACHINES, **common)
     elif kind == "mlp":
         own = MultilayerPerceptronClassifier(layers=[len(bands), *parameters.get("hidden", [100]), parameters["classes"]], seed=0, maxIter=parameters.get("max_iter", 100), **common)
     else:

@@ -194,3 +194,7 @@ def test_medians_of_few_groups_are_not_gathered_by_group(spark, sf):
 
     plan = agg_functions(spark, sf)._jdf.queryExecution().toString()
     assert "median(" not in plan and "percentile(" not in plan
+
+
+def test_linear_machines_are_fitted_side_by_side(spark):
+    assert sp.learner("svm", ["b1"], "cls").getStages()[-1].getParallelism() == sp.MACHINES > 1
