@@ -371,6 +371,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Labels of folds 2 to 4 are counted, fold 1 sets the curve (FIT_ROWS rows at most, by hash), fold 0 is never read. Null,
     empty or wordless texts get the curve's value at no evidence. Repeated rows score alike. Without labels every score is
     0.5; labels of unknown documents and values other than 0 and 1 don't count. Empty docs: no rows.
+
+    The model stays with the session for as long as the result may be read; `forget` lets go of it.
     """
     spark: SparkSession = docs.sparkSession
     arrow_rows(spark)
@@ -386,4 +388,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     read = [F.col(c) / d for c in ("evidence", "telling") for d in (n, F.sqrt(n))]
     score = 1 / (1 + F.exp(-sum((F.lit(w) * x for w, x in zip(weights, read, strict=True)), F.lit(base))))
     out = _evidence(rows, parts, ["k", "doc_id"]).withColumn("score", score)
-    return out.select("k", "doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "evidence", "telling")
+    out = out.select("k", "doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_words", "evidence", "telling")
+    out._model = parts
+    return out
+
+
+def forget(scored: DataFrame) -> None:
+    """Takes the model of a result of toxicity, which can't be read after that, from the driver and the executors."""
+    for part in scored._model:
+        part.destroy()
