@@ -304,3 +304,19 @@ def test_bounds_on_shared_shingles():
             assert len(set(x[both].tolist())) >= ps.fewest(x, len(set(x.tolist())), 46, 18, 80)
             assert ps.promising(both, first, np.zeros(len(x) + 4, bool), 50, 5, 80)
             assert not ps.promising(both, first, np.ones(len(x) + 4, bool), 50, 5, 80)
+
+
+def test_many_texts_are_looked_at_together():
+    """One answer for each text that marks a text's shingles, the same as one by one."""
+    rng, seen = np.random.default_rng(5), set()
+    for n in (30, 46, 47, 120, 300):
+        for unknown in (0, 1, n // 3, n):
+            again = rng.random(n) < 0.1
+            known = np.ones(n + 4, bool)
+            known[rng.permutation(n + 4)[:unknown]] = False
+            both = rng.random((40, n)) < rng.choice([0.5, 0.8, 0.9, 1.0], (40, 1))
+            both[::5, n // 2 :] = False
+            want = [ps.promising(x, again, known, 50, 5, 80, ends=True) for x in both]
+            assert ps.hopeful(both, again, known, 50, 5, 80).tolist() == want
+            seen |= set(want)
+    assert seen == {True, False}
