@@ -403,7 +403,7 @@ def radial_machine(df: DataFrame, bands: Sequence[str], label: str, gamma: float
     ways, phase = rng.normal(size=(len(bands), features)) * math.sqrt(2 * gamma), rng.uniform(0, 2 * np.pi, features)
     out = RadialMachine(list(bands), mean, np.where(scale > 0, scale, 1.0), ways, phase, None)
     rows = cut(out.features(df.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double")), [label]), "features")
-    out.model = OneVsRest(classifier=LinearSVC(regParam=regularization, featuresCol="_f", labelCol=label, standardization=False), featuresCol="_f", labelCol=label).fit(rows)
+    out.model = OneVsRest(classifier=LinearSVC(regParam=regularization, featuresCol="_f", labelCol=label, standardization=False), featuresCol="_f", labelCol=label, parallelism=MACHINES).fit(rows)
     return out
 
 

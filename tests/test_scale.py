@@ -198,3 +198,12 @@ def test_medians_of_few_groups_are_not_gathered_by_group(spark, sf):
 
 def test_linear_machines_are_fitted_side_by_side(spark):
     assert sp.learner("svm", ["b1"], "cls").getStages()[-1].getParallelism() == sp.MACHINES > 1
+
+
+def test_radial_machines_are_fitted_side_by_side(rings, monkeypatch):
+    from pyspark.ml.classification import OneVsRest
+
+    seen, fit = [], OneVsRest.fit
+    monkeypatch.setattr(OneVsRest, "fit", lambda self, rows: seen.append(self.getParallelism()) or fit(self, rows))
+    sp.radial_machine(rings, ["x", "y"], "k", features=4)
+    assert seen == [sp.MACHINES]
