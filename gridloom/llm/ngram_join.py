@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import textkernel as tk
-from .common import arrow_rows, chunks, components, cut, few, release, row_key, slices
+from .common import arrow_rows, chunks, components, cut, few, release, row_key, slices, tidy
 from .holders import KIND, Chunks, bucketed, kept_bits, with_counts
 
 #: Of so many columns one is looked at first. Parts into which columns of 255 rows or more are dealt for neighbours.
@@ -182,7 +182,9 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     if not rows.groupBy("k").count().where("count > 1").isEmpty():  # repeated rows: one stands for all
         texts = texts.dropDuplicates(["cid"])
     left = able(texts, n, percent)
-    texts = texts.join(few(left), "cid")
+    texts = cut(texts.join(few(left), "cid"), "texts")  # seven plans read them
+    release(left)
+    tidy(docs.sparkSession)
     found = columns_of(texts, n, percent)
     columns, maps = found.where("key is not null").select("key", "cid", "size", "part", "held"), found.where("key is null").select("cid", "held", *_MAPS)
     # neighbors of about one size, in another order in each column: a group of near copies is joined by many random pairs; and
@@ -212,6 +214,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     rest = cut(rest.select("a", "b").join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     links = links.union(verified(rest, texts, n, percent))
     joined = components(links)
+    release(texts, found, first, best, parts, rest)
+    tidy(docs.sparkSession)
     named = classes.select("cid", "least").join(joined.toDF("cid", "root"), "cid", "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
     named = cut(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

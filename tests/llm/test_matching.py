@@ -320,3 +320,22 @@ def test_many_texts_are_looked_at_together():
             assert ps.hopeful(both, again, known, 50, 5, 80).tolist() == want
             seen |= set(want)
     assert seen == {True, False}
+
+
+def test_texts_are_read_three_times_at_most(spark):
+    """Classes, first columns and the texts that are left, which are written for what comes then."""
+    from gridloom.llm.ngram_join import ngram_components
+
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{words} {i}") for i in range(20)] + [(i, f"other {i} text {i * i}") for i in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(run, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_components(docs).collect()}
+    assert all(got[i] == (0 if i < 20 else i) for i in range(40))
+    assert read.value <= 3 * len(rows)
