@@ -339,3 +339,19 @@ def test_texts_are_read_three_times_at_most(spark):
     got = {r.doc_id: r.component_id for r in ngram_components(docs).collect()}
     assert all(got[i] == (0 if i < 20 else i) for i in range(40))
     assert read.value <= 3 * len(rows)
+
+
+def test_bitmaps_of_a_place_are_told_once(spark):
+    text = " ".join(f"w{i}" for i in range(200)).encode()
+    texts = spark.createDataFrame([(1, bytearray(text))], "d long, text binary")
+    places = spark.createDataFrame([(1, 100, b, 46, False) for b in (10, 20, 30)], "d long, place int, before int, after int, open boolean")
+    cover = spark.createDataFrame([], "d long, spans array<struct<start:int,end:int>>")
+    got = ps.surroundings(texts, places, cover, 46, 5, 80)
+    assert got.where("side = 0").count() == 1
+    assert got.first().least == -(-7 * (46 - ps.most_lone(46, 80)) // 8)
+
+
+def test_runs_of_values_with_one_place(spark):
+    a, b = np.array([1, 2, 3, 4, 5, 6, 7, 8], np.uint32), np.array([3, 4, 9, 6, 7, 1, 2, 2], np.uint32)
+    assert ps._runs(a, b, 20, 5) == [(0, 2, 2), (3, 5, 2), (5, 0, 2), (7, 1, 1)]
+    assert ps._runs(np.append(a, np.uint32(1)), b, 20, 5)[:2] == [(0, 2, 2), (3, 5, 2)]  # 1 has two places
